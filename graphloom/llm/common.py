@@ -73,3 +73,8 @@ def remainder(doc_id: Column, divisor: int) -> Column:
 
 def held_out(doc_id: Column, divisor: int, value: int) -> Column:
     return F.coalesce(remainder(doc_id, divisor) == value, F.lit(False))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """A broadcast hint where a count shows at most ``max_rows`` rows; else left to the planner."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["bpe"]
+MODULES = ["bpe", "rules"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
