@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["urls", "mixing", "bpe", "rules"]
+MODULES = ["urls", "mixing", "topk", "bpe", "rules"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
