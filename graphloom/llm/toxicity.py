@@ -34,7 +34,7 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 8
 PREFIX = 4
 MAX_ROWS, MAX_CHARS = 6000, 60_000
 #: Updates in all, within bounds on the passes; the learning rate; the weight of a toxic text.
-UPDATES, LEAST_PASSES, MOST_PASSES, RATE, POSITIVE = 24_000, 3, 40, 0.1, 3.0
+UPDATES, LEAST_PASSES, MOST_PASSES, RATE, POSITIVE = 24_000, 3, 40, 0.1, 1.5
 #: The spread of untrained vectors, and the share of words left out at each training step: few
 #: rows can't then be told by words they alone have.
 START, DROP = 0.02, 0.7
