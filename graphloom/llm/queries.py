@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["urls", "quality", "toxicity", "mixing", "neardup", "topk", "bpe", "rules"]
+MODULES = ["urls", "quality", "toxicity", "mixing", "neardup", "topk", "language_model", "bpe", "rules"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
