@@ -88,6 +88,21 @@ def mix(docs: DataFrame, *keep: str, id_col: str = "doc_id", source_col: str = "
     return rows.select(*columns, "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), "taken", copies.alias("copies"))
 
 
+def mixed_rows(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """The documents' rows, each as often as the mix takes it, whole.
+
+    Rows of one id and text are told apart by nothing; they share their copies evenly.
+    """
+    named = docs.select("*", F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")).alias("_digest"))
+    taken = mix(named, "_digest", whole=True, seed=seed)
+    taken = taken.groupBy("doc_id", "source", "_digest").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    taken = taken.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("_digest").alias("_d"), "_copies", "_rows")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_digest") == F.col("_d"))
+    rows = named.join(taken, same)
+    times = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), times)).alias("_copy")).drop("_copy")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken words of every document."""
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -10,10 +10,12 @@ ROWS registers make candidates: a pair of similarity 0.8 is missed with a chance
 
 Equal texts are one node. In each bucket (texts that share a band) all are compared with the least
 one, the pivot; links are verified pairs: their exact probability Jaccard or plain Jaccard
-similarity of shingles is SIMILARITY at least. Texts of a bucket that the links so far haven't
-brought into the component of most of it are then compared with the bucket's texts of other
-components. More pivots come first while that is many pairs. So no bucket's texts are all
-paired, and yet no link between components is lost. Classes are the components.
+similarity of shingles is SIMILARITY at least. Texts that these links haven't brought into the
+component of most of their bucket are then compared with the bucket's texts of other components,
+first by sketch: a byte of each register. Pairs that agree on fewer than AGREE registers are left
+out; a pair of similarity 0.8 does so with a chance of 1e-5. The rest is verified. Sketches meet in
+blocks of BLOCK texts, so a large bucket is many tasks; no bucket's texts are all paired as rows.
+Classes are the components.
 
 Null texts are classes of their own. Empty texts are equal texts; they have no shingles and no
 other links. A class is named by its least doc_id; rows with a null id don't name it. Rows that are
@@ -22,7 +24,6 @@ repeated or share an id belong to their texts' classes each. Other columns are l
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -31,23 +32,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ASCII_LOWER, read, shared_table, small_batches
-from graphloom.llm.components import components
+from graphloom.llm.common import read, shared_table, small_batches
 from graphloom.llm.features import Words
+from graphloom.operators.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Arrivals worked out for a text in one go, at least.
 ARRIVALS = 700
-#: Pairs a text of a bucket may have before another pivot is tried.
-PAIRS_A_TEXT = 4
-TOKEN = re.compile(r"[^ \t-\r]+")
+#: Registers that sketches of similar texts share, of REGISTERS; texts of a block of a bucket.
+AGREE, BLOCK = 80, 1024
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def _word(word: str) -> int:
-    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _word(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
 
 
 _WORDS = Words(_word)
@@ -62,7 +62,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts: the distinct shingles' owners (rising), hashes and counts."""
-    words = [[*map(_WORDS.__getitem__, TOKEN.findall(t.translate(ASCII_LOWER)))] for t in texts]
+    words = [[*map(_WORDS.__getitem__, t.encode("utf-8", "surrogatepass").lower().split())] for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     flat = np.array([x for w in words for x in (*w, 1, 2, 3, 4)], np.int64).view(np.uint64)  # texts end in fixed numbers
     bases = np.cumsum(sizes + 4) - sizes - 4
@@ -136,7 +136,7 @@ def _digest(text: Column) -> Column:
 
 
 def sign_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, bands array<long>) of the rows with a text."""
+    """(doc_id, digest, bands array<long>, sketch) of the rows with a text."""
     small_batches(docs.sparkSession, 128)
     text = docs[text_col].cast("string")
     chosen = docs.where(text.isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), _digest(text).alias("digest"), text.alias("_text"))
@@ -145,12 +145,14 @@ def sign_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             owner, items, weights = shingles(batch.column(2).to_pylist())
             has = np.bincount(owner, minlength=batch.num_rows) > 0
-            numbers = bands(signatures(owner, items, weights.astype(float), batch.num_rows))
+            sign = signatures(owner, items, weights.astype(float), batch.num_rows)
+            numbers = bands(sign)
+            sketch = pa.array([r.tobytes() for r in (sign >> np.uint64(56)).astype(np.uint8)], pa.binary())
             offsets = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(numbers[has].ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, sketch], names=["doc_id", "digest", "bands", "sketch"])
 
-    return chosen.mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    return chosen.mapInArrow(run, "doc_id long, digest binary, bands array<long>, sketch binary")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -164,13 +166,12 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str = "text", least: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, ta = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            own: dict = {}
-            good = []
-            for name, x, y in zip(names, ta, batch.column(3).to_pylist()):
-                if name not in own:
-                    own[name] = shingles([x])[1:]
-                good.append(max(similarity(own[name], shingles([y])[1:])) >= least)
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            texts = {t: i for i, t in enumerate(dict.fromkeys(a + b))}
+            owner, items, counts = shingles([*texts])
+            bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+            own = [(items[x:y], counts[x:y]) for x, y in zip(bounds, bounds[1:])]
+            good = [max(similarity(own[texts[x]], own[texts[y]])) >= least for x, y in zip(a, b)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
@@ -186,22 +187,12 @@ def classes(docs: DataFrame, text_col: str = "text", least: float = SIMILARITY)
     rows = nodes.select("digest", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("digest").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = shared_table(rows.join(buckets.withColumnRenamed("band", "_band"), F.col("band") == F.col("_band")).select("band", "digest", "pivot", "n"), "members")
-    done = shared_table(members.where("digest <> pivot").select(F.col("pivot").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
+    done = members.where("digest <> pivot").select(F.col("pivot").alias("a"), F.col("digest").alias("b")).distinct()
     links = shared_table(verify(done, docs, text_col, least), "links")
     found = components(links)
-    while True:
-        pairs, enough = _rest(members, found, done)
-        pairs = shared_table(pairs, "pairs")
-        if pairs.isEmpty() and not enough:  # all have been pivots: the rest at once
-            pairs, enough = _rest(members, found, done, True)
-            pairs = shared_table(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        links = shared_table(links.unionByName(verify(pairs, docs, text_col, least)), "links")
-        found = components(links)
-        done = done.unionByName(pairs)
-        if enough:
-            break
+    more = shared_table(_rest(members, found, signed), "pairs")
+    if not more.isEmpty():
+        found = components(links.unionByName(verify(more, docs, text_col, least)))
     roots = nodes.join(found, F.col("digest") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("root", "digest").alias("root"), F.col("root").isNotNull().alias("linked"))
     named = roots.where("linked or copies > 1")
     names = named.groupBy("root").agg(F.min(F.struct("rep", "digest")).alias("first"))
@@ -213,30 +204,38 @@ def classes(docs: DataFrame, text_col: str = "text", least: float = SIMILARITY)
     return out.unionByName(null.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), F.lit(None).cast("binary").alias("digest")))
 
 
-def _rest(members: DataFrame, found: DataFrame, done: DataFrame, enough: bool = False) -> tuple[DataFrame, bool]:
-    """Pairs of a bucket's texts in different components that haven't been compared.
+def _rest(members: DataFrame, found: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs of a bucket's texts in different components whose sketches agree.
 
-    One of each pair stands outside the component of most of its bucket. If these are many, only
-    the least such text of each bucket is paired, and the second value is false.
+    One of each pair stands outside the component of most of its bucket.
     """
     big = members.where("n > 2")  # a bucket of two has been compared
-    placed = big.join(found, F.col("digest") == F.col("node"), "left").select("band", "digest", F.coalesce("root", "digest").alias("root"))
-    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("k"), F.min("digest").alias("least"))
-    main = sizes.groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("n"), F.max("k").alias("top")).where("parts > 1")
-    work = main.agg(F.sum((F.col("n") - F.col("top")) * F.col("n")).alias("pairs"), F.sum("n").alias("texts")).first()
-    enough = enough or (work["pairs"] or 0) <= PAIRS_A_TEXT * (work["texts"] or 0) + 10_000
-    open_ = shared_table(placed.join(main.select(F.col("band").alias("_band"), "main"), F.col("band") == F.col("_band")).select("band", "digest", "root", "main"), "open")
-    outside = open_.where("root <> main")
-    if not enough:
-        # the least text of a bucket's outside that hasn't been a pivot in it
-        asked = done.select(F.col("a").alias("_a")).distinct()
-        outside = outside.join(asked, F.col("digest") == F.col("_a"), "left_anti")
-        outside = outside.groupBy("band").agg(F.min("digest").alias("digest"), F.min_by("root", "digest").alias("root"))
-    x = outside.select(F.col("band").alias("_band"), F.col("digest").alias("x"), F.col("root").alias("rx"))
-    met = open_.join(x, (F.col("band") == F.col("_band")) & (F.col("root") != F.col("rx")))
-    pairs = met.select(F.least("x", "digest").alias("a"), F.greatest("x", "digest").alias("b")).distinct() if enough else met.select(F.col("x").alias("a"), F.col("digest").alias("b")).distinct()
-    old = done.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")).distinct()
-    return pairs.join(old, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti"), enough
+    placed = big.join(found, F.col("digest") == F.col("node"), "left").select("band", "digest", "n", F.coalesce("root", "digest").alias("root"))
+    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    main = sizes.groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("k"), F.max("n").alias("m")).where("k < m")
+    sketches = signed.groupBy("digest").agg(F.first("sketch").alias("sketch")).withColumnRenamed("digest", "_digest")
+    opened = placed.join(main.withColumnRenamed("band", "_band"), F.col("band") == F.col("_band")).join(sketches, F.col("digest") == F.col("_digest"))
+    blocks, out = F.ceil(F.col("m") / BLOCK).cast("long"), F.ceil((F.col("m") - F.col("k")) / BLOCK).cast("long")
+    at = F.xxhash64("digest")
+    columns = ["band", "digest", "root", "sketch"]
+    opened = opened.select(*columns, "main", blocks.alias("blocks"), out.alias("out"), at.alias("at"))
+    one = opened.where("root <> main").select(*columns, F.lit(True).alias("outside"), F.pmod("at", "out").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    other = opened.select(*columns, F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("out") - 1)).alias("i"), F.pmod("at", "blocks").alias("j"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        outside = table.column("outside").to_numpy()
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        digests, roots = table.column("digest").to_pylist(), np.array(table.column("root").to_pylist(), object)
+        _, roots = np.unique(roots, return_inverse=True)
+        inside = np.flatnonzero(~outside)
+        pairs = set()
+        for x in np.flatnonzero(outside):
+            rest = inside[roots[inside] != roots[x]]
+            for y in rest[(sketch[rest] == sketch[x]).sum(1) >= AGREE]:
+                pairs.add((min(digests[x], digests[y]), max(digests[x], digests[y])))
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+    return one.unionByName(other).groupBy("band", "i", "j").applyInArrow(meet, "a binary, b binary").distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

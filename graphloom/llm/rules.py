@@ -127,6 +127,14 @@ def _everything():
     return Window.partitionBy(F.lit(1))  # a row for each stratum
 
 
+def _with_kept(measured: DataFrame, cuts: DataFrame, stratum: str) -> DataFrame:
+    joined = measured.join(broadcast_if_small(cuts), F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    above = F.lit(False)
+    for m in GRIDS:
+        above = above | F.coalesce(F.col(m) > F.col(f"_cut_{m}"), F.lit(False))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~above)
+
+
 def judge(docs: DataFrame, labels: DataFrame, *keep: str, id_col: str = "doc_id", stratum: str = "lang", text_col: str = "text") -> DataFrame:
     """The kept columns, the counts, base_failed and kept, for each document.
 
@@ -134,12 +142,23 @@ def judge(docs: DataFrame, labels: DataFrame, *keep: str, id_col: str = "doc_id"
     """
     columns = list(dict.fromkeys([id_col, stratum, *keep]))
     measured = shared_table(measure(docs, *columns, text_col=text_col), "measures")
-    cuts = broadcast_if_small(certify(measured, labels, id_col, stratum))
-    joined = measured.join(cuts, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
-    above = F.lit(False)
-    for m in GRIDS:
-        above = above | F.coalesce(F.col(m) > F.col(f"_cut_{m}"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~above).select(*columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    judged = _with_kept(measured, certify(measured, labels, id_col, stratum), stratum)
+    return judged.select(*columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", text_col: str = "text") -> DataFrame:
+    """The rows of the documents that are kept, with their own columns.
+
+    Texts are measured a second time rather than shuffled to their verdicts.
+    """
+    own = [f"_own_{i}" for i in range(len(docs.columns))]  # out of the measures' way
+    held = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, own)])
+    names = dict(zip(docs.columns, own))
+    at = names[id_col], names[stratum], names[text_col]
+    measured = shared_table(measure(held, *at[:2], text_col=at[2]), "measures")
+    cuts = shared_table(certify(measured, labels, *at[:2]), "cutoffs")
+    judged = _with_kept(measure(held, *own, text_col=at[2]), cuts, at[1])
+    return judged.where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

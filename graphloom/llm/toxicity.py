@@ -208,6 +208,11 @@ def judge(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
     return scored.select(*columns, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), (F.col("score") >= cut).alias("flagged"))
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of the documents that aren't flagged, with their own columns."""
+    return judge(docs, labels, *docs.columns).where("not flagged").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted, flagged of every document."""
     found = judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
