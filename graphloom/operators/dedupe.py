@@ -27,8 +27,11 @@ def singular(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
-def _normal_form(names: pd.Series) -> pd.Series:
+def _normal_form(name: str) -> Column:
+    return F.pandas_udf(_normal_series, "string")(name)
+
+
+def _normal_series(names: pd.Series) -> pd.Series:
     return names.map(lambda x: None if x is None else " ".join(singular(w) for w in unicodedata.normalize("NFKC", x).split()))
 
 

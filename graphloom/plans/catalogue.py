@@ -1,15 +1,539 @@
-"""The query catalogue: one entry per operator, with its SQL equivalent."""
+"""The query catalogue: one entry for each operator, with its SQL equivalent."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.functions import parse
+from graphloom.functions import text as tx
+from graphloom.operators import analytics, chunks, cluster, dedupe, evaluate, extract, graph, retrieve
+from graphloom.plans import fixtures as fx
+from graphloom.schema import KGFrames
+from graphloom.sources import sinks
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _act(spark, d) -> KGFrames:
+    return graph.build(fx.activity(spark, d))
+
+
+ENDS = "SELECT s AS name FROM {0} UNION ALL SELECT o FROM {0}"
+DEG = f"deg AS (SELECT name, count(*) AS degree, sum(1 - o)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT s AS name, 1 AS o FROM {{0}} UNION ALL SELECT o, 0 FROM {{0}}) GROUP BY name)"
+
+
+# --- building ---------------------------------------------------------------------------------
+
+
+@_query(f"WITH {fx.KG} SELECT 'kg' AS graph_id, s, p, o FROM kg")
+def graph_build_triples(spark, d):
+    return graph.build(fx.kg(spark, d)).triples
+
+
+@_query(f"WITH {fx.KG} SELECT DISTINCT 'kg' AS graph_id, name FROM ({ENDS.format('kg')})")
+def graph_entities(spark, d):
+    return graph.build(fx.kg(spark, d)).entities
+
+
+@_query(f"WITH {fx.KG} SELECT DISTINCT 'kg' AS graph_id, p AS name FROM kg")
+def graph_predicates(spark, d):
+    return graph.build(fx.kg(spark, d)).predicates
+
+
+@_query(f"WITH {fx.KG}, e AS (SELECT s_name AS name FROM supplier) SELECT DISTINCT 'kg' AS graph_id, name, name NOT IN (SELECT name FROM e) AS added FROM (SELECT name FROM e UNION ALL {ENDS.format('kg')})")
+def graph_repair_endpoints(spark, d):
+    known = fx.table(spark, d, "supplier").select(F.lit("kg").alias("graph_id"), F.col("s_name").alias("name"))
+    cut = graph.build(fx.kg(spark, d), known)
+    added = graph.missing_endpoints(cut).withColumn("_a", F.lit(True))
+    return graph.repair(cut).entities.join(added, ["graph_id", "name"], "left").select("graph_id", "name", F.coalesce("_a", F.lit(False)).alias("added"))
+
+
+@_query(f"WITH {fx.KG}, {fx.ACTIVITY} SELECT 'all' AS graph_id, s, p, o FROM (SELECT * FROM kg UNION SELECT * FROM act)")
+def graph_aggregate_union(spark, d):
+    return graph.aggregate(graph.build(fx.kg(spark, d)), _act(spark, d)).triples
+
+
+@_query(f"WITH {fx.KG} SELECT 'kg' AS graph_id, (SELECT count(DISTINCT name) FROM ({ENDS.format('kg')})) AS entities, count(DISTINCT p) AS predicates, count(*) AS relations FROM kg")
+def graph_counts(spark, d):
+    return graph.counts(graph.build(fx.kg(spark, d)))
+
+
+@_query(f"""WITH {fx.KG}, n AS (SELECT count(DISTINCT name) AS n FROM (SELECT name FROM ({ENDS.format('kg')}) UNION ALL SELECT 'Event#' || event_type FROM events)),
+i AS (SELECT count(DISTINCT event_type) AS i FROM events)
+SELECT 'kg' AS graph_id, n AS entities, count(*) AS relations, count(DISTINCT p) AS predicates, i AS isolated, round(2.0 * count(*) / n, 2)::DOUBLE AS average_degree, round(count(*)::DOUBLE / (n * (n - 1)), 3) AS density FROM kg, n, i GROUP BY n, i""")
+def graph_stats_counts(spark, d):
+    g = graph.build(fx.kg(spark, d))
+    lone = fx.table(spark, d, "events").select(F.lit("kg").alias("graph_id"), F.concat(F.lit("Event#"), "event_type").alias("name"))
+    return analytics.statistics(KGFrames(g.entities.unionByName(lone).distinct(), g.predicates, g.triples))
+
+
+@_query(f"WITH {fx.ACTIVITY} SELECT 'activity' AS graph_id, s AS src, o AS dst, max(p) AS rel FROM act GROUP BY s, o")
+def digraph_collapse(spark, d):
+    return graph.digraph(fx.activity(spark, d))
+
+
+_POSITIONED = "pos AS (SELECT (user_id % 10)::VARCHAR AS graph_id, event_id AS pos, 'User#' || user_id AS s, event_type AS p, 'Item#' || json_extract_string(props, '$.k') AS o FROM events)"
+
+
+def _positioned(spark, d):
+    return fx.activity_rows(spark, d).select((F.col("user_id") % 10).cast("string").alias("graph_id"), F.col("event_id").alias("pos"), "s", "p", "o")
+
+
+@_query(f"WITH {_POSITIONED}, f AS (SELECT graph_id, s, p, o, min(pos) AS pos FROM pos GROUP BY ALL) SELECT graph_id, s, p, o, (row_number() OVER (PARTITION BY graph_id ORDER BY pos, s, p, o) - 1)::INT AS rank FROM f")
+def triples_convert_order(spark, d):
+    return graph.convert(_positioned(spark, d))
+
+
+@_query(f"""WITH {_POSITIONED} SELECT graph_id, (SELECT array_to_string(list_sort(list(DISTINCT name)), '|') FROM (SELECT s AS name FROM pos b WHERE b.graph_id = a.graph_id UNION SELECT o FROM pos b WHERE b.graph_id = a.graph_id)) AS entities,
+array_to_string(list_sort(list(DISTINCT p)), '|') AS edges, count(DISTINCT (s, p, o)) AS n_relations FROM pos a GROUP BY graph_id""")
+def triples_convert_sorted(spark, d):
+    whole = graph.nested(graph.convert(_positioned(spark, d)))
+    return whole.select("graph_id", F.array_join("entities", "|").alias("entities"), F.array_join("edges", "|").alias("edges"), F.size("relations").cast("long").alias("n_relations"))
+
+
+@_query(f"WITH {fx.KG}, e AS (SELECT 'Part#' || p_partkey AS name FROM part WHERE p_size > 10 UNION SELECT s_name FROM supplier) SELECT 'kg' AS graph_id, s, p, o FROM kg WHERE s IN (SELECT name FROM e) AND o IN (SELECT name FROM e)")
+def fallback_endpoint_filter(spark, d):
+    parts = fx.table(spark, d, "part").where("p_size > 10").select(F.concat(F.lit("Part#"), F.col("p_partkey").cast("string")).alias("name"))
+    names = parts.unionByName(fx.table(spark, d, "supplier").select(F.col("s_name").alias("name"))).withColumn("graph_id", F.lit("kg"))
+    return graph.endpoint_filter(fx.kg(spark, d), names)
+
+
+@_query(f"WITH {fx.ACTIVITY}, old AS (SELECT DISTINCT s, o FROM act WHERE p < 'd') SELECT 'activity' AS graph_id, s, p, o FROM act WHERE (s, o) NOT IN (SELECT (s, o) FROM old)")
+def existing_pair_novelty(spark, d):
+    act = fx.activity(spark, d)
+    return graph.novel_pairs(act, act.where("p < 'd'"))
+
+
+# --- analytics --------------------------------------------------------------------------------
+
+
+@_query(f"WITH {fx.ACTIVITY}, {DEG.format('act')} SELECT 'activity' AS graph_id, * FROM deg")
+def degree_counts(spark, d):
+    return analytics.degrees(fx.activity(spark, d))
+
+
+@_query(f"WITH {fx.KG}, {DEG.format('kg')} SELECT 'kg' AS graph_id, name, degree, row_number() OVER (ORDER BY degree DESC, lower(name), name)::INT AS rank FROM deg QUALIFY rank <= 10")
+def top_entities(spark, d):
+    return analytics.top_entities(graph.build(fx.kg(spark, d)))
+
+
+@_query(f"WITH {fx.KG} SELECT 'kg' AS graph_id, p AS name, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, lower(p), p)::INT AS rank FROM kg GROUP BY p QUALIFY rank <= 10")
+def top_relations(spark, d):
+    return analytics.top_relations(graph.build(fx.kg(spark, d)))
+
+
+@_query(f"WITH {fx.KG} SELECT 'kg' AS graph_id, 'Part#' || p_partkey AS name FROM part WHERE 'Part#' || p_partkey NOT IN (SELECT o FROM kg WHERE p = 'supplies' AND s < 'Supplier#000000005')")
+def isolated_entities(spark, d):
+    parts = fx.table(spark, d, "part").select(F.lit("kg").alias("graph_id"), F.concat(F.lit("Part#"), F.col("p_partkey").cast("string")).alias("name"))
+    return analytics.isolated(graph.build(fx.kg(spark, d).where("p = 'supplies' and s < 'Supplier#000000005'"), parts))
+
+
+_EDGES = "edges AS (SELECT *, row_number() OVER (ORDER BY lower(p), lower(s), lower(o), p, s, o) - 1 AS n FROM act)"
+
+
+@_query(f"WITH {fx.ACTIVITY}, {_EDGES} SELECT 'activity' AS graph_id, s, p, o, 'e' || n AS id FROM edges")
+def edge_ids(spark, d):
+    return analytics.edge_ids(fx.activity(spark, d))
+
+
+def _color_sql(x: str) -> str:
+    """The colour formula over sha1(x), as a scalar expression."""
+    byte = lambda i: f"('0x' || sha1({x})[{i}:{i + 1}])::INT::DOUBLE / 255.0"
+    hue, full, light = byte(1), f"(0.55 + {byte(3)} * 0.3)::DOUBLE", f"(0.45 + {byte(5)} * 0.25)::DOUBLE"
+    high = f"(CASE WHEN {light} <= 0.5 THEN {light} * ({full} + 1.0) ELSE {light} + {full} - {light} * {full} END)"
+    low = f"({light} * 2.0 - {high})"
+
+    def channel(shift: str) -> str:
+        h = f"(({hue} + {shift}) - floor({hue} + {shift}))"
+        value = f"CASE WHEN {h} < 1::DOUBLE / 6 THEN {low} + ({high} - {low}) * {h} * 6.0 WHEN {h} < 0.5 THEN {high} WHEN {h} < 2::DOUBLE / 3 THEN {low} + ({high} - {low}) * (2::DOUBLE / 3 - {h}) * 6.0 ELSE {low} END"
+        return f"lpad(lower(to_hex(floor(({value}) * 255.0)::BIGINT)), 2, '0')"
+
+    return f"'#' || {channel('1::DOUBLE / 3')} || {channel('0.0::DOUBLE')} || {channel('(-1::DOUBLE / 3)')}"
+
+
+@_query(f"SELECT n_name, {_color_sql('n_name')} AS color FROM nation")
+def color_hash(spark, d):
+    return fx.table(spark, d, "nation").select("n_name", tx.color(F.col("n_name")).alias("color"))
+
+
+@_query(f"""WITH {fx.ACTIVITY}, {_EDGES}, k AS (SELECT DISTINCT p, {_color_sql("'predicate::' || p")} AS color FROM (SELECT DISTINCT p FROM act))
+SELECT 'activity' AS graph_id, 'e' || n AS id, s AS source, o AS target, p AS predicate, NULL::VARCHAR AS cluster, color, s || ' —' || p || '→ ' || o AS tooltip FROM edges JOIN k USING (p)""")
+def edge_view(spark, d):
+    return analytics.edge_view(_act(spark, d))
+
+
+@_query(f"""WITH {fx.ACTIVITY}, {_EDGES}, k AS (SELECT p, {_color_sql("'predicate::' || p")} AS color FROM (SELECT DISTINCT p FROM act))
+SELECT 'activity' AS graph_id, s AS source, p AS predicate, o AS target, 'e' || n AS edge_id, color FROM edges JOIN k USING (p)""")
+def relation_records(spark, d):
+    return analytics.relation_records(_act(spark, d))
+
+
+_CLUSTERS = "cl AS (SELECT DISTINCT 'Group#' || (user_id % 7) AS rep, 'User#' || user_id AS member FROM events WHERE user_id % 2 = 0)"
+
+
+def _clusters(spark, d):
+    rows = fx.table(spark, d, "events").where("user_id % 2 = 0")
+    return rows.select(F.lit("activity").alias("graph_id"), F.concat(F.lit("Group#"), (F.col("user_id") % 7).cast("string")).alias("rep"), F.concat(F.lit("User#"), F.col("user_id").cast("string")).alias("member")).distinct()
+
+
+@_query(f"""WITH {fx.ACTIVITY}, {_EDGES}, {DEG.format('act')}, {_CLUSTERS},
+nb AS (SELECT name, array_to_string(list_sort(list(DISTINCT x)), '|') AS neighbors FROM (SELECT s AS name, o AS x FROM act UNION ALL SELECT o, s FROM act) GROUP BY name),
+inc AS (SELECT o AS name, string_agg('e' || n, '|' ORDER BY n) AS incoming FROM edges GROUP BY o), outg AS (SELECT s AS name, string_agg('e' || n, '|' ORDER BY n) AS outgoing FROM edges GROUP BY s),
+k AS (SELECT rep, {_color_sql("'entity::' || rep")} AS color FROM (SELECT DISTINCT rep FROM cl))
+SELECT 'activity' AS graph_id, name, rep AS cluster, coalesce(color, '#64748b') AS color, degree, in_degree, out_degree, false AS is_representative, (18 + 2 * least(degree, 8))::BIGINT AS radius,
+neighbors, coalesce(incoming, '') AS incoming, coalesce(outgoing, '') AS outgoing
+FROM deg JOIN nb USING (name) LEFT JOIN inc USING (name) LEFT JOIN outg USING (name) LEFT JOIN cl ON member = name LEFT JOIN k USING (rep)""")
+def node_view(spark, d):
+    g = _act(spark, d)
+    nodes = analytics.node_view(KGFrames(g.entities, g.predicates, g.triples, _clusters(spark, d)))
+    return nodes.withColumns({c: F.array_join(c, "|") for c in ("neighbors", "incoming", "outgoing")}).withColumn("radius", F.col("radius").cast("long"))
+
+
+@_query(f"""WITH {_CLUSTERS}, m AS (SELECT rep, member FROM cl UNION SELECT DISTINCT rep, rep FROM cl), a AS (SELECT rep, string_agg(member, '|' ORDER BY lower(member), member) AS members, count(*)::INT AS size FROM m GROUP BY rep)
+SELECT 'activity' AS graph_id, rep AS id, members, size, {_color_sql("'entity::' || rep")} AS color FROM a""")
+def cluster_view(spark, d):
+    return analytics.cluster_view(_clusters(spark, d)).withColumn("members", F.array_join("members", "|"))
+
+
+@_query(f"""WITH RECURSIVE {fx.PLACE}, e AS (SELECT s AS a, o AS b FROM place UNION SELECT o, s FROM place), r(name, x) AS (SELECT a, a FROM e UNION SELECT r.name, e.b FROM r JOIN e ON r.x = e.a)
+SELECT 'kg' AS graph_id, name, min(x) AS component FROM r GROUP BY name""")
+def connected_components(spark, d):
+    return analytics.graph_components(graph.build(fx.place(spark, d)))
+
+
+@_query(f"""WITH {fx.ACTIVITY} SELECT 'activity' AS graph_id, name, array_to_string(list_sort(list(DISTINCT x)), '|') AS neighbors FROM (SELECT s AS name, o AS x FROM act UNION ALL SELECT o, s FROM act) GROUP BY name""")
+def neighbors_list(spark, d):
+    return analytics.neighbors(fx.activity(spark, d)).withColumn("neighbors", F.array_join("neighbors", "|"))
+
+
+# --- text -------------------------------------------------------------------------------------
+
+
+@_query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role || ': ' || text) AS text FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
+def conversation_flatten(spark, d):
+    return chunks.flatten(fx.table(spark, d, "conversations"))
+
+
+@_query("SELECT conv_id, turn, role || ': ' || text AS line FROM conversations WHERE role IN ('user', 'assistant')")
+def message_role_filter(spark, d):
+    return chunks.message_lines(fx.table(spark, d, "conversations"))
+
+
+@_query("SELECT conv_id, turn FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 3 THEN 'tool' ELSE role END AS role FROM conversations) WHERE role NOT IN ('user', 'assistant', 'system')")
+def message_validation(spark, d):
+    odd = fx.table(spark, d, "conversations").withColumn("role", F.when(F.col("turn") % 5 == 3, "tool").otherwise(F.col("role")))
+    return chunks.invalid_messages(odd).select("conv_id", "turn")
+
+
+@_query("""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\\n]+[.!?]*')) AS s, generate_subscripts(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), 1) AS i FROM documents),
+y AS (SELECT doc_id, i, trim(s, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS sentence FROM x)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, sentence FROM y WHERE sentence <> ''""")
+def sentence_split(spark, d):
+    return fx.table(spark, d, "documents").select("doc_id", F.posexplode(chunks.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@_query()
+def chunk_text_500(spark, d):
+    return chunks.chunks(fx.table(spark, d, "documents"), 500)
+
+
+@_query("SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::INT AS n_words FROM documents")
+def word_counts(spark, d):
+    return fx.table(spark, d, "documents").select("doc_id", F.size(tx.words(F.col("text"))).alias("n_words"))
+
+
+_LINES = "lines AS (SELECT s, p, o, '- ' || s || CASE hash_ WHEN 0 THEN ' | ' WHEN 1 THEN chr(9) ELSE ' -> ' END || p || CASE hash_ WHEN 0 THEN ' | ' WHEN 1 THEN chr(9) ELSE ' -> ' END || CASE WHEN length(s) % 5 = 0 THEN '' ELSE o END || ' ' AS line FROM (SELECT *, length(s || o) % 3 AS hash_ FROM kg))"
+
+
+@_query(f"WITH {fx.KG}, {_LINES} SELECT line, CASE WHEN length(s) % 5 = 0 THEN NULL ELSE s END AS ps, CASE WHEN length(s) % 5 = 0 THEN NULL ELSE p END AS pp, CASE WHEN length(s) % 5 = 0 THEN NULL ELSE o END AS po FROM lines")
+def relation_line_parse(spark, d):
+    gap = F.when((F.length("s") + F.length("o")) % 3 == 0, " | ").when((F.length("s") + F.length("o")) % 3 == 1, "\t").otherwise(" -> ")
+    line = F.concat(F.lit("- "), "s", gap, "p", gap, F.when(F.length("s") % 5 == 0, "").otherwise(F.col("o")), F.lit(" "))
+    got = fx.kg(spark, d).select(line.alias("line")).withColumn("t", parse.relation_line(F.col("line")))
+    return got.select("line", F.col("t.s").alias("ps"), F.col("t.p").alias("pp"), F.col("t.o").alias("po"))
+
+
+@_query("SELECT n_nationkey, n_name || '|' || r_name AS entities FROM nation JOIN region ON n_regionkey = r_regionkey")
+def parse_entities_json(spark, d):
+    rows = fx.table(spark, d, "nation").join(fx.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    answer = F.concat(F.lit("Sure. <answer>```json\n[\""), "n_name", F.lit('", 1, " '), "r_name", F.lit(' ", "", null, "'), "n_name", F.lit('", {"a": 2}]\n```</answer> done'))
+    return rows.select("n_nationkey", F.array_join(parse.entities(answer), "|").alias("entities"))
+
+
+@_query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 2 THEN '' ELSE n_name || '>part of>' || r_name END AS relations FROM nation JOIN region ON n_regionkey = r_regionkey")
+def parse_relations_json(spark, d):
+    rows = fx.table(spark, d, "nation").join(fx.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    triple = F.concat(F.lit('[["'), "n_name", F.lit('", "part of", " '), "r_name", F.lit('"], ["a", "b"], ["", "b", "c"], [1, "b", "c"], ["'), "n_name", F.lit('", "part of", "'), "r_name", F.lit('"]]'))
+    kind = F.col("n_nationkey") % 3
+    answer = F.when(kind == 0, F.concat(F.lit('{"relations": '), triple, F.lit("}"))).when(kind == 1, F.concat(F.lit('<answer>{"triple": '), triple, F.lit("}</answer>"))).otherwise(F.concat(F.lit('{"relations": null, "triple": '), triple, F.lit("}")))
+    return rows.select("n_nationkey", F.array_join(F.transform(parse.relations(answer), lambda r: F.array_join(r, ">")), "|").alias("relations"))
+
+
+@_query("SELECT n_nationkey, n_name || '>>x|y>z>y' AS triples FROM nation")
+def record_existing_triples(spark, d):
+    record = F.concat(F.lit('{"text": "t", "triple": [["'), "n_name", F.lit('", " ", "x"], ["a", 1, "b"], ["y", "z ", "y"]]}'))
+    return fx.table(spark, d, "nation").select("n_nationkey", F.array_join(F.transform(parse.existing_triples(record), lambda r: F.array_join(r, ">")), "|").alias("triples"))
+
+
+@_query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE '' END AS text FROM documents")
+def record_text_select(spark, d):
+    k = F.col("doc_id") % 3
+    raw, text = F.when(k == 0, F.col("source")).when(k == 1, F.lit("  ")), F.when(k < 2, F.col("lang")).otherwise(F.lit("\t"))
+    return fx.table(spark, d, "documents").select("doc_id", parse.record_text(raw, text).alias("text"))
+
+
+# --- names ------------------------------------------------------------------------------------
+
+_PART_NAMES = "nm AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_type || 's' WHEN 1 THEN '  ' || p_type || ' ' ELSE p_type END AS name FROM part)"
+
+
+def _part_names(spark, d):
+    k = F.col("p_partkey") % 3
+    name = F.when(k == 0, F.concat("p_type", F.lit("s"))).when(k == 1, F.concat(F.lit("  "), "p_type", F.lit(" "))).otherwise(F.col("p_type"))
+    return fx.table(spark, d, "part").select(F.lit("parts").alias("graph_id"), name.alias("name")).distinct()
+
+
+_SINGULAR = """CASE WHEN length(w) > 4 AND lower(w) LIKE '%ies' THEN w[:-4] || 'y' WHEN length(w) > 4 AND regexp_matches(lower(w), '(ss|sh|ch|x|z)es$') THEN w[:-3]
+ WHEN length(w) > 3 AND lower(w) LIKE '%s' AND NOT regexp_matches(lower(w), '(ss|us|is)$') THEN w[:-2] ELSE w END"""
+_NORMS = f"nf AS (SELECT name, array_to_string(list_transform(regexp_extract_all(name, '\\S+'), lambda w: {_SINGULAR}), ' ') AS norm FROM nm), cc AS (SELECT name, norm, min(name) OVER (PARTITION BY norm) AS chosen FROM nf)"
+
+
+@_query(f"WITH {_PART_NAMES}, {_NORMS} SELECT 'parts' AS graph_id, name, norm, chosen FROM cc")
+def normalize_collapse(spark, d):
+    return dedupe.collapse(_part_names(spark, d))
+
+
+@_query(f"WITH {_PART_NAMES}, {_NORMS} SELECT 'parts' AS graph_id, count(*) AS total, count(DISTINCT chosen) AS kept, count(*) - count(DISTINCT chosen) AS duplicates, round(100.0::DOUBLE * (count(*) - count(DISTINCT chosen)) / count(*), 1) AS reduction FROM cc")
+def dedup_stats(spark, d):
+    return dedupe.statistics(dedupe.collapse(_part_names(spark, d)))
+
+
+@_query(f"""WITH {fx.ACTIVITY} SELECT DISTINCT 'activity' AS graph_id, 'User#' || (replace(s, 'User#', '')::INT % 10) AS s, upper(p) AS p, o FROM act""")
+def rewrite_triples(spark, d):
+    act = fx.activity(spark, d)
+    users = act.select("graph_id", F.col("s").alias("name")).distinct().withColumn("chosen", F.concat(F.lit("User#"), (F.regexp_replace("name", "User#", "").cast("int") % 10).cast("string")))
+    kinds = act.select("graph_id", F.col("p").alias("name")).distinct().withColumn("chosen", F.upper("name"))
+    return dedupe.rewrite(act, users, kinds)
+
+
+_ORDERED = "oc AS (SELECT DISTINCT 'Item#' || (k % 5) AS rep, 'Item#' || k AS member, k % 5 AS ord FROM (SELECT json_extract_string(props, '$.k')::INT AS k FROM events) UNION SELECT DISTINCT 'Item#' || (5 + k % 3), 'Item#' || k, 5 + k % 3 FROM (SELECT json_extract_string(props, '$.k')::INT AS k FROM events))"
+
+
+@_query(f"""WITH {fx.ACTIVITY}, {_ORDERED}, fm AS (SELECT member, arg_min(rep, ord) AS chosen FROM oc WHERE member NOT IN (SELECT rep FROM oc) GROUP BY member)
+SELECT DISTINCT 'activity' AS graph_id, s, p, coalesce(chosen, o) AS o FROM act LEFT JOIN fm ON o = member""")
+def cluster_rewrite_first_match(spark, d):
+    k = F.get_json_object("props", "$.k").cast("int")
+    keys = fx.table(spark, d, "events").select(F.lit("activity").alias("graph_id"), k.alias("k")).distinct()
+    item = lambda x: F.concat(F.lit("Item#"), x.cast("string"))
+    part = lambda o: keys.select("graph_id", o.alias("ord"), item(o).alias("rep"), item(F.col("k")).alias("member"))
+    clusters = part(F.col("k") % 5).unionByName(part(5 + F.col("k") % 3)).distinct()
+    act = fx.activity(spark, d)
+    return dedupe.rewrite(act, dedupe.first_match(clusters), act.select("graph_id", F.col("p").alias("name"), F.col("p").alias("chosen")).distinct())
+
+
+@_query()
+def semantic_dedup(spark, d):
+    """(graph_id, name, chosen) of part types after spelling and similarity of letter trigrams."""
+    return dedupe.semantic(_part_names(spark, d), cluster.hashing_embedder(), 0.95).select("graph_id", "name", "chosen")
+
+
+@_query("WITH n AS (SELECT count(*) AS n FROM embeddings), k AS (SELECT unnest(range(0, CASE WHEN n <= 128 THEN 1 ELSE n // 128 + (n % 128 > 0)::INT END)) AS cluster, n FROM n) SELECT CASE WHEN n <= 128 THEN n WHEN cluster < n // 128 THEN 128 ELSE n % 128 END AS size, count(*) AS clusters FROM k GROUP BY 1")
+def capacity_cluster_sizes(spark, d):
+    vectors = fx.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("name"), "embedding")
+    sizes = cluster.capacity_clusters(vectors).groupBy("cluster").agg(F.count("*").alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("clusters"))
+
+
+# --- retrieval --------------------------------------------------------------------------------
+
+
+def _asked(spark, d):
+    return fx.table(spark, d, "embeddings").where("vec_id % 100 = 7").select(F.lit("activity").alias("graph_id"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+_COS = "list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[])"
+_ASKED = "q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 7)"
+_BEST = f"best AS (SELECT query_id, name, {_COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, name)::INT AS rank FROM q, vec QUALIFY rank <= 8)"
+
+
+@_query(f"WITH {fx.ACTIVITY}, {fx.VECTORS}, {_ASKED}, {_BEST} SELECT query_id, name, rank, round(score, 6) AS score FROM best")
+def cosine_topk(spark, d):
+    best = retrieve.relevant_nodes(_asked(spark, d), fx.node_vectors(spark, d, fx.activity(spark, d)), 8)
+    return best.select("query_id", "name", "rank", F.round("score", 6).alias("score"))
+
+
+_BM25 = """docs AS (SELECT p_partkey::VARCHAR AS name, regexp_extract_all(lower(p_type || ' ' || p_name), '\\S+') AS w FROM part),
+qs AS (SELECT p_partkey AS query_id, regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_name), '\\S+') AS w FROM part WHERE p_partkey % 100 = 1),
+st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM docs), fr AS (SELECT name, term, count(*) AS tf FROM (SELECT name, unnest(w) AS term FROM docs) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM fr GROUP BY term), w0 AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS w FROM df, st), w1 AS (SELECT term, CASE WHEN w < 0 THEN 0.25 * (SELECT avg(w) FROM w0) ELSE w END AS idf FROM w0),
+bm AS (SELECT query_id, fr.name, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(docs.w) / avgdl))) AS score FROM (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(w) AS term FROM qs) GROUP BY ALL) JOIN w1 USING (term) JOIN fr USING (term) JOIN docs USING (name), st GROUP BY ALL)"""
+
+
+def _bm25(spark, d):
+    part = fx.table(spark, d, "part")
+    corpus = part.select(F.col("p_partkey").cast("string").alias("name"), F.concat_ws(" ", "p_type", "p_name").alias("text"))
+    asked = part.where("p_partkey % 100 = 1").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type", "p_name").alias("text"))
+    return retrieve.bm25_scores(asked, corpus)
+
+
+@_query(f"WITH {_BM25} SELECT query_id, name, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, name)::INT AS rank FROM bm QUALIFY rank <= 16")
+def bm25_topk(spark, d):
+    return retrieve.top_k(_bm25(spark, d).withColumn("score", F.round("score", 6)), 16).select("query_id", "name", "score", "rank")
+
+
+@_query(f"""WITH {_BM25}, e AS (SELECT vec_id::VARCHAR AS name, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 1),
+h AS (SELECT query_id, name, round(0.5 * coalesce(bm.score, 0) + 0.5 * {_COS}, 6) AS score FROM (SELECT * FROM q, e) LEFT JOIN bm USING (query_id, name))
+SELECT query_id, name, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name)::INT AS rank FROM h QUALIFY rank <= 16""")
+def hybrid_topk(spark, d):
+    e = fx.table(spark, d, "embeddings").withColumn("graph_id", F.lit("parts"))
+    asked = e.where("vec_id % 100 = 1").select("graph_id", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    dense = retrieve.cosine_scores(asked, e.select("graph_id", F.col("vec_id").cast("string").alias("name"), "embedding"))
+    scored = retrieve.hybrid_scores(_bm25(spark, d), dense).withColumn("score", F.round("score", 6))
+    return retrieve.top_k(scored, 16).select("query_id", "name", "score", "rank")
+
+
+_DI = "di AS (SELECT s, o, max(p) AS r FROM act GROUP BY s, o), sym AS (SELECT s AS a, o AS b FROM di UNION SELECT o, s FROM di)"
+
+
+def _khop(depth: int) -> str:
+    hops = ["h0 AS (SELECT DISTINCT s AS name FROM act WHERE s IN ('User#1', 'User#2'))"]
+    hops += [f"h{i} AS (SELECT name FROM h{i - 1} UNION SELECT b FROM h{i - 1} JOIN sym ON a = name)" for i in range(1, depth)]
+    return f"WITH {fx.ACTIVITY}, {_DI}, {', '.join(hops)} SELECT DISTINCT 'activity' AS graph_id, 1 AS query_id, s || ' ' || r || ' ' || o || '.' AS sentence FROM di WHERE s IN (SELECT name FROM h{depth - 1}) OR o IN (SELECT name FROM h{depth - 1})"
+
+
+def _context(spark, d, depth):
+    act = fx.activity(spark, d)
+    seeds = act.where(F.col("s").isin("User#1", "User#2")).select("graph_id", F.lit(1).alias("query_id"), F.col("s").alias("name")).distinct()
+    return retrieve.context(seeds, act, depth)
+
+
+@_query(_khop(1))
+def khop_context_1(spark, d):
+    return _context(spark, d, 1)
+
+
+@_query(_khop(2))
+def khop_context_2(spark, d):
+    return _context(spark, d, 2)
+
+
+@_query(_khop(3))
+def khop_context_3(spark, d):
+    return _context(spark, d, 3)
+
+
+@_query(f"""WITH {fx.ACTIVITY}, {_DI}, {fx.VECTORS}, {_ASKED}, {_BEST}, fr AS (SELECT query_id, name FROM best UNION SELECT query_id, b FROM best JOIN sym ON a = name),
+c AS (SELECT DISTINCT query_id, s || ' ' || r || ' ' || o || '.' AS t FROM di JOIN fr ON name = s OR name = o), g AS (SELECT query_id, count(*) AS n, sum(length(t)) + count(*) - 1 AS chars, sum(len(regexp_extract_all(t, '\\S+'))) AS words FROM c GROUP BY query_id)
+SELECT 'activity' AS graph_id, query_id, 8 AS top_k, 2 AS depth, (SELECT count(*) FROM best b WHERE b.query_id = g.query_id) AS retrieved_node_count, n AS retrieved_context_edge_count, chars::BIGINT AS retrieved_context_char_length, words::BIGINT AS retrieved_context_word_count FROM g""")
+def retrieve_context_stats(spark, d):
+    act = fx.activity(spark, d)
+    best, found = retrieve.retrieve(_asked(spark, d), fx.node_vectors(spark, d, act), act, 8, 2)
+    return retrieve.retrieval_stats(best, found, 8, 2)
+
+
+# --- evaluation -------------------------------------------------------------------------------
+
+_ROLL = "count(*) AS total_facts, count(score) AS scored_facts, coalesce(sum(score), 0)::BIGINT AS correct_facts, count(*) FILTER (WHERE status = 'service_error') AS service_error_facts, count(*) FILTER (WHERE status = 'error') AS error_facts, CASE WHEN count(score) = 0 THEN 0.0 ELSE round(sum(score)::DOUBLE / count(score), 6) END AS accuracy"
+
+
+@_query(f"WITH {fx.FACTS} SELECT item_id, quality_level, (row_number() OVER (PARTITION BY item_id, quality_level ORDER BY fact_pos) - 1)::INT AS fact_pos, fact, difficulty FROM facts")
+def facts_flatten(spark, d):
+    """Facts nested into items and flattened again."""
+    rows = fx.facts(spark, d)
+    fact = F.struct("fact_pos", "fact", "difficulty")
+    lists = rows.groupBy("item_id", "quality_level").agg(F.transform(F.array_sort(F.collect_list(fact)), lambda f: F.struct(f["fact"].alias("fact"), f["difficulty"].alias("difficulty"))).alias("l"))
+    items = lists.groupBy(F.col("item_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("quality_level", "l"))).alias("relational_facts"))
+    return evaluate.flatten_facts(items)
+
+
+@_query(f"WITH {fx.FACTS} SELECT item_id, {_ROLL} FROM facts GROUP BY item_id")
+def item_stats(spark, d):
+    return evaluate.item_stats(fx.facts(spark, d))
+
+
+@_query(f"WITH {fx.FACTS} SELECT {_ROLL} FROM facts")
+def overall_stats(spark, d):
+    return evaluate.overall_stats(fx.facts(spark, d))
+
+
+@_query(f"WITH {fx.FACTS} SELECT difficulty, {_ROLL} FROM facts WHERE difficulty IN ('easy', 'medium', 'hard') GROUP BY difficulty")
+def difficulty_breakdown(spark, d):
+    return evaluate.difficulty_breakdown(fx.facts(spark, d))
+
+
+@_query(f"WITH {fx.FACTS}, i AS (SELECT DISTINCT (doc_id % 60)::VARCHAR AS item_id FROM documents) SELECT item_id, coalesce(bool_and(score IS NOT NULL) FILTER (WHERE fact IS NOT NULL), false) AS done FROM i LEFT JOIN facts USING (item_id) GROUP BY item_id")
+def items_fully_scored(spark, d):
+    items = fx.table(spark, d, "documents").select((F.col("doc_id") % 60).cast("string").alias("item_id"))
+    return evaluate.fully_scored(items, fx.facts(spark, d))
+
+
+@_query(f"""WITH {fx.FACTS} SELECT item_id, quality_level, fact_pos, fact, difficulty, CASE WHEN fact_pos % 2 = 0 THEN score END AS score, CASE WHEN fact_pos % 2 = 0 THEN status END AS status FROM facts""")
+def restore_progress(spark, d):
+    facts = fx.facts(spark, d)
+    earlier = facts.where("fact_pos % 2 = 0").withColumn("run", F.lit(2))
+    older = facts.where("fact_pos % 4 = 0").withColumns({"run": F.lit(1), "score": F.lit(9), "status": F.lit("scored")})
+    return evaluate.restore(facts, earlier.unionByName(older)).select("item_id", "quality_level", "fact_pos", "fact", "difficulty", "score", "status")
+
+
+@_query(f"""SELECT event_id, event_id % 4 IN (0, 2) AS retryable FROM events""")
+def retryable_errors(spark, d):
+    k = F.col("event_id") % 4
+    message = F.when(k == 0, "Request TIMEOUT after 5 s").when(k == 1, "bad value").when(k == 2, "HTTP 503 from upstream").otherwise("no such key")
+    return fx.table(spark, d, "events").select("event_id", tx.retryable(F.lit("ValueError"), message).alias("retryable"))
+
+
+@_query("SELECT sum(CASE WHEN doc_id % 3 < 2 THEN n_chars ELSE 0 END)::BIGINT AS prompt_tokens, sum(CASE WHEN doc_id % 3 < 2 THEN 7 ELSE 0 END)::BIGINT AS completion_tokens, sum(CASE WHEN doc_id % 3 = 0 THEN n_chars + 7 ELSE 0 END)::BIGINT AS total_tokens FROM documents")
+def token_usage(spark, d):
+    k, n = F.col("doc_id") % 3, F.col("n_chars")
+    entry = lambda at, total: F.when(k == at, F.struct(n.alias("prompt_tokens"), F.lit(7).cast("long").alias("completion_tokens"), total.alias("total_tokens")))
+    none = F.lit(None).cast("long")
+    return evaluate.token_usage(fx.table(spark, d, "documents").select(entry(0, n + 7).alias("usage"), F.struct(entry(1, none).alias("usage")).alias("response")))
+
+
+# --- sinks and pipelines ----------------------------------------------------------------------
+
+
+@_query(f"WITH {fx.KG}, {fx.ACTIVITY} SELECT name, min(g) AS graph_name FROM (SELECT s AS name, 'kg' AS g FROM kg UNION ALL SELECT o, 'kg' FROM kg UNION ALL SELECT s, 'activity' FROM act UNION ALL SELECT o, 'activity' FROM act) GROUP BY name")
+def property_graph_nodes(spark, d):
+    a, b = graph.build(fx.kg(spark, d)), _act(spark, d)
+    return sinks.property_nodes(KGFrames(a.entities.unionByName(b.entities), a.predicates, a.triples.unionByName(b.triples)))
+
+
+@_query(f"WITH {fx.KG} SELECT s, upper(replace(replace(p, ' ', '_'), '-', '_')) AS rel_type, o, max(p) AS predicate FROM kg GROUP BY ALL")
+def property_graph_rels(spark, d):
+    return sinks.property_relationships(graph.build(fx.kg(spark, d)))
+
+
+@_query(f"WITH {fx.KG} SELECT (SELECT count(DISTINCT name) FROM ({ENDS.format('kg')})) AS nodes, count(*) AS relationships, count(DISTINCT p) AS types FROM kg")
+def external_graph_stats(spark, d):
+    g = graph.build(fx.kg(spark, d))
+    return sinks.property_stats(sinks.property_nodes(g), sinks.property_relationships(g))
+
+
+@_query("""WITH n AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{2,}') AS n FROM documents), p AS (SELECT doc_id, n, unnest(range(1, len(n))) AS i FROM n)
+SELECT DISTINCT doc_id::VARCHAR AS graph_id, n[i] AS s, 'precedes' AS p, n[i + 1] AS o FROM p""")
+def extract_pipeline_rule_based(spark, d):
+    return extract.rule_triples(fx.table(spark, d, "documents"))
