@@ -149,15 +149,14 @@ def judge(docs: DataFrame, labels: DataFrame, *keep: str, id_col: str = "doc_id"
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", text_col: str = "text") -> DataFrame:
     """The rows of the documents that are kept, with their own columns.
 
-    Texts are measured a second time rather than shuffled to their verdicts.
+    Rows are written with their measures, so that texts needn't be shuffled to their verdicts, and
+    the filter doesn't work the measures out again.
     """
     own = [f"_own_{i}" for i in range(len(docs.columns))]  # out of the measures' way
     held = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, own)])
     names = dict(zip(docs.columns, own))
-    at = names[id_col], names[stratum], names[text_col]
-    measured = shared_table(measure(held, *at[:2], text_col=at[2]), "measures")
-    cuts = shared_table(certify(measured, labels, *at[:2]), "cutoffs")
-    judged = _with_kept(measure(held, *own, text_col=at[2]), cuts, at[1])
+    measured = shared_table(measure(held, *own, text_col=names[text_col]), "measured")
+    judged = _with_kept(measured, certify(measured, labels, names[id_col], names[stratum]), names[stratum])
     return judged.where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
