@@ -11,11 +11,13 @@ ROWS registers make candidates: a pair of similarity 0.8 is missed with a chance
 Equal texts are one node. In each bucket (texts that share a band) all are compared with the least
 one, the pivot; links are verified pairs: their exact probability Jaccard or plain Jaccard
 similarity of shingles is SIMILARITY at least. Texts that these links haven't brought into the
-component of most of their bucket are then compared with the bucket's texts of other components,
-first by sketch: a byte of each register. Pairs that agree on fewer than AGREE registers are left
-out; a pair of similarity 0.8 does so with a chance of 1e-5. The rest is verified. Sketches meet in
-blocks of BLOCK texts, so a large bucket is many tasks; no bucket's texts are all paired as rows.
-Classes are the components.
+component of most of their bucket then meet the bucket's texts of other components, in blocks of
+BLOCK texts, so a large bucket is many tasks. A pair is looked at in the first band it shares,
+unless its sketches (a byte of each register) agree on fewer than AGREE registers, which a pair of
+similarity 0.8 does with a chance of 1e-5. A task goes from the most alike pairs to the least,
+verifies those whose components it hasn't joined yet, and hands on the links that join some: rows
+grow with the texts, not with their pairs, and no link between components is lost. Classes are the
+components.
 
 Null texts are classes of their own. Empty texts are equal texts; they have no shingles and no
 other links. A class is named by its least doc_id; rows with a null id don't name it. Rows that are
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import read, shared_table, small_batches
+from graphloom.llm.common import broadcast_if_small, read, shared_table, small_batches
 from graphloom.llm.features import Words
 from graphloom.operators.components import components
 
@@ -155,13 +157,21 @@ def sign_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return chosen.mapInArrow(run, "doc_id long, digest binary, bands array<long>, sketch binary")
 
 
+def texts_of(wanted: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(digest, t) of the digests (_wanted): the text of each, once.
+
+    Few digests go to the texts; many meet them by a shuffle.
+    """
+    text = docs[text_col].cast("string")
+    texts = docs.where(text.isNotNull()).select(_digest(text).alias("digest"), text.alias("t"))
+    wanted = broadcast_if_small(shared_table(wanted.distinct(), "wanted"), 500_000)
+    return texts.join(wanted, F.col("digest") == F.col("_wanted"), "left_semi").groupBy("digest").agg(F.first("t").alias("t"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of digests whose texts are similar enough."""
     small_batches(docs.sparkSession, 128)
-    text = docs[text_col].cast("string")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_wanted")).distinct()
-    texts = docs.where(text.isNotNull()).select(_digest(text).alias("digest"), text.alias("t"))
-    texts = texts.join(wanted, F.col("digest") == F.col("_wanted"), "left_semi").groupBy("digest").agg(F.first("t").alias("t"))
+    texts = shared_table(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("_wanted")), docs, text_col), "texts")
     full = pairs.join(texts.select(F.col("digest").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("digest").alias("a"), F.col("t").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,12 +197,12 @@ def classes(docs: DataFrame, text_col: str = "text", least: float = SIMILARITY)
     rows = nodes.select("digest", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("digest").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = shared_table(rows.join(buckets.withColumnRenamed("band", "_band"), F.col("band") == F.col("_band")).select("band", "digest", "pivot", "n"), "members")
-    done = members.where("digest <> pivot").select(F.col("pivot").alias("a"), F.col("digest").alias("b")).distinct()
+    done = shared_table(members.where("digest <> pivot").select(F.col("pivot").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
     links = shared_table(verify(done, docs, text_col, least), "links")
     found = components(links)
-    more = shared_table(_rest(members, found, signed), "pairs")
+    more = shared_table(_rest(members, found, signed, docs, text_col, least), "links")
     if not more.isEmpty():
-        found = components(links.unionByName(verify(more, docs, text_col, least)))
+        found = components(links.unionByName(more))
     roots = nodes.join(found, F.col("digest") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("root", "digest").alias("root"), F.col("root").isNotNull().alias("linked"))
     named = roots.where("linked or copies > 1")
     names = named.groupBy("root").agg(F.min(F.struct("rep", "digest")).alias("first"))
@@ -204,38 +214,63 @@ def classes(docs: DataFrame, text_col: str = "text", least: float = SIMILARITY)
     return out.unionByName(null.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), F.lit(None).cast("binary").alias("digest")))
 
 
-def _rest(members: DataFrame, found: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs of a bucket's texts in different components whose sketches agree.
-
-    One of each pair stands outside the component of most of its bucket.
-    """
+def _rest(members: DataFrame, found: DataFrame, signed: DataFrame, docs: DataFrame, text_col: str, least: float) -> DataFrame:
+    """Links (a, b) between components of a bucket's texts, as many as join them."""
     big = members.where("n > 2")  # a bucket of two has been compared
     placed = big.join(found, F.col("digest") == F.col("node"), "left").select("band", "digest", "n", F.coalesce("root", "digest").alias("root"))
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("k"), F.max("n").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("k"), F.max("n").alias("m")).where("k < m")
-    sketches = signed.groupBy("digest").agg(F.first("sketch").alias("sketch")).withColumnRenamed("digest", "_digest")
-    opened = placed.join(main.withColumnRenamed("band", "_band"), F.col("band") == F.col("_band")).join(sketches, F.col("digest") == F.col("_digest"))
+    columns = ["band", "digest", "root", "main", "k", "m"]
+    opened = shared_table(placed.join(main.withColumnRenamed("band", "_band"), F.col("band") == F.col("_band")).select(*columns), "open")
+    texts = texts_of(opened.select(F.col("digest").alias("_wanted")), docs, text_col).withColumnRenamed("digest", "_d1")
+    signs = signed.groupBy("digest").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")).withColumnRenamed("digest", "_d2")
+    opened = opened.join(signs, F.col("digest") == F.col("_d2")).join(texts, F.col("digest") == F.col("_d1"))
     blocks, out = F.ceil(F.col("m") / BLOCK).cast("long"), F.ceil((F.col("m") - F.col("k")) / BLOCK).cast("long")
-    at = F.xxhash64("digest")
-    columns = ["band", "digest", "root", "sketch"]
-    opened = opened.select(*columns, "main", blocks.alias("blocks"), out.alias("out"), at.alias("at"))
-    one = opened.where("root <> main").select(*columns, F.lit(True).alias("outside"), F.pmod("at", "out").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
-    other = opened.select(*columns, F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("out") - 1)).alias("i"), F.pmod("at", "blocks").alias("j"))
+    columns = ["band", "digest", "root", "sketch", "bands", "t"]
+    opened = opened.select(*columns, (F.col("root") != F.col("main")).alias("outside"), blocks.alias("blocks"), out.alias("out"), F.xxhash64("digest").alias("at"))
+    # a text outside its bucket's main component meets every block; every text meets every block of such
+    one = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.lit(True).alias("asks"), F.pmod("at", "out").alias("i"), j.alias("j"))))
+    other = F.transform(F.sequence(F.lit(0).cast("long"), F.col("out") - 1), lambda i: F.struct(F.lit(False).alias("asks"), i.alias("i"), F.pmod("at", "blocks").alias("j")))
+    dealt = opened.select(*columns, F.explode(F.concat(F.coalesce(one, F.array().cast("array<struct<asks:boolean,i:bigint,j:bigint>>")), other)).alias("b")).select(*columns, "b.*")
 
     def meet(table: pa.Table) -> pa.Table:
-        outside = table.column("outside").to_numpy()
+        asks = table.column("asks").to_numpy()
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-        digests, roots = table.column("digest").to_pylist(), np.array(table.column("root").to_pylist(), object)
-        _, roots = np.unique(roots, return_inverse=True)
-        inside = np.flatnonzero(~outside)
-        pairs = set()
-        for x in np.flatnonzero(outside):
+        digests, band = table.column("digest").to_pylist(), table.column("band")[0].as_py()
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        _, roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)
+        inside = np.flatnonzero(~asks)
+        found = []
+        for x in np.flatnonzero(asks):
             rest = inside[roots[inside] != roots[x]]
-            for y in rest[(sketch[rest] == sketch[x]).sum(1) >= AGREE]:
-                pairs.add((min(digests[x], digests[y]), max(digests[x], digests[y])))
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
-
-    return one.unionByName(other).groupBy("band", "i", "j").applyInArrow(meet, "a binary, b binary").distinct()
+            agree = (sketch[rest] == sketch[x]).sum(1)
+            rest, agree = rest[agree >= AGREE], agree[agree >= AGREE]
+            first = bands[x][(bands[rest] == bands[x]).argmax(1)] == band  # no earlier band in common
+            found.append(np.stack([agree[first], np.full(first.sum(), x), rest[first]]))
+        pairs = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+        owner, items, counts = shingles(table.column("t").to_pylist())
+        bounds = np.searchsorted(owner, np.arange(len(digests) + 1))
+        parent = list(range(int(roots.max()) + 1))
+
+        def find(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        links = []
+        for at in np.argsort(-pairs[0], kind="stable").tolist():
+            x, y = int(pairs[1, at]), int(pairs[2, at])
+            a, b = find(roots[x]), find(roots[y])
+            if a == b:
+                continue
+            own = [(items[bounds[i] : bounds[i + 1]], counts[bounds[i] : bounds[i + 1]]) for i in (x, y)]
+            if max(similarity(*own)) >= least:
+                parent[b] = a
+                links.append((digests[x], digests[y]))
+        return pa.table({"a": pa.array([p[0] for p in links], pa.binary()), "b": pa.array([p[1] for p in links], pa.binary())})
+
+    return dealt.groupBy("band", "i", "j").applyInArrow(meet, "a binary, b binary").distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
