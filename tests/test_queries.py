@@ -1,0 +1,14 @@
+import pytest
+
+from conftest import SF, same_rows
+from graphloom.plans import catalogue
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+def test_query_matches_sql(spark, duck, name):
+    same_rows(catalogue.queries()[name](spark, SF), duck, catalogue.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
+def test_query_has_rows(spark, name):
+    assert catalogue.queries()[name](spark, SF).count() > 0
