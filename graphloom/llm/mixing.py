@@ -55,6 +55,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _place(docs: DataFrame, id_col: str, text_col: str, seed: str) -> tuple[Column, Column]:
+    """A row's key and what orders rows of one key."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit(""))).cast("binary"))
+    return key.alias("_key"), F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")).alias("_tie")
+
+
 def mix(docs: DataFrame, *keep: str, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", whole: bool = False, seed: str = "mix") -> DataFrame:
     """The kept columns with size, source_size, target, and what the mix takes of each document.
 
@@ -62,9 +68,11 @@ def mix(docs: DataFrame, *keep: str, id_col: str = "doc_id", source_col: str = "
     if the cut reaches its middle; otherwise as many of its words as the budget still holds.
     """
     columns = list(dict.fromkeys([id_col, source_col, *keep]))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit(""))).cast("binary"))
-    text = docs[text_col].cast("string")
-    sized = docs.select(*[docs[c] for c in columns], word_count(text).alias("size"), key.alias("_key"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("_tie"), docs[source_col].cast("string").alias("_source"))
+    return _mix(docs, columns, id_col, source_col, text_col, whole, seed).drop("_key", "_tie", "_source", "_epochs")
+
+
+def _mix(docs: DataFrame, columns: list[str], id_col: str, source_col: str, text_col: str, whole: bool, seed: str) -> DataFrame:
+    sized = docs.select(*[docs[c] for c in columns], word_count(docs[text_col].cast("string")).alias("size"), *_place(docs, id_col, text_col, seed), docs[source_col].cast("string").alias("_source"))
     sized = shared_table(sized, "sizes")
     sources = targets(sized.groupBy("_source").agg(F.sum("size").alias("_size"), F.count("*").alias("_rows")))
     sources = sources.withColumn("_ranges", F.ceil(F.col("_rows") / RANGE_ROWS)).withColumnRenamed("_source", "_s")
@@ -85,22 +93,23 @@ def mix(docs: DataFrame, *keep: str, id_col: str = "doc_id", source_col: str = "
         more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_cut")))
     rows = rows.withColumn("taken", (F.col("_epochs") * F.col("size") + more).cast("long"))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("long")
-    return rows.select(*columns, "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), "taken", copies.alias("copies"))
+    return rows.select(*columns, "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), "taken", copies.alias("copies"), "_key", "_tie", "_source", "_epochs")
 
 
-def mixed_rows(docs: DataFrame, seed: str = "mix") -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix") -> DataFrame:
     """The documents' rows, each as often as the mix takes it, whole.
 
-    Rows of one id and text are told apart by nothing; they share their copies evenly.
+    The rows that a source takes once more are those up to its cut in key order, so each row is
+    judged by itself against its source's epochs and cut; no text is shuffled.
     """
-    named = docs.select("*", F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")).alias("_digest"))
-    taken = mix(named, "_digest", whole=True, seed=seed)
-    taken = taken.groupBy("doc_id", "source", "_digest").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    taken = taken.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("_digest").alias("_d"), "_copies", "_rows")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_digest") == F.col("_d"))
-    rows = named.join(taken, same)
-    times = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), times)).alias("_copy")).drop("_copy")
+    mixed = _mix(docs, [id_col], id_col, source_col, text_col, True, seed)
+    more = F.when(F.col("taken") > F.col("_epochs") * F.col("size"), F.struct("_key", "_tie"))
+    cuts = mixed.groupBy("_source").agg(F.max("_epochs").alias("_epochs"), F.max(more).alias("_cut")).withColumnRenamed("_source", "_s")
+    cuts = broadcast_if_small(shared_table(cuts, "cuts"))
+    rows = docs.select("*", *_place(docs, id_col, text_col, seed), F.coalesce(docs[text_col].cast("string").rlike(WORD), F.lit(False)).alias("_any"), docs[source_col].cast("string").alias("_source"))
+    rows = rows.where("_any").join(cuts, F.col("_source").eqNullSafe(F.col("_s")))
+    times = (F.col("_epochs") + F.coalesce((F.struct("_key", "_tie") <= F.col("_cut")).cast("long"), F.lit(0))).cast("int")
+    return rows.where(times > 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), times)).alias("_copy_of_row")).drop("_copy_of_row")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

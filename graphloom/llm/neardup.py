@@ -274,19 +274,21 @@ def _rest(members: DataFrame, found: DataFrame, signed: DataFrame, docs: DataFra
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of the documents of which one stays for each class, each once."""
-    found = shared_table(classes(docs).where("kept").select("doc_id", "digest"), "kept")
-    repeated = found.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
-    named = docs.withColumn("_digest", _digest(docs["text"].cast("string"))).withColumn("_id", docs["doc_id"].cast("long"))
-    kept = named.join(found.where("doc_id is not null and digest is not null").select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g")), (F.col("_id") == F.col("_d")) & (F.col("_digest") == F.col("_g")), "left_semi")
-    odd = named.where("_id is null or _digest is null")
-    odd = odd.join(found.where("doc_id is null or digest is null").distinct().select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g")), F.col("_id").eqNullSafe(F.col("_d")) & F.col("_digest").eqNullSafe(F.col("_g")), "left_semi")
+    """The rows of the documents of which one stays for each class, each once.
+
+    Few dropped rows go to the texts; many meet them by a shuffle.
+    """
+    found = shared_table(classes(docs).select("doc_id", "digest", "kept"), "found")
+    rows = docs.select("*", docs["doc_id"].cast("long").alias("_id"), _digest(docs["text"].cast("string")).alias("_digest"))
+    key = [F.col("doc_id").alias("_i"), F.col("digest").alias("_d")]
+    same = F.col("_id").eqNullSafe(F.col("_i")) & F.col("_digest").eqNullSafe(F.col("_d"))
+    dropped = found.where("not kept").select(*key).distinct()
+    kept = rows.join(broadcast_if_small(dropped, 500_000), same, "left_anti")
+    repeated = found.where("kept").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select(*key)
     if not repeated.isEmpty():
-        again = repeated.select(F.col("doc_id").alias("_d2"), F.col("digest").alias("_g2"))
-        same = (F.col("_id") == F.col("_d2")) & (F.col("_digest") == F.col("_g2"))
+        again = broadcast_if_small(repeated, 500_000)
         kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["_id", "_digest"]))
-        odd = odd.dropDuplicates(["_id", "_digest"])
-    return kept.unionByName(odd).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
