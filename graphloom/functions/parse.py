@@ -54,3 +54,21 @@ def record_text(raw_chunk: Column, text: Column) -> Column:
     """The first of both that isn't blank; else empty."""
     filled = lambda c: F.when(strip(c) != "", c)
     return F.coalesce(filled(raw_chunk), filled(text), F.lit(""))
+
+
+def converted_triples(record: Column, key: str = "triple") -> Column:
+    """Distinct lists of three parts under a key of a JSON record, every part as text and stripped.
+
+    Parts that aren't strings are spelled as Python does: None, True, False. Lists with a blank
+    part are left out; what isn't a list of lists gives none.
+    """
+
+    def spelled(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        plain = F.try_variant_get(v, "$", "string")
+        return strip(F.when(kind == "VOID", F.lit("None")).when(kind == "BOOLEAN", F.initcap(plain)).otherwise(plain))
+
+    rows = F.transform(F.try_variant_get(F.try_parse_json(record), f"$.{key}", "array<variant>"), lambda v: F.try_variant_get(v, "$", "array<variant>"))
+    rows = F.filter(rows, lambda r: r.isNotNull() & (F.size(r) == 3))
+    texts = F.filter(F.transform(rows, lambda r: F.transform(r, spelled)), lambda r: F.forall(r, lambda x: x.isNotNull() & (x != "")))
+    return F.coalesce(F.array_distinct(texts), F.array().cast("array<array<string>>"))
