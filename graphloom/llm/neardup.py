@@ -121,10 +121,17 @@ def bands(sign: np.ndarray) -> np.ndarray:
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
     """Exact probability Jaccard and plain Jaccard of two weighted sets (sorted hashes, counts)."""
-    both, at, bt = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(both):
+    if not len(a[0]) or not len(b[0]):
         return 0.0, 0.0
-    plain = len(both) / (len(a[0]) + len(b[0]) - len(both))
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    shared = b[0][at] == a[0]
+    both = int(shared.sum())
+    if not both:
+        return 0.0, 0.0
+    plain = both / (len(a[0]) + len(b[0]) - both)
+    if a[1].max() == 1 and b[1].max() == 1:  # without repeats both are the same
+        return plain, plain
+    at, bt = shared, at[shared]
     # shared shingles of equal weights count alike: work with the kinds of weight pairs
     kinds, many = np.unique(np.stack([a[1][at], b[1][bt]], 1), axis=0, return_counts=True)
     wa, wb = kinds[:, 0].astype(float), kinds[:, 1].astype(float)
