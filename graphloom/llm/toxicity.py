@@ -172,12 +172,12 @@ def thresholds(scored: list[tuple[float, int, str | None]]) -> dict[str | None,
     return out
 
 
-def score(docs: DataFrame, net: Net, *keep: str) -> DataFrame:
+def score(docs: DataFrame, net: Net, *keep: str, text_col: str = "text") -> DataFrame:
     """The kept columns and the score of each document's whole text."""
     spark = docs.sparkSession
     small_batches(spark, 128)
     shared = spark.sparkContext.broadcast(net)  # about BUCKETS * DIM floats
-    chosen = docs.select(*[docs[c] for c in keep], docs["text"].cast("string").alias("_text"))
+    chosen = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes if c != "_text") + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,20 +197,29 @@ def train(docs: DataFrame, labels: DataFrame, divisor: int = 3, value: int = 1)
     return net, thresholds([(s, y, lang) for s, (_, y, lang) in zip(scores, kept)])
 
 
+def _cut(cuts: dict[str | None, float], lang: str):
+    """The threshold of a row's language."""
+    cut = F.lit(cuts[None])
+    for name, c in sorted((k, v) for k, v in cuts.items() if k is not None):
+        cut = F.when(F.col(lang) == name, F.lit(c)).otherwise(cut)
+    return cut
+
+
 def judge(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
     """The kept columns, doc_id, score, predicted and flagged (by the language's threshold)."""
     net, cuts = train(docs, labels)
     columns = list(dict.fromkeys(["doc_id", "lang", *keep]))
-    cut = F.lit(cuts[None])
-    for lang, c in sorted((k, v) for k, v in cuts.items() if k is not None):
-        cut = F.when(F.col("lang") == lang, F.lit(c)).otherwise(cut)
     scored = score(docs, net, *columns)
-    return scored.select(*columns, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), (F.col("score") >= cut).alias("flagged"))
+    return scored.select(*columns, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), (F.col("score") >= _cut(cuts, "lang")).alias("flagged"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of the documents that aren't flagged, with their own columns."""
-    return judge(docs, labels, *docs.columns).where("not flagged").select(*[F.col(f"`{c}`") for c in docs.columns])
+    net, cuts = train(docs, labels)
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}  # out of the score's way
+    held = docs.select(*[docs[c].alias(n) for c, n in names.items()])
+    scored = score(held, net, *names.values(), text_col=names["text"])
+    return scored.where(F.col("score") < _cut(cuts, names["lang"])).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
