@@ -240,3 +240,21 @@ def test_repeats_by_definition(spark):
         seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         covered = {i + j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in range(3)}
         assert r["n_repeat_words"] == len(covered) and r["n_words"] == len(w)
+
+
+def test_every_context_has_a_restaurant(spark):
+    """What follows a word that isn't among the frequent ones counts in scoring."""
+    frequent = " ".join(f"f{i}" for i in range(100) for _ in range(20))
+    rows = [(i, f"rare{i % 40} then{i % 40}") for i in range(160)] + [(1000 + i, frequent) for i in range(4)] + [(2000, "rare7 then7"), (2001, "rare7 then8"), (2002, "new then7"), (2003, "rare7 new")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in language_model.score(docs, F.col("doc_id") < 2000, "doc_id").collect()}
+    assert got[2000] > got[2001] + 1 and got[2000] > got[2002]
+
+
+def test_cold_contexts_score_alike_by_cache_and_join(spark, monkeypatch):
+    docs = read(spark, SF, "documents").limit(40).cache()
+    score = lambda: {r["doc_id"]: r["score"] for r in language_model.score(docs, F.col("doc_id") % 3 != 0, "doc_id").collect()}
+    whole = score()
+    monkeypatch.setattr(language_model, "BIGRAMS", 5)
+    monkeypatch.setattr(language_model, "HEAD", 50)
+    assert score() == pytest.approx(whole, rel=1e-5)
