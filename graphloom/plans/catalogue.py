@@ -356,8 +356,10 @@ def cluster_rewrite_first_match(spark, d):
 
 @_query()
 def semantic_dedup(spark, d):
-    """(graph_id, name, chosen) of part types after spelling and similarity of letter trigrams."""
-    return dedupe.semantic(_part_names(spark, d), cluster.hashing_embedder(), 0.95).select("graph_id", "name", "chosen")
+    """(graph_id, name, chosen) of all rows of embeddings, named by vec_id, after similarity of the table's vectors."""
+    vectors = fx.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("node"), "embedding")
+    names = vectors.select(F.lit("embeddings").alias("graph_id"), F.col("node").alias("name"))
+    return dedupe.semantic(names, lambda nodes: vectors.join(nodes, "node", "left_semi"), 0.95).select("graph_id", "name", "chosen")
 
 
 @_query("WITH n AS (SELECT count(*) AS n FROM embeddings), k AS (SELECT unnest(range(0, CASE WHEN n <= 128 THEN 1 ELSE n // 128 + (n % 128 > 0)::INT END)) AS cluster, n FROM n) SELECT CASE WHEN n <= 128 THEN n WHEN cluster < n // 128 THEN 128 ELSE n % 128 END AS size, count(*) AS clusters FROM k GROUP BY 1")
