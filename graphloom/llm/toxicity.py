@@ -138,6 +138,7 @@ class Net:
             own = owner[a : a + SEGMENT]
             x = self.vectors(np.append(words[a : a + SEGMENT + len(pad)], np.zeros(len(pad), np.int64)))
             r = self.responses(x, len(own)) + self.shift
+            r[words[a : a + SEGMENT] == 0] = -np.inf  # from a pad, windows reach the next text
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             pooled[own[first]] = np.maximum(pooled[own[first]], np.maximum.reduceat(r, first, 0))
         return 1 / (1 + np.exp(-np.clip(pooled.astype(np.float64) @ self.out + self.bias, -30, 30)))

@@ -258,3 +258,13 @@ def test_cold_contexts_score_alike_by_cache_and_join(spark, monkeypatch):
     monkeypatch.setattr(language_model, "BIGRAMS", 5)
     monkeypatch.setattr(language_model, "HEAD", 50)
     assert score() == pytest.approx(whole, rel=1e-5)
+
+
+def test_a_batch_scores_as_each_text_alone():
+    net = toxicity.Net()
+    rng = np.random.default_rng(2)
+    net.shift[:] = rng.normal(0, 0.3, net.shift.size)
+    net.table[1:] = rng.normal(0, 1, net.table[1:].shape)
+    texts = [toxicity.numbers(t) for t in ("a fine day", "", "awful words open this", "x", "more of it", "a fine day")]
+    alone = [net.scores([t])[0] for t in texts]
+    assert net.scores(texts) == pytest.approx(alone, rel=1e-5) and net.scores(texts[::-1]) == pytest.approx(alone[::-1], rel=1e-5)
