@@ -212,7 +212,8 @@ def classes(docs: DataFrame, text_col: str = "text", least: float = SIMILARITY)
         found = components(links.unionByName(more))
     roots = nodes.join(found, F.col("digest") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("root", "digest").alias("root"), F.col("root").isNotNull().alias("linked"))
     named = roots.where("linked or copies > 1")
-    names = named.groupBy("root").agg(F.min(F.struct("rep", "digest")).alias("first"))
+    first = F.struct("rep", "digest")  # null ids come first in order, but name no class
+    names = named.groupBy("root").agg(F.coalesce(F.min(F.when(F.col("rep").isNotNull(), first)), F.min(first)).alias("first"))
     of = named.join(names.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root")).select(F.col("digest").alias("_digest"), F.col("first.rep").alias("class_id"), F.col("first.digest").alias("_keeper"))
     out = signed.join(of, F.col("digest") == F.col("_digest"), "left")
     kept = (F.coalesce("_keeper", "digest") == F.col("digest")) & F.coalesce("class_id", "doc_id").eqNullSafe(F.col("doc_id"))

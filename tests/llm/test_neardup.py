@@ -99,3 +99,14 @@ def test_similarity_is_exact():
         b = Counter(rng.randint(0, 12) for _ in range(25))
         arrays = [(np.array(sorted(x), np.uint64), np.array([x[k] for k in sorted(x)])) for x in (a, b)]
         assert neardup.similarity(*arrays) == pytest.approx(both(a, b))
+
+
+def test_near_copies_without_an_id_name_no_class(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    texts = family(rng, words, 9, 2)
+    rows = [(None, min(texts, key=len)), *((i + 3, t) for i, t in enumerate(texts[:6])), *((None, t) for t in texts[6:])]
+    nameless = family(rng, words, 3, 2)
+    found = neardup.classes(spark.createDataFrame(rows + [(None, t) for t in nameless], "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["class_id"]) for r in found), key=str) == sorted(brute(rows + [(None, t) for t in nameless]), key=str)
+    assert sorted(r["doc_id"] for r in found if r["kept"] and r["doc_id"] is not None) == [3] and sum(r["kept"] for r in found) == 2
