@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -32,7 +33,22 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``shared_table`` that nothing reads any more, and asks the JVM to let go of unused shuffles.
+
+    Spark removes the files of a shuffle or broadcast when the driver collects the object that
+    stands for it; a driver with memory to spare would keep them for long.
+    """
+    for table in tables:
+        _remove(table.sparkSession, table._shared_path)
+    gc.collect()
+    for table in tables[:1]:
+        table.sparkSession.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
