@@ -1,18 +1,21 @@
 """Exact top-k search by inner product over norm buckets.
 
 Vectors are grouped into buckets of nearly the same length. A bucket is dealt out in blocks of
-about BLOCK rows, so a bucket that holds most rows is many blocks. Queries come in blocks too, and
-each block of queries meets the blocks of vectors one after another, longest first, keeping its
-best k. From the k-th best score so far, and the bucket's largest length, each query gets a local
-cosine threshold for the bucket, which chooses the pruning:
-
-* threshold above 1: the bucket can't hold a better vector, and is skipped;
+about BLOCK rows, so a bucket that holds most rows is many blocks. Queries come in blocks too. First
+every block of queries meets the SEEDS longest blocks of vectors, which gives each query the score
+that k vectors reach at least. A block of queries then goes to the buckets that may hold better
+vectors for one of its queries, and to no others: only queries travel, in the narrowest whole
+numbers that hold them. Where a block of queries meets one of vectors, each query's least score
+and the block's largest length give a local cosine threshold, which chooses the pruning:
+
+* threshold above 1: the block can't hold a better vector, and is skipped;
 * high threshold: coordinate pruning. On the query's largest coordinates the partial products are
   worked out; what the other coordinates can add is bounded by the two rests' lengths;
-* low threshold: length pruning. Only vectors whose length times the query's reaches the k-th
-  best score are looked at.
+* low threshold: length pruning. Only vectors whose length times the query's reaches the least
+  score are looked at.
 
-What is left is verified by full products. All products are of integers, so scores are exact.
+What is left is verified by full products. All products are of integers, so scores are exact; where
+doubles could round them, Python's integers are used. Scores beyond 64 bits stay at the ends of long.
 
 Vectors that are null, or hold null or non-finite components, take no part; neither do rows with a
 null id. Components missing at the end of a shorter vector count as zeros. Ties go to the smaller
@@ -21,124 +24,198 @@ id; repeated rows of an id are candidates each. An empty table gives an empty re
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import read, shared_table
 
 #: Rows of a block of vectors and of queries, about.
-BLOCK, QUERY_BLOCK = 2048, 512
-#: Blocks of vectors that one task runs through for a block of queries.
-RUN = 16
+BLOCK, QUERY_BLOCK = 4096, 1024
+#: Longest blocks that every query meets first.
+SEEDS = 4
 #: Coordinates that coordinate pruning starts from, and the least cosine threshold to choose it.
 FOCUS, LEAST_COSINE = 12, 0.5
 #: Ratio of the lengths at a bucket's ends.
 RATIO = 1.05
+#: Products below this are exact in doubles.
+EXACT = 2.0**53
+
+
+def quantise(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, e array<double>, bucket) of the rows that take part; buckets rise with the vectors' lengths."""
+    x = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("e"))
+    fine = F.forall("e", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    x = x.where(F.col("id").isNotNull() & F.col("e").isNotNull() & fine)
+    # in units of the largest component, squares stay finite
+    most = F.greatest(F.abs(F.array_max("e")), F.abs(F.array_min("e")))
+    squares = F.aggregate("e", F.lit(0.0), lambda a, e: a + (e / F.col("_m")) * (e / F.col("_m")))
+    x = x.withColumn("_m", F.coalesce(most, F.lit(0.0)))
+    length = F.when(F.col("_m") > 0, F.log("_m") + F.log(squares) / 2)
+    return x.select("id", "e", F.coalesce(F.floor(length / float(np.log(RATIO))), F.lit(-(1 << 20))).cast("long").alias("bucket"))
+
+
+def _whole(lists: list[list[float]], scale: float) -> np.ndarray:
+    """floor(scale * x) of all components as a matrix: exact doubles, or Python's integers where those would round."""
+    width = max(map(len, lists), default=0)
+    matrix = np.zeros((len(lists), width))
+    for row, e in zip(matrix, lists):
+        row[: len(e)] = e
+    with np.errstate(over="ignore"):
+        scaled = np.floor(scale * matrix)
+    if np.isfinite(scaled).all():
+        return scaled
+    return np.array([[int(v) if np.isfinite(v) else int(scale) * int(x) for v, x in zip(r, e)] for r, e in zip(scaled.tolist(), matrix.tolist())], object).reshape(matrix.shape)
+
+
+def _pack(matrix: np.ndarray) -> bytes:
+    """A matrix in the narrowest type that holds it."""
+    if matrix.dtype == object:
+        return b"p" + pickle.dumps(matrix)
+    most = np.abs(matrix).max(initial=0)
+    kind = next((k for k in ("i1", "i2", "i4") if most < 2 ** (8 * int(k[1]) - 1)), "f8")
+    return kind.encode() + matrix.astype(kind).tobytes()
+
+
+def _unpack(data: bytes, rows: int) -> np.ndarray:
+    """The matrix, as doubles or Python's integers."""
+    if data[:1] == b"p":
+        return pickle.loads(data[1:])
+    x = np.frombuffer(data[2:], data[:2].decode()).astype(np.float64)
+    return x.reshape(rows, -1) if rows else x.reshape(0, 0)
+
+
+def _lengths(matrix: np.ndarray) -> np.ndarray:
+    if matrix.dtype == object:  # too long for doubles in part
+        return np.array([float("inf") if any(abs(v) >= 1 << 1023 for v in r) else _lengths(np.array([r], np.float64))[0] for r in matrix.tolist()])
+    x = matrix
+    most = np.maximum(np.abs(x).max(1, initial=0), 1)
+    with np.errstate(over="ignore"):
+        return most * np.sqrt(((x / most[:, None]) ** 2).sum(1))
+
+
+def _packed(rows: DataFrame, *group: str, scale: float) -> DataFrame:
+    """A row for each block: its ids and vectors as bytes, longest first, and its largest length."""
 
+    def pack(table: pa.Table) -> pa.Table:
+        matrix = _whole(table.column("e").to_pylist(), scale)
+        length = _lengths(matrix)
+        ids = table.column("id").to_numpy()
+        order = np.lexsort((ids, -length))
+        keys = {c: table.column(c).slice(0, 1) for c in group}
+        return pa.table({**keys, "ids": pa.array([ids[order].tobytes()], pa.binary()), "matrix": pa.array([_pack(matrix[order])], pa.binary()), "top": pa.array([float(length.max())], pa.float64())})
 
-def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 64) -> DataFrame:
-    """(id, v array<long>, n2) of the rows that take part."""
-    x = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("_e"))
-    limit = float("inf")
-    fine = F.forall("_e", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < limit))
-    x = x.where(F.col("id").isNotNull() & F.col("_e").isNotNull() & fine)
-    x = x.select("id", F.transform("_e", lambda e: F.floor(e * F.lit(float(scale))).cast("long")).alias("v"))
-    return x.select("id", "v", F.aggregate("v", F.lit(0.0), lambda a, e: a + (e * e).cast("double")).alias("n2"))
+    return rows.groupBy(*group).applyInArrow(pack, ", ".join(f"{c} long" for c in group) + ", ids binary, matrix binary, top double")
 
 
-def _packed(rows: DataFrame, group: str) -> DataFrame:
-    """A row for each block: its ids and vectors as bytes, and its largest squared length."""
+def blocks(vectors: DataFrame, scale: float) -> DataFrame:
+    """(bucket, part, ids, matrix, top): the blocks of all buckets."""
+    counts = vectors.groupBy(F.col("bucket").alias("_b")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_parts"))
+    dealt = vectors.join(F.broadcast(counts), F.col("bucket") == F.col("_b"))  # lengths are doubles: 30,000 buckets at most
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")))
+    return _packed(dealt, "bucket", "part", scale=scale)
 
-    def pack(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        order = np.argsort(-table.column("n2").to_numpy(), kind="stable")
-        lists = table.column("v").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        sizes = lists.value_lengths().to_numpy()
-        width = int(sizes.max()) if len(sizes) else 0
-        matrix = np.zeros((len(ids), width), np.int64)
-        matrix[np.repeat(np.arange(len(ids)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy()
-        name = table.column(group)[0].as_py()
-        return pa.table({"block": pa.array([name], pa.int64()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "matrix": pa.array([matrix[order].tobytes()], pa.binary()), "width": pa.array([width], pa.int64()), "top": pa.array([float(table.column("n2").to_numpy().max())], pa.float64())})
 
-    return rows.groupBy(group).applyInArrow(pack, "block long, ids binary, matrix binary, width long, top double")
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0) -> DataFrame:
+    """query_id, rank, vec_id, score for vectors and queries of ``quantise``."""
+    count = queries.count()
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-count // QUERY_BLOCK)))).cast("long"))
+    asked = shared_table(_packed(dealt, "block", scale=scale).withColumnRenamed("top", "q_top"), "queries")
+    held = shared_table(blocks(vectors, scale), "blocks")
+    asked_names = ["block", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")]
+    # the longest blocks give each query a least score, and each block of queries a least length
+    seeds = held.select("bucket", "part", "top").orderBy(F.desc("top"), "bucket", "part").limit(SEEDS).select("bucket", "part")
+    first = asked.select(*asked_names).join(F.broadcast(held.join(F.broadcast(seeds), ["bucket", "part"]).select("ids", "matrix")))  # SEEDS rows
+    started = first.select("q_ids", "q_matrix", F.lit(None).cast("binary").alias("least"), "ids", "matrix", "block").mapInArrow(lambda it: _least(it, k), "block long, least binary")
+    least = started.groupBy("block").applyInArrow(_merged(k), "block long, least binary")
+    ready = shared_table(asked.join(least.withColumnRenamed("block", "_block"), F.col("block") == F.col("_block")).select(*asked_names, "least"), "ready")
+    needed = ready.select("q_ids", "q_matrix", "least", "block").mapInArrow(_needs, "block long, need double")
+    # a bucket's longest vector decides which blocks of queries it gets
+    buckets = held.groupBy("bucket").agg(F.max("part").alias("last"), F.max("top").alias("top"))
+    wanted = needed.join(F.broadcast(buckets), F.col("top") >= F.col("need"))  # 30,000 buckets at most
+    wanted = wanted.select(F.col("block").alias("_block"), F.col("bucket").alias("_bucket"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("_part"))
+    sent = ready.join(wanted, F.col("block") == F.col("_block"))
+    pairs = held.join(sent, (F.col("bucket") == F.col("_bucket")) & (F.col("part") == F.col("_part")))
+    found = pairs.select("q_ids", "q_matrix", "least", "ids", "matrix").mapInArrow(lambda it: _search(it, k), "query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _bucket(n2: Column) -> Column:
-    return F.when(n2 > 0, F.floor(F.log(n2) / float(2 * np.log(RATIO)))).otherwise(F.lit(-1)).cast("long")
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [c[i].as_py() for c in batch.columns]
 
 
-def blocks(vectors: DataFrame) -> DataFrame:
-    """Blocks of norm buckets, with their place from the longest on."""
-    bucketed = vectors.withColumn("_bucket", _bucket(F.col("n2")))
-    counts = bucketed.groupBy(F.col("_bucket").alias("_b")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_blocks"))
-    dealt = bucketed.join(F.broadcast(counts), F.col("_bucket") == F.col("_b"))  # lengths are doubles: 15,000 buckets at most
-    dealt = dealt.withColumn("_group", F.col("_bucket") * F.lit(1 << 40) + F.pmod(F.xxhash64("id"), F.col("_blocks")))
-    return _packed(dealt, "_group")
+def _least(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k-th best scores of a block's queries in a block of vectors, or less; k values for each query."""
+    for q_ids, q_matrix, _, ids, matrix, block in _rows(batches):
+        best = _Best(q_ids, q_matrix, None, k)
+        best.meet(ids, matrix)
+        out = np.full((len(best.ids), k), -np.inf)
+        for row, (_, scores) in zip(out, best.found):
+            row[: len(scores)] = _below(scores)
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([out.tobytes()], pa.binary())], names=["block", "least"])
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score for quantised vectors and queries (id, v, n2)."""
-    count = queries.count()
-    dealt = queries.withColumn("_group", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-count // QUERY_BLOCK)))).cast("long"))
-    asked = shared_table(_packed(dealt, "_group"), "queries")
-    held = shared_table(blocks(vectors), "blocks")
-    # blocks are few: a row for each BLOCK vectors, numbered without their bytes
-    heads = held.select("block", "top")
-    runs = heads.select(F.col("block").alias("_block"), F.floor((F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("top"), "block")) - 1) / RUN).cast("long").alias("run"))
-    held = held.join(runs, F.col("block") == F.col("_block")).select("run", F.col("ids").alias("c_ids"), F.col("matrix").alias("c_matrix"), F.col("width").alias("c_width"), F.col("top").alias("c_top"))
-    # every block of queries meets every run of blocks: a stated query set against all rows
-    n_runs = max(1, -(-held.count() // RUN))
-    pairs = asked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_runs - 1).cast("long"))).alias("_run")).join(held, F.col("_run") == F.col("run"))
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.repartition(parts, "block", "run").sortWithinPartitions("block", "run", F.desc("c_top"))
-    found = pairs.select("block", "ids", "matrix", "width", "c_ids", "c_matrix", "c_width", "c_top").mapInArrow(lambda it: _search(it, k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def _below(scores: list[int]) -> np.ndarray:
+    """Doubles that aren't above the scores."""
+    x = np.array([float(min(s, 10**300)) if s > -(10**300) else -np.inf for s in scores])
+    return np.where((np.abs(x) < EXACT) | np.isinf(x), x, x - np.abs(x) * 1e-15)
+
+
+def _merged(k: int):
+    def run(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.float64).reshape(-1, k) for x in table.column("least").to_pylist()]
+        least = np.sort(np.concatenate(parts, 1), 1)[:, -k]
+        return pa.table({"block": table.column("block").slice(0, 1), "least": pa.array([least.tobytes()], pa.binary())})
+
+    return run
+
+
+def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The length below which no vector can be among the best of any of a block's queries."""
+    for q_ids, q_matrix, least, block in _rows(batches):
+        least, length = np.frombuffer(least, np.float64), _lengths(_unpack(q_matrix, len(q_ids) // 8))
+        need = np.where(least > 0, least / np.maximum(length, 1e-300), -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([float(need.min(initial=np.inf)) * (1 - 1e-9)])], names=["block", "need"])
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    at, best = None, None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if at != row["block"]:
-                if best is not None:
-                    yield best.rows()
-                at, best = row["block"], _Best(row["ids"], row["matrix"], row["width"], k)
-            best.meet(row["c_ids"], row["c_matrix"], row["c_width"])
-    if best is not None:
+    for q_ids, q_matrix, least, ids, matrix in _rows(batches):
+        best = _Best(q_ids, q_matrix, least, k)
+        best.meet(ids, matrix)
         yield best.rows()
 
 
 class _Best:
-    """The k best so far of each query of a block."""
+    """The k best of each query of a block, among those that reach its least score."""
 
-    def __init__(self, ids: bytes, matrix: bytes, width: int, k: int):
+    def __init__(self, ids: bytes, matrix: bytes, least: bytes | None, k: int):
         self.ids, self.k = np.frombuffer(ids, np.int64), k
-        self.q = np.frombuffer(matrix, np.int64).reshape(len(self.ids), width)
-        self.length = np.sqrt((self.q.astype(np.float64) ** 2).sum(1))
-        self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.array([], np.int64), np.array([], np.int64)) for _ in self.ids]
-        self.least = np.full(len(self.ids), -np.inf)
-        self.focus = np.argsort(-np.abs(self.q), 1, kind="stable")[:, :FOCUS]
+        self.q = _unpack(matrix, len(self.ids))
+        self.length = _lengths(self.q)
+        self.found: list[tuple[np.ndarray, list]] = [(np.array([], np.int64), []) for _ in self.ids]
+        self.least = np.full(len(self.ids), -np.inf) if least is None else np.frombuffer(least, np.float64).copy()
 
-    def meet(self, ids: bytes, matrix: bytes, width: int) -> None:
+    def meet(self, ids: bytes, matrix: bytes) -> None:
         """A block of vectors, in order of falling length."""
         ids = np.frombuffer(ids, np.int64)
-        p = np.frombuffer(matrix, np.int64).reshape(len(ids), width)
-        width = min(width, self.q.shape[1])
-        p, exact = np.ascontiguousarray(p[:, :width]), np.float64
-        top = float(np.abs(p).max(initial=0)) * float(np.abs(self.q).max(initial=0)) * width
-        if top >= 2**53:  # beyond exact doubles
-            exact = np.int64
-        q, p = self.q[:, :width].astype(exact), p.astype(exact)
-        squares = p.astype(np.float64) ** 2
-        length = np.sqrt(squares.sum(1))
+        p = _unpack(matrix, len(ids))
+        width = min(p.shape[1], self.q.shape[1])
+        q, p, length = self.q[:, :width], p[:, :width], _lengths(p)
         if not len(length):
             return
+        if object in (q.dtype, p.dtype) or float(np.abs(p).max(initial=0)) * float(np.abs(q).max(initial=0)) * width >= EXACT:
+            # bounds in doubles don't hold here: all products, in Python's integers
+            q, p = ([[int(v) for v in r] for r in x.tolist()] for x in (q, p))
+            for at, own in enumerate(q):
+                self.take(at, ids, np.array([sum(a * b for a, b in zip(own, r)) for r in p], object))
+            return
         with np.errstate(divide="ignore", invalid="ignore"):
             cosine = self.least / (self.length * length[0])
         cosine = np.where(self.length * length[0] > 0, cosine, np.where(self.least > 0, 2.0, -np.inf))
@@ -147,42 +224,39 @@ class _Best:
             if not len(chosen):
                 continue
             # length pruning: lengths fall, so the vectors that are long enough come first
-            need = self.least[chosen] / np.maximum(self.length[chosen], 1e-300)
-            upto = int(np.searchsorted(-length, -(need.min() * (1 - 1e-12) - 1e-9), "right")) if np.isfinite(need.min()) else len(p)
+            need = (self.least[chosen] / np.maximum(self.length[chosen], 1e-300)).min()
+            upto = int(np.searchsorted(-length, -(need * (1 - 1e-12) - 1e-9), "right")) if np.isfinite(need) else len(p)
             scores = q[chosen] @ p[:upto].T
             for row, at in zip(scores, chosen):
                 self.take(at, ids[:upto], row)
-        for at in np.flatnonzero((cosine > LEAST_COSINE) & (cosine <= 1 + 1e-9)):
-            focus = self.focus[at][self.focus[at] < width]
+        near = np.flatnonzero((cosine > LEAST_COSINE) & (cosine <= 1 + 1e-9))
+        squares = p**2 if len(near) else p
+        for at in near:
+            focus = np.argsort(-np.abs(q[at]), kind="stable")[:FOCUS]
             rest = np.maximum(squares.sum(1) - squares[:, focus].sum(1), 0)
-            own = max(self.length[at] ** 2 - float((self.q[at, focus].astype(np.float64) ** 2).sum()), 0.0)
+            own = max(float((q[at] ** 2).sum() - (q[at, focus] ** 2).sum()), 0.0)
             bound = p[:, focus] @ q[at, focus] + np.sqrt(rest * own) * (1 + 1e-9) + 1e-6
             left = np.flatnonzero(bound >= self.least[at])
             if len(left):
                 self.take(at, ids[left], p[left] @ q[at])
 
     def take(self, at: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        good = (scores >= self.least[at]) & (ids != self.ids[at])
-        if not good.any():
-            return
-        had_ids, had = self.found[at]
-        ids, scores = np.concatenate([had_ids, ids[good]]), np.concatenate([had, scores[good].astype(np.int64)])
-        if len(scores) > 4 * self.k:  # only the k-th best and better, before sorting
-            kth = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-            ids, scores = ids[scores >= kth], scores[scores >= kth]
-        order = np.lexsort((ids, -scores))[: self.k]
-        self.found[at] = ids[order], scores[order]
-        if len(order) == self.k:
-            self.least[at] = scores[order[-1]]
+        good = np.flatnonzero((scores >= self.least[at]) & (ids != self.ids[at]))
+        if len(good) > 4 * self.k and scores.dtype != object:  # only the k-th best and better, before sorting
+            kth = np.partition(scores[good], len(good) - self.k)[len(good) - self.k]
+            good = good[scores[good] >= kth]
+        best = sorted(zip((-int(s) for s in scores[good]), ids[good].tolist()))[: self.k]
+        self.found[at] = np.array([x for _, x in best], np.int64), [-s for s, _ in best]
 
     def rows(self) -> pa.RecordBatch:
         sizes = [len(x) for x, _ in self.found]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, sizes)), pa.array(np.concatenate([x for x, _ in self.found])), pa.array(np.concatenate([s for _, s in self.found]))], names=["query_id", "vec_id", "score"])
+        scores = [min(max(s, -(2**63)), 2**63 - 1) for _, own in self.found for s in own]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, sizes)), pa.array(np.concatenate([np.array([], np.int64), *(x for x, _ in self.found)])), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: the 20 best of each query among all other vectors."""
-    vectors = shared_table(quantise(read(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
+    vectors = quantise(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return top_k(vectors, vectors.where(F.col("id") % 20 == 0))
 
 
