@@ -8,29 +8,33 @@ index, token to rules, finds the rules whose tokens a URL has; a URL is blocked
 tokens of one at least.
 
 A URL's tokens are the labels of its host (with what stands right of them, so the place counts),
-and its path segments without digits. Bounds: with support s over token sets of at most
-MAX_TOKENS distinct tokens and rules of at most MAX_SIZE tokens, there are at most
-(MAX_TOKENS + ... + C(MAX_TOKENS, MAX_SIZE)) / s rules. Only mining looks at the first MAX_TOKENS
-tokens of a set in sorted order; matching takes all tokens.
-
-Null URLs and URLs without "://" have an empty host and path and are allowed. Repeated rows are
+and its path segments without digits. A rule needs a share SUPPORT of all labelled URLs and LEAST
+blocked ones, so no rule rests on a few URLs. Tokens of fewer blocked URLs than that can't be in a
+rule and are left out of mining, which changes no rule; all others are mined, and rules of any
+length count. The index holds each rule under its rarest token: only URLs with that token are
+compared with the rule, so tokens that most URLs have open few lists. It is broadcast after its rows
+have been counted, and joined by a shuffle if they are many.
+
+Null and empty URLs and URLs without "://" have an empty host and path and no tokens, and are
+allowed; an empty table gives an empty result, and without labels nothing is mined. Very long URLs
+are judged whole. Of rules of one length that fit, the last by code point decides. Repeated rows are
 judged one by one. Labels with null ids are left out; several labels of an id block if one says so.
+Other columns pass through, but one named host, path, rule or verdict gives way to the result.
 """
 
 from __future__ import annotations
 
-from math import comb
-
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, UPPER, read
+from graphloom.llm.common import LOWER, UPPER, aside, broadcast_if_small, read
 
 #: The list of this query, as (verdict, rule).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 SUPPORT, CONFIDENCE, LIFT = 0.01, 0.8, 1.5
-MAX_TOKENS, MAX_SIZE = 16, 3
+#: Blocked URLs that a rule rests on, at least.
+LEAST = 10
 BLOCK = "label:block"
 
 
@@ -65,35 +69,38 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(hosts, segments))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
-    """(rule_id, tokens, confidence) from rows (tokens, block boolean)."""
-    items = F.slice(F.sort_array("tokens"), 1, MAX_TOKENS)
-    baskets = labelled.select(F.when(F.col("block"), F.concat(items, F.array(F.lit(BLOCK)))).otherwise(items).alias("items"))
-    partitions = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=partitions).fit(baskets)
-    rules = model.associationRules.where((F.get("consequent", F.lit(0)) == BLOCK) & (F.size("antecedent") <= MAX_SIZE) & (F.col("lift") >= lift))
-    return rules.select(F.xxhash64(F.sort_array("antecedent")).alias("rule_id"), F.col("antecedent").alias("tokens"), "confidence")
-
-
-def index(rules: DataFrame) -> DataFrame:
-    """The inverted index: (token, rules of it with their sizes). It has at most ``rule_bound`` * MAX_SIZE entries."""
-    return rules.select("rule_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).groupBy("token").agg(F.collect_list(F.struct("rule_id", "n")).alias("postings"))
-
-
-def rule_bound(support: float = SUPPORT) -> int:
-    return int(sum(comb(MAX_TOKENS, k) for k in range(1, MAX_SIZE + 1)) / support)
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, least: int = LEAST) -> DataFrame:
+    """(tokens, confidence, token: the rarest of tokens) from rows (tokens, block boolean)."""
+    spark = labelled.sparkSession
+    rows = labelled.count()
+    if rows < max(1, least):
+        return spark.createDataFrame([], "tokens array<string>, confidence double, token string")
+    share = max(support, least / rows)
+    counts = labelled.select(F.explode(F.array_distinct("tokens")).alias("token"), "block").groupBy("token").agg(F.count("*").alias("n"), F.count_if("block").alias("blocked"))
+    counts = counts.where(F.col("blocked") >= F.ceil(F.lit(share * rows) - 1e-9)).select("token", "n")  # 1 / share rows for each token of a URL, at most
+    numbered = labelled.select(F.monotonically_increasing_id().alias("_row"), "block", F.array_distinct("tokens").alias("tokens"))  # a number for each row, before rows are taken apart
+    held = numbered.select("_row", "block", F.explode_outer("tokens").alias("token")).join(broadcast_if_small(counts), "token", "left")
+    items = held.groupBy("_row").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.col("token"))).alias("items"), F.first("block").alias("block"))
+    baskets = items.select(F.when(F.col("block"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
+    rules = model.associationRules.where((F.get("consequent", F.lit(0)) == BLOCK) & (F.col("lift") >= lift)).select(F.sort_array("antecedent").alias("tokens"), "confidence")
+    each = rules.select("tokens", "confidence", F.explode("tokens").alias("token")).join(broadcast_if_small(counts), "token")
+    return each.groupBy("tokens").agg(F.first("confidence").alias("confidence"), F.min_by("token", F.struct("n", "token")).alias("token"))
 
 
 def blocked_sets(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct token sets (column tokens) that have all tokens of a rule."""
     sets = token_sets.select("tokens").distinct()
-    hits = sets.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(index(rules)), "token").select("tokens", F.explode("postings").alias("p"))
-    return hits.groupBy("tokens", "p.rule_id", "p.n").agg(F.count("*").alias("found")).where("found = n").select("tokens").distinct()
+    index = broadcast_if_small(rules.select("token", F.col("tokens").alias("_all")))
+    hits = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
+    return hits.where(F.size(F.array_except("_all", "tokens")) == 0).select("tokens").distinct()
 
 
 def judge(urls: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] = RULES, url_col: str = "url") -> DataFrame:
     """The rows with host, path, rule, verdict; ``labelled`` has url and block."""
-    at = urls.select("*", host_of(F.col(url_col)).alias("_host"), path_of(F.col(url_col)).alias("_path"))
+    held, names = aside(urls)
+    url = F.col(names[url_col])
+    at = held.select("*", host_of(url).alias("_host"), path_of(url).alias("_path"))
     rule, verdict = listed(F.col("_host"), F.col("_path"), rules)
     at = at.select("*", rule.alias("_rule"), verdict.alias("_listed"), tokens_of(F.col("_host"), F.col("_path")).alias("_tokens"))
     known = labelled.select(tokens_of(host_of(F.col("url")), path_of(F.col("url"))).alias("tokens"), "block")
@@ -101,7 +108,8 @@ def judge(urls: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] = R
     key = F.xxhash64("_tokens")
     out = at.withColumn("_key", key).join(bad.select(F.col("tokens").alias("_bad"), F.xxhash64("tokens").alias("_bad_key")), (F.col("_key") == F.col("_bad_key")) & (F.col("_tokens") == F.col("_bad")), "left")
     verdict = F.coalesce("_listed", F.when(F.col("_bad").isNotNull(), "block").otherwise("allow"))
-    return out.select(*[F.col(c) for c in urls.columns], F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), verdict.alias("verdict"))
+    own = [F.col(n).alias(c) for c, n in names.items() if c not in ("host", "path", "rule", "verdict")]
+    return out.select(*own, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), verdict.alias("verdict"))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
