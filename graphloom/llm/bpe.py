@@ -315,7 +315,7 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
 
 def _mapped(docs: DataFrame, path: str | None, id_col: str, text_col: str, columns: str, make) -> DataFrame:
     path = path or default_path()
-    small_batches(docs.sparkSession, 128)
+    small_batches(docs.sparkSession)
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     schema = f"doc_id {dict(chosen.dtypes)['doc_id']}, {columns}"
 

@@ -22,9 +22,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows: a batch of very long texts still fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of an Arrow batch, about; one value for all operators, so it doesn't matter who sets it last.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches bounded by bytes: a batch of very long texts still fits a worker.
+
+    A session that has a bound of its own keeps it; Spark's is 64 MB.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with their columns renamed out of an operator's way, and the new name of each."""
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def restored(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns under their own names again."""
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:

@@ -133,7 +133,7 @@ _INDEXES: dict[tuple, Index] = {}
 def scan(docs: DataFrame, *keep: str, templates: dict[str, str] | None = None) -> DataFrame:
     """The kept columns and the names of the licenses each document's text holds."""
     templates = TEMPLATES if templates is None else templates
-    small_batches(docs.sparkSession, 128)
+    small_batches(docs.sparkSession)
     chosen = docs.select(*[docs[c] for c in keep], docs["text"].cast("string").alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes if c != "_text") + ", licenses array<string>"
 

@@ -16,7 +16,8 @@ sources sorted by cap over weight.
 Null and empty texts have size 0 and take nothing. Null ids get the key of an empty id. Rows that
 are repeated or share an id stand next to each other, in the order of their text's md5; equal rows
 can't be told apart, so which of them is cut is all the same. Other columns pass through `mix`
-untouched; an empty table gives an empty mix.
+untouched, but one that has the name of a result gives way to it; `mixed_rows` returns the
+documents' own columns, whatever their names. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, broadcast_if_small, read, shared_table
+from graphloom.llm.common import WORD, aside, broadcast_if_small, read, restored, shared_table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -68,11 +69,14 @@ def mix(docs: DataFrame, *keep: str, id_col: str = "doc_id", source_col: str = "
     if the cut reaches its middle; otherwise as many of its words as the budget still holds.
     """
     columns = list(dict.fromkeys([id_col, source_col, *keep]))
-    return _mix(docs, columns, id_col, source_col, text_col, whole, seed).drop("_key", "_tie", "_source", "_epochs")
+    held, names = aside(docs.select(*[docs[f"`{c}`"] for c in dict.fromkeys([*columns, text_col])]))
+    mixed = _mix(held, [names[c] for c in columns], names[id_col], names[source_col], names[text_col], whole, seed)
+    results = ["size", "source_size", "target", "taken", "copies"]
+    return mixed.select(*[F.col(names[c]).alias(c) for c in columns if c not in results], *results)
 
 
 def _mix(docs: DataFrame, columns: list[str], id_col: str, source_col: str, text_col: str, whole: bool, seed: str) -> DataFrame:
-    sized = docs.select(*[docs[c] for c in columns], word_count(docs[text_col].cast("string")).alias("size"), *_place(docs, id_col, text_col, seed), docs[source_col].cast("string").alias("_source"))
+    sized = docs.select(*columns, word_count(docs[text_col].cast("string")).alias("size"), *_place(docs, id_col, text_col, seed), docs[source_col].cast("string").alias("_source"))
     sized = shared_table(sized, "sizes")
     sources = targets(sized.groupBy("_source").agg(F.sum("size").alias("_size"), F.count("*").alias("_rows")))
     sources = sources.withColumn("_ranges", F.ceil(F.col("_rows") / RANGE_ROWS)).withColumnRenamed("_source", "_s")
@@ -102,14 +106,16 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     The rows that a source takes once more are those up to its cut in key order, so each row is
     judged by itself against its source's epochs and cut; no text is shuffled.
     """
-    mixed = _mix(docs, [id_col], id_col, source_col, text_col, True, seed)
+    held, names = aside(docs)
+    id_col, source_col, text_col = names[id_col], names[source_col], names[text_col]
+    mixed = _mix(held, [id_col], id_col, source_col, text_col, True, seed)
     more = F.when(F.col("taken") > F.col("_epochs") * F.col("size"), F.struct("_key", "_tie"))
     cuts = mixed.groupBy("_source").agg(F.max("_epochs").alias("_epochs"), F.max(more).alias("_cut")).withColumnRenamed("_source", "_s")
     cuts = broadcast_if_small(shared_table(cuts, "cuts"))
-    rows = docs.select("*", *_place(docs, id_col, text_col, seed), F.coalesce(docs[text_col].cast("string").rlike(WORD), F.lit(False)).alias("_any"), docs[source_col].cast("string").alias("_source"))
+    rows = held.select("*", *_place(held, id_col, text_col, seed), F.coalesce(held[text_col].cast("string").rlike(WORD), F.lit(False)).alias("_any"), held[source_col].cast("string").alias("_source"))
     rows = rows.where("_any").join(cuts, F.col("_source").eqNullSafe(F.col("_s")))
     times = (F.col("_epochs") + F.coalesce((F.struct("_key", "_tie") <= F.col("_cut")).cast("long"), F.lit(0))).cast("int")
-    return rows.where(times > 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), times)).alias("_copy_of_row")).drop("_copy_of_row")
+    return restored(rows.where(times > 0).select(*names.values(), F.explode(F.sequence(F.lit(1), times))), names)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

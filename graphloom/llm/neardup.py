@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import broadcast_if_small, read, shared_table, small_batches
+from graphloom.llm.common import aside, broadcast_if_small, read, restored, shared_table, small_batches
 from graphloom.llm.features import Words
 from graphloom.operators.components import components
 
@@ -146,7 +146,7 @@ def _digest(text: Column) -> Column:
 
 def sign_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, digest, bands array<long>, sketch) of the rows with a text."""
-    small_batches(docs.sparkSession, 128)
+    small_batches(docs.sparkSession)
     text = docs[text_col].cast("string")
     chosen = docs.where(text.isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), _digest(text).alias("digest"), text.alias("_text"))
 
@@ -177,7 +177,7 @@ def texts_of(wanted: DataFrame, docs: DataFrame, text_col: str = "text") -> Data
 
 def verify(pairs: DataFrame, docs: DataFrame, text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of digests whose texts are similar enough."""
-    small_batches(docs.sparkSession, 128)
+    small_batches(docs.sparkSession)
     texts = shared_table(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("_wanted")), docs, text_col), "texts")
     full = pairs.join(texts.select(F.col("digest").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("digest").alias("a"), F.col("t").alias("ta")), "a")
 
@@ -287,7 +287,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Few dropped rows go to the texts; many meet them by a shuffle.
     """
     found = shared_table(classes(docs).select("doc_id", "digest", "kept"), "found")
-    rows = docs.select("*", docs["doc_id"].cast("long").alias("_id"), _digest(docs["text"].cast("string")).alias("_digest"))
+    held, names = aside(docs)
+    rows = held.select("*", F.col(names["doc_id"]).cast("long").alias("_id"), _digest(F.col(names["text"]).cast("string")).alias("_digest"))
     key = [F.col("doc_id").alias("_i"), F.col("digest").alias("_d")]
     same = F.col("_id").eqNullSafe(F.col("_i")) & F.col("_digest").eqNullSafe(F.col("_d"))
     dropped = found.where("not kept").select(*key).distinct()
@@ -296,7 +297,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if not repeated.isEmpty():
         again = broadcast_if_small(repeated, 500_000)
         kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["_id", "_digest"]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(kept, names)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import GAP, SPACES, UPPER, broadcast_if_small, read, shared_table
+from graphloom.llm.common import GAP, SPACES, UPPER, aside, broadcast_if_small, read, restored, shared_table
 
 SYMBOLS = "#*$%&|<>"
 #: Grids of cutoffs, mild to strict, for each measure.
@@ -152,12 +152,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratu
     Rows are written with their measures, so that texts needn't be shuffled to their verdicts, and
     the filter doesn't work the measures out again.
     """
-    own = [f"_own_{i}" for i in range(len(docs.columns))]  # out of the measures' way
-    held = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, own)])
-    names = dict(zip(docs.columns, own))
-    measured = shared_table(measure(held, *own, text_col=names[text_col]), "measured")
+    held, names = aside(docs)
+    measured = shared_table(measure(held, *names.values(), text_col=names[text_col]), "measured")
     judged = _with_kept(measured, certify(measured, labels, names[id_col], names[stratum]), names[stratum])
-    return judged.where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
+    return restored(judged.where("kept"), names)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
