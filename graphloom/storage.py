@@ -38,17 +38,16 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Removes tables of ``shared_table`` that nothing reads any more, and asks the JVM to let go of unused shuffles.
 
     Spark removes the files of a shuffle or broadcast when the driver collects the object that
     stands for it; a driver with memory to spare would keep them for long.
     """
     for table in tables:
-        _remove(table.sparkSession, table._shared_path)
+        _remove(spark, table._shared_path)
     gc.collect()
-    for table in tables[:1]:
-        table.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
