@@ -23,7 +23,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch, about; one value for all operators, so it doesn't matter who sets it last.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 19
 
 
 def small_batches(spark: SparkSession) -> None:
