@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
@@ -30,9 +38,8 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table._shared_path = path
     return table
@@ -42,12 +49,15 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Removes tables of ``shared_table`` that nothing reads any more, and asks the JVM to let go of unused shuffles.
 
     Spark removes the files of a shuffle or broadcast when the driver collects the object that
-    stands for it; a driver with memory to spare would keep them for long.
+    stands for it; a driver with memory to spare would keep them for long. The first collection lets
+    go of what the last call still held, so there are two.
     """
     for table in tables:
         _remove(spark, table._shared_path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

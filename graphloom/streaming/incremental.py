@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TRIPLES = "graph_id string, s string, p string, o string"
 
@@ -10,24 +13,39 @@ TRIPLES = "graph_id string, s string, p string, o string"
 def union_stream(spark: SparkSession, source: str, target: str, checkpoint: str):
     """Starts a stream that adds the source folder's new triples to the target table, once each.
 
-    A batch keeps the triples the target lacks and appends them under its own number, so a batch
-    that is run again after a failure overwrites what it had written.
+    A checkpoint has a name of its own, kept beside its offsets; a batch is written under that name
+    and its number, so a batch that is run again after a failure overwrites what it had written and
+    nothing else. It keeps the triples that neither other checkpoints nor earlier batches have written.
     """
     stream = spark.readStream.schema(TRIPLES).parquet(source)
+    run = _name_of(spark, checkpoint)
 
     def add(batch: DataFrame, number: int) -> None:
         fresh = batch.distinct()
-        known = _known(spark, target, number)
+        known = _known(spark, target, run, number)
         if known is not None:
             fresh = fresh.join(known, ["graph_id", "s", "p", "o"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        fresh.write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _known(spark: SparkSession, target: str, number: int) -> DataFrame | None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if number == 0 or not files.exists(path):
+def _files(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _name_of(spark: SparkSession, checkpoint: str) -> str:
+    """The checkpoint's name: that of the folder names/<name> in it, made when first asked for."""
+    folder, files = _files(spark, f"{checkpoint.rstrip('/')}/names")
+    if not files.exists(folder):
+        files.mkdirs(_files(spark, f"{checkpoint.rstrip('/')}/names/r{uuid.uuid4().hex}")[0])
+    return files.listStatus(folder)[0].getPath().getName()
+
+
+def _known(spark: SparkSession, target: str, run: str, number: int) -> DataFrame | None:
+    path, files = _files(spark, target)
+    if not files.exists(path) or not files.listStatus(path):
         return None
-    return spark.read.parquet(target).where(f"batch < {number}").select("graph_id", "s", "p", "o")
+    written = spark.read.schema(f"{TRIPLES}, run string, batch long").parquet(target)
+    return written.where((F.col("run") != run) | (F.col("batch") < number)).select("graph_id", "s", "p", "o")
