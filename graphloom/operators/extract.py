@@ -11,19 +11,24 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import parse
 from graphloom.functions.text import strip
-from graphloom.operators.backends import generate_pending
-from graphloom.operators.chunks import chunks
+from graphloom.operators.backends import PromptBackend, generate_pending
+from graphloom.operators.chunks import chunks, flatten
+from graphloom.operators.dedupe import deduplicate
 from graphloom.operators.graph import build
 from graphloom.schema import KGFrames
+from graphloom.sources.sinks import write_json
 from graphloom.storage import shared_table
 
-ENTITY_PROMPT = "List the entities of the text as a JSON array of strings."
-RELATION_PROMPT = 'Give the relations between the entities as JSON: {"relations": [[subject, predicate, object]]}.'
+ENTITY_PROMPT = PromptBackend.ENTITIES
+RELATION_PROMPT = PromptBackend.RELATIONS
 
 
 @dataclass(frozen=True)
 class ExtractConfig:
-    """Options of batch extraction; bounds are checked when it is made."""
+    """Options of batch extraction; bounds are checked when it is made.
+
+    One record at a time is a batch_size of 1 and a backend of one worker.
+    """
 
     text_key: str | None = None
     output_key: str = "triple"
@@ -32,15 +37,34 @@ class ExtractConfig:
     batch_size: int = 32
     rerun_rounds: int = 2
     rerun_backoff: float = 2.0
+    retry_until_success: bool = False
+    max_rerun_rounds: int = -1
+    save_interval: int = 20
     save_entity: bool = False
 
     def __post_init__(self):
-        if self.max_samples is not None and self.max_samples < 0:
-            raise ValueError("max_samples must not be negative")
-        if self.batch_size < 1:
-            raise ValueError("batch_size must be positive")
-        if self.rerun_rounds < 0 or self.rerun_backoff < 0:
-            raise ValueError("rerun_rounds and rerun_backoff must not be negative")
+        bounds = {
+            "max_samples": self.max_samples is not None and self.max_samples < 0, "batch_size": self.batch_size < 1, "rerun_rounds": self.rerun_rounds < 0,
+            "rerun_backoff": self.rerun_backoff < 0, "max_rerun_rounds": self.max_rerun_rounds < -1, "save_interval": self.save_interval < 1,
+        }
+        if bad := [name for name, out in bounds.items() if out]:
+            raise ValueError(f"out of bounds: {', '.join(bad)}")
+
+    @property
+    def rounds(self) -> int | None:
+        """How often what failed is asked again; None: until it succeeds."""
+        if not self.retry_until_success:
+            return self.rerun_rounds
+        return None if self.max_rerun_rounds < 0 else self.max_rerun_rounds
+
+
+def records_of(values: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFrame:
+    """(id, pos, text, existing, value) of JSON records (id, value): the text under text_key, or the first of raw_chunk and text that isn't blank; the triples it has already."""
+    field = lambda k: F.try_variant_get(F.try_parse_json("value"), f"$['{k}']", "variant")
+    string = lambda k: F.when(F.schema_of_variant(field(k)) == "STRING", F.try_variant_get(F.try_parse_json("value"), f"$['{k}']", "string"))
+    text = F.coalesce(string(config.text_key), F.lit("")) if config.text_key else parse.record_text(string("raw_chunk"), string("text"))
+    pos = F.col("pos") if "pos" in values.columns else F.col("id")
+    return values.select("id", pos.alias("pos"), text.alias("text"), parse.existing_triples(F.col("value")).alias("existing"), "value")
 
 
 def _answers(rows: DataFrame, backend, system: str, config: ExtractConfig) -> DataFrame:
@@ -50,7 +74,7 @@ def _answers(rows: DataFrame, backend, system: str, config: ExtractConfig) -> Da
         for f in frames:
             for i in range(0, len(f), config.batch_size):
                 part = f.iloc[i : i + config.batch_size]
-                got, failed = generate_pending(backend, system, list(part["prompt"]), config.rerun_rounds, config.rerun_backoff)
+                got, failed = generate_pending(backend, system, list(part["prompt"]), config.rounds, config.rerun_backoff)
                 yield pd.DataFrame({"id": part["id"], "response": got, "failed": [k in set(failed) for k in range(len(got))]})
 
     kind = dict(rows.dtypes)["id"]
@@ -58,20 +82,27 @@ def _answers(rows: DataFrame, backend, system: str, config: ExtractConfig) -> Da
 
 
 def extract(records: DataFrame, backend, config: ExtractConfig = ExtractConfig()) -> tuple[DataFrame, DataFrame]:
-    """((id, text, entities, triples), failures) of records (id, text).
+    """((id, text, entities, triples), failures) of records (id, text, and existing triples and pos if they have them).
 
-    Blank texts aren't sent to the model. Each model stage is written before it is used, so that
-    no action asks twice. Failures are rows of their own; they don't stop the run.
+    With max_samples the first records by pos are taken, or by id. Blank texts aren't sent to the
+    model; triples that a record has already go into the prompt and aren't given again. Each model
+    stage is written before it is used, so that no action asks twice. Failures are rows of their
+    own; they don't stop the run.
     """
-    rows = records if config.max_samples is None else records.orderBy("id").limit(config.max_samples)
+    place = "pos" if "pos" in records.columns else "id"
+    rows = records if config.max_samples is None else records.orderBy(place).limit(config.max_samples)
+    lists, none = "array<array<string>>", F.array().cast("array<string>")
+    had = F.coalesce("existing", F.array().cast(lists)) if "existing" in records.columns else F.array().cast(lists)
+    rows = rows.select("id", "text", had.alias("_had"))
     full = rows.where(strip(F.col("text")) != "")
     first = shared_table(_answers(full.select("id", F.col("text").alias("prompt")), backend, ENTITY_PROMPT, config), "entity-answers")
     named = full.join(first.select("id", parse.entities(F.col("response")).alias("entities")), "id")
-    prompts = named.select("id", F.concat(F.lit("Entities: "), F.to_json("entities"), F.lit("\nText: "), "text").alias("prompt"))
+    known = F.when(F.size("_had") > 0, F.concat(F.lit("Known: "), F.to_json("_had"), F.lit("\n"))).otherwise(F.lit(""))
+    prompts = named.select("id", F.concat(F.lit("Entities: "), F.to_json("entities"), F.lit("\n"), known, F.lit("Text: "), "text").alias("prompt"))
     second = shared_table(_answers(prompts, backend, RELATION_PROMPT, config), "relation-answers")
-    done = named.join(second.select("id", parse.relations(F.col("response")).alias("triples")), "id")
-    none = F.array().cast("array<string>")
-    out = rows.join(done.select("id", "entities", "triples"), "id", "left").select("id", "text", F.coalesce("entities", none).alias("entities"), F.coalesce("triples", F.array().cast("array<array<string>>")).alias("triples"))
+    fresh = F.array_except(parse.relations(F.col("response")), F.col("_had"))
+    done = named.join(second, "id").select("id", "entities", fresh.alias("triples"))
+    out = rows.join(done, "id", "left").select("id", "text", F.coalesce("entities", none).alias("entities"), F.coalesce("triples", F.array().cast(lists)).alias("triples"))
     failures = first.where("failed").select("id", F.lit("entities").alias("stage")).unionByName(second.where("failed").select("id", F.lit("relations").alias("stage")))
     return out, failures
 
@@ -89,12 +120,14 @@ def rule_triples(docs: DataFrame) -> DataFrame:
     return found.where(F.size("n") > 1).select("graph_id", pairs.alias("z")).select("graph_id", F.col("z.a").alias("s"), F.lit("precedes").alias("p"), F.col("z.b").alias("o")).distinct()
 
 
-def generate(docs: DataFrame, backend, chunk_size: int | None = None) -> KGFrames:
+def generate(docs: DataFrame, backend, chunk_size: int | None = None, cluster: bool = False, embed=None, output: str | None = None) -> KGFrames:
     """A graph for each document (doc_id, text): its chunks' entities and relations, merged.
 
     ``backend`` has entities(text) and relations(text, entities). If typed relations fail, lines of
-    text are asked for and parsed, and only those between known entities stay.
+    text are asked for and parsed, and only those between known entities stay. With ``cluster`` names
+    are de-duplicated in full, which needs ``embed``; with ``output`` the graphs are written there.
     """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = chunks(docs, chunk_size) if chunk_size else docs.select("doc_id", F.lit(0).alias("chunk_id"), "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,4 +149,20 @@ def generate(docs: DataFrame, backend, chunk_size: int | None = None) -> KGFrame
     typed = got.select("graph_id", F.explode("triples").alias("t")).select("graph_id", *[F.get("t", F.lit(i)).alias(c) for i, c in enumerate("spo")])
     lines = got.select("graph_id", "names", F.explode("lines").alias("line")).select("graph_id", "names", parse.relation_line(F.col("line")).alias("t"))
     lines = lines.where(F.array_contains("names", F.col("t.s")) & F.array_contains("names", F.col("t.o"))).select("graph_id", "t.*")
-    return build(typed.unionByName(lines), entities)
+    graph = build(typed.unionByName(lines), entities)
+    if cluster:
+        graph = deduplicate(graph, "full", embed, backend)
+    if output:
+        write_json(graph, output)
+    return graph
+
+
+def generate_from_messages(messages: DataFrame, backend, chunk_size: int | None = None, cluster: bool = False, embed=None, output: str | None = None) -> KGFrames:
+    """A graph for each conversation (conv_id, turn, role, text), of what users and assistants say.
+
+    A message without a role or a text is an error. ``PromptBackend(model, conversation=True)`` asks
+    with the instructions for conversations.
+    """
+    if not messages.where(F.col("role").isNull() | F.col("text").isNull()).isEmpty():
+        raise ValueError("messages need a role and a text")
+    return generate(flatten(messages).withColumnRenamed("conv_id", "doc_id"), backend, chunk_size, cluster, embed, output)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import parse
 from graphloom.operators import evaluate, extract, graph, retrieve
+from graphloom.operators.graph import digraph, endpoints
+from graphloom.schema import KGFrames
 from graphloom.sources import json_records
 from graphloom.storage import shared_table
 
@@ -36,21 +39,37 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+#: Slices that a run saves one after another, at most.
+MOST_SLICES = 64
+
+
+def _slices(rows: DataFrame, key: str, size: int) -> Iterator[DataFrame]:
+    """The rows in slices of about ``size`` keys, MOST_SLICES at most; keys of a slice are spread over all tasks."""
+    n = max(1, min(MOST_SLICES, -(-rows.select(key).distinct().count() // size)))
+    for i in range(n):
+        yield rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)
+
+
 def extract_to(records: DataFrame, path: str, backend, config: extract.ExtractConfig = extract.ExtractConfig(), overwrite: bool = False) -> int:
     """Extracts records (id, text) into a table, leaving out those an earlier run has written.
 
-    Returns the number of records that failed; they aren't written, so the next run asks again.
+    Records are saved in slices of save_interval at least, so what is done stays done. Returns the
+    number of records that failed; they aren't written, so the next run asks again.
     """
     spark = records.sparkSession
-    rows = records
+    place = "pos" if "pos" in records.columns else "id"
+    rows = records if config.max_samples is None else records.orderBy(place).limit(config.max_samples)
     if not overwrite and _exists(spark, path):
-        rows = extract.pending(records, spark.read.parquet(path))
-    done, failures = extract.extract(rows, backend, config)
-    failures = shared_table(failures, "failures")
-    good = done.join(failures.select("id").distinct(), "id", "left_anti")
-    good = good if config.save_entity else good.drop("entities")
-    good.withColumnRenamed("triples", config.output_key).write.mode("overwrite" if overwrite else "append").parquet(path)
-    return failures.select("id").distinct().count()
+        rows = extract.pending(rows, spark.read.parquet(path))
+    rows, failed, mode = shared_table(rows, "pending"), 0, "overwrite" if overwrite else "append"
+    for part in _slices(rows, "id", config.save_interval):
+        done, failures = extract.extract(part, backend, replace(config, max_samples=None))
+        failures = shared_table(failures.select("id").distinct(), "failures")
+        good = done.join(failures, "id", "left_anti").withColumnRenamed("triples", config.output_key)
+        good = good.withColumnRenamed("entities", config.entity_key) if config.save_entity else good.drop("entities")
+        good.write.mode(mode).parquet(path)
+        failed, mode = failed + failures.count(), "append"
+    return failed
 
 
 @dataclass(frozen=True)
@@ -77,30 +96,66 @@ def evaluate_items(items: DataFrame, embed, backend, config: EvalConfig = EvalCo
     rows = shared_table(rows, "facts")
     with_graph = items.where(F.col("extracted_kg").isNotNull()).select(F.col("id").alias("graph_id"), "extracted_kg.*")
     kg = graph.unnest(with_graph)
-    names = kg.entities.unionByName(graph.endpoints(kg.triples)).distinct()
-    vectors = shared_table(embed(names.select(F.col("name").alias("node")).distinct()), "vectors")
-    nodes = names.join(vectors.withColumnRenamed("node", "name"), "name")
+    nodes, _ = embeddings(kg, embed)
     open_ = rows.where("score is null").join(with_graph.select(F.col("graph_id").alias("item_id")), "item_id", "left_semi")
     query = F.concat_ws("/", "item_id", "quality_level", "fact_pos")
     asked = open_.select(F.col("item_id").alias("graph_id"), query.alias("query_id"), "fact")
     facts = shared_table(embed(asked.select(F.col("fact").alias("node")).distinct()), "vectors")
     asked = asked.join(facts, F.col("fact") == F.col("node")).select("graph_id", "query_id", F.col("embedding").alias("q"))
-    _, found = retrieve.retrieve(asked, nodes, kg.triples, config.retrieval_k, config.retrieval_depth)
+    best, found = retrieve.retrieve(asked, nodes, kg.triples, config.retrieval_k, config.retrieval_depth)
+    found = shared_table(found, "contexts")
     texts = retrieve.context_text(found).select(F.col("query_id").alias("_q"), "context")
     keys = ["item_id", "quality_level", "fact_pos"]
     contexts = open_.select(*keys, query.alias("_k")).join(texts, F.col("_k") == F.col("_q"), "left").select(*keys, F.coalesce("context", F.lit("")).alias("context"))
     judged = evaluate.evaluate(rows.join(open_.select(*keys), keys, "left_semi"), contexts, backend)
+    sizes = retrieve.retrieval_stats(best, found, config.retrieval_k, config.retrieval_depth)
+    sizes = open_.select(*keys, query.alias("_k")).join(sizes, F.col("_k") == F.col("query_id")).select(*keys, F.struct(*sizes.columns[2:]).alias("retrieval_stats"))
     rest = rows.join(open_.select(*keys), keys, "left_anti").withColumn("error", F.lit(None).cast("string"))
-    return rest.unionByName(judged)
+    return rest.unionByName(judged).join(sizes, keys, "left")
+
 
+def evaluate_dataset(spark: SparkSession, dataset: str, output: str, embed, backend, config: EvalConfig = EvalConfig(), save_interval: int = 20) -> DataFrame:
+    """Evaluates a file of items and appends their facts to the output table, slice by slice, under the next run number; returns the totals of all facts.
 
-def evaluate_dataset(spark: SparkSession, dataset: str, output: str, embed, backend, config: EvalConfig = EvalConfig()) -> DataFrame:
-    """Evaluates a file of items and appends the facts to the output table under the next run number; returns the totals."""
-    items = json_records.items(spark, dataset)
+    ``result_payload`` makes the interchange document of the output.
+    """
+    items = shared_table(json_records.items(spark, dataset), "items")
     previous, run = None, 0
     if _exists(spark, output):
         previous = spark.read.parquet(output)
         run = previous.agg(F.max("run").alias("r")).first()["r"] + 1
-    facts = shared_table(evaluate_items(items, embed, backend, config, previous), "evaluated")
-    facts.withColumn("run", F.lit(run)).write.mode("append").parquet(output)
-    return evaluate.overall_stats(facts)
+        previous = shared_table(previous, "previous")  # the target grows while it is read
+    done = None
+    for part in _slices(items, "id", save_interval):
+        facts = shared_table(evaluate_items(part, embed, backend, config, previous), "evaluated")
+        facts.withColumn("run", F.lit(run)).write.mode("append").parquet(output)
+        done = facts if done is None else done.unionByName(facts)
+    return evaluate.overall_stats(done if done is not None else evaluate_items(items, embed, backend, config, previous))
+
+
+def result_payload(spark: SparkSession, dataset: str, output: str, config: EvalConfig = EvalConfig()) -> DataFrame:
+    """The payload of the last run in the output table, with the items' titles."""
+    facts = spark.read.parquet(output)
+    last = facts.join(facts.agg(F.max("run").alias("_last")), F.col("run") == F.col("_last"), "left_semi").drop("run")
+    titles = json_records.items(spark, dataset).select(F.coalesce("id", F.lit("unknown")).alias("item_id"), "title")
+    return evaluate.payload(last, config.retriever, config.retrieval_k, config.retrieval_depth, config.evaluator, titles)
+
+
+def embeddings(graph: KGFrames, embed) -> tuple[DataFrame, DataFrame]:
+    """(graph_id, name, embedding) of a graph's nodes, and of the relations of its simple graph."""
+    if embed is None:
+        raise ValueError("embeddings need a model")
+    names = graph.entities.unionByName(endpoints(graph.triples)).distinct()
+    kinds = digraph(graph.triples).select("graph_id", F.col("rel").alias("name")).distinct()
+    vectors = shared_table(embed(names.unionByName(kinds).select(F.col("name").alias("node")).distinct()), "vectors").withColumnRenamed("node", "name")
+    return names.join(vectors, "name").select("graph_id", "name", "embedding"), kinds.join(vectors, "name").select("graph_id", "name", "embedding")
+
+
+def convert_file(spark: SparkSession, path: str, output: str, key: str = "triple", overwrite: bool = False) -> int:
+    """Converts a file that holds a JSON array of records, and writes them with extracted_kg as JSON lines; returns their number."""
+    records = json_records.array_elements(spark, path)
+    done = shared_table(convert_records(records, key, overwrite), "converted")
+    merged = F.concat(F.regexp_replace(F.rtrim("value"), r"\}$", ""), F.when(F.trim("value").rlike(r"^\{\s*\}$"), "").otherwise(", "), F.lit('"extracted_kg": '), "extracted_kg", F.lit("}"))
+    plain = F.when(F.try_variant_get(F.try_parse_json("value"), "$.extracted_kg", "string").isNull(), merged).otherwise(F.col("value"))
+    done.select(plain.alias("value")).write.mode("overwrite").text(output)
+    return done.count()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ def json_array(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def array_elements(spark: SparkSession, path: str) -> DataFrame:
+    """(value, pos): the elements of files that each hold a JSON array, as JSON, with their place; anything else at the top is an error."""
+    whole = spark.read.text(path, wholetext=True)
+    if not whole.where(~F.coalesce(F.ltrim("value").startswith("["), F.lit(False))).limit(1).isEmpty():
+        raise ValueError("the top level must be a list")
+    parts = F.transform(F.variant_get(F.parse_json("value"), "$", "array<variant>"), lambda v: F.to_json(v))
+    return whole.select(F.posexplode(parts).alias("pos", "value")).select("value", F.col("pos").cast("long").alias("pos"))
+
+
 def items(spark: SparkSession, path: str) -> DataFrame:
     return json_array(spark, path, ITEM)
 
@@ -26,6 +37,8 @@ def graph_file(spark: SparkSession, path: str, graph_id: str = "graph", repaired
     return unnest(spark.read.schema(GRAPH).option("multiLine", True).json(path).withColumn("graph_id", F.lit(graph_id)), repaired)
 
 
-def texts(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text): a row for each file."""
+def texts(spark: SparkSession, path: str | None) -> DataFrame:
+    """(doc_id, text): a row for each file; without a path, one of the standard input."""
+    if path is None:
+        return spark.createDataFrame([("-", sys.stdin.read())], "doc_id string, text string")
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
-def query_graph(spark: SparkSession, path: str, sql: str, **params) -> DataFrame | None:
-    """The rows of a SQL query over {nodes} and {relationships}; None where there is no store or the
+def query_graph(spark: SparkSession, path: str, sql: str, **params) -> DataFrame:
+    """The rows of a SQL query over {nodes} and {relationships}; no rows where there is no store or the
     query can't be planned. Parameters are bound by name."""
     try:
         tables = {t: spark.read.parquet(f"{path}/{t}") for t in ("nodes", "relationships")}
         return spark.sql(sql, args=params or None, **tables)
     except AnalysisException:
-        return None
+        return spark.createDataFrame([], StructType([]))
