@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Markers of errors that are worth another try.
@@ -19,6 +21,8 @@ RETRYABLE = (
     "502",
     "504",
 )
+#: The markers as a pattern, for names and messages of errors in any case.
+RETRYABLE_PATTERN = "(?i)" + "|".join(map(re.escape, RETRYABLE))
 SENTENCE = r"[^.!?\n]+[.!?]*"
 
 
@@ -51,11 +55,7 @@ def answer_text(response: Column) -> Column:
 
 
 def retryable(kind: Column, message: Column) -> Column:
-    text = F.lower(F.concat(kind, F.lit(": "), message))
-    found = F.lit(False)
-    for marker in RETRYABLE:
-        found = found | text.contains(marker)
-    return found
+    return F.concat(kind, F.lit(": "), message).rlike(RETRYABLE_PATTERN)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -72,19 +72,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
-def color(name: Column) -> Column:
-    """A colour as #rrggbb from the first three bytes of the name's SHA-1: hue, saturation 0.55 to
-    0.85, lightness 0.45 to 0.70. Channels are cut off to whole numbers."""
-    digest = F.sha1(name.cast("binary"))
-    share = lambda at: F.conv(F.substring(digest, at, 2), 16, 10).cast("double") / 255.0
-    hue, full, light = share(1), F.lit(0.55) + share(3) * 0.3, F.lit(0.45) + share(5) * 0.25
-    high = F.when(light <= 0.5, light * (full + 1.0)).otherwise(light + full - light * full)
-    low = light * 2.0 - high
-
-    def channel(shift: float) -> Column:
-        h = hue + shift
-        h = h - F.floor(h).cast("double")
+def with_color(rows: DataFrame, key: Column, name: str = "color") -> DataFrame:
+    """The rows with a colour, #rrggbb, from the first three bytes of the key's SHA-1: hue, saturation
+    0.55 to 0.85, lightness 0.45 to 0.70. Channels are cut off to whole numbers.
+
+    Each step is a projection of its own, so what several use is worked out once and the code stays small.
+    """
+    own = rows.columns
+    digest = rows.select("*", F.sha1(key.cast("binary")).alias("_d"))
+    share = lambda at: F.conv(F.substring("_d", at, 2), 16, 10).cast("double") / 255.0
+    parts = digest.select(*own, share(1).alias("_hue"), (F.lit(0.55) + share(3) * 0.3).alias("_full"), (F.lit(0.45) + share(5) * 0.25).alias("_light"))
+    light, full = F.col("_light"), F.col("_full")
+    ends = parts.select(*own, "_hue", "_light", F.when(light <= 0.5, light * (full + 1.0)).otherwise(light + full - light * full).alias("_high"))
+    ends = ends.select(*own, "_hue", "_high", (F.col("_light") * 2.0 - F.col("_high")).alias("_low"))
+    shifts = (1 / 3, 0.0, -1 / 3)
+    turned = ends.select(*own, "_high", "_low", *[(F.col("_hue") + t).alias(f"_t{i}") for i, t in enumerate(shifts)])
+    turned = turned.select(*own, "_high", "_low", *[(F.col(f"_t{i}") - F.floor(f"_t{i}").cast("double")).alias(f"_h{i}") for i in range(3)])
+
+    def channel(i: int) -> Column:
+        h, low, high = F.col(f"_h{i}"), F.col("_low"), F.col("_high")
         value = F.when(h < 1 / 6, low + (high - low) * h * 6.0).when(h < 0.5, high).when(h < 2 / 3, low + (high - low) * (F.lit(2 / 3) - h) * 6.0).otherwise(low)
         return F.lpad(F.lower(F.hex(F.floor(value * 255.0).cast("long"))), 2, "0")
 
-    return F.concat(F.lit("#"), channel(1 / 3), channel(0.0), channel(-1 / 3))
+    return turned.select(*own, F.concat(F.lit("#"), *map(channel, range(3))).alias(name))

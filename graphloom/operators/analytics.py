@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import color
+from graphloom.functions.text import with_color
 from graphloom.operators.components import components
-from graphloom.operators.graph import endpoints
+from graphloom.operators.graph import endpoints, ranked
 from graphloom.schema import KGFrames
 
 DEFAULT_COLOR = "#64748b"
@@ -20,9 +20,12 @@ def degrees(triples: DataFrame) -> DataFrame:
 
 
 def all_degrees(graph: KGFrames) -> DataFrame:
-    """Degrees of all entities and ends, zeros included."""
-    names = graph.entities.unionByName(endpoints(graph.triples)).distinct()
-    return names.join(degrees(graph.triples), ["graph_id", "name"], "left").na.fill(0, ["degree", "in_degree", "out_degree"])
+    """Degrees of all entities and ends, zeros included: ends and entities are summed up in one pass."""
+    name, ends = F.col("name"), lambda end, out: F.struct(F.col(end).alias("name"), F.lit(out).alias("out"), F.lit(1 - out).alias("into"))
+    both = graph.triples.select("graph_id", F.explode(F.array(ends("s", 1), ends("o", 0))).alias("e")).select("graph_id", "e.*")
+    listed = graph.entities.select("graph_id", name, F.lit(0).alias("out"), F.lit(0).alias("into"))
+    sums = both.unionByName(listed).groupBy("graph_id", "name").agg(F.sum("into").alias("in_degree"), F.sum("out").alias("out_degree"))
+    return sums.select("graph_id", "name", (F.col("in_degree") + F.col("out_degree")).alias("degree"), "in_degree", "out_degree")
 
 
 def top(rows: DataFrame, value: str, name: str, k: int = 10) -> DataFrame:
@@ -60,33 +63,35 @@ def graph_components(graph: KGFrames) -> DataFrame:
 def component_sizes(graph: KGFrames) -> DataFrame:
     """Components by size, then by first member."""
     sizes = graph_components(graph).groupBy("graph_id", "component").agg(F.count("*").alias("size"))
-    return sizes.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("size"), "component")))
+    return ranked(sizes, "graph_id", [-F.col("size"), F.col("component")]).withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def statistics(graph: KGFrames) -> DataFrame:
     """Counts, average degree (2 digits) and density (3 digits) of each graph."""
-    names = graph.entities.unionByName(endpoints(graph.triples)).distinct().groupBy("graph_id").agg(F.count("*").alias("entities"))
-    edges = graph.triples.groupBy("graph_id").agg(F.count("*").alias("relations"), F.count_distinct("p").alias("predicates"))
-    lone = isolated(graph).groupBy("graph_id").agg(F.count("*").alias("isolated"))
-    out = names.join(edges, "graph_id", "left").join(lone, "graph_id", "left").na.fill(0, ["relations", "predicates", "isolated"])
+    names = all_degrees(graph).groupBy("graph_id").agg(F.count("*").alias("entities"), F.count_if(F.col("degree") == 0).alias("isolated"), (F.sum("degree") / 2).cast("long").alias("relations"))
+    kinds = graph.triples.select("graph_id", "p").distinct().groupBy("graph_id").agg(F.count("*").alias("predicates"))
+    out = names.join(kinds, "graph_id", "left").na.fill(0, ["predicates"])
     n, m = F.col("entities"), F.col("relations")
     average = F.when(n > 0, F.round(2.0 * m / n, 2)).otherwise(F.lit(0.0))
     density = F.when(n > 1, F.round(m.cast("double") / (n * (n - 1)), 3)).otherwise(F.lit(0.0))
-    return out.withColumns({"average_degree": average, "density": density})
+    return out.select("graph_id", "entities", "relations", "predicates", "isolated", average.alias("average_degree"), density.alias("density"))
 
 
-def edge_ids(triples: DataFrame) -> DataFrame:
-    """Triples numbered in order of lower-cased p, s, o: e0, e1, ...
+def full_statistics(graph: KGFrames) -> DataFrame:
+    """``statistics`` with the numbers of components and of clusters of both kinds."""
+    out = statistics(graph).join(graph_components(graph).groupBy("graph_id").agg(F.count_distinct("component").alias("components")), "graph_id", "left")
+    for name, clusters in (("entity_clusters", graph.entity_clusters), ("edge_clusters", graph.predicate_clusters)):
+        if clusters is None:
+            out = out.withColumn(name, F.lit(0).cast("long"))
+        else:
+            out = out.join(clusters.groupBy("graph_id").agg(F.count_distinct("rep").alias(name)), "graph_id", "left")
+    return out.na.fill(0, ["components", "entity_clusters", "edge_clusters"])
 
-    A graph's rows are numbered by predicate, and a predicate starts at the number of triples
-    before it, so that one graph is many tasks.
-    """
-    of = ["graph_id", "p"]
-    before = Window.partitionBy("graph_id").orderBy(F.lower("p"), "p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = triples.groupBy(*of).agg(F.count("*").alias("_n")).select(*of, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    order = Window.partitionBy(*of).orderBy(F.lower("s"), F.lower("o"), "s", "o")
-    number = F.col("_start") + F.row_number().over(order) - 1
-    return triples.join(starts, of).select("graph_id", "s", "p", "o", F.concat(F.lit("e"), number).alias("id"))
+
+def edge_ids(triples: DataFrame) -> DataFrame:
+    """Triples numbered in order of lower-cased p, s, o: e0, e1, ..."""
+    order = [F.lower("p"), F.lower("s"), F.lower("o"), F.col("p"), F.col("s"), F.col("o")]
+    return ranked(triples, "graph_id", order).select("graph_id", "s", "p", "o", F.concat(F.lit("e"), "rank").alias("id"))
 
 
 def cluster_of(clusters: DataFrame) -> DataFrame:
@@ -99,7 +104,8 @@ def cluster_view(clusters: DataFrame, kind: str = "entity") -> DataFrame:
     """(graph_id, id, members, size, color): members sorted without case."""
     both = clusters.select("graph_id", "rep", "member").unionByName(clusters.select("graph_id", "rep", F.col("rep").alias("member")))
     members = F.transform(F.array_sort(F.collect_set(F.struct(F.lower("member").alias("l"), F.col("member").alias("m")))), lambda x: x["m"])
-    return both.groupBy("graph_id", F.col("rep").alias("id")).agg(members.alias("members")).select("graph_id", "id", "members", F.size("members").alias("size"), color(F.concat(F.lit(f"{kind}::"), "id")).alias("color"))
+    out = both.groupBy("graph_id", F.col("rep").alias("id")).agg(members.alias("members")).select("graph_id", "id", "members", F.size("members").alias("size"))
+    return with_color(out, F.concat(F.lit(f"{kind}::"), "id"))
 
 
 def edge_view(graph: KGFrames) -> DataFrame:
@@ -110,10 +116,9 @@ def edge_view(graph: KGFrames) -> DataFrame:
         edges = edges.join(of, ["graph_id", "p"], "left")
     else:
         edges = edges.withColumn("cluster", F.lit(None).cast("string"))
-    return edges.select(
-        "graph_id", "id", F.col("s").alias("source"), F.col("o").alias("target"), F.col("p").alias("predicate"), "cluster",
-        color(F.coalesce(F.concat(F.lit("edge::"), "cluster"), F.concat(F.lit("predicate::"), "p"))).alias("color"), F.concat("s", F.lit(" —"), "p", F.lit("→ "), "o").alias("tooltip"),
-    )
+    key = F.coalesce(F.concat(F.lit("edge::"), "cluster"), F.concat(F.lit("predicate::"), "p"))
+    tooltip = F.concat("s", F.lit(" —"), "p", F.lit("→ "), "o").alias("tooltip")
+    return with_color(edges, key).select("graph_id", "id", F.col("s").alias("source"), F.col("o").alias("target"), F.col("p").alias("predicate"), "cluster", "color", tooltip)
 
 
 def relation_records(graph: KGFrames) -> DataFrame:
@@ -126,27 +131,28 @@ def neighbors(triples: DataFrame) -> DataFrame:
     return both.groupBy("graph_id", "name").agg(F.sort_array(F.collect_set("n")).alias("neighbors"))
 
 
-def _node_color(clustered: bool, cluster: Column, name: Column) -> Column:
-    if clustered:
-        return F.when(cluster.isNotNull(), color(F.concat(F.lit("entity::"), cluster))).otherwise(F.lit(DEFAULT_COLOR))
-    return color(F.concat(F.lit("entity::"), name))
-
-
 def node_view(graph: KGFrames) -> DataFrame:
-    """Nodes with cluster, color, degrees, radius, neighbors and the ids of their edges."""
-    edges = edge_ids(graph.triples).withColumn("_n", F.substring("id", 2, 20).cast("long"))
-    ids = lambda end, name: edges.groupBy("graph_id", F.col(end).alias("name")).agg(F.transform(F.sort_array(F.collect_list("_n")), lambda n: F.concat(F.lit("e"), n)).alias(name))
-    nodes = all_degrees(graph).join(neighbors(graph.triples), ["graph_id", "name"], "left")
-    nodes = nodes.join(ids("o", "incoming"), ["graph_id", "name"], "left").join(ids("s", "outgoing"), ["graph_id", "name"], "left")
-    clustered = graph.entity_clusters is not None
-    if clustered:
-        of = cluster_of(graph.entity_clusters).select("graph_id", F.col("member").alias("name"), F.col("rep").alias("cluster"))
-        nodes = nodes.join(of, ["graph_id", "name"], "left")
+    """Nodes with cluster, color, degrees, radius, neighbors and the ids of their edges.
+
+    One pass over the ends of all edges gives a node's lists and degrees. A node's lists are one row:
+    a dashboard shows them so.
+    """
+    edges = edge_ids(graph.triples).select("graph_id", "s", "o", F.substring("id", 2, 20).cast("long").alias("n"))
+    end = lambda own, other, out: F.struct(F.col(own).alias("name"), F.col(other).alias("x"), F.lit(out).alias("out"))
+    ends = edges.select("graph_id", "n", F.explode(F.array(end("s", "o", True), end("o", "s", False))).alias("e")).select("graph_id", "n", "e.*")
+    listed = graph.entities.select("graph_id", F.lit(None).cast("long").alias("n"), "name", F.lit(None).cast("string").alias("x"), F.lit(None).cast("boolean").alias("out"))
+    ids = lambda which: F.transform(F.sort_array(F.collect_list(F.when(which, F.col("n")))), lambda n: F.concat(F.lit("e"), n))
+    nodes = ends.unionByName(listed).groupBy("graph_id", "name").agg(
+        F.count("n").alias("degree"), F.count_if(~F.col("out")).alias("in_degree"), F.count_if("out").alias("out_degree"),
+        F.sort_array(F.collect_set("x")).alias("neighbors"), ids(~F.col("out")).alias("incoming"), ids(F.col("out")).alias("outgoing"),
+    )
+    if graph.entity_clusters is not None:
+        of = with_color(cluster_of(graph.entity_clusters), F.concat(F.lit("entity::"), "rep"))
+        of = of.select("graph_id", F.col("member").alias("name"), F.col("rep").alias("cluster"), "color")
+        nodes = nodes.join(of, ["graph_id", "name"], "left").withColumn("color", F.coalesce("color", F.lit(DEFAULT_COLOR)))
     else:
-        nodes = nodes.withColumn("cluster", F.lit(None).cast("string"))
-    empty = F.array().cast("array<string>")
+        nodes = with_color(nodes.withColumn("cluster", F.lit(None).cast("string")), F.concat(F.lit("entity::"), "name"))
     return nodes.select(
-        "graph_id", "name", "cluster", _node_color(clustered, F.col("cluster"), F.col("name")).alias("color"), "degree", "in_degree", "out_degree",
-        F.coalesce(F.col("cluster") == F.col("name"), F.lit(False)).alias("is_representative"), (18 + 2 * F.least("degree", F.lit(8))).alias("radius"),
-        *[F.coalesce(c, empty).alias(c) for c in ("neighbors", "incoming", "outgoing")],
+        "graph_id", "name", "cluster", "color", "degree", "in_degree", "out_degree", F.coalesce(F.col("cluster") == F.col("name"), F.lit(False)).alias("is_representative"),
+        (18 + 2 * F.least("degree", F.lit(8))).alias("radius"), "neighbors", "incoming", "outgoing",
     )

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import strip
 from graphloom.schema import KGFrames
+from graphloom.storage import shared_table
 
 TRIPLE = ["graph_id", "s", "p", "o"]
 
@@ -55,6 +56,24 @@ def counts(graph: KGFrames) -> DataFrame:
     return out.na.fill(0, ["entities", "predicates", "relations"])
 
 
+def ranked(rows: DataFrame, group: str, order: list[Column], name: str = "rank") -> DataFrame:
+    """The rows numbered from 0 within their group, in the given order.
+
+    Rows are dealt in ranges of (group, order), so a group of most rows is many tasks: a range counts
+    its rows of each group, and starts at what the ranges before it hold.
+    """
+    keys = [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    places = [F.col(f"_o{i}") for i in range(len(order))]
+    dealt = rows.select("*", *keys).repartitionByRange(F.col(group), *places).select("*", F.spark_partition_id().alias("_range"))
+    dealt = shared_table(dealt, "ranges")
+    sizes = dealt.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = sizes.select("_g", "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*places)) - 1
+    met = dealt.withColumn("_own", own).join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return met.select(*rows.columns, (F.col("_start") + F.col("_own")).alias(name))
+
+
 def convert(positioned: DataFrame) -> DataFrame:
     """Distinct triples of each graph in the order in which they first stand: (graph_id, s, p, o, rank).
 
@@ -62,8 +81,7 @@ def convert(positioned: DataFrame) -> DataFrame:
     """
     clean = positioned.select("graph_id", "pos", *[strip(F.col(c)).alias(c) for c in "spo"])
     first = clean.groupBy(*TRIPLE).agg(F.min("pos").alias("pos"))
-    rank = F.row_number().over(Window.partitionBy("graph_id").orderBy("pos", "s", "p", "o")) - 1
-    return first.select(*TRIPLE, rank.alias("rank"))
+    return ranked(first, "graph_id", [F.col(c) for c in ("pos", "s", "p", "o")]).select(*TRIPLE, F.col("rank").cast("int").alias("rank"))
 
 
 def nested(triples: DataFrame) -> DataFrame:

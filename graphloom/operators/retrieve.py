@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import cosine, sentence, words
+from graphloom.functions.text import sentence, words
 from graphloom.operators.graph import digraph
+from graphloom.storage import shared_table
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", name: str = "name") -> DataFrame:
@@ -17,18 +22,64 @@ def top_k(scored: DataFrame, k: int, score: str = "score", name: str = "name") -
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def cosine_scores(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(query_id, name, score) of a stated set of queries (query_id, q) against all nodes (name, embedding).
+#: Rows of a block of queries and of nodes, about.
+QUERY_BLOCK, NODE_BLOCK = 512, 4096
+
+
+def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """(graph_id, part, keys, unit): blocks of about ``size`` rows of a graph, their unit vectors as bytes; no length gives zeros."""
+    counts = rows.groupBy(F.col("graph_id").alias("_g")).agg(F.ceil(F.count("*") / size).cast("long").alias("_parts"))
+    dealt = rows.select("graph_id", F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    dealt = dealt.join(counts, F.col("graph_id") == F.col("_g")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("_parts")))
+    kind = dict(dealt.dtypes)["key"]
+
+    def pack(table: pa.Table) -> pa.Table:
+        lists = table.column("v").to_pylist()
+        matrix = np.zeros((len(lists), max(map(len, lists))))
+        for row, v in zip(matrix, lists):
+            row[: len(v)] = v
+        length = np.sqrt((matrix**2).sum(1, keepdims=True))
+        unit = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+        keys = pa.array([table.column("key").to_pylist()], pa.list_(table.schema.field("key").type))
+        return pa.table({"graph_id": table.column("graph_id").slice(0, 1), "part": table.column("part").slice(0, 1), "keys": keys, "unit": pa.array([unit.tobytes()], pa.binary())})
+
+    return dealt.groupBy("graph_id", "part").applyInArrow(pack, f"graph_id string, part long, keys array<{kind}>, unit binary")
 
-    Queries meet nodes within their graph; the nodes stay where they are and the queries, a stated
-    set, go to them.
+
+def cosine_scores(queries: DataFrame, nodes: DataFrame, k: int | None = None) -> DataFrame:
+    """(graph_id, query_id, name, score) of a stated set of queries (query_id, q) against all nodes (name, embedding) of their graph.
+
+    Vectors are normalised once and packed in blocks; blocks of queries, a stated set, go to the
+    blocks of nodes, so no graph is one task. With k only the k best of each query and block come out.
     """
-    pairs = queries.join(nodes, "graph_id")
-    return pairs.select("graph_id", "query_id", "name", cosine(F.col("q"), F.col("embedding")).alias("score"))
+    asked = _blocks(queries, "query_id", "q", QUERY_BLOCK).select(F.col("graph_id").alias("_g"), F.col("part").alias("q_part"), F.col("keys").alias("q_keys"), F.col("unit").alias("q_unit"))
+    held = _blocks(nodes, "name", "embedding", NODE_BLOCK)
+    last = held.groupBy(F.col("graph_id").alias("_h")).agg(F.max("part").alias("_last"))
+    sent = asked.join(last, F.col("_g") == F.col("_h")).select("_g", "q_keys", "q_unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_part"))
+    met = held.join(sent, (F.col("graph_id") == F.col("_g")) & (F.col("part") == F.col("_part"))).select("graph_id", "keys", "unit", "q_keys", "q_unit")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                graph, names, unit, asked, q_unit = (c[i].as_py() for c in batch.columns)
+                p, q = (np.frombuffer(x, np.float64).reshape(n, -1) for x, n in ((unit, len(names)), (q_unit, len(asked))))
+                width = min(p.shape[1], q.shape[1])
+                scores, order = q[:, :width] @ p[:, :width].T, np.array(names, object)
+                for query, row in zip(asked, scores):
+                    at = np.arange(len(row))
+                    if k is not None and len(row) > k:
+                        at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if k else at[:0]
+                    found = {"graph_id": pa.array([graph] * len(at), pa.string()), "query_id": pa.array([query] * len(at), kinds[1]), "name": pa.array(order[at], pa.string()), "score": pa.array(row[at])}
+                    yield pa.RecordBatch.from_pydict(found)
+
+    kinds = pa.string(), {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dict(queries.dtypes)["query_id"]]
+    return met.mapInArrow(run, f"graph_id string, query_id {dict(queries.dtypes)['query_id']}, name string, score double")
 
 
 def relevant_nodes(queries: DataFrame, nodes: DataFrame, k: int = 8) -> DataFrame:
-    return top_k(cosine_scores(queries, nodes), k)
+    if k < 0:
+        raise ValueError("k must not be negative")
+    return top_k(cosine_scores(queries, nodes, k), k)
 
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -76,16 +127,16 @@ def context(seeds: DataFrame, triples: DataFrame, depth: int = 2) -> DataFrame:
     reached = frontier = seeds.select(*key).distinct()
     for _ in range(depth - 1):
         step = frontier.join(both.withColumnRenamed("at", "name"), ["graph_id", "name"]).select("graph_id", "query_id", F.col("to").alias("name")).distinct()
-        frontier = step.join(reached, key, "left_anti")
+        frontier = shared_table(step.join(reached, key, "left_anti"), "frontier")  # plans don't grow with the hops
         reached = reached.unionByName(frontier)
     text = sentence(F.col("src"), F.col("rel"), F.col("dst")).alias("sentence")
-    touched = [reached.join(edges.withColumn("name", F.col(end)), ["graph_id", "name"]).select("graph_id", "query_id", text) for end in ("src", "dst")]
-    return touched[0].unionByName(touched[1]).distinct()
+    ends = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("name"), text)
+    return reached.join(ends, ["graph_id", "name"]).select("graph_id", "query_id", "sentence").distinct()
 
 
 def retrieve(queries: DataFrame, nodes: DataFrame, triples: DataFrame, k: int = 8, depth: int = 2) -> tuple[DataFrame, DataFrame]:
     """The top nodes of each query, and the context of all of them together."""
-    best = relevant_nodes(queries, nodes, k)
+    best = shared_table(relevant_nodes(queries, nodes, k), "best")
     return best, context(best, triples, depth)
 
 
