@@ -2,65 +2,130 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.dedupe import first_match, rewrite
+from graphloom.operators.retrieve import EPSILON, K1, B
 from graphloom.schema import KGFrames
 from graphloom.storage import shared_table
 
 CAPACITY, ITERATIONS, SEED = 128, 20, 17
+#: Names of a graph that one task clusters at most; and what a model is shown of a cluster.
+LOCAL, CANDIDATES = 20_000, 16
+
+
+def _nearest(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return ((centers**2).sum(1)[None] - 2 * v @ centers.T).argmin(1)
 
 
 def capacity_clusters(vectors: DataFrame, capacity: int = CAPACITY, seed: int = SEED) -> DataFrame:
     """(name, cluster) from vectors (name, embedding), of at most ``capacity`` names each.
 
-    Up to ``capacity`` names: one cluster. Otherwise k-means makes n // capacity centres; in round r
-    each name still free asks its r-th nearest centre, which takes names in order while it has
-    room. What no centre has room for is one cluster more.
+    Up to ``capacity`` names: one cluster. Otherwise k-means makes n // capacity centres; in each round
+    every name still free asks the nearest centre that has room, which takes names in order while it
+    has. What no centre has room for is one cluster more. Names are compared with centres in blocks,
+    and only those still free; the centres are k-means' own, held by the driver as there.
     """
     n = vectors.count()
     if n <= capacity:
         return vectors.select("name", F.lit(0).cast("long").alias("cluster"))
-    k = n // capacity
+    spark, k = vectors.sparkSession, n // capacity
     points = shared_table(vectors.select("name", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features")), "points")
-    model = KMeans(k=k, maxIter=ITERATIONS, seed=seed).fit(points)
-    centers = vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "center long, c array<double>")
-    values = points.select("name", vector_to_array("features").alias("v"))
-    distance = F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
-    # centres go to the names in blocks of the join: k is n / capacity
-    ranked = values.join(centers).select("name", "center", F.row_number().over(Window.partitionBy("name").orderBy(distance, "center")).alias("choice"))
-    ranked = shared_table(ranked, "choices")
-    taken, free = None, shared_table(values.select("name"), "free")
-    room = centers.select("center", F.lit(capacity).alias("room"))
-    for choice in range(1, k + 1):
-        asks = free.join(ranked.where(F.col("choice") == choice), "name").join(room, "center")
-        got = asks.withColumn("_n", F.row_number().over(Window.partitionBy("center").orderBy("name"))).where("_n <= room").select("name", F.col("center").alias("cluster"))
-        got = shared_table(got, "taken")
+    centers = np.array(KMeans(k=k, maxIter=ITERATIONS, seed=seed).fit(points).clusterCenters())
+    taken, free = None, shared_table(points.select("name", vector_to_array("features").alias("v")), "free")
+    room = np.full(k, capacity)
+    while (room > 0).any():
+        open_ = np.flatnonzero(room > 0)
+        shared = spark.sparkContext.broadcast((open_, centers[open_]))
+
+        def ask(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, own = shared.value
+            for batch in batches:
+                v = np.array(batch.column("v").to_pylist(), np.float64).reshape(batch.num_rows, own.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("v"), pa.array(ids[_nearest(v, own)])], names=["name", "v", "center"])
+
+        asks = free.mapInArrow(ask, "name string, v array<double>, center long")
+        rooms = spark.createDataFrame([(int(i), int(room[i])) for i in open_], "_c long, room long")
+        placed = asks.withColumn("_n", F.row_number().over(Window.partitionBy("center").orderBy("name"))).join(rooms, F.col("center") == F.col("_c"))
+        placed = shared_table(placed.select("name", "v", "center", (F.col("_n") <= F.col("room")).alias("in")), "asks")
+        got = placed.where("in").select("name", F.col("center").alias("cluster"))
         taken = got if taken is None else taken.unionByName(got)
-        free = shared_table(free.join(got, "name", "left_anti"), "free")
+        for r in got.groupBy("cluster").agg(F.count("*").alias("n")).collect():  # a row for each centre
+            room[r["cluster"]] -= r["n"]
+        free = placed.where("not in").select("name", "v")
         if free.isEmpty():
             break
-        used = taken.groupBy(F.col("cluster").alias("center")).agg(F.count("*").alias("_u"))
-        room = centers.select("center").join(used, "center", "left").select("center", (F.lit(capacity) - F.coalesce("_u", F.lit(0))).alias("room"))
     return taken.unionByName(free.select("name", F.lit(k).cast("long").alias("cluster")))
 
 
-def fold_cluster(names: list[str], ask) -> list[tuple[str, str]]:
-    """(rep, member) of a cluster: its last name is asked for duplicates among the rest, and so on.
-
-    ``ask(name, rest)`` gives (alias, duplicates). Repeated or unknown duplicates are left out; the
-    alias names the group only if there are duplicates.
+def local_clusters(names: list[str], v: np.ndarray, capacity: int = CAPACITY, seed: int = SEED) -> list[int]:
+    """Clusters of one graph's names, by the same rules in one task."""
+    n = len(names)
+    if n <= capacity:
+        return [0] * n
+    k = n // capacity
+    centers = v[np.random.default_rng(seed).choice(n, k, replace=False)]
+    for _ in range(ITERATIONS):
+        own = _nearest(v, centers)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, own, v)
+        counts = np.bincount(own, minlength=k)[:, None]
+        centers = np.where(counts > 0, sums / np.maximum(counts, 1), centers)
+    out, room = np.full(n, k), np.full(k, capacity)
+    free = np.array(sorted(range(n), key=names.__getitem__))
+    while len(free) and (room > 0).any():
+        open_ = np.flatnonzero(room > 0)
+        for center, own in pd.Series(free).groupby(open_[_nearest(v[free], centers[open_])]):
+            own = own.to_numpy()[: room[center]]
+            out[own] = center
+            room[center] -= len(own)
+        free = free[out[free] == k]
+    return out.tolist()
+
+
+def nearest_candidates(item: str, rest: list[str], vectors: dict[str, np.ndarray], k: int = CANDIDATES) -> list[str]:
+    """The k names of the rest that rank first for the item by half BM25 and half cosine, ties by name; in the rest's order."""
+    if len(rest) <= k:
+        return rest
+    terms = [x.lower().split() for x in rest]
+    mean = sum(map(len, terms)) / len(terms) or 1.0
+    df = Counter(t for own in terms for t in set(own))
+    weight = {t: np.log(len(rest) - n + 0.5) - np.log(n + 0.5) for t, n in df.items()}
+    floor = EPSILON * (sum(weight.values()) / len(weight)) if weight else 0.0
+    asked = Counter(item.lower().split())
+
+    def score(at: int) -> float:
+        tf, size = Counter(terms[at]), K1 * (1 - B + B * len(terms[at]) / mean)
+        words = sum(n * (w if (w := weight.get(t, 0.0)) >= 0 else floor) * tf[t] * (K1 + 1) / (tf[t] + size) for t, n in asked.items() if tf[t])
+        a, b = vectors.get(item), vectors.get(rest[at])
+        length = 0.0 if a is None or b is None else float(np.linalg.norm(a) * np.linalg.norm(b))
+        return 0.5 * words + 0.5 * (float(a @ b) / length if length else 0.0)
+
+    best = sorted(range(len(rest)), key=lambda i: (-score(i), rest[i]))[:k]
+    return [rest[i] for i in sorted(best)]
+
+
+def fold_cluster(names: list[str], ask, candidates=lambda item, rest: rest) -> list[tuple[str, str]]:
+    """(rep, member) of a cluster: its last name is asked for duplicates among the rest's candidates, and so on.
+
+    ``ask(name, candidates)`` gives (alias, duplicates). Repeated or unknown duplicates are left out;
+    the alias names the group only if there are duplicates.
     """
     rest, out = list(names), []
     while rest:
         item = rest.pop()
-        alias, found = ask(item, list(rest))
-        dups = [d for d in dict.fromkeys(found) if d in rest]
+        shown = candidates(item, list(rest))
+        alias, found = ask(item, shown)
+        dups = [d for d in dict.fromkeys(found) if d in shown]
         rest = [x for x in rest if x not in set(dups)]
         out += [(alias if dups else item, m) for m in (item, *dups)]
     return out
@@ -69,13 +134,16 @@ def fold_cluster(names: list[str], ask) -> list[tuple[str, str]]:
 def lm_clusters(clustered: DataFrame, backend) -> tuple[DataFrame, DataFrame]:
     """((graph_id, ord, rep, member), errors): each cluster folded by the backend's ``duplicates``.
 
-    A cluster whose fold fails keeps its names as they are, and is an error row.
+    The model is shown the CANDIDATES names that rank first for each item; embeddings, where the rows
+    have them, take part in the ranking. A cluster whose fold fails keeps its names as they are, and
+    is an error row.
     """
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         names, graph, cluster = sorted(frame["name"]), frame["graph_id"].iloc[0], int(frame["cluster"].iloc[0])
+        vectors = {n: np.asarray(v, float) for n, v in zip(frame["name"], frame["embedding"]) if v is not None} if "embedding" in frame else {}
         try:
-            pairs, error = fold_cluster(names, backend.duplicates), None
+            pairs, error = fold_cluster(names, backend.duplicates, lambda item, rest: nearest_candidates(item, rest, vectors)), None
         except Exception as e:  # kept as a row, not lost
             pairs, error = [(n, n) for n in names], f"{type(e).__name__}: {e}"
         return pd.DataFrame({"graph_id": graph, "ord": [cluster * 1_000_000 + i for i in range(len(pairs))], "rep": [p[0] for p in pairs], "member": [p[1] for p in pairs], "error": error})
@@ -85,25 +153,33 @@ def lm_clusters(clustered: DataFrame, backend) -> tuple[DataFrame, DataFrame]:
     return out.drop("error"), out.where("error is not null").select("graph_id", "ord", "error")
 
 
-def lm_deduplicate(graph: KGFrames, embed, backend) -> KGFrames:
-    """The graph with names merged by the backend, cluster by cluster, and the clusters it made.
+def graph_clusters(names: DataFrame, embed, capacity: int = CAPACITY) -> DataFrame:
+    """(graph_id, name, cluster, embedding) of names (graph_id, name): each graph's clusters of bounded size.
 
-    Graphs are clustered one after another: each has its own centres.
+    Graphs of LOCAL names at most are a task each; only larger ones, each many tasks, come one after another.
     """
-    ids = [r["graph_id"] for r in graph.entities.select("graph_id").distinct().limit(1000).collect()]
-    if len(ids) == 1000:
-        raise ValueError("merge so many graphs in parts")
-    made = []
-    for names in (graph.entities, graph.predicates):
-        parts = []
-        for i in ids:
-            own = names.where(F.col("graph_id") == i)
-            vectors = embed(own.select(F.col("name").alias("node")).distinct()).withColumnRenamed("node", "name")
-            parts.append(capacity_clusters(vectors).withColumn("graph_id", F.lit(i)))
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        made.append(lm_clusters(whole, backend)[0])
+    names = names.select("graph_id", "name").distinct()
+    vectors = embed(names.select(F.col("name").alias("node")).distinct()).select(F.col("node").alias("name"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = shared_table(names.join(vectors, "name").select("graph_id", "name", "embedding"), "named")
+    sizes = rows.groupBy(F.col("graph_id").alias("_g")).agg(F.count("*").alias("_n"))
+    rows = rows.join(sizes, F.col("graph_id") == F.col("_g"))
+
+    def local(frame: pd.DataFrame) -> pd.DataFrame:
+        own = local_clusters(frame["name"].tolist(), np.array(frame["embedding"].tolist(), float), capacity)
+        return pd.DataFrame({"graph_id": frame["graph_id"], "name": frame["name"], "cluster": own, "embedding": frame["embedding"]})
+
+    small = rows.where(F.col("_n") <= capacity).select("graph_id", "name", F.lit(0).cast("long").alias("cluster"), "embedding")
+    middle = rows.where((F.col("_n") > capacity) & (F.col("_n") <= LOCAL)).select("graph_id", "name", "embedding")
+    out = small.unionByName(middle.groupBy("graph_id").applyInPandas(local, "graph_id string, name string, cluster long, embedding array<double>"))
+    for r in sizes.where(F.col("_n") > LOCAL).toLocalIterator():
+        own = rows.where(F.col("graph_id") == r["_g"]).select("graph_id", "name", "embedding")
+        out = out.unionByName(own.join(capacity_clusters(own, capacity), "name").select("graph_id", "name", "cluster", "embedding"))
+    return out
+
+
+def lm_deduplicate(graph: KGFrames, embed, backend) -> KGFrames:
+    """The graphs with names merged by the backend, cluster by cluster, and the clusters it made."""
+    made = [lm_clusters(graph_clusters(names, embed), backend)[0] for names in (graph.entities, graph.predicates)]
     entities, predicates = (first_match(m) for m in made)
     triples = rewrite(graph.triples, entities, predicates)
     reps = lambda m: m.select("graph_id", F.col("rep").alias("name")).distinct()
@@ -114,16 +190,16 @@ def hashing_embedder(dim: int = 64):
     """An embedder without a model: hashed letter trigrams, as unit vectors."""
 
     def vectors(it):
-        from zlib import crc32
-
         for frame in it:
-            rows = []
-            for name in frame["node"]:
-                v, text = np.zeros(dim), f"  {name.lower()} "
-                for i in range(len(text) - 2):
-                    h = crc32(text[i : i + 3].encode())
-                    v[h % dim] += 1 if h & 1024 else -1
-                rows.append((v / max(np.linalg.norm(v), 1e-12)).tolist())
-            yield pd.DataFrame({"node": frame["node"], "embedding": rows})
+            names = frame["node"].tolist()
+            codes = [np.array([ord(c) for c in f"  {n.lower()} "], np.uint64) for n in names]
+            owner = np.repeat(np.arange(len(names)), [len(c) - 2 for c in codes])
+            flat = [np.concatenate([c[j : len(c) - 2 + j] for c in codes] or [np.zeros(0, np.uint64)]) for j in range(3)]
+            h = (flat[0] * np.uint64(0x9E3779B97F4A7C15) + flat[1] * np.uint64(0xBF58476D1CE4E5B9) + flat[2]) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(29)
+            rows = np.zeros((len(names), dim))
+            np.add.at(rows, (owner, (h % np.uint64(dim)).astype(np.int64)), np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0))
+            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+            yield pd.DataFrame({"node": frame["node"], "embedding": rows.tolist()})
 
     return lambda names: names.select("node").mapInPandas(vectors, "node string, embedding array<double>")

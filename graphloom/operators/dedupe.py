@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import words
+from graphloom.functions.text import dot, norm, words
 from graphloom.schema import KGFrames
 from graphloom.storage import shared_table
 
@@ -92,38 +94,73 @@ def independent_set(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return alone.unionByName(dropped)
 
 
+def _bands(threshold: float, rows: int) -> tuple[int, int]:
+    """Bits of a band and bands: a pair at the threshold is missed with a chance of MISSED, and unlike pairs seldom meet."""
+    agree = 1 - float(np.arccos(min(max(threshold, -1.0), 1.0))) / np.pi
+    bits = min(24, max(4, int(np.log2(max(rows, 2))) - 2))
+    while bits > 1 and np.log(MISSED) / np.log1p(-(agree**bits)) > MOST_BANDS:
+        bits -= 1
+    return bits, max(1, int(np.ceil(np.log(MISSED) / np.log1p(-(agree**bits) + 1e-15))))
+
+
+MISSED, MOST_BANDS = 1e-9, 192
+
+
 def similar_pairs(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Pairs (a, b) of vectors (node, embedding) of cosine similarity at least ``threshold``.
 
-    Exact: unit vectors are dealt by the cell of their largest coordinates' ranges. A vector's
-    product with a fixed direction differs between similar vectors by sqrt(2 - 2 * threshold) at
-    most, so cells of that width, and their neighbours, hold all partners. Two directions make a grid.
+    Candidates share a band of random hyperplanes' signs: at the threshold itself a pair is missed
+    with a chance of MISSED, above it with less. Candidates are compared in full, a pair once.
+    Vectors that are equal to a bit meet as one: their pairs are those of their least node, and each
+    is paired with that.
     """
-    from graphloom.functions.text import dot, norm
-
-    width = float((2 - 2 * threshold) ** 0.5) + 1e-9
+    distinct = vectors.groupBy("embedding").agg(F.min("node").alias("node"))
     size = norm(F.col("embedding"))
-    unit = vectors.withColumn("_size", size).where("_size > 0").select("node", F.transform("embedding", lambda x: x.cast("double") / F.col("_size")).alias("u"))
-    # two fixed directions of unit length: even and odd coordinates
-    parts = [F.aggregate(F.filter("u", (lambda r: lambda x, i: i % 2 == r)(r)), F.lit(0.0), lambda a, x: a + x) / F.sqrt(F.ceil(F.size("u") / 2)) for r in (0, 1)]
-    celled = unit.select("node", "u", *[F.floor(p / width).cast("long").alias(f"c{i}") for i, p in enumerate(parts)])
-    near = celled.select(F.col("node").alias("b"), F.col("u").alias("ub"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.struct((F.col("c0") + (k % 3) - 1).alias("c0"), (F.col("c1") + F.floor(k / 3) - 1).cast("long").alias("c1")))).alias("c")).select("b", "ub", "c.*")
-    met = celled.join(near, ["c0", "c1"]).where("node < b")
-    return met.where(dot(F.col("u"), F.col("ub")) >= threshold).select(F.col("node").alias("a"), "b")
+    unit = distinct.withColumn("_size", size).where("_size > 0").select("node", F.transform("embedding", lambda x: x.cast("double") / F.col("_size")).alias("u"))
+    unit = shared_table(unit, "units")
+    bits, bands = _bands(threshold, unit.count())
+    kind = dict(unit.dtypes)["node"]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        powers = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            parts: list[np.ndarray] = []
+            for row in batch.column("u").to_pylist():
+                if len(row) not in planes:
+                    planes[len(row)] = np.random.default_rng(len(row)).normal(size=(len(row), bands * bits))
+                parts.append((np.array(row) @ planes[len(row)] > 0).reshape(bands, bits) @ powers)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tolist() for x in parts], pa.list_(pa.int64()))], names=["node", "u", "bands"])
+
+    signed = shared_table(unit.mapInArrow(sign, f"node {kind}, u array<double>, bands array<long>"), "signed")
+    rows = signed.select("node", F.posexplode("bands").alias("band", "bucket"))
+    pairs = rows.alias("x").join(rows.alias("y"), ["band", "bucket"]).where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    left, right = (unit.select(F.col("node").alias(n), F.col("u").alias(f"_u{n}")) for n in "ab")
+    good = pairs.join(left, "a").join(right, "b").where(dot(F.col("_ua"), F.col("_ub")) >= threshold).select("a", "b")
+    copies = vectors.join(distinct.select("embedding", F.col("node").alias("a")), "embedding").where("node <> a").select("a", F.col("node").alias("b"), "embedding")
+    return good.unionByName(copies.where(norm(F.col("embedding")) > 0).select("a", "b"))
 
 
 def semantic(names: DataFrame, embed: Callable[[DataFrame], DataFrame], threshold: float = 0.95) -> DataFrame:
     """(graph_id, name, norm, chosen) after spelling and similarity: normal forms in order, each
     dropping later ones that are as similar; ``embed`` turns (node) into (node, embedding)."""
     spelled = collapse(names)
-    forms = spelled.select("graph_id", "norm").distinct()
-    links = similar_pairs(embed(forms.select(F.col("norm").alias("node")).distinct()), threshold)
+    forms = shared_table(spelled.select("graph_id", "norm").distinct(), "forms")
+    vectors = shared_table(embed(forms.select(F.col("norm").alias("node")).distinct()), "vectors")
+    first = vectors.groupBy("embedding").agg(F.min("node").alias("first"))
+    of = vectors.join(first, "embedding").where(norm(F.col("embedding")) > 0).select(F.col("node").alias("norm"), F.col("first").alias("same"))
+    # within a graph equal vectors share the fate of the least of them there
     keyed = lambda c: F.struct("graph_id", F.col(c).alias("n"))
-    local = links.join(forms.withColumnRenamed("norm", "a"), "a").join(forms.withColumnRenamed("norm", "b"), ["b", "graph_id"])
-    kept = independent_set(forms.select(keyed("norm").alias("node")), local.select(keyed("a").alias("a"), keyed("b").alias("b")))
-    kept = kept.select(F.col("node.graph_id").alias("graph_id"), F.col("node.n").alias("norm"), F.col("keeper.n").alias("keeper"))
+    local = forms.join(of, "norm", "left").select("graph_id", "norm", F.coalesce("same", "norm").alias("same"))
+    least = local.groupBy("graph_id", "same").agg(F.min("norm").alias("low"))
+    links = similar_pairs(vectors.join(first.select(F.col("first").alias("node")), "node", "left_semi"), threshold)
+    ends = [least.select("graph_id", F.col("same").alias(c), F.col("low").alias(f"_{c}")) for c in "ab"]
+    near = links.join(ends[0], "a").join(ends[1], ["b", "graph_id"]).select("graph_id", "_a", "_b")
+    kept = independent_set(least.select(keyed("low").alias("node")), near.select(keyed("_a").alias("a"), keyed("_b").alias("b")))
+    kept = kept.select(F.col("node.graph_id").alias("graph_id"), F.col("node.n").alias("low"), F.col("keeper.n").alias("keeper"))
+    placed = local.join(least, ["graph_id", "same"]).join(kept, ["graph_id", "low"]).select("graph_id", "norm", "keeper")
     chosen = spelled.select("graph_id", F.col("norm").alias("keeper"), F.col("chosen").alias("_c")).distinct()
-    return spelled.join(kept, ["graph_id", "norm"]).join(chosen, ["graph_id", "keeper"]).select("graph_id", "name", "norm", F.col("_c").alias("chosen"))
+    return spelled.join(placed, ["graph_id", "norm"]).join(chosen, ["graph_id", "keeper"]).select("graph_id", "name", "norm", F.col("_c").alias("chosen"))
 
 
 def rewrite(triples: DataFrame, entities: DataFrame, predicates: DataFrame) -> DataFrame:
@@ -145,6 +182,11 @@ def statistics(mapping: DataFrame) -> DataFrame:
 METHODS = ("semhash", "lm_based", "full")
 
 
+def cluster(graph: KGFrames, **options) -> KGFrames:
+    """The graph de-duplicated, under the name that builders of graphs use."""
+    return deduplicate(graph, **options)
+
+
 def deduplicate(graph: KGFrames, method: str = "full", embed=None, backend=None, threshold: float = 0.95) -> KGFrames:
     """The graph without duplicate names. Methods but the first need an embedder and a backend."""
     from graphloom.operators.cluster import lm_deduplicate

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = ("high", "medium", "low", "unknown")
@@ -82,11 +82,41 @@ def evaluate(facts: DataFrame, contexts: DataFrame, backend) -> DataFrame:
     return done.unionByName(fresh)
 
 
-def payload(facts: DataFrame, retriever: str, k: int, depth: int, evaluator: str) -> DataFrame:
-    """One row: the configuration, each item's statistics and facts, and the totals."""
-    rows = F.sort_array(F.collect_list(F.struct("quality_level", "fact_pos", "fact", "difficulty", "score", "status"))).alias("fact_results")
-    items = item_stats(facts).join(facts.groupBy("item_id").agg(rows), "item_id")
-    return items.select(F.to_json(F.struct("*")).alias("dataset_stats")).withColumn("evaluation_config", F.to_json(F.struct(F.lit(retriever).alias("retrieval_model"), F.lit(k).alias("retrieval_k"), F.lit(depth).alias("retrieval_depth"), F.lit(evaluator).alias("evaluator_model"))))
+RESULT_FIELDS = ("fact", "difficulty", "relational_type", "confidence", "triples")
+
+
+def _result(columns: list[str]) -> Column:
+    """A fact's result: fields that the facts don't have are left out, and so are an empty corrected_fact, retrieval_stats and error."""
+    fields = [F.col("quality_level"), *[F.col(c) for c in RESULT_FIELDS if c in columns], F.col("score").alias("kg_entailment_score"), F.col("status").alias("evaluation_status")]
+    return F.struct(*fields, *[F.col(c) for c in ("corrected_fact", "retrieval_stats", "error") if c in columns])
+
+
+def item_results(facts: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """(id, title, evaluation_stats, fact_results): a row for each item, its facts by level and place.
+
+    ``titles`` (item_id, title) names items; others are called unknown.
+    """
+    level = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("quality_level"))
+    ordered = F.sort_array(F.collect_list(F.struct(level.alias("l"), F.col("fact_pos").alias("p"), _result(facts.columns).alias("r"))))
+    results = facts.groupBy("item_id").agg(F.transform(ordered, lambda x: x["r"]).alias("fact_results"))
+    stats = item_stats(facts)
+    out = results.join(stats.select("item_id", F.struct(*stats.columns[1:]).alias("evaluation_stats")), "item_id")
+    named = out.join(titles, "item_id", "left") if titles is not None else out.withColumn("title", F.lit(None).cast("string"))
+    return named.select(F.col("item_id").alias("id"), F.coalesce("title", F.lit("unknown")).alias("title"), "evaluation_stats", "fact_results")
+
+
+def payload(facts: DataFrame, retriever: str, k: int, depth: int, evaluator: str, titles: DataFrame | None = None) -> DataFrame:
+    """One row, the interchange form of a run: evaluation_config, dataset_stats (each item's statistics and facts) and overall_stats with its breakdown, as JSON.
+
+    It is a document for data sets that one document can hold; ``item_results`` gives the same rows without that bound.
+    """
+    items = item_results(facts, titles).agg(F.to_json(F.array_sort(F.collect_list(F.struct("*")), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))).alias("dataset_stats"))
+    kinds = difficulty_breakdown(facts)
+    each = F.map_from_entries(F.array_sort(F.collect_list(F.struct("difficulty", F.struct(*kinds.columns[1:]).alias("s")))))
+    overall = overall_stats(facts)
+    totals = overall.join(kinds.agg(each.alias("difficulty_breakdown"))).select(F.to_json(F.struct("*")).alias("overall_stats"))  # a row each
+    config = F.struct(F.lit(retriever).alias("retrieval_model"), F.lit(k).alias("retrieval_k"), F.lit(depth).alias("retrieval_depth"), F.lit(evaluator).alias("evaluator_model"))
+    return items.join(totals).select(F.to_json(config).alias("evaluation_config"), F.coalesce("dataset_stats", F.lit("[]")).alias("dataset_stats"), "overall_stats")
 
 
 def token_usage(history: DataFrame) -> DataFrame:

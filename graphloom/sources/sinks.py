@@ -11,16 +11,28 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import relationship_type
 from graphloom.operators import analytics
-from graphloom.operators.graph import endpoints, nested
+from graphloom.operators.graph import endpoints
 from graphloom.schema import KGFrames
 
 
 def graph_documents(graph: KGFrames) -> DataFrame:
-    """A row for each graph: graph_id and its JSON document."""
-    whole = nested(graph.triples)
-    names = graph.entities.groupBy("graph_id").agg(F.sort_array(F.collect_set("name")).alias("_e"))
-    whole = whole.join(names, "graph_id", "full").select("graph_id", F.array_sort(F.array_union(F.coalesce("_e", F.array().cast("array<string>")), F.coalesce("entities", F.array().cast("array<string>")))).alias("entities"), "edges", "relations")
-    return whole.select("graph_id", F.to_json(F.struct("entities", "edges", "relations")).alias("json"))
+    """A row for each graph: graph_id and its JSON document, with all that the graph holds.
+
+    ``unnest`` of the documents gives the graph again.
+    """
+    lists = lambda rows, value, name: rows.groupBy("graph_id").agg(F.sort_array(F.collect_set(value)).alias(name))
+    names = graph.entities.select("graph_id", "name").unionByName(endpoints(graph.triples).select("graph_id", "name"))
+    kinds = graph.predicates.select("graph_id", "name").unionByName(graph.triples.select("graph_id", F.col("p").alias("name")))
+    whole = lists(names, "name", "entities").join(lists(kinds, "name", "edges"), "graph_id", "full")
+    whole = whole.join(lists(graph.triples, F.array("s", "p", "o"), "relations"), "graph_id", "full")
+    for clusters, name in ((graph.entity_clusters, "entity_clusters"), (graph.predicate_clusters, "edge_clusters")):
+        if clusters is not None:
+            groups = clusters.groupBy("graph_id", "rep").agg(F.sort_array(F.collect_set("member")).alias("members"))
+            of = groups.groupBy("graph_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rep", "members")))).alias(name))
+            whole = whole.join(of, "graph_id", "left")
+    none = {"entities": "array<string>", "edges": "array<string>", "relations": "array<array<string>>"}
+    filled = [F.coalesce(F.col(c), F.array().cast(t)).alias(c) for c, t in none.items()]
+    return whole.select("graph_id", F.to_json(F.struct(*filled, *[c for c in whole.columns if c.endswith("_clusters")])).alias("json"))
 
 
 def write_json(graph: KGFrames, path: str) -> None:
@@ -82,11 +94,16 @@ def connection(uri: str, user: str, password: str, database: str | None = None)
     return out | ({"database": database} if database else {})
 
 
+def local_connection(user: str, password: str, host: str = "localhost", port: int = 7687) -> dict[str, str]:
+    """Options of a connection to a store on this or another machine, over the store's own protocol."""
+    return connection(f"bolt://{host}:{port}", user, password)
+
+
 def view_model(graph: KGFrames) -> dict[str, DataFrame]:
     """What a dashboard shows, a table for each part."""
     out = {
         "nodes": analytics.node_view(graph), "edges": analytics.edge_view(graph), "relations": analytics.relation_records(graph),
-        "topEntities": analytics.top_entities(graph), "topRelations": analytics.top_relations(graph), "stats": analytics.statistics(graph),
+        "topEntities": analytics.top_entities(graph), "topRelations": analytics.top_relations(graph), "stats": analytics.full_statistics(graph),
         "isolatedEntities": analytics.isolated(graph), "components": analytics.component_sizes(graph),
     }
     if graph.entity_clusters is not None:
@@ -96,9 +113,20 @@ def view_model(graph: KGFrames) -> dict[str, DataFrame]:
     return out
 
 
-def dashboard(graph: KGFrames, title: str = "graph", most_rows: int = 5000) -> str:
-    """An HTML page of a small graph. A graph of more than ``most_rows`` rows in a part, or without
-    entities, is an error: larger graphs are written as view-model tables."""
+PAGE = """<!doctype html><meta charset="utf-8"><title>{title}</title>
+<style>body{{font:14px sans-serif}}table{{border-collapse:collapse;margin:1em 0}}td,th{{border:1px solid #ccc;padding:2px 6px}}i{{display:inline-block;width:1em;height:1em}}</style>
+<h1>{title}</h1><main></main><script>const view={data};
+for(const [name,rows] of Object.entries(view)){{if(!rows.length)continue;const t=document.createElement("table"),keys=Object.keys(rows[0]);
+t.createCaption().textContent=name+" ("+rows.length+")";const head=t.createTHead().insertRow();keys.forEach(k=>head.insertCell().textContent=k);
+const body=t.createTBody();rows.forEach(r=>{{const row=body.insertRow();keys.forEach(k=>{{const c=row.insertCell();
+if(k=="color"){{const i=document.createElement("i");i.style.background=r[k];c.append(i)}}c.append(String(r[k]??""))}})}});document.querySelector("main").append(t)}}
+</script>"""
+
+
+def dashboard(graph: KGFrames, title: str = "graph", most_rows: int = 5000, path: str | None = None) -> str:
+    """An HTML page that shows a small graph's nodes, edges, clusters and rankings; with a path it is
+    written there too. A graph of more than ``most_rows`` rows in a part, or without entities, is an
+    error: larger graphs are written as view-model tables."""
     parts = {}
     for name, table in view_model(graph).items():
         rows = table.limit(most_rows + 1).toJSON().collect()
@@ -107,5 +135,13 @@ def dashboard(graph: KGFrames, title: str = "graph", most_rows: int = 5000) -> s
         parts[name] = [json.loads(r) for r in rows]
     if not parts["nodes"]:
         raise ValueError("the graph has no entities")
-    data = json.dumps(parts, ensure_ascii=False).replace("</", "<\\/")
-    return f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><pre id="view"></pre><script>const view={data};document.getElementById("view").textContent=JSON.stringify(view.stats,null,2);</script>'
+    page = PAGE.format(title=html.escape(title), data=json.dumps(parts, ensure_ascii=False).replace("</", "<\\/"))
+    if path is not None:
+        context = graph.triples.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+        try:
+            out.write(page.encode())
+        finally:
+            out.close()
+    return page
