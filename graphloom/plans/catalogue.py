@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import parse
 from graphloom.functions import text as tx
-from graphloom.operators import analytics, chunks, cluster, dedupe, evaluate, extract, graph, retrieve
+from graphloom.operators import analytics, backends, chunks, cluster, dedupe, evaluate, extract, graph, retrieve
 from graphloom.plans import fixtures as fx
+from graphloom.plans import lifecycles
 from graphloom.schema import KGFrames
-from graphloom.sources import sinks
+from graphloom.sources import json_records, property_graph, sinks
+from graphloom.storage import shared_path
+from graphloom.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -176,7 +179,7 @@ def _color_sql(x: str) -> str:
 
 @_query(f"SELECT n_name, {_color_sql('n_name')} AS color FROM nation")
 def color_hash(spark, d):
-    return fx.table(spark, d, "nation").select("n_name", tx.color(F.col("n_name")).alias("color"))
+    return tx.with_color(fx.table(spark, d, "nation").select("n_name"), F.col("n_name"))
 
 
 @_query(f"""WITH {fx.ACTIVITY}, {_EDGES}, k AS (SELECT DISTINCT p, {_color_sql("'predicate::' || p")} AS color FROM (SELECT DISTINCT p FROM act))
@@ -218,10 +221,33 @@ def cluster_view(spark, d):
     return analytics.cluster_view(_clusters(spark, d)).withColumn("members", F.array_join("members", "|"))
 
 
-@_query(f"""WITH RECURSIVE {fx.PLACE}, e AS (SELECT s AS a, o AS b FROM place UNION SELECT o, s FROM place), r(name, x) AS (SELECT a, a FROM e UNION SELECT r.name, e.b FROM r JOIN e ON r.x = e.a)
-SELECT 'kg' AS graph_id, name, min(x) AS component FROM r GROUP BY name""")
+_BOTH = f"{fx.KG}, {fx.ACTIVITY}, t AS (SELECT * FROM kg WHERE p <> 'has type' AND p <> 'based in' UNION SELECT * FROM act), e AS (SELECT s AS a, o AS b FROM t UNION SELECT o, s FROM t)"
+_COMPONENTS = """r(name, component) USING KEY (name) AS (SELECT a, a FROM (SELECT DISTINCT a FROM e)
+UNION (SELECT e.a, min(n.component) FROM e JOIN r n ON n.name = e.b JOIN recurring.r m ON m.name = e.a WHERE n.component < m.component GROUP BY e.a))"""
+
+
+def _both(spark, d):
+    """The triples of both graphs that leave several components, as one graph."""
+    kg = fx.kg(spark, d).where("p <> 'has type' and p <> 'based in'")
+    return graph.build(kg.unionByName(fx.activity(spark, d)).withColumn("graph_id", F.lit("all")))
+
+
+@_query(f"WITH RECURSIVE {_BOTH}, {_COMPONENTS} SELECT 'all' AS graph_id, name, component FROM r")
 def connected_components(spark, d):
-    return analytics.graph_components(graph.build(fx.place(spark, d)))
+    return analytics.graph_components(_both(spark, d))
+
+
+@_query(f"WITH RECURSIVE {_BOTH}, {_COMPONENTS}, z AS (SELECT component, count(*) AS size FROM r GROUP BY component) SELECT 'all' AS graph_id, component, size, row_number() OVER (ORDER BY size DESC, component)::INT AS rank FROM z")
+def component_sizes(spark, d):
+    return analytics.component_sizes(_both(spark, d))
+
+
+@_query(f"""WITH RECURSIVE {_BOTH}, {_COMPONENTS}, {{_CLUSTERS}}, n AS (SELECT count(*) AS n, count(DISTINCT component) AS c FROM r)
+SELECT 'all' AS graph_id, n AS entities, count(*) AS relations, count(DISTINCT p) AS predicates, 0::BIGINT AS isolated, round(2.0 * count(*) / n, 2)::DOUBLE AS average_degree, round(count(*)::DOUBLE / (n * (n - 1)), 3) AS density, c AS components,
+(SELECT count(DISTINCT rep) FROM cl) AS entity_clusters, 0::BIGINT AS edge_clusters FROM t, n GROUP BY n, c""".replace("{_CLUSTERS}", _CLUSTERS))
+def graph_stats_full(spark, d):
+    g = _both(spark, d)
+    return analytics.full_statistics(KGFrames(g.entities, g.predicates, g.triples, _clusters(spark, d).withColumn("graph_id", F.lit("all"))))
 
 
 @_query(f"""WITH {fx.ACTIVITY} SELECT 'activity' AS graph_id, name, array_to_string(list_sort(list(DISTINCT x)), '|') AS neighbors FROM (SELECT s AS name, o AS x FROM act UNION ALL SELECT o, s FROM act) GROUP BY name""")
@@ -255,7 +281,27 @@ def sentence_split(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", F.posexplode(chunks.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@_query()
+def _chunks_sql(size: int) -> str:
+    """Greedy packing as a fold: each sentence, and each word of a long one, is a state that holds it in its buffer."""
+    state = lambda out, buf: f"{{'out': {out}, 'buf': {buf}}}"
+    strip = lambda x: f"trim({x}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
+    full = lambda a, b: f"length({a}.buf) + length({b}.buf) + 1 > {size}"
+    flushed = lambda a: f"CASE WHEN length({a}.buf) > 0 THEN list_append({a}.out, {strip(a + '.buf')}) ELSE {a}.out END"
+    each = lambda words: f"list_transform({words}, lambda w: {state('[]::VARCHAR[]', 'w')})"
+    more = lambda a, b, out, keep: state(f"CASE WHEN {full(a, b)} THEN {out} ELSE {a}.out END", f"CASE WHEN {full(a, b)} THEN {keep} ELSE {a}.buf || {b}.buf || ' ' END")
+    start = f"[{state('[]::VARCHAR[]', chr(39) * 2)}]"
+    word = more("v", "w", f"list_append(v.out, {strip('v.buf')})", "w.buf || ' '")
+    packed = f"list_reduce({start} || {each('regexp_extract_all(s, ' + chr(39) + chr(92) + 'S+' + chr(39) + ')')}, lambda v, w: {word})"
+    long = "length(y.buf) > " + str(size)
+    sentence = more("x", "y", f"CASE WHEN {long} THEN ({flushed('x')}) || y.out ELSE {flushed('x')} END", f"CASE WHEN {long} THEN '' ELSE y.buf || ' ' END")
+    return f"""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\\n]+[.!?]*')) AS s, generate_subscripts(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), 1) AS i FROM documents),
+y AS (SELECT doc_id, i, {strip('s')} AS s FROM x), z AS (SELECT doc_id, i, s, CASE WHEN length(s) > {size} THEN {packed} END AS v FROM y WHERE s <> ''),
+l AS (SELECT doc_id, list({state(f"CASE WHEN v IS NULL THEN []::VARCHAR[] ELSE {flushed('v')} END", 's')} ORDER BY i) AS l FROM z GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce({start} || l, lambda x, y: {sentence}) AS v FROM l), c AS (SELECT doc_id, {flushed('v')} AS c FROM f)
+SELECT doc_id, unnest(c) AS text, (generate_subscripts(c, 1) - 1)::INT AS chunk_id FROM c"""
+
+
+@_query(_chunks_sql(500))
 def chunk_text_500(spark, d):
     return chunks.chunks(fx.table(spark, d, "documents"), 500)
 
@@ -373,22 +419,22 @@ def capacity_cluster_sizes(spark, d):
 
 
 def _asked(spark, d):
-    return fx.table(spark, d, "embeddings").where("vec_id % 100 = 7").select(F.lit("activity").alias("graph_id"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return fx.table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.lit("activity").alias("graph_id"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 _COS = "list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[])"
-_ASKED = "q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 7)"
+_ASKED = "q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)"
 _BEST = f"best AS (SELECT query_id, name, {_COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, name)::INT AS rank FROM q, vec QUALIFY rank <= 8)"
 
 
-@_query(f"WITH {fx.ACTIVITY}, {fx.VECTORS}, {_ASKED}, {_BEST} SELECT query_id, name, rank, round(score, 6) AS score FROM best")
+@_query(f"WITH vec AS (SELECT vec_id::VARCHAR AS name, embedding FROM embeddings), {_ASKED}, {_BEST} SELECT query_id, name, rank, round(score, 6) AS score FROM best")
 def cosine_topk(spark, d):
-    best = retrieve.relevant_nodes(_asked(spark, d), fx.node_vectors(spark, d, fx.activity(spark, d)), 8)
-    return best.select("query_id", "name", "rank", F.round("score", 6).alias("score"))
+    nodes = fx.table(spark, d, "embeddings").select(F.lit("activity").alias("graph_id"), F.col("vec_id").cast("string").alias("name"), "embedding")
+    return retrieve.relevant_nodes(_asked(spark, d), nodes, 8).select("query_id", "name", "rank", F.round("score", 6).alias("score"))
 
 
 _BM25 = """docs AS (SELECT p_partkey::VARCHAR AS name, regexp_extract_all(lower(p_type || ' ' || p_name), '\\S+') AS w FROM part),
-qs AS (SELECT p_partkey AS query_id, regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_name), '\\S+') AS w FROM part WHERE p_partkey % 100 = 1),
+qs AS (SELECT p_partkey AS query_id, regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_name), '\\S+') AS w FROM part WHERE p_partkey % 50 = 0),
 st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM docs), fr AS (SELECT name, term, count(*) AS tf FROM (SELECT name, unnest(w) AS term FROM docs) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM fr GROUP BY term), w0 AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS w FROM df, st), w1 AS (SELECT term, CASE WHEN w < 0 THEN 0.25 * (SELECT avg(w) FROM w0) ELSE w END AS idf FROM w0),
 bm AS (SELECT query_id, fr.name, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(docs.w) / avgdl))) AS score FROM (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(w) AS term FROM qs) GROUP BY ALL) JOIN w1 USING (term) JOIN fr USING (term) JOIN docs USING (name), st GROUP BY ALL)"""
@@ -397,7 +443,7 @@ bm AS (SELECT query_id, fr.name, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0
 def _bm25(spark, d):
     part = fx.table(spark, d, "part")
     corpus = part.select(F.col("p_partkey").cast("string").alias("name"), F.concat_ws(" ", "p_type", "p_name").alias("text"))
-    asked = part.where("p_partkey % 100 = 1").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type", "p_name").alias("text"))
+    asked = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type", "p_name").alias("text"))
     return retrieve.bm25_scores(asked, corpus)
 
 
@@ -406,12 +452,12 @@ def bm25_topk(spark, d):
     return retrieve.top_k(_bm25(spark, d).withColumn("score", F.round("score", 6)), 16).select("query_id", "name", "score", "rank")
 
 
-@_query(f"""WITH {_BM25}, e AS (SELECT vec_id::VARCHAR AS name, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 1),
+@_query(f"""WITH {_BM25}, e AS (SELECT vec_id::VARCHAR AS name, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
 h AS (SELECT query_id, name, round(0.5 * coalesce(bm.score, 0) + 0.5 * {_COS}, 6) AS score FROM (SELECT * FROM q, e) LEFT JOIN bm USING (query_id, name))
 SELECT query_id, name, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name)::INT AS rank FROM h QUALIFY rank <= 16""")
 def hybrid_topk(spark, d):
     e = fx.table(spark, d, "embeddings").withColumn("graph_id", F.lit("parts"))
-    asked = e.where("vec_id % 100 = 1").select("graph_id", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = e.where("vec_id % 50 = 0").select("graph_id", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     dense = retrieve.cosine_scores(asked, e.select("graph_id", F.col("vec_id").cast("string").alias("name"), "embedding"))
     scored = retrieve.hybrid_scores(_bm25(spark, d), dense).withColumn("score", F.round("score", 6))
     return retrieve.top_k(scored, 16).select("query_id", "name", "score", "rank")
@@ -421,15 +467,16 @@ _DI = "di AS (SELECT s, o, max(p) AS r FROM act GROUP BY s, o), sym AS (SELECT s
 
 
 def _khop(depth: int) -> str:
-    hops = ["h0 AS (SELECT DISTINCT s AS name FROM act WHERE s IN ('User#1', 'User#2'))"]
-    hops += [f"h{i} AS (SELECT name FROM h{i - 1} UNION SELECT b FROM h{i - 1} JOIN sym ON a = name)" for i in range(1, depth)]
-    return f"WITH {fx.ACTIVITY}, {_DI}, {', '.join(hops)} SELECT DISTINCT 'activity' AS graph_id, 1 AS query_id, s || ' ' || r || ' ' || o || '.' AS sentence FROM di WHERE s IN (SELECT name FROM h{depth - 1}) OR o IN (SELECT name FROM h{depth - 1})"
+    hops = ["h0 AS (SELECT DISTINCT user_id AS query_id, 'User#' || user_id AS name FROM events WHERE user_id % 50 = 0)"]
+    hops += [f"h{i} AS (SELECT query_id, name FROM h{i - 1} UNION SELECT query_id, b FROM h{i - 1} JOIN sym ON a = name)" for i in range(1, depth)]
+    return f"WITH {fx.ACTIVITY}, {_DI}, {', '.join(hops)} SELECT DISTINCT 'activity' AS graph_id, query_id, s || ' ' || r || ' ' || o || '.' AS sentence FROM di JOIN h{depth - 1} ON name = s OR name = o"
 
 
 def _context(spark, d, depth):
-    act = fx.activity(spark, d)
-    seeds = act.where(F.col("s").isin("User#1", "User#2")).select("graph_id", F.lit(1).alias("query_id"), F.col("s").alias("name")).distinct()
-    return retrieve.context(seeds, act, depth)
+    """The contexts of every fiftieth user."""
+    users = fx.table(spark, d, "events").where("user_id % 50 = 0").select("user_id").distinct()
+    seeds = users.select(F.lit("activity").alias("graph_id"), F.col("user_id").alias("query_id"), F.concat(F.lit("User#"), F.col("user_id").cast("string")).alias("name"))
+    return retrieve.context(seeds, fx.activity(spark, d), depth)
 
 
 @_query(_khop(1))
@@ -535,7 +582,143 @@ def external_graph_stats(spark, d):
     return sinks.property_stats(sinks.property_nodes(g), sinks.property_relationships(g))
 
 
-@_query("""WITH n AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{2,}') AS n FROM documents), p AS (SELECT doc_id, n, unnest(range(1, len(n))) AS i FROM n)
-SELECT DISTINCT doc_id::VARCHAR AS graph_id, n[i] AS s, 'precedes' AS p, n[i + 1] AS o FROM p""")
+_NEXT = "WITH n AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{2,}') AS n FROM documents), p AS (SELECT doc_id, n, unnest(range(1, len(n))) AS i FROM n)"
+
+
+@_query(f"{_NEXT} SELECT DISTINCT doc_id::VARCHAR AS graph_id, n[i] AS s, 'precedes' AS p, n[i + 1] AS o FROM p")
 def extract_pipeline_rule_based(spark, d):
     return extract.rule_triples(fx.table(spark, d, "documents"))
+
+
+@_query(f"{_NEXT} SELECT DISTINCT doc_id::VARCHAR AS graph_id, n[i] AS s, 'precedes' AS p, n[i + 1] AS o FROM p")
+def generate_graphs(spark, d):
+    """A graph for each document, by the whole run with the rule backend."""
+    return extract.generate(fx.table(spark, d, "documents").select("doc_id", "text"), backends.RuleBackend()).triples
+
+
+@_query("""WITH m AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role || ': ' || text) AS text FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id)
+SELECT DISTINCT conv_id::VARCHAR AS graph_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}')) AS name FROM m""")
+def generate_from_messages(spark, d):
+    """The entities of a graph for each conversation."""
+    messages = fx.table(spark, d, "conversations").where("text is not null and role is not null").select("conv_id", "turn", "role", "text")
+    return extract.generate_from_messages(messages, backends.RuleBackend()).entities
+
+
+@_query(f"{_NEXT} SELECT DISTINCT doc_id AS id, n[i] AS s, 'precedes' AS p, n[i + 1] AS o FROM p WHERE doc_id % 3 <> 0 OR n[i] <> 'The'")
+def extract_records(spark, d):
+    """Batch extraction of records; those of every third document have all triples that start with The already."""
+    docs = fx.table(spark, d, "documents").where("doc_id is not null")
+    had = extract.rule_triples(docs.where("doc_id % 3 = 0")).where("s = 'The'").groupBy(F.col("graph_id").cast("long").alias("doc_id")).agg(F.collect_list(F.array("s", "p", "o")).alias("triple"))
+    values = docs.select("doc_id", "text").join(had, "doc_id", "left").select(F.col("doc_id").alias("id"), F.to_json(F.struct("text", "triple")).alias("value"))
+    found, _ = extract.extract(extract.records_of(values), backends.RuleBackend())
+    return found.select("id", F.explode("triples").alias("t")).select("id", *[F.get("t", F.lit(i)).alias(c) for i, c in enumerate("spo")])
+
+
+@_query("""SELECT s_suppkey, '{"entities":["' || least(s_name, n_name) || '","' || greatest(s_name, n_name) || '"],"edges":["located in"],"relations":[["' || s_name || '","located in","' || n_name || '"]]}' AS extracted_kg FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def convert_records(spark, d):
+    """Records of suppliers, their triple twice, converted to graphs."""
+    rows = fx.table(spark, d, "supplier").join(fx.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    triple = F.array("s_name", F.lit("located in"), F.concat(F.lit(" "), "n_name"))
+    values = rows.select("s_suppkey", F.to_json(F.struct("s_suppkey", F.array(triple, triple, F.array("s_name")).alias("triple"))).alias("value"))
+    done = lifecycles.convert_records(values.select("value"))
+    return done.select(F.get_json_object("value", "$.s_suppkey").cast("long").alias("s_suppkey"), "extracted_kg")
+
+
+def _items(spark, d):
+    """An item for each nation: the graph of its suppliers, true facts under high and false ones under low."""
+    rows = fx.table(spark, d, "supplier").join(fx.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("difficulty", "string"), ("kg_entailment_score", "int"), ("evaluation_status", "string"), ("error", "string"))]
+    facts = lambda place: F.collect_list(F.struct(F.concat("s_name", F.lit(" located in "), place).alias("fact"), *none))
+    level = lambda name, list_: F.struct(F.lit(name).alias("key"), list_.alias("value"))
+    kg = F.struct(F.array_append(F.collect_set("s_name"), F.first("n_name")).alias("entities"), F.array(F.lit("located in")).alias("edges"), F.collect_set(F.array("s_name", F.lit("located in"), "n_name")).alias("relations"))
+    levels = F.map_from_entries(F.array(level("high", facts(F.col("n_name"))), level("low", facts(F.lit("nowhere")))))
+    items = rows.groupBy(F.col("n_name").alias("id")).agg(kg.alias("extracted_kg"), levels.alias("relational_facts"))
+    return items
+
+
+@_query("""SELECT n_name AS item_id, 'high' AS quality_level, s_name || ' located in ' || n_name AS fact, 1 AS score, 'scored' AS status FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT n_name, 'low', s_name || ' located in nowhere', 0, 'scored' FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def evaluate_items(spark, d):
+    """Each nation's graph against true and false facts of its suppliers: retrieved for, and judged by rule."""
+    items = _items(spark, d)
+    done = lifecycles.evaluate_items(items, cluster.hashing_embedder(), backends.RuleBackend())
+    return done.select("item_id", "quality_level", "fact", "score", "status")
+
+
+@_query("SELECT DISTINCT n_name AS graph_id, upper(s_name) AS s, 'LOCATED IN' AS p, n_name AS o FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def lm_deduplicate(spark, d):
+    """Graphs of nations whose suppliers and predicate stand in two spellings, merged by the rule backend within bounded clusters."""
+    rows = fx.table(spark, d, "supplier").join(fx.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    spelled = F.explode(F.array(F.struct(F.col("s_name").alias("s"), F.lit("located in").alias("p")), F.struct(F.upper("s_name").alias("s"), F.lit("LOCATED IN").alias("p"))))
+    triples = rows.select(F.col("n_name").alias("graph_id"), F.col("n_name").alias("o"), spelled.alias("x")).select("graph_id", "x.s", "x.p", "o")
+    return cluster.lm_deduplicate(graph.build(triples), cluster.hashing_embedder(), backends.RuleBackend()).triples
+
+
+# --- files, stores and streams ----------------------------------------------------------------
+
+
+@_query(f"WITH {fx.PLACE} SELECT 'kg' AS graph_id, s, p, o FROM place")
+def graph_json_round_trip(spark, d):
+    """A graph written as a JSON document and read again."""
+    path = shared_path(spark, "graph")
+    sinks.write_json(graph.build(fx.place(spark, d)), path)
+    return json_records.graph_file(spark, path, "kg").triples
+
+
+@_query(f"WITH {fx.PLACE} SELECT name FROM (SELECT s AS name FROM place UNION SELECT o FROM place) WHERE name >= 'K'")
+def store_round_trip(spark, d):
+    """Nodes of a graph uploaded twice to a property-graph store, by query."""
+    sink = sinks.PropertyGraphSink(shared_path(spark, "store"))
+    for _ in range(2):
+        sink.upload(graph.build(fx.place(spark, d)))
+    return property_graph.query_graph(spark, sink.path, "select name from {nodes} where name >= :low", low="K")
+
+
+@_query(f"WITH {fx.ACTIVITY} SELECT 'activity' AS graph_id, s, p, o FROM act")
+def stream_union(spark, d):
+    """The union of two overlapping batches of triples, each streamed once, the second by a checkpoint of its own."""
+    source, target = shared_path(spark, "source"), shared_path(spark, "target")
+    act = fx.activity(spark, d)
+    for number, part in enumerate((act.where("p < 'd'"), act)):
+        part.write.parquet(f"{source}/{number}")
+        incremental.union_stream(spark, f"{source}/{number}", target, shared_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(target).select("graph_id", "s", "p", "o")
+
+
+@_query("""SELECT s_suppkey, '["' || s_name || '","located in","' || n_name || '"]' AS triple FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def convert_file(spark, d):
+    """A file of records converted and written; the triple of each written graph."""
+    rows = fx.table(spark, d, "supplier").join(fx.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    record = F.struct("s_suppkey", F.array(F.array("s_name", F.lit("located in"), "n_name")).alias("triple"))
+    source, target = shared_path(spark, "records"), shared_path(spark, "converted")
+    rows.agg(F.to_json(F.collect_list(record)).alias("value")).write.text(source)
+    lifecycles.convert_file(spark, source, target)
+    return spark.read.text(target).select(F.get_json_object("value", "$.s_suppkey").cast("long").alias("s_suppkey"), F.get_json_object("value", "$.extracted_kg.relations[0]").alias("triple"))
+
+
+@_query(f"{_NEXT} SELECT DISTINCT doc_id AS id, n[i] AS s, 'precedes' AS p, n[i + 1] AS o FROM p")
+def extract_resumed(spark, d):
+    """Extraction saved in slices: half of the documents by an earlier run, the others by the next."""
+    docs, path = fx.table(spark, d, "documents").where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"), shared_path(spark, "extracted")
+    config = extract.ExtractConfig(save_interval=1000)
+    for part in (docs.where("id % 2 = 0"), docs):
+        lifecycles.extract_to(part, path, backends.RuleBackend(), config)
+    return spark.read.parquet(path).select("id", F.explode("triple").alias("t")).select("id", *[F.get("t", F.lit(i)).alias(c) for i, c in enumerate("spo")])
+
+
+@_query("SELECT 2 * count(*) AS total_facts, 2 * count(*) AS scored_facts, count(*) AS correct_facts, 0::BIGINT AS service_error_facts, 0::BIGINT AS error_facts, 0.5::DOUBLE AS accuracy FROM supplier")
+def evaluate_dataset(spark, d):
+    """Totals of a file of items, evaluated and saved in slices; the second run brings back the scores of the first."""
+    source, output = shared_path(spark, "dataset"), shared_path(spark, "results")
+    _items(spark, d).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(source)
+    for _ in range(2):
+        totals = lifecycles.evaluate_dataset(spark, source, output, cluster.hashing_embedder(), backends.RuleBackend(), save_interval=100)
+    return totals
+
+
+@_query("SELECT 'brands' AS graph_id, name, p_brand AS norm FROM (SELECT DISTINCT p_brand, translate(p_brand, 'Brand', 'Ｂｒａｎｄ') AS name FROM part)")
+def nfkc_names(spark, d):
+    """Normal forms of names in full-width letters."""
+    wide = F.translate("p_brand", "Brand", "Ｂｒａｎｄ")
+    names = fx.table(spark, d, "part").select(F.lit("brands").alias("graph_id"), wide.alias("name")).distinct()
+    return dedupe.collapse(names).select("graph_id", "name", "norm")

@@ -45,7 +45,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of documents with labels, some scored."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("fact")).join(table(spark, sf_dir, "labels"), "doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("fact")).join(table(spark, sf_dir, "labels"), "doc_id")
     i = F.col("doc_id")
     level = F.when(F.col("quality") == 1, F.when(F.col("toxic") == 0, "high").otherwise("medium")).otherwise(F.when(F.col("toxic") == 0, "low").otherwise("unknown"))
     status = F.when(i % 7 == 0, "service_error").when(i % 11 == 0, "error").otherwise("scored")
@@ -57,12 +57,14 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_vectors(spark: SparkSession, sf_dir: str, triples: DataFrame) -> DataFrame:
-    """(graph_id, name, embedding): the n-th name in order has the vector of id n - 1."""
-    from pyspark.sql import Window
+    """(graph_id, name, embedding): each name of the graph has the vector whose place is the name's, by code point, modulo the number of vectors."""
+    from graphloom.operators.graph import endpoints, ranked
 
-    names = triples.select("graph_id", F.explode(F.array("s", "o")).alias("name")).distinct()
-    numbered = names.withColumn("vec_id", (F.row_number().over(Window.partitionBy("graph_id").orderBy("name")) - 1).cast("long"))
-    return numbered.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").select("graph_id", "name", "embedding")
+    numbered = ranked(endpoints(triples).distinct(), "graph_id", [F.col("name")])
+    vectors = table(spark, sf_dir, "embeddings").select(F.lit("e").alias("e"), "vec_id", "embedding")
+    vectors = ranked(vectors, "e", [F.col("vec_id")], "place").select("place", "embedding")
+    size = vectors.agg(F.count("*").alias("size"))  # one row
+    return numbered.join(F.broadcast(size)).join(vectors, F.col("rank") % F.col("size") == F.col("place")).select("graph_id", "name", "embedding")
 
 
 PLACE = """place AS (SELECT s_name AS s, 'located in' AS p, n_name AS o FROM supplier JOIN nation ON s_nationkey = n_nationkey
@@ -73,8 +75,8 @@ kg AS (SELECT * FROM place UNION SELECT c_name, 'based in', n_name FROM customer
   UNION SELECT s_name, 'supplies', 'Part#' || l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey)"""
 ACTIVITY = """act AS (SELECT DISTINCT 'User#' || user_id AS s, event_type AS p, 'Item#' || json_extract_string(props, '$.k') AS o FROM events)"""
 FACTS = """facts AS (SELECT (doc_id % 50)::VARCHAR AS item_id, CASE WHEN quality = 1 THEN CASE WHEN toxic = 0 THEN 'high' ELSE 'medium' END ELSE CASE WHEN toxic = 0 THEN 'low' ELSE 'unknown' END END AS quality_level,
-  doc_id::INT AS fact_pos, substr(text, 1, 40) AS fact, ['easy', 'medium', 'hard', 'unknown'][(doc_id % 4)::INT + 1] AS difficulty,
+  doc_id::INT AS fact_pos, text AS fact, ['easy', 'medium', 'hard', 'unknown'][(doc_id % 4)::INT + 1] AS difficulty,
   CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN NULL ELSE quality END AS score,
   CASE WHEN doc_id % 7 = 0 THEN 'service_error' WHEN doc_id % 11 = 0 THEN 'error' ELSE 'scored' END AS status FROM documents JOIN labels USING (doc_id))"""
 VECTORS = """names AS (SELECT s AS name FROM act UNION SELECT o FROM act),
-vec AS (SELECT name, embedding FROM (SELECT name, row_number() OVER (ORDER BY name) - 1 AS vec_id FROM names) JOIN embeddings USING (vec_id))"""
+vec AS (SELECT name, embedding FROM (SELECT name, (row_number() OVER (ORDER BY name) - 1) % (SELECT count(*) FROM embeddings) AS place FROM names) JOIN (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings) USING (place))"""
