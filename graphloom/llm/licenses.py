@@ -6,8 +6,11 @@ shingles (1 at least), so that some window holds any passage of n shingles whole
 holds a share CONTAINMENT of a template's shingles, the Jaccard similarity J of both is at least
 CONTAINMENT * n / (n + stride - 1 + (1 - CONTAINMENT) * n), and one of the BANDS bands of one row
 agrees with a probability of 1 - (1 - J)**BANDS: 0.999997 at the least J of all templates
-(`collision_bound`). An index of the templates' bands finds candidates; then the window with n
-shingles on either side, inside its document, must hold CONTAINMENT of the template's shingles.
+(`collision_bound`). An index of the templates' bands finds candidates; then some n shingles running
+in the window or next to it, inside its document, must hold CONTAINMENT of the template's shingles.
+
+Templates are short licenses whole, and of long ones the notices and headers that go into files; what
+isn't among them isn't found. Other templates can be given.
 
 Null and empty texts, and texts of fewer than five words, hold no license. Repeated rows are
 scanned one by one; other columns are left out. Very long texts are scanned whole.
@@ -16,6 +19,7 @@ scanned one by one; other columns are left out. Very long texts are scanned whol
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,20 +29,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import LOWER, UPPER, read, small_batches
 from graphloom.llm.features import Words
+from graphloom.llm.license_texts import TEXTS as TEMPLATES
 from graphloom.llm.neardup import _word, mixed
 
-# Short notices and opening passages of public licenses.
-TEMPLATES: dict[str, str] = {
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "mit-notice": "Released under the MIT License.",
-    "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
-}
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 20
 TOKEN = re.compile(rb"[a-z0-9]+")
 _WORDS = Words(_word)
@@ -70,6 +63,25 @@ def _shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, owner
 
 
+def most_running(template: np.ndarray, hashes: np.ndarray) -> int:
+    """The most of the template's n different shingles that stand in n running ones."""
+    n = len(template)
+    at = np.flatnonzero(np.isin(hashes, template))
+    if len(np.unique(hashes[at])) <= 1 or at[-1] - at[0] < n:
+        return len(np.unique(hashes[at]))
+    kinds = np.searchsorted(template, hashes[at]).tolist()
+    counts, most, start = Counter(), 0, 0
+    for place, kind in zip(at.tolist(), kinds):
+        counts[kind] += 1
+        while place - at[start] >= n:
+            counts[kinds[start]] -= 1
+            if not counts[kinds[start]]:
+                del counts[kinds[start]]
+            start += 1
+        most = max(most, len(counts))
+    return most
+
+
 def _row(hashes: np.ndarray, band: int) -> np.ndarray:
     """The hashes in the band's order; places without a shingle stay last."""
     x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (band + 1) % 2**64)) * np.uint64(2 * band + 0xBF58476D1CE4E5B9)
@@ -122,7 +134,7 @@ class Index:
             at = slice(max(0, w * _stride(n) - n), w * _stride(n) + 3 * n + _stride(n))
             own, region = owner[at], hashes[at]
             for text in np.unique(own).tolist():
-                if self.names[i] not in found[text] and np.isin(self.sets[i], region[own == text]).mean() >= CONTAINMENT:
+                if self.names[i] not in found[text] and most_running(self.sets[i], region[own == text]) >= CONTAINMENT * n:
                     found[text].add(self.names[i])
         return [sorted(x) for x in found]
 
