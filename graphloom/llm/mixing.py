@@ -31,6 +31,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Rows of a range of keys, about.
 RANGE_ROWS = 2000
+#: Ranges that are summed up together.
+STRETCH = 4096
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -84,8 +86,14 @@ def _mix(docs: DataFrame, columns: list[str], id_col: str, source_col: str, text
     rows = sized.join(broadcast_if_small(sources), F.col("_source").eqNullSafe(F.col("_s")))
     rows = rows.withColumn("_range", F.floor(place * F.col("_ranges") / F.lit(float(1 << 32))).cast("long"))
     sums = rows.groupBy("_s", "_range").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("_s").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("_s").alias("_s2"), F.col("_range").alias("_range2"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    # ranges are summed up within stretches of STRETCH, and stretches within the source, so no task sees all ranges of a source
+    sums = sums.withColumn("_stretch", F.floor(F.col("_range") / STRETCH))
+    before = lambda *of: Window.partitionBy(*of[:-1]).orderBy(of[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    whole = sums.groupBy(F.col("_s").alias("_s1"), F.col("_stretch").alias("_stretch1")).agg(F.sum("_sum").alias("_sum1"))
+    whole = whole.select("_s1", "_stretch1", F.coalesce(F.sum("_sum1").over(before("_s1", "_stretch1")), F.lit(0)).alias("_first"))
+    own = F.coalesce(F.sum("_sum").over(before("_s", "_stretch", "_range")), F.lit(0))
+    sums = sums.withColumn("_own", own).join(whole, F.col("_s").eqNullSafe(F.col("_s1")) & (F.col("_stretch") == F.col("_stretch1")))
+    sums = sums.select(F.col("_s").alias("_s2"), F.col("_range").alias("_range2"), (F.col("_first") + F.col("_own")).alias("_offset"))
     within = Window.partitionBy("_s", "_range").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(sums, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_range") == F.col("_range2")))
     rows = rows.withColumn("_start", F.col("_offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))

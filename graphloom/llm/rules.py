@@ -6,7 +6,7 @@ documents prove that at most ``alpha`` of the good ones are rejected: the exact
 P(Bin(n, alpha) <= rejected) must not exceed ``delta`` over the number of (stratum, measure)
 tests, and all milder cutoffs of the grid must have passed before (fixed-sequence testing). So
 with probability 1 - delta each measure rejects at most ``alpha`` of the good documents of every
-stratum. Strata with too few labels to prove anything get no cutoff.
+stratum, and all of them together at most JOINT_ALPHA (the sum of their shares). Strata with too few labels to prove anything get no cutoff.
 
 Null texts count as empty ones: no words, base_failed. A null language is a stratum of its own.
 Repeated rows are judged one by one. A document with several label rows is good if all say so.
@@ -29,7 +29,9 @@ GRIDS: dict[str, list[float]] = {
     "chars_per_word": [40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 10.0],
     "capital_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25],
 }
-ALPHA, DELTA = 0.01, 0.05
+#: The share of good documents that all measures together may reject, that of each, and the chance that this fails.
+JOINT_ALPHA, DELTA = 0.05, 0.05
+ALPHA = JOINT_ALPHA / len(GRIDS)
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
