@@ -1,23 +1,26 @@
 """MinHash near-duplicates by ProbMinHash over weighted shingles.
 
 Shingles are five words running (lower-cased; texts of fewer words are one shingle), weighted by
-how often they stand in the text. Each shingle is a Poisson process whose rate is its weight;
-arrivals fall on registers at random, and a register keeps the shingle that arrives first (Ertl
-2020, ProbMinHash1). A shingle's process ends early, at the largest of the text's registers. Two
-texts agree on a register with the probability Jaccard similarity of their weights. BANDS bands of
-ROWS registers make candidates: a pair of similarity 0.8 is missed with a chance of
-(1 - 0.8**ROWS)**BANDS, which is 5e-5.
+how often they stand in the text. Two texts are linked if the probability Jaccard similarity of
+their weighted shingles, or the Jaccard similarity of their sets of shingles, is SIMILARITY at least;
+classes are the components of links.
+
+Each shingle is a Poisson process whose rate is its weight; arrivals fall on registers at random,
+and a register keeps the shingle that arrives first (Ertl 2020, ProbMinHash1). A shingle's process
+ends early, at the largest of the text's registers. Two texts agree on a register with the
+probability Jaccard similarity of their weights. A text with repeated shingles has a second
+signature, of equal weights, for the other similarity; without repeats both are the same. BANDS
+bands of ROWS registers of each signature make candidates: a pair of either similarity 0.8 is missed
+with a chance of (1 - 0.8**ROWS)**BANDS, which is 5e-5.
 
 Equal texts are one node. In each bucket (texts that share a band) all are compared with the least
-one, the pivot; links are verified pairs: their exact probability Jaccard or plain Jaccard
-similarity of shingles is SIMILARITY at least. Texts that these links haven't brought into the
-component of most of their bucket then meet the bucket's texts of other components, in blocks of
-BLOCK texts, so a large bucket is many tasks. A pair is looked at in the first band it shares,
-unless its sketches (a byte of each register) agree on fewer than AGREE registers, which a pair of
-similarity 0.8 does with a chance of 1e-5. A task goes from the most alike pairs to the least,
-verifies those whose components it hasn't joined yet, and hands on the links that join some: rows
-grow with the texts, not with their pairs, and no link between components is lost. Classes are the
-components.
+one, the pivot. Texts that these links haven't brought into the component of most of their bucket
+then meet the bucket's texts of other components, in blocks of BLOCK texts, so a large bucket is many
+tasks. A pair is looked at in the first band it shares, unless the sketches (a byte of each register)
+of both signatures agree on fewer than AGREE registers, which a pair of similarity 0.8 does with a
+chance of 1e-5. A task goes from the most alike pairs to the least, verifies those whose components
+it hasn't joined yet, and hands on the links that join some: rows grow with the texts, not with
+their pairs, and no link between components is lost.
 
 Null texts are classes of their own. Empty texts are equal texts; they have no shingles and no
 other links. A class is named by its least doc_id; rows with a null id don't name it. Rows that are
@@ -145,19 +148,26 @@ def _digest(text: Column) -> Column:
 
 
 def sign_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, bands array<long>, sketch) of the rows with a text."""
+    """(doc_id, digest, bands array<long>, sketch) of the rows with a text: bands and sketches of both signatures, one after the other."""
     small_batches(docs.sparkSession)
     text = docs[text_col].cast("string")
     chosen = docs.where(text.isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), _digest(text).alias("digest"), text.alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            n = batch.num_rows
             owner, items, weights = shingles(batch.column(2).to_pylist())
-            has = np.bincount(owner, minlength=batch.num_rows) > 0
-            sign = signatures(owner, items, weights.astype(float), batch.num_rows)
-            numbers = bands(sign)
-            sketch = pa.array([r.tobytes() for r in (sign >> np.uint64(56)).astype(np.uint8)], pa.binary())
-            offsets = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
+            has = np.bincount(owner, minlength=n) > 0
+            sign = plain = signatures(owner, items, weights.astype(float), n)
+            repeats = np.flatnonzero(np.bincount(owner, weights > 1, n))
+            if len(repeats):
+                own = np.isin(owner, repeats)
+                plain = sign.copy()
+                plain[repeats] = signatures(np.searchsorted(repeats, owner[own]), items[own], np.ones(int(own.sum())), len(repeats))
+            both = np.stack([sign, plain], 1)
+            numbers = np.concatenate([bands(sign), bands(plain)], 1)
+            sketch = pa.array([r.tobytes() for r in (both >> np.uint64(56)).astype(np.uint8)], pa.binary())
+            offsets = np.concatenate([[0], np.cumsum(has * 2 * BANDS)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(numbers[has].ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, sketch], names=["doc_id", "digest", "bands", "sketch"])
 
@@ -201,8 +211,9 @@ def classes(docs: DataFrame, text_col: str = "text", least: float = SIMILARITY)
     """
     signed = shared_table(sign_documents(docs, text_col), "signatures")
     nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    rows = nodes.select("digest", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.min("digest").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    rows = nodes.select("digest", F.explode(F.array_distinct("bands")).alias("band"))
+    # what hot keys meet is written first: then Spark can split the keys' partitions of the join
+    buckets = shared_table(rows.groupBy("band").agg(F.min("digest").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = shared_table(rows.join(buckets.withColumnRenamed("band", "_band"), F.col("band") == F.col("_band")).select("band", "digest", "pivot", "n"), "members")
     done = shared_table(members.where("digest <> pivot").select(F.col("pivot").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
     links = shared_table(verify(done, docs, text_col, least), "links")
@@ -210,11 +221,13 @@ def classes(docs: DataFrame, text_col: str = "text", least: float = SIMILARITY)
     more = shared_table(_rest(members, found, signed, docs, text_col, least), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
+    found = shared_table(found, "roots")
     roots = nodes.join(found, F.col("digest") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("root", "digest").alias("root"), F.col("root").isNotNull().alias("linked"))
     named = roots.where("linked or copies > 1")
     first = F.struct("rep", "digest")  # null ids come first in order, but name no class
-    names = named.groupBy("root").agg(F.coalesce(F.min(F.when(F.col("rep").isNotNull(), first)), F.min(first)).alias("first"))
+    names = shared_table(named.groupBy("root").agg(F.coalesce(F.min(F.when(F.col("rep").isNotNull(), first)), F.min(first)).alias("first")), "names")
     of = named.join(names.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root")).select(F.col("digest").alias("_digest"), F.col("first.rep").alias("class_id"), F.col("first.digest").alias("_keeper"))
+    of = shared_table(of, "classes")
     out = signed.join(of, F.col("digest") == F.col("_digest"), "left")
     kept = (F.coalesce("_keeper", "digest") == F.col("digest")) & F.coalesce("class_id", "doc_id").eqNullSafe(F.col("doc_id"))
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), kept.alias("kept"), "digest")
@@ -228,6 +241,7 @@ def _rest(members: DataFrame, found: DataFrame, signed: DataFrame, docs: DataFra
     placed = big.join(found, F.col("digest") == F.col("node"), "left").select("band", "digest", "n", F.coalesce("root", "digest").alias("root"))
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("k"), F.max("n").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("k"), F.max("n").alias("m")).where("k < m")
+    main = shared_table(main, "main")
     columns = ["band", "digest", "root", "main", "k", "m"]
     opened = shared_table(placed.join(main.withColumnRenamed("band", "_band"), F.col("band") == F.col("_band")).select(*columns), "open")
     texts = texts_of(opened.select(F.col("digest").alias("_wanted")), docs, text_col).withColumnRenamed("digest", "_d1")
@@ -243,7 +257,7 @@ def _rest(members: DataFrame, found: DataFrame, signed: DataFrame, docs: DataFra
 
     def meet(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, 2, REGISTERS)
         digests, band = table.column("digest").to_pylist(), table.column("band")[0].as_py()
         bands = np.array(table.column("bands").to_pylist(), np.int64)
         _, roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)
@@ -251,7 +265,7 @@ def _rest(members: DataFrame, found: DataFrame, signed: DataFrame, docs: DataFra
         found = []
         for x in np.flatnonzero(asks):
             rest = inside[roots[inside] != roots[x]]
-            agree = (sketch[rest] == sketch[x]).sum(1)
+            agree = (sketch[rest] == sketch[x]).sum(2).max(1)
             rest, agree = rest[agree >= AGREE], agree[agree >= AGREE]
             first = bands[x][(bands[rest] == bands[x]).argmax(1)] == band  # no earlier band in common
             found.append(np.stack([agree[first], np.full(first.sum(), x), rest[first]]))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
 from graphloom.llm import neardup
 
 
@@ -67,6 +68,28 @@ def test_classes_are_those_of_all_pairs(spark):
     assert got == brute([r for r in rows if r[0] is not None]) + [] or got == sorted(brute(rows), key=str)
 
 
+def test_either_similarity_links_whoever_is_the_pivot(spark):
+    """Texts alike as sets but not as weighted shingles are linked in a large bucket too."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for group in range(6):
+        base = [rng.choice(words) for _ in range(150)]
+        rows += [(len(rows) + k, " ".join([f"x{group}-{k}", *base, *(base[:9] * (1 + 12 * (k % 4)))])) for k in range(12)]
+    texts = [weights(t) for _, t in rows]
+    kinds = {(jp >= 0.8, j >= 0.8) for i, a in enumerate(texts) for b in texts[:i] for jp, j in [both(a, b)]}
+    assert (False, True) in kinds and (True, True) in kinds
+    got = sorted(((r["doc_id"], r["class_id"]) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_classes_of_the_table_are_those_of_all_pairs(spark):
+    """On the given documents every link that comparing all pairs finds is found: recall 1."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").cache()
+    got = sorted(((r["doc_id"], r["class_id"]) for r in neardup.classes(docs).collect()), key=str)
+    assert got == brute([tuple(r) for r in docs.collect()]) and len({c for _, c in got}) < len(got)
+
+
 def test_one_of_each_class_stays(spark):
     rows = [(5, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (7, "x"), (None, None), (9, None)]
     kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_copy", F.lit(0)))
