@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out
+from graphloom.llm.common import held_out, small_batches
 
 #: A run of letters, of digits, or of other characters that aren't white space.
 PIECE = re.compile(r"[^\W\d_]+|\d+|[^\w \t-\r]+|_+")
@@ -18,22 +19,39 @@ PIECE = re.compile(r"[^\W\d_]+|\d+|[^\w \t-\r]+|_+")
 CACHE = 400_000
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, divisor: int, value: int, max_rows: int, max_chars: int, *more: str) -> list[tuple]:
-    """(text, 0 or 1, more columns): a bounded sample of labelled texts that aren't held out.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, divisor: int, value: int, max_rows: int, max_chars: int, *more: str) -> DataFrame:
+    """(text, y 0 or 1, more columns, place): a bounded sample of labelled texts that aren't held out.
 
-    Ids are taken in the order of their md5, at most ``max_rows``; texts of more than
-    ``max_chars`` characters are left out of training, whole (scoring takes all texts whole). A
-    document with several label rows has the largest label. Null labels and ids take no part.
+    Texts of more than ``max_chars`` characters are left out of training, whole (scoring takes all
+    texts whole). Of the ids that have a label and a text, the first ``max_rows`` by md5 are taken;
+    an id with several texts gives the one of least md5. A document with several label rows has the
+    largest label. Null labels and ids take no part.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), divisor, value))
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    order = F.md5(F.concat(F.lit("train:"), F.col("doc_id").cast("string")).cast("binary"))
-    chosen = known.orderBy(order, "doc_id").limit(max_rows).withColumnRenamed("doc_id", "_id")
     text = docs["text"].cast("string")
-    texts = docs.select(docs["doc_id"], text.alias("text"), *[docs[c] for c in more]).where(text.isNotNull() & (F.length(text) <= max_chars))
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y", *more).limit(max_rows)
-    got = sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["text"]))
-    return [(r["text"], int(r["y"] > 0), *[r[c] for c in more]) for r in got]
+    texts = docs.select(docs["doc_id"].alias("_id"), text.alias("text"), *[docs[c].alias(f"_{i}") for i, c in enumerate(more)]).where(text.isNotNull() & (F.length(text) <= max_chars))
+    order = F.md5(F.concat(F.lit("train:"), F.col("doc_id").cast("string")).cast("binary"))
+    chosen = known.join(texts.select(F.col("_id").alias("doc_id")), "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_rows)
+    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("doc_id"))
+    first = F.min_by(F.struct("text", *[F.col(f"_{i}").alias(c) for i, c in enumerate(more)]), F.md5(F.col("text").cast("binary")))
+    one = rows.groupBy("doc_id").agg(first.alias("t"), F.first("y").alias("y"))
+    return one.select("t.text", (F.col("y") > 0).cast("int").alias("y"), *[f"t.{c}" for c in more], order.alias("place"))
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[tuple]], bytes]) -> bytes:
+    """What ``fit`` makes of the sample's rows, in the order of their last column; it runs in one task, off the driver.
+
+    The sample is bounded by its maker.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[-1])
+        yield pa.RecordBatch.from_arrays([pa.array([fit([r[:-1] for r in rows])], pa.binary())], names=["model"])
+
+    small_batches(sample.sparkSession)
+    got = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(got["model"]) if got else fit([])
 
 
 class Words(dict):

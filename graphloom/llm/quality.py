@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import held_out, read, small_batches
-from graphloom.llm.features import Words, flat, hashed, training_rows
+from graphloom.llm.features import Words, fitted, flat, hashed, training_rows
 
 BITS = 18
 MAX_ROWS, MAX_CHARS = 6000, 60_000
@@ -112,7 +112,7 @@ _WORDS = Words(_number)
 def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
     """The kept columns and the score of each document's whole text."""
     spark = docs.sparkSession
-    small_batches(spark, 128)
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(weights)  # 2**BITS + 1 floats
     chosen = docs.select(*[docs[c] for c in keep], docs["text"].cast("string").alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes if c != "_text") + ", score double"
@@ -126,11 +126,16 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
     return chosen.mapInArrow(run, schema)
 
 
+def train(docs: DataFrame, labels: DataFrame, divisor: int = 5, value: int = 0) -> np.ndarray:
+    """The weights, from labelled rows that aren't held out."""
+    sample = training_rows(docs, labels, "quality", divisor, value, MAX_ROWS, MAX_CHARS)
+    return np.frombuffer(fitted(sample, lambda rows: fit(rows).tobytes()), np.float32)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs = read(spark, sf_dir, "documents")
-    weights = fit(training_rows(docs, read(spark, sf_dir, "labels"), "quality", 5, 0, MAX_ROWS, MAX_CHARS))
-    return score(docs, weights, "doc_id").select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(docs, train(docs, read(spark, sf_dir, "labels")), "doc_id").select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 QUERIES = {"op2_quality": op2_quality}

@@ -19,6 +19,7 @@ scores; a null language uses the common threshold; other columns are left out, w
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -27,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out, read, small_batches
-from graphloom.llm.features import Words, hashed, training_rows
+from graphloom.llm.common import aside, held_out, read, restored, small_batches
+from graphloom.llm.features import Words, fitted, hashed, training_rows
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 8
 PREFIX = 4
@@ -176,7 +177,7 @@ def thresholds(scored: list[tuple[float, int, str | None]]) -> dict[str | None,
 def score(docs: DataFrame, net: Net, *keep: str, text_col: str = "text") -> DataFrame:
     """The kept columns and the score of each document's whole text."""
     spark = docs.sparkSession
-    small_batches(spark, 128)
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(net)  # about BUCKETS * DIM floats
     chosen = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes if c != "_text") + ", score double"
@@ -189,15 +190,20 @@ def score(docs: DataFrame, net: Net, *keep: str, text_col: str = "text") -> Data
     return chosen.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, divisor: int = 3, value: int = 1) -> tuple[Net, dict[str | None, float]]:
-    """The net and the thresholds, from labelled rows that aren't held out."""
-    rows = training_rows(docs, labels, "toxic", divisor, value, MAX_ROWS, MAX_CHARS, "lang")
+def fit_and_calibrate(rows: list[tuple[str, int, str | None]]) -> tuple[Net, dict[str | None, float]]:
+    """The net and the thresholds of rows (text, label, language)."""
     net = fit([(t, y) for i, (t, y, _) in enumerate(rows) if i % CALIBRATE])
     kept = rows[::CALIBRATE]
     scores = [net.scores([numbers(t)])[0] for t, _, _ in kept]
     return net, thresholds([(s, y, lang) for s, (_, y, lang) in zip(scores, kept)])
 
 
+def train(docs: DataFrame, labels: DataFrame, divisor: int = 3, value: int = 1) -> tuple[Net, dict[str | None, float]]:
+    """The net and the thresholds, from labelled rows that aren't held out."""
+    rows = training_rows(docs, labels, "toxic", divisor, value, MAX_ROWS, MAX_CHARS, "lang")
+    return pickle.loads(fitted(rows, lambda x: pickle.dumps(fit_and_calibrate(x))))
+
+
 def _cut(cuts: dict[str | None, float], lang: str):
     """The threshold of a row's language."""
     cut = F.lit(cuts[None])
@@ -217,10 +223,9 @@ def judge(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of the documents that aren't flagged, with their own columns."""
     net, cuts = train(docs, labels)
-    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}  # out of the score's way
-    held = docs.select(*[docs[c].alias(n) for c, n in names.items()])
+    held, names = aside(docs)
     scored = score(held, net, *names.values(), text_col=names["text"])
-    return scored.where(F.col("score") < _cut(cuts, names["lang"])).select(*[F.col(n).alias(c) for c, n in names.items()])
+    return restored(scored.where(F.col("score") < _cut(cuts, names["lang"])), names)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
