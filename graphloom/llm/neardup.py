@@ -244,32 +244,31 @@ def _rest(members: DataFrame, found: DataFrame, signed: DataFrame, docs: DataFra
     main = shared_table(main, "main")
     columns = ["band", "digest", "root", "main", "k", "m"]
     opened = shared_table(placed.join(main.withColumnRenamed("band", "_band"), F.col("band") == F.col("_band")).select(*columns), "open")
-    texts = texts_of(opened.select(F.col("digest").alias("_wanted")), docs, text_col).withColumnRenamed("digest", "_d1")
     signs = signed.groupBy("digest").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")).withColumnRenamed("digest", "_d2")
-    opened = opened.join(signs, F.col("digest") == F.col("_d2")).join(texts, F.col("digest") == F.col("_d1"))
+    opened = opened.join(signs, F.col("digest") == F.col("_d2"))
     blocks, out = F.ceil(F.col("m") / BLOCK).cast("long"), F.ceil((F.col("m") - F.col("k")) / BLOCK).cast("long")
-    columns = ["band", "digest", "root", "sketch", "bands", "t"]
+    columns = ["band", "digest", "root", "sketch", "bands"]
     opened = opened.select(*columns, (F.col("root") != F.col("main")).alias("outside"), blocks.alias("blocks"), out.alias("out"), F.xxhash64("digest").alias("at"))
     # a text outside its bucket's main component meets every block; every text meets every block of such
     one = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.lit(True).alias("asks"), F.pmod("at", "out").alias("i"), j.alias("j"))))
     other = F.transform(F.sequence(F.lit(0).cast("long"), F.col("out") - 1), lambda i: F.struct(F.lit(False).alias("asks"), i.alias("i"), F.pmod("at", "blocks").alias("j")))
     dealt = opened.select(*columns, F.explode(F.concat(F.coalesce(one, F.array().cast("array<struct<asks:boolean,i:bigint,j:bigint>>")), other)).alias("b")).select(*columns, "b.*")
+    dealt = shared_table(dealt, "dealt")
+
+    def alike(table: pa.Table) -> pa.Table:
+        """Rows of a block that are in a pair that may be similar: only their texts are fetched."""
+        at = np.unique(_candidates(table)[1:])
+        return table.select(["band", "i", "j", "asks", "digest"]).take(pa.array(at))
+
+    keys = ["band", "i", "j", "asks", "digest"]
+    wanted = shared_table(dealt.groupBy("band", "i", "j").applyInArrow(alike, "band long, i long, j long, asks boolean, digest binary"), "alike")
+    texts = texts_of(wanted.select(F.col("digest").alias("_wanted")), docs, text_col).withColumnRenamed("digest", "_d1")
+    chosen = dealt.join(wanted, keys).join(texts, F.col("digest") == F.col("_d1")).select(*columns, "asks", "i", "j", "t")
 
     def meet(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, 2, REGISTERS)
-        digests, band = table.column("digest").to_pylist(), table.column("band")[0].as_py()
-        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        digests = table.column("digest").to_pylist()
+        pairs = _candidates(table)
         _, roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)
-        inside = np.flatnonzero(~asks)
-        found = []
-        for x in np.flatnonzero(asks):
-            rest = inside[roots[inside] != roots[x]]
-            agree = (sketch[rest] == sketch[x]).sum(2).max(1)
-            rest, agree = rest[agree >= AGREE], agree[agree >= AGREE]
-            first = bands[x][(bands[rest] == bands[x]).argmax(1)] == band  # no earlier band in common
-            found.append(np.stack([agree[first], np.full(first.sum(), x), rest[first]]))
-        pairs = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
         owner, items, counts = shingles(table.column("t").to_pylist())
         bounds = np.searchsorted(owner, np.arange(len(digests) + 1))
         parent = list(range(int(roots.max()) + 1))
@@ -292,7 +291,24 @@ def _rest(members: DataFrame, found: DataFrame, signed: DataFrame, docs: DataFra
                 links.append((digests[x], digests[y]))
         return pa.table({"a": pa.array([p[0] for p in links], pa.binary()), "b": pa.array([p[1] for p in links], pa.binary())})
 
-    return dealt.groupBy("band", "i", "j").applyInArrow(meet, "a binary, b binary").distinct()
+    return chosen.groupBy("band", "i", "j").applyInArrow(meet, "a binary, b binary").distinct()
+
+
+def _candidates(table: pa.Table) -> np.ndarray:
+    """Pairs of a block's rows that may be similar and share no earlier band: how many registers agree, the row that asks, the other."""
+    asks, band = table.column("asks").to_numpy(), table.column("band")[0].as_py()
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, 2, REGISTERS)
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    _, roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)
+    inside = np.flatnonzero(~asks)
+    found = [np.zeros((3, 0), np.int64)]
+    for x in np.flatnonzero(asks):
+        rest = inside[roots[inside] != roots[x]]
+        agree = (sketch[rest] == sketch[x]).sum(2).max(1)
+        rest, agree = rest[agree >= AGREE], agree[agree >= AGREE]
+        first = bands[x][(bands[rest] == bands[x]).argmax(1)] == band  # no earlier band in common
+        found.append(np.stack([agree[first], np.full(first.sum(), x), rest[first]]))
+    return np.concatenate(found, 1)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
