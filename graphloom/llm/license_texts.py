@@ -28,11 +28,11 @@ The copyright notices in the Software and this entire statement, including the a
     "cc-by-4.0-notice": """This work is licensed under a Creative Commons Attribution 4.0 International License.""",
     "cc-by-sa-4.0-notice": """This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.""",
     "cc-by-nc-4.0-notice": """Licensed under CC BY-NC 4.0.""",
-    "gpl-2.0-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+    "gpl-2.0-version": """published by the Free Software Foundation; either version 2 of the License, or""",
     "gpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
     "gpl-3.0-notice": """This work is licensed under the GNU General Public License, version 3.""",
-    "lgpl-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
-    "agpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "lgpl-2.1-version": """GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License""",
+    "agpl-3.0-terms": """under the terms of the GNU Affero General Public License as published by""",
     "mpl-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "mit-notice": """Released under the MIT License.""",
     "mit-permission": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction""",
