@@ -353,12 +353,13 @@ def record_text_select(spark, d):
 
 # --- names ------------------------------------------------------------------------------------
 
-_PART_NAMES = "nm AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_type || 's' WHEN 1 THEN '  ' || p_type || ' ' ELSE p_type END AS name FROM part)"
+_PART_NAMES = "pn AS (SELECT p_partkey % 3 AS k, p_name || ' no. ' || (p_partkey // 30) || ' widget' AS n FROM part), nm AS (SELECT DISTINCT CASE k WHEN 0 THEN n || 's' WHEN 1 THEN '  ' || n || ' ' ELSE n END AS name FROM pn)"
 
 
 def _part_names(spark, d):
-    k = F.col("p_partkey") % 3
-    name = F.when(k == 0, F.concat("p_type", F.lit("s"))).when(k == 1, F.concat(F.lit("  "), "p_type", F.lit(" "))).otherwise(F.col("p_type"))
+    """Names of all parts in three spellings; parts of one name and number have one normal form."""
+    k, n = F.col("p_partkey") % 3, F.concat("p_name", F.lit(" no. "), F.floor(F.col("p_partkey") / 30).cast("string"), F.lit(" widget"))
+    name = F.when(k == 0, F.concat(n, F.lit("s"))).when(k == 1, F.concat(F.lit("  "), n, F.lit(" "))).otherwise(n)
     return fx.table(spark, d, "part").select(F.lit("parts").alias("graph_id"), name.alias("name")).distinct()
 
 
