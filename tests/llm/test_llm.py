@@ -75,7 +75,7 @@ def test_odd_values(spark, name):
     if name == "rules":
         assert of[5] == (30_000, 120_000, 30_000, True, False) and of[4] == of[3]
     if name == "mixing":
-        assert of[5] == 30_000 and of[6] == 4 and of[4] == 0
+        assert of[5] == 30_000 and of[6] == 5 and of[4] == 0
     if name == "language model":
         assert of[3][0] == 1 and of[4] == of[3] and of[5][0] == 30_001
     if name == "bpe":
@@ -536,7 +536,7 @@ def test_stages_mind_no_other_column(spark):
     d = spark.createDataFrame([(i, f"words {i} " * 40, "en", "s") for i in range(4)] + [(9, "words 1 " * 40, "en", "s")], "doc_id long, text string, lang string, source string")
     d = d.toDF("doc_id", "text", "lang", "source").select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES)])
     y = odd_labels(spark)
-    for stage, rows in ((neardup.keep_one(d), 4), (mixing.mixed_rows(d), 15), (toxicity.keep_clean(d, y), 5), (rules.keep_good(d, y), None)):
+    for stage, rows in ((neardup.keep_one(d), 4), (mixing.mixed_rows(d), 5), (toxicity.keep_clean(d, y), 5), (rules.keep_good(d, y), None)):
         assert stage.columns == d.columns
         got = stage.collect()
         assert (rows is None or len(got) == rows) and all(tuple(r)[4:] == tuple(range(len(CLASHES))) for r in got)
