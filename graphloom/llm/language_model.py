@@ -6,13 +6,13 @@ unknown word and half to the known words alike. Customers of the parent are its
 
 The state of the sampler is the seating itself: of each type (restaurant, word) the number of
 customers at each of its tables. It starts from a draw in the order of arrival. A sweep takes
-ceil(sqrt(n)) customers of each type of n customers, one after another and each at random, out
-of the restaurant, and seats them anew by the Chinese restaurant process given all others: at one
-of the type's tables in proportion to its customers less the discount, or at a new table in
-proportion to (strength + discount * tables) times the parent's probability. Within a sweep a type
+every customer of each type, one after another and each once, out of the restaurant, and seats
+them anew by the Chinese restaurant process given all others: at one of the type's tables in
+proportion to its customers less the discount, or at a new table in proportion to
+(strength + discount * tables) times the parent's probability. Within a sweep a type
 sees its own changes at once; the restaurants' tables and the parent's probabilities are those of
 the sweep before, as types are seated in parallel. Then the parent seats its own customers, the
-tables, likewise: those that went leave, new ones sit down, and ceil(sqrt(n)) of each word are
+tables, likewise: those that went leave, new ones sit down, and all of each word are
 seated anew. A type seen once has one table always, so only its presence is kept. After the
 first and BURN_IN more sweeps, predictive probabilities are averaged over SAMPLES sweeps. Discounts come from the
 counts of types seen once and twice, of the parent from words with one and two tables.
@@ -35,8 +35,11 @@ training texts every token is unknown, with probability 1.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import chain
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +56,8 @@ STRENGTH = 10.0
 BURN_IN, SAMPLES = 1, 2
 #: Tokens that a task holds before it hands on its counts; rows that a task seats in one go.
 HELD_TOKENS, SEATED = 6_000_000, 200_000
+#: Customers up to which types are seated side by side, as rows of a matrix; longer ones are seated one by one.
+WIDE = 64
 #: Rows of words' values that are broadcast at most, each of 24 bytes.
 FEW_WORDS = 500_000
 #: The Bloom filter: blocks of 2**16 bits, three bits for each pair.
@@ -119,10 +124,11 @@ class Seating:
         self.turn += 1
         return _uniform(self.seed[rows], self.sweep, self.turn)
 
-    def leave(self, rows: slice | np.ndarray) -> None:
-        """A customer of each of these rows, drawn at random, goes."""
-        upto = self.sizes[rows].cumsum(1)
-        at = (upto <= (self._draw(rows) * upto[:, -1])[:, None]).sum(1)
+    def leave(self, rows: slice | np.ndarray, at: np.ndarray | None = None) -> None:
+        """A customer of each of these rows goes: one of the given tables, else one drawn at random."""
+        if at is None:
+            upto = self.sizes[rows].cumsum(1)
+            at = (upto <= (self._draw(rows) * upto[:, -1])[:, None]).sum(1)
         place = self.rows[rows], at
         self.sizes[place] -= 1
         self.tables[rows] -= self.sizes[place] == 0
@@ -155,6 +161,56 @@ def _first_tables(n: np.ndarray, opening: np.ndarray, slope: np.ndarray, discoun
     return tables
 
 
+def _reseat_long(sizes: np.ndarray, n: int, opening: float, slope: float, discount: float, seed: int) -> np.ndarray:
+    """A sweep of one type, which gets n customers first: the customers at each table.
+
+    To join a table in proportion to its customers is to follow one of the others, so no step looks at all tables.
+    """
+    draw, order = Random(seed).random, np.random.default_rng(seed)
+    seats, sizes = array("i", np.repeat(np.arange(len(sizes), dtype=np.int32), sizes).tobytes()), sizes.tolist()
+    empty: list[int] = []
+    tables = len(sizes)
+    while len(seats) > n:
+        i = int(draw() * len(seats))
+        at, seats[i] = seats[i], seats[-1]
+        seats.pop()
+        sizes[at] -= 1
+        if not sizes[at]:
+            empty.append(at)
+            tables -= 1
+    for i in chain(range(len(seats), n), range(n)):
+        if i == len(seats):
+            seats.append(0)
+        else:
+            if i == 0:  # all are here: they go in an order that tables have no part in
+                seats = array("i", order.permutation(np.frombuffer(seats, np.int32)).tobytes())
+            at = seats[i]
+            sizes[at] -= 1
+            if not sizes[at]:
+                empty.append(at)
+                tables -= 1
+        others = len(seats) - 1
+        weight = others + opening + slope * tables
+        while True:
+            x = draw() * weight
+            k = int(x)
+            if k >= others:
+                if empty:
+                    at = empty.pop()
+                else:
+                    at = len(sizes)
+                    sizes.append(0)
+                tables += 1
+                break
+            at = seats[k if k < i else k + 1]
+            if (x - k) * sizes[at] < sizes[at] - discount:  # a table weighs its customers less the discount
+                break
+        sizes[at] += 1
+        seats[i] = at
+    out = np.array(sizes, np.int64)
+    return out[out > 0]
+
+
 def reseat(flat: np.ndarray, lengths: np.ndarray, n: np.ndarray, opening: np.ndarray, slope: np.ndarray, discount: float, seed: np.ndarray, sweep: int) -> tuple[np.ndarray, np.ndarray]:
     """The seating after a sweep: customers at the tables of all types one after another, and each type's tables.
 
@@ -179,14 +235,23 @@ def reseat(flat: np.ndarray, lengths: np.ndarray, n: np.ndarray, opening: np.nda
     tables = np.where(fresh, 0, lengths)
     tables[fresh] = _first_tables(n[fresh], opening[fresh], slope[fresh], discount, seed[fresh])
     more = np.where(fresh, 0, n - held)
-    picks = np.where(n > 1, np.ceil(np.sqrt(n)), 0).astype(np.int64)
-    room = np.maximum(np.minimum(np.maximum(n, held), tables + np.maximum(more, 0) + picks), 1)
-    kinds = np.ceil(np.log2(room)).astype(np.int64)
+    room = np.maximum(np.maximum(n, held), 1)
     out_tables, parts, places = np.zeros(len(n), np.int64), [], []
-    for kind in np.unique(kinds):
+    numbers = _uniform(seed, sweep, 1 << 21) if (room > WIDE).any() else seed
+    for i in np.flatnonzero(room > WIDE).tolist():
+        own = flat[ends[i] - lengths[i] : ends[i]]
+        if fresh[i]:
+            own = np.ones(tables[i], np.int64)
+            own[0] += n[i] - tables[i]
+        own = _reseat_long(own, int(n[i]), float(opening[i]), float(slope[i]), discount, int(numbers[i] * 2.0**53))
+        out_tables[i] = len(own)
+        parts.append(own)
+        places.append(np.full(len(own), i))
+    kinds = np.where(room > WIDE, -1, np.ceil(np.log2(room)).astype(np.int64))
+    for kind in np.unique(kinds[kinds >= 0]):
         rows = np.flatnonzero(kinds == kind)
-        rows = rows[np.argsort(-picks[rows], kind="stable")]
-        sizes = np.zeros((len(rows), 1 << int(kind)), np.int32 if n[rows].max() < 2**31 else np.int64)
+        rows = rows[np.argsort(-n[rows], kind="stable")]
+        sizes = np.zeros((len(rows), 1 << int(kind)), np.int32)
         old, new = np.flatnonzero(~fresh[rows]), np.flatnonzero(fresh[rows])
         r = np.repeat(old, lengths[rows[old]])
         c = np.arange(len(r)) - np.repeat(np.cumsum(lengths[rows[old]]) - lengths[rows[old]], lengths[rows[old]])
@@ -198,8 +263,13 @@ def reseat(flat: np.ndarray, lengths: np.ndarray, n: np.ndarray, opening: np.nda
             for step, live in ((seats.enter, np.flatnonzero(more[rows] > k)), (seats.leave, np.flatnonzero(-more[rows] > k))):
                 if len(live):
                     step(live)
-        for live in np.searchsorted(-picks[rows], -np.arange(int(picks[rows].max(initial=0)))).tolist():
-            seats.leave(slice(0, live))
+        # each customer in turn, in an order that tables have no part in: whoever hasn't been seated anew is still where they were
+        first = np.cumsum(n[rows]) - n[rows]
+        where, owner = np.repeat(np.tile(np.arange(sizes.shape[1]), len(rows)), sizes.ravel()), np.repeat(np.arange(len(rows)), n[rows])
+        turns = (np.arange(len(owner)) - first[owner]).astype(np.uint64) * _STEP[0]
+        where = where[np.argsort(owner + _uniform(seed[rows][owner] + turns, sweep, 1 << 22), kind="stable")]
+        for k, live in enumerate(np.searchsorted(-n[rows], -np.arange(int(n[rows].max()))).tolist()):
+            seats.leave(slice(0, live), where[first[:live] + k])
             seats.enter(slice(0, live))
         out_tables[rows] = seats.tables
         r, c = np.nonzero(sizes)

@@ -445,6 +445,30 @@ def test_reseating_follows_its_customers():
         assert [int(x.sum()) for x in parts] == n.tolist() and (flat > 0).all() and len(flat) == lengths.sum()
 
 
+def test_a_sweep_seats_every_customer_anew():
+    n = np.array([0, 1, 2, 3, 40, 400])
+    flat, lengths = n[n > 0], (n > 0).astype(np.int64)  # one table each
+    seeds, ones = np.arange(6, dtype=np.uint64), np.ones(6)
+    flat, lengths = language_model.reseat(flat, lengths, n, ones * 1e12, ones, 0.5, seeds, 1)
+    assert lengths.tolist() == n.tolist() and (flat == 1).all()  # who is seated anew sits alone
+
+
+def test_long_types_are_seated_like_short_ones(monkeypatch):
+    m = 1500
+    n, ones, seeds = np.full(m, 24), np.ones(m), np.random.default_rng(2).integers(0, 2**63, m).astype(np.uint64)
+    means = []
+    for wide in (64, 8):
+        monkeypatch.setattr(language_model, "WIDE", wide)
+        flat, lengths, got = np.zeros(0, np.int64), np.zeros(m, np.int64), []
+        for sweep in range(12):
+            flat, lengths = language_model.reseat(flat, lengths, n - sweep % 2, ones * 0.7, ones * 0.2, 0.4, seeds, sweep)
+            assert (np.add.reduceat(flat, np.cumsum(lengths) - lengths) == n - sweep % 2).all()
+            if sweep > 3 and sweep % 2 == 0:
+                got.append((lengths.mean(), (flat == 1).sum() / m, (flat.astype(float) ** 2).sum() / m))
+        means.append(np.mean(got, 0))
+    assert means[0] == pytest.approx(means[1], rel=0.04)
+
+
 def test_license_query_of_planted_texts(spark, tmp_path):
     """Whole texts, cut ones and ones torn apart: the operator and its SQL agree."""
     import duckdb
