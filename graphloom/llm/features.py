@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out, small_batches
+from graphloom.llm.common import held_out, shared_table, small_batches
+from graphloom.storage import discard
 
 #: A run of letters, of digits, or of other characters that aren't white space.
 PIECE = re.compile(r"[^\W\d_]+|\d+|[^\w \t-\r]+|_+")
 #: Entries that a worker keeps of its word tables before it starts anew.
 CACHE = 400_000
+#: Rows of a block that learns by itself, and bytes of their codes, about; weights in a slice.
+BLOCK_ROWS, BLOCK_BYTES, SLICE = 6000, 1 << 24, 1 << 12
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, divisor: int, value: int, max_rows: int, max_chars: int, *more: str) -> DataFrame:
@@ -54,6 +57,86 @@ def fitted(sample: DataFrame, fit: Callable[[list[tuple]], bytes]) -> bytes:
     return bytes(got["model"]) if got else fit([])
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, divisor: int, value: int, code: Callable[[str], bytes], *more: str) -> tuple[DataFrame, int]:
+    """(block, place, y 0 or 1, code, more columns) of all labelled texts that aren't held out, and the number of blocks.
+
+    Texts are whole, as ``code`` writes them. An id with several texts gives the one of least md5; a
+    document with several label rows has the largest label. Null labels, ids and texts take no part.
+    A row's block is a hash of its id, so how the input is dealt out doesn't matter.
+    """
+    spark = docs.sparkSession
+    free = lambda i: i.isNotNull() & ~held_out(i, divisor, value)
+    known = labels.where(free(F.col("doc_id")) & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    text, names = docs["text"].cast("string"), [f"_{i}" for i in range(len(more))]
+    texts = docs.where(free(docs["doc_id"]) & text.isNotNull()).select(docs["doc_id"].alias("doc_id"), F.md5(text.cast("binary")).alias("digest"), *[docs[c].alias(n) for c, n in zip(more, names)], text.alias("text"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes if c != "text") + ", code binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = pa.array([code(t) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], codes], names=[*batch.schema.names[:-1], "code"])
+
+    small_batches(spark)
+    one = texts.mapInArrow(run, schema).join(known, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("code", *names), "digest").alias("t"), F.first("y").alias("y"))
+    place = F.md5(F.concat(F.lit("train:"), F.col("doc_id").cast("string")).cast("binary"))
+    rows = shared_table(one.select(place.alias("place"), (F.col("y") > 0).cast("int").alias("y"), "t.code", *[F.col(f"t.{n}").alias(c) for c, n in zip(more, names)]), "labelled")
+    discard(spark)  # the texts' shuffle
+    sums = rows.agg(F.count("*").alias("n"), F.sum(F.length("code")).alias("size")).first()
+    blocks = max(1, -(-sums["n"] // BLOCK_ROWS), -(-(sums["size"] or 0) // BLOCK_BYTES))
+    out = rows.select(F.pmod(F.xxhash64("place"), F.lit(blocks)).alias("block"), "*")
+    out._shared_path = rows._shared_path
+    return out, blocks
+
+
+def learned(rows: DataFrame, blocks: int, weights: np.ndarray, rounds: int, learn: Callable[..., None]) -> np.ndarray:
+    """Weights learned from all rows, in blocks side by side.
+
+    In each round every block starts from the weights, and from the sums of squared gradients, of all:
+    ``learn(weights, squares, y, codes, round, block)`` changes both in place. What the blocks changed
+    a weight by is averaged, a block counting by the squares it added there: what one block alone
+    has met counts whole. Blocks and their rows have a fixed order, so reruns agree.
+    """
+    spark, squares, kind = rows.sparkSession, np.zeros_like(weights), weights.dtype
+    schema = "slice long, block long, change binary, added binary"
+    bounds = range(0, len(weights), SLICE)
+
+    def cut(block: int, change: np.ndarray, added: np.ndarray) -> pa.Table:
+        sent = [[x[a : a + SLICE].tobytes() for a in bounds] for x in (change, added)]
+        return pa.table({"slice": pa.array(range(len(bounds)), pa.int64()), "block": pa.array([block] * len(bounds), pa.int64()), "change": pa.array(sent[0], pa.binary()), "added": pa.array(sent[1], pa.binary())})
+
+    def merge(table: pa.Table) -> pa.Table:
+        whole = total = square = 0.0
+        table = table.sort_by("block")
+        for change, added in zip(table.column("change"), table.column("added")):
+            change, added = (np.frombuffer(x.as_py(), kind).astype(np.float64) for x in (change, added))
+            whole, total, square = whole + added * change, total + added, square + added * added
+        least = np.maximum(total, 1e-300)
+        out = [pa.array([(x / least).astype(kind).tobytes()], pa.binary()) for x in (whole, square)]
+        return pa.table({"slice": table.column("slice").slice(0, 1), "block": pa.array([0], pa.int64()), "change": out[0], "added": out[1]})
+
+    small_batches(spark)
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast((weights, squares))  # of the model's fixed size
+
+        def run(table: pa.Table) -> pa.Table:
+            old, held = shared.value
+            new, more, block = old.copy(), held.copy(), table.column("block")[0].as_py()
+            table = table.sort_by("place")
+            learn(new, more, table.column("y").to_pylist(), table.column("code").to_pylist(), turn, block)
+            return cut(block, new - old, more - held)
+
+        dealt = rows.select("block", "place", "y", "code").repartition(blocks, "block")
+        got = dealt.groupBy("block").applyInArrow(run, schema).groupBy("slice").applyInArrow(merge, schema).collect()  # the model's size
+        by_slice = sorted((r["slice"], r["change"], r["added"]) for r in got)
+        if by_slice:
+            change, added = (np.concatenate([np.frombuffer(r[k], kind) for r in by_slice]) for k in (1, 2))
+            weights, squares = weights + change, squares + added
+        shared.unpersist()
+        del got, by_slice, dealt
+        discard(spark)  # the round's shuffles
+    return weights
+
+
 class Words(dict):
     """Numbers of pieces; made by ``make`` when first asked for."""
 

@@ -6,42 +6,44 @@ they have in common. Filters of one, two and three words slide over the text; ea
 largest response (max pooling, not below zero) goes into a logistic output. Everything is trained
 in numpy with Adagrad; the gradient of a max pool reaches only the windows that won.
 
-Thresholds are calibrated by language on a part of the sample kept from training: for each
+Thresholds are calibrated by language on a part of the labelled rows kept from training: for each
 language with labels enough, the threshold that makes the fewest errors there, in the middle of
 its best range; other languages use the one of all. They decide `flagged`; the score itself
 depends on the text alone.
 
-Learning uses a bounded sample of labelled rows (MAX_ROWS rows, texts up to MAX_CHARS); scoring
-takes all texts whole, in segments of bounded size whose maxima are merged. Null and empty texts
+Learning takes all labelled rows that aren't held out, in blocks side by side whose changes are
+averaged after each pass. Learning and scoring
+take all texts whole, in segments of bounded size whose maxima are merged. Null and empty texts
 have zero responses. Without labels of both kinds every score is 0.5. Repeated rows get equal
 scores; a null language uses the common threshold; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import aside, held_out, read, restored, small_batches
-from graphloom.llm.features import Words, fitted, hashed, training_rows
+from graphloom.llm.common import aside, held_out, read, restored, shared_table, small_batches
+from graphloom.llm.features import Words, hashed, labelled_rows, learned
+from graphloom.storage import discard
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 8
 PREFIX = 4
-MAX_ROWS, MAX_CHARS = 6000, 60_000
 #: Updates in all, within bounds on the passes; the learning rate; the weight of a toxic text.
 UPDATES, LEAST_PASSES, MOST_PASSES, RATE, POSITIVE = 24_000, 3, 40, 0.1, 1.5
 #: The spread of untrained vectors, and the share of words left out at each training step: few
 #: rows can't then be told by words they alone have.
 START, DROP = 0.02, 0.7
-#: Every so many-th row of the sample calibrates instead of training.
+#: Of so many labelled rows, by a hash of the id, one calibrates instead of training.
 CALIBRATE, LEAST_LABELS = 5, 20
 THRESHOLD = 0.7
+#: The cuts that a threshold is chosen from.
+CUTS = np.linspace(0.02, 0.98, 97)
 #: Words that are looked at in one go.
 SEGMENT = 1 << 16
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -59,6 +61,17 @@ def numbers(text: str | None) -> list[int]:
     return [*map(_WORDS.__getitem__, LETTERS.findall((text or "").lower()))]
 
 
+def code(text: str) -> bytes:
+    """The numbers of a text's words, four bytes each."""
+    n = np.array(numbers(text), np.int64)
+    return (n >> np.int64(32) << np.int64(15) | n & np.int64(BUCKETS - 1)).astype(np.int32).tobytes()
+
+
+def decoded(own: bytes) -> np.ndarray:
+    n = np.frombuffer(own, np.int32).astype(np.int64)
+    return n >> np.int64(15) << np.int64(32) | n & np.int64(BUCKETS - 1)
+
+
 class Net:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -69,6 +82,21 @@ class Net:
         self.out = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
         self.bias = np.float32(0)
 
+    def parts(self) -> list[np.ndarray]:
+        return [self.table, *self.filters, self.shift, self.out]
+
+    def weights(self) -> np.ndarray:
+        """All weights in one array, the bias last."""
+        return np.concatenate([*(x.ravel() for x in self.parts()), [self.bias]]).astype(np.float32)
+
+    def take(self, weights: np.ndarray) -> Net:
+        """Takes its weights from such an array: views of it, but for the bias."""
+        bounds = np.cumsum([x.size for x in self.parts()])
+        own = [w.reshape(x.shape) for w, x in zip(np.split(weights[:-1], bounds[:-1]), self.parts())]
+        self.table, *self.filters, self.shift, self.out = own
+        self.bias = np.float32(weights[-1])
+        return self
+
     def vectors(self, words: np.ndarray) -> np.ndarray:
         return self.table[words >> np.int64(32)] + self.table[words & np.int64(0xFFFFFFFF)]
 
@@ -87,10 +115,13 @@ class Net:
         if not len(words):
             return
         padded = np.append(words, np.zeros(pad, np.int64))
-        x = self.vectors(padded)
-        r = self.responses(x, len(words)) + self.shift
-        where = r.argmax(0)
-        top = r[where, np.arange(r.shape[1])]
+        every = np.arange(self.out.size)
+        where, top = np.zeros(self.out.size, np.int64), np.full(self.out.size, -np.inf, np.float32)
+        for a in range(0, len(words), SEGMENT):
+            r = self.responses(self.vectors(padded[a : a + SEGMENT + pad]), min(SEGMENT, len(words) - a)) + self.shift
+            at = r.argmax(0)
+            better = r[at, every] > top
+            where[better], top[better] = at[better] + a, r[at, every][better]
         pooled = np.maximum(top, 0)
         p = 1 / (1 + np.exp(-np.clip(float(pooled @ self.out) + float(self.bias), -30, 30)))
         g = np.float32((p - y) * (POSITIVE if y else 1.0))
@@ -101,7 +132,7 @@ class Net:
         for k, (w, f) in enumerate(zip(WIDTHS, self.filters)):
             at = slice(k * FILTERS, (k + 1) * FILTERS)
             rows = where[at][:, None] + np.arange(w)  # filters x width
-            grad = x[rows] * d[at][:, None, None]  # filters x width x dim
+            grad = self.vectors(padded[rows]) * d[at][:, None, None]  # filters x width x dim
             into = np.einsum("f,wdf->fwd", d[at], f)
             grads.append((f, grad.transpose(1, 2, 0), f"f{k}"))
             state["rows"].append(padded[rows].ravel())
@@ -160,17 +191,15 @@ def fit(rows: list[tuple[str, int]]) -> Net:
     return net
 
 
-def thresholds(scored: list[tuple[float, int, str | None]]) -> dict[str | None, float]:
-    """The threshold of each language with labels enough; under None that of all."""
+def thresholds(counted: list[Row]) -> dict[str | None, float]:
+    """The threshold of each language, and under None that of all, from rows (lang, y, k, n): n rows of label y score at the first k cuts or above."""
+    found: dict[str | None, np.ndarray] = {None: np.zeros((2, len(CUTS) + 1), np.int64)}
+    for r in counted:
+        found.setdefault(r["lang"], np.zeros((2, len(CUTS) + 1), np.int64))[r["y"], r["k"]] += r["n"]
     out: dict[str | None, float] = {}
-    for lang in {None, *(x[2] for x in scored)}:
-        own = [(s, y) for s, y, x in scored if lang is None or x == lang]
-        if lang is not None and min(sum(y for _, y in own), sum(1 - y for _, y in own)) < LEAST_LABELS:
-            continue
-        cuts = np.linspace(0.02, 0.98, 97)
-        s, y = np.array([a for a, _ in own]), np.array([b for _, b in own])
-        errors = np.array([((s >= c) != y).sum() for c in cuts])
-        out[lang] = float(np.median(cuts[errors == errors.min()])) if len(own) and 0 < y.sum() < len(y) else THRESHOLD
+    for lang, (plain, toxic) in found.items():
+        errors = plain.sum() - plain.cumsum()[:-1] + toxic.cumsum()[:-1]
+        out[lang] = float(np.median(CUTS[errors == errors.min()])) if plain.sum() and toxic.sum() else THRESHOLD
     return out
 
 
@@ -190,18 +219,57 @@ def score(docs: DataFrame, net: Net, *keep: str, text_col: str = "text") -> Data
     return chosen.mapInArrow(run, schema)
 
 
-def fit_and_calibrate(rows: list[tuple[str, int, str | None]]) -> tuple[Net, dict[str | None, float]]:
-    """The net and the thresholds of rows (text, label, language)."""
-    net = fit([(t, y) for i, (t, y, _) in enumerate(rows) if i % CALIBRATE])
-    kept = rows[::CALIBRATE]
-    scores = [net.scores([numbers(t)])[0] for t, _, _ in kept]
-    return net, thresholds([(s, y, lang) for s, (_, y, lang) in zip(scores, kept)])
+def _learn(weights: np.ndarray, squares: np.ndarray, y: list[int], codes: list[bytes], turn: int, block: int, passes: int) -> None:
+    """Learns the rows of a block: both arrays are changed in place."""
+    net, sums = Net().take(weights), Net().take(squares)
+    state: dict = {"rows": [], "into": [], "table": sums.table, "shift": sums.shift, "out": sums.out} | {f"f{k}": f for k, f in enumerate(sums.filters)}
+    order = np.random.default_rng([11, turn, block])
+    for _ in range(passes):
+        for i in order.permutation(len(codes)):
+            words = decoded(codes[i])
+            net.learn(words[order.random(len(words)) >= DROP] if len(words) > 4 else words, y[i], state)
+    weights[-1] = net.bias
+    squares[-1] += passes * len(codes)
+
+
+def _calibrated(rows: DataFrame, net: Net) -> dict[str | None, float]:
+    """The thresholds by the scores of these rows."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = shared.value.scores([decoded(c).tolist() for c in batch.column("code").to_pylist()])
+            k = np.searchsorted(CUTS, scores, "right")
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("y"), pa.array(k, pa.int32())], names=["lang", "y", "k"])
+
+    counted = rows.select(F.col("lang").cast("string").alias("lang"), "y", "code").mapInArrow(run, "lang string, y int, k int")
+    counted = shared_table(counted.groupBy("lang", "y", "k").agg(F.count("*").alias("n")), "scores")
+    of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+    many = counted.where("lang is not null").groupBy("lang").agg(of(0).alias("plain"), of(1).alias("toxic")).where((F.col("plain") >= LEAST_LABELS) & (F.col("toxic") >= LEAST_LABELS))
+    own = counted.join(many, "lang", "left_semi").select("lang", "y", "k", "n")
+    every = counted.groupBy("y", "k").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "y", "k", "n")
+    out = thresholds(own.unionByName(every).collect())  # counts of each cut, of languages with labels enough
+    discard(spark, counted)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, divisor: int = 3, value: int = 1) -> tuple[Net, dict[str | None, float]]:
-    """The net and the thresholds, from labelled rows that aren't held out."""
-    rows = training_rows(docs, labels, "toxic", divisor, value, MAX_ROWS, MAX_CHARS, "lang")
-    return pickle.loads(fitted(rows, lambda x: pickle.dumps(fit_and_calibrate(x))))
+    """The net and the thresholds, from all labelled rows that aren't held out."""
+    rows, blocks = labelled_rows(docs, labels, "toxic", divisor, value, code, "lang")
+    kept = F.pmod(F.xxhash64("place", F.lit(1)), F.lit(CALIBRATE)) == 0
+    known = rows.where(~kept & (F.length("code") > 0))
+    kinds = known.groupBy("y").count().collect()
+    net = Net()
+    if len(kinds) < 2:
+        net.out[:] = 0
+    else:
+        passes = min(MOST_PASSES, max(LEAST_PASSES, UPDATES // sum(r["count"] for r in kinds)))
+        rounds, each = (1, passes) if blocks == 1 else (passes, 1)
+        net.take(learned(known, blocks, net.weights(), rounds, lambda *x: _learn(*x, passes=each)))
+    cuts = _calibrated(rows.where(kept), net)
+    discard(docs.sparkSession, rows)
+    return net, cuts
 
 
 def _cut(cuts: dict[str | None, float], lang: str):

@@ -254,6 +254,25 @@ def test_toxicity_learns_words():
     assert plain and net.scores([toxicity.numbers(text(True))])[0] > 0.7 > net.scores([toxicity.numbers(text(False))])[0]
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """Only the last of many labelled rows, by md5, are toxic; a long text counts too."""
+    rng = random.Random(3)
+    ids = sorted((i for i in range(9800) if crc32(str(i).encode()) % 3 != 1), key=lambda i: hashlib.md5(f"train:{i}".encode()).hexdigest())
+    bad = set(ids[6100:])
+    text = lambda i: " ".join(["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(6)] + (["gromble"] if i in bad else []))
+    rows = [(i, text(i) + " word" * (20_000 if i == ids[6200] else 0), "en") for i in ids]
+    d, y = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, int(i in bad)) for i in ids], "doc_id long, toxic int")
+    net, cuts = toxicity.train(d, y)
+    bad_score, good_score = net.scores([toxicity.numbers("abcd gromble efgh"), toxicity.numbers("abcd efgh")])
+    assert len(bad) > 200 and good_score < cuts[None] < bad_score
+    again, same = toxicity.train(d.repartition(7), y)
+    assert same == cuts and (again.weights() == net.weights()).all()
+    rows, blocks = features.labelled_rows(d, y, "toxic", 3, 1, toxicity.code, "lang")
+    assert rows.count() == len(ids) and blocks == -(-len(ids) // features.BLOCK_ROWS) > 1
+    long = rows.where(F.length("code") > 60_000).first()
+    assert len(toxicity.decoded(bytes(long["code"]))) == 20_007
+
+
 def test_segments_give_the_same_scores(monkeypatch):
     net = toxicity.Net()
     texts = [toxicity.numbers(" ".join("abcdefgh"[(i * j) % 8] * 3 for i in range(j))) for j in (0, 1, 5, 40, 90)]
