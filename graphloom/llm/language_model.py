@@ -622,7 +622,7 @@ def score(docs: DataFrame, learn: Column, *keep: str, text_col: str = "text") ->
             rest = np.flatnonzero((at < 0) | (before < 0) & (place < 0))
             kind = np.where(place[rest] >= 0, 0, np.where(~training[rest], 3, np.where(_maybe(found, pair[rest]), 2, 1)))
             no_w, no_u = at[rest] < 0, (before[rest] < 0) & (kind > 0)
-            given = {"l_rid": rid[owner[rest]], "l_pair": pair[rest], "u": pa.array(u[rest], mask=~no_u), "w": pa.array(w[rest], mask=~no_w), "ask": kind, "inverse": pa.array(inverse[before[rest]], mask=no_u)}
+            given = {"l_rid": rid[owner[rest]], "l_pair": pa.array(pair[rest], mask=kind < 2), "u": pa.array(u[rest], mask=~no_u), "w": pa.array(w[rest], mask=~no_w), "ask": kind, "inverse": pa.array(inverse[before[rest]], mask=no_u)}
             yield out(None, lacks, given | {n: pa.array(p[at[rest], j], mask=no_w) for j, n in enumerate(p_names)} | {n: pa.array(b[before[rest], j], mask=no_u) for j, n in enumerate(b_names)})
 
     listed = lambda names: [f"{k} array<{spark_names[t]}>" for k, t in names.items()]
@@ -630,24 +630,25 @@ def score(docs: DataFrame, learn: Column, *keep: str, text_col: str = "text") ->
     looked = shared_table(chosen.mapInArrow(look_up, schema), "looked")
     discard(spark)
     each = lambda names: looked.where(F.col(next(iter(names))).isNotNull()).select(F.explode(F.arrays_zip(*names)).alias("z")).select("z.*")
-    # each token meets the rows of the words it lacks, and no others
-    rest = each(lacks).select(F.col("l_rid").alias("rid"), F.col("l_pair").alias("pair"), "u", "w", "ask", *[F.col(x).cast("double").alias(x) for x in held])
+    # each token meets the rows of the words it lacks, and no others; what isn't asked for any more is null, so it takes no room
+    rest = each(lacks).select(F.col("l_rid").alias("rid"), F.col("l_pair").alias("pair"), "u", "w", "ask", *held)
     none = F.lit(None).cast("long").alias("n")
-    of_w = tail.select(F.col("id").alias("_w"), F.col("n").alias("_n"), *[F.col(x).alias(f"_{x}") for x in p_names])
-    of_u = tail.select(F.col("id").alias("_u"), (1 / (STRENGTH + F.col("c"))).alias("_inverse"), *[F.col(x).alias(f"_{x}") for x in b_names])
-    with_w = lambda x: x.join(of_w.hint("shuffle_hash"), F.col("w") == F.col("_w"), "left").select(*[c for c in rest.columns if c not in p_names], F.coalesce("_n", F.lit(0)).alias("n"), *[F.coalesce(f"_{c}", F.lit(unknown[i])).alias(c) for i, c in enumerate(p_names)])
-    with_u = lambda x: x.join(of_u.hint("shuffle_hash"), F.col("u") == F.col("_u"), "left").select(*[c for c in x.columns if c not in (*b_names, "inverse")], F.coalesce("_inverse", F.lit(0.0)).alias("inverse"), *[F.coalesce(f"_{c}", F.lit(1.0)).alias(c) for c in b_names])
+    of_w = tail.select(F.col("id").alias("_w"), F.col("n").alias("_n"), *[F.col(x).cast("float").alias(f"_{x}") for x in p_names])
+    of_u = tail.select(F.col("id").alias("_u"), (1 / (STRENGTH + F.col("c"))).cast("float").alias("_inverse"), *[F.col(x).cast("float").alias(f"_{x}") for x in b_names])
+    with_w = lambda x: x.join(of_w.hint("shuffle_hash"), F.col("w") == F.col("_w"), "left").select(*[c for c in rest.columns if c not in p_names], F.coalesce("_n", F.lit(0)).alias("n"), *[F.coalesce(f"_{c}", F.lit(unknown[i]).cast("float")).alias(c) for i, c in enumerate(p_names)])
+    with_u = lambda x: x.join(of_u.hint("shuffle_hash"), F.col("u") == F.col("_u"), "left").select(*[c for c in x.columns if c not in (*b_names, "inverse")], F.coalesce("_inverse", F.lit(0.0).cast("float")).alias("inverse"), *[F.coalesce(f"_{c}", F.lit(1.0).cast("float")).alias(c) for c in b_names])
     only_w, only_u, both = (rest.where(x) for x in ("u is null", "w is null", "u is not null and w is not null"))
     rest = with_w(only_w).unionByName(with_u(only_u.select("*", none))).unionByName(with_u(with_w(both)))
-    back = sum(F.col(x) * F.col(y) for x, y in zip(p_names, b_names)) / SAMPLES
-    rest = rest.select("rid", "pair", "ask", "n", F.log10(back + (1 - discount) * F.col("inverse")).alias("once"), F.log10(back).alias("never"))
+    back = sum(F.col(x).cast("double") * F.col(y).cast("double") for x, y in zip(p_names, b_names)) / SAMPLES
+    one = F.when(F.col("ask") > 0, F.log10(back + (1 - discount) * F.col("inverse").cast("double")))
+    rest = rest.select("rid", "pair", "ask", "n", one.cast("float").alias("once"), F.when(F.col("ask") == 3, F.log10(back)).cast("float").alias("never"))
     rest = shared_table(rest, "rest")
     discard(spark)
     zero, nothing = F.lit(0).cast("long").alias("n_known"), F.lit(0.0)
     counts = rest.where("n is not null").select("rid", (F.col("n") > 0).cast("long").alias("n_known"), F.log10((F.col("n") + 1) / F.lit(scale)).alias("base_score"), nothing.alias("score"))
-    sure = rest.where("ask = 1").select("rid", zero, nothing.alias("base_score"), F.col("once").alias("score"))
-    asked = each(asks).select(F.col("a_rid").alias("rid"), F.col("a_pair").alias("pair"), F.col("once").cast("double").alias("once"), F.col("never").cast("double").alias("never"))
-    asked = asked.unionByName(rest.where("ask > 1").select("rid", "pair", "once", F.when(F.col("ask") == 3, F.col("never")).alias("never")))
+    sure = rest.where("ask = 1").select("rid", zero, nothing.alias("base_score"), F.col("once").cast("double").alias("score"))
+    asked = each(asks).select(F.col("a_rid").alias("rid"), F.col("a_pair").alias("pair"), "once", "never")
+    asked = asked.unionByName(rest.where("ask > 1").select("rid", "pair", "once", "never"))
     # of the types seen once, those that other texts ask for
     wanted = _filter_of(asked.where("never is not null").select("pair"))
     if wanted is not None:
@@ -660,7 +661,7 @@ def score(docs: DataFrame, learn: Column, *keep: str, text_col: str = "text") ->
         once = once.mapInArrow(picked, "pair long")
     answers = asked_of.unionByName(once.select("pair", F.lit(None).cast("float").alias("value"))).withColumnRenamed("pair", "_pair")
     met = asked.join(answers.hint("shuffle_hash"), F.col("pair") == F.col("_pair"), "left")
-    value = F.coalesce(F.col("value").cast("double"), F.when(F.col("_pair").isNull(), F.col("never")), F.col("once"))
+    value = F.coalesce(F.col("value").cast("double"), F.when(F.col("_pair").isNull(), F.col("never").cast("double")), F.col("once").cast("double"))
     met = met.select("rid", zero, nothing.alias("base_score"), value.alias("score"))
     more = counts.unionByName(sure).unionByName(met).groupBy("rid").agg(*[F.sum(x).alias(f"_{x}") for x in ("n_known", "base_score", "score")])
     whole = looked.where(F.col("n_tokens").isNotNull()).join(more.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"), "left")
