@@ -22,10 +22,12 @@ a 64-bit hash of both. Sweeps meet words' values by joins, which are broadcast o
 shows few rows. A pair that no other type shares is sure up to hash collisions: of 10**12 pairs some
 ten thousand.
 
-Scoring looks up the HEAD most frequent words and the CACHE most frequent types in broadcast tables,
-and in Bloom filters the other words and types seen twice or more, if they are FILTERED at most: what a
-training text has and isn't found there has been seen once. All of this only keeps tokens out of the
-shuffle; the others meet their words' and types' rows by joins.
+Texts are cut into words once. They are kept in chunks of some millions of tokens: each word of a chunk
+once, and for each token its word's place. Chunks ask for words and types, each once, in buckets by
+hash; a bucket counts what all chunks ask for, and answers in the order of the keys, without them. No
+word or type is treated apart for being frequent, so what is written grows in proportion to the
+tokens. A bucket knows a type by 48 bits of its hash below the bucket's own: of 10**8 types in 2**8 buckets,
+two are taken for one with a chance of some percent.
 
 Null texts are empty ones: one token, the end. Repeated rows are scored each: a number given in the
 pass over the texts, and written with what the pass finds, holds a row's parts together. Other
@@ -44,24 +46,27 @@ from random import Random
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import broadcast_if_small, held_out, read, shared_table, small_batches
 from graphloom.llm.features import Words
 from graphloom.storage import discard
 
+#: Bounds of look-up tables that scoring no longer has; only tests still set them.
 HEAD, CACHE, FILTERED = 1 << 18, 1 << 22, 1 << 24
 STRENGTH = 10.0
 BURN_IN, SAMPLES = 1, 2
-#: Tokens that a task holds before it hands on its counts; rows that a task seats in one go.
+#: Tokens that a task holds before it hands on its counts, a chunk has a third of them; rows that a task seats in one go.
 HELD_TOKENS, SEATED = 6_000_000, 200_000
 #: Customers up to which types are seated side by side, as rows of a matrix; longer ones are seated one by one.
 WIDE = 64
 #: Rows of words' values that are broadcast at most, each of 24 bytes.
 FEW_WORDS = 500_000
-#: The Bloom filter: blocks of 2**16 bits, three bits for each pair.
-FILTER_BLOCKS = 1 << 11
+#: Tokens of a bucket of types, about, before repeats within chunks are put together.
+BUCKET_TOKENS = 1 << 20
+#: Answers that aren't log probabilities: a type seen once, and one not seen in training.
+ONCE, NEVER = 1.0, 2.0
 END, START = b"", 0
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -337,14 +342,6 @@ def count_words(types: DataFrame) -> DataFrame:
     return after.unionByName(before).groupBy("id").agg(*[F.sum(c).alias(c) for c in after.columns[1:]])
 
 
-def _at_most(rows: DataFrame, most: int) -> Column:
-    """Whether a row's n is among the largest, at most ``most`` rows: a row for each distinct n decides."""
-    kinds = rows.groupBy("n").agg(F.count("*").alias("k"))
-    kinds = kinds.withColumn("_all", F.sum("k").over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"))))
-    least = kinds.where(F.col("_all") <= most).agg(F.min("n").alias("n")).first()["n"]
-    return F.col("n") >= F.lit(least) if least is not None else F.lit(False)
-
-
 def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
@@ -451,14 +448,12 @@ def gibbs(types: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame, lis
     for sweep in range(BURN_IN + SAMPLES + 1):
         sample, last = sweep > BURN_IN, sweep == BURN_IN + SAMPLES
         seated = shared_table(_seat_types(state, values, discount, sweep, sample, last), "seated")
-        if sweep:
-            discard(spark, state)
+        discard(spark, *([state] if sweep else []))
         state = seated
         if last:
             break
         swept = shared_table(_seat_words(rows, state, parent, sweep), "swept")
-        if sweep:
-            discard(spark, rows)
+        discard(spark, *([rows] if sweep else []))
         rows = swept
         got = rows.agg(F.sum("own").alias("own"), F.sum(F.size("sizes")).alias("tables")).first()
         parent = Parent(float((got["own"] or 0) + alone), float((got["tables"] or 0) + alone), parent.discount, known)
@@ -473,202 +468,308 @@ def gibbs(types: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame, lis
     return state, rows, parents, discount
 
 
-def _filter_of(pairs: DataFrame) -> np.ndarray | None:
-    """A Bloom filter of hashes (column pair), in blocks; none if they are more than FILTERED."""
-    if pairs.limit(FILTERED + 1).count() > FILTERED:
-        return None
+def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places in a sorted table, -1 where it doesn't have them."""
+    if not len(table):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return np.where(table[at] == x, at, -1)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte of their places, so that what is alike stands together, and compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
 
-    def run(table: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << 16, bool)
-        own = table.column("pair").to_numpy().view(np.uint64)
-        for k in range(3):
-            bits[_bit(own, k)] = True
-        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    blocks = pairs.select("pair", F.shiftrightunsigned("pair", 64 - 11).alias("block")).groupBy("block").applyInArrow(run, "block long, bits binary").collect()
-    out = np.zeros((FILTER_BLOCKS, 1 << 13), np.uint8)
-    for r in blocks:  # FILTER_BLOCKS rows of 8 KB at most
-        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    return out
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.Codec("zstd").decompress(memoryview(data)[8:], n * size, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).reshape(n)
 
 
-def _bit(pairs: np.ndarray, k: int) -> np.ndarray:
-    return ((pairs >> np.uint64(5 + 16 * k)) & np.uint64(0xFFFF)).astype(np.int64)
+def _all(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, one row after another, and how many each has."""
+    parts = [_unpacked(x, kind) for x in column.to_pylist()]
+    return np.concatenate([*parts, np.zeros(0, kind)]), np.array([len(x) for x in parts], np.int64)
 
 
-def _maybe(found: np.ndarray | None, pairs: np.ndarray) -> np.ndarray:
-    """Whether the filter may hold the pairs."""
-    out = np.ones(len(pairs), bool)
-    if found is not None:
-        own = pairs.view(np.uint64)
-        block = (own >> np.uint64(64 - 11)).astype(np.int64)
-        for k in range(3):
-            bit = _bit(own, k)
-            out &= (found[block, bit >> 3] >> (7 - (bit & 7)) & 1).astype(bool)
-    return out
+class Chunk:
+    """Tokens of some running texts: their words, each once and START first, and of each token its word's place among them."""
 
+    def __init__(self, words: np.ndarray, at: np.ndarray, sizes: np.ndarray, training: np.ndarray):
+        self.words, self.at, self.sizes, self.training = words, at, sizes, training
+        self.before = np.concatenate([[0], at[:-1]]) if len(at) else at
+        self.before[np.cumsum(sizes) - sizes] = 0
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
 
-def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Places in a sorted table, -1 where it doesn't have them."""
-    if not len(table):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return np.where(table[at] == x, at, -1)
+    @staticmethod
+    def write(flat: np.ndarray, sizes: np.ndarray, training: np.ndarray) -> dict[str, bytes]:
+        words, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # small numbers for frequent words
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(1, len(words) + 1, dtype=np.uint32)
+        return {"words": _packed(np.concatenate([[START], words[order]])), "at": _packed(rank[at]), "sizes": _packed(sizes), "training": _packed(training.astype(np.uint8))}
+
+    @classmethod
+    def read(cls, row: dict[str, bytes]) -> Chunk:
+        return cls(_unpacked(row["words"], np.int64), _unpacked(row["at"], np.uint32).astype(np.int64), _unpacked(row["sizes"], np.int64), _unpacked(row["training"], np.uint8).astype(bool))
+
+    def types(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The types by their pairs' hashes, in order: hash, a token of each, and of each token its type."""
+        return np.unique(pair_of(self.words[self.before], self.words[self.at]).view(np.uint64), return_index=True, return_inverse=True)
+
+
+def _cut(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where the buckets of sorted hashes, by their first bits, begin and end."""
+    return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+
+
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _short(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Of hashes the 48 bits that follow the bucket's."""
+    below = (keys.view(np.uint64) << np.uint64(bits)) >> np.uint64(16)
+    return below.view(np.uint8).reshape(-1, 8)[:, :6].copy().view("V6").ravel()
+
+
+def _long(keys: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(keys), 8), np.uint8)
+    out[:, :6] = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 6)
+    return out.view(np.int64).ravel()
+
+
+def _by_bucket(chunk: int, cuts: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket that isn't empty, with its part of the columns."""
+    live = np.flatnonzero(np.diff(cuts))
+    arrays = [pa.array(live), pa.array(np.full(len(live), chunk))]
+    arrays += [pa.array([_packed(x[cuts[i] : cuts[i + 1]]) for i in live], pa.binary()) for x in columns.values()]
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "chunk", *columns])
+
+
+def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The types of a bucket over all chunks: key, training tokens, an entry of each; of each entry its type; entries of each row, and where they begin."""
+    keys, lengths = _all(table.column("keys"), "V6")
+    n, _ = _all(table.column("n"), np.uint32)
+    found, first, at = np.unique(_long(keys), return_index=True, return_inverse=True)
+    return found, np.bincount(at, n, len(found)).astype(np.int64), first, at, lengths, np.cumsum(lengths) - lengths
+
+
+def _rows(schema: str, batches: Iterator[pa.RecordBatch]) -> pa.Table:
+    """Batches as a table, with the schema of an empty one if there are none."""
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    return pa.Table.from_batches(batches, pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]))
+
+
+def _counts(chunks: DataFrame, bits: int) -> DataFrame:
+    """(bucket, chunk, keys, n): of each chunk's types, by buckets of their hashes, the training tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk.read(row)
+                keys, _, of = chunk.types()
+                n = np.bincount(of, chunk.training[chunk.owner], len(keys)).astype(np.uint32)
+                yield _by_bucket(row["chunk"], _cut(keys, bits), keys=_short(keys, bits), n=n)
+
+    return chunks.mapInArrow(run, "bucket long, chunk long, keys binary, n binary")
+
+
+def _several(chunks: DataFrame, counts: DataFrame, bits: int) -> DataFrame:
+    """(u, w, n) of the types seen twice or more: a chunk that has a type says which it is."""
+    places_of, out_of = "bucket long, chunk long, places binary, n binary", "u long, w long, n long"
+
+    def count(table: pa.Table) -> pa.Table:
+        _, n, first, _, lengths, starts = _counted(table)
+        many = np.flatnonzero(n > 1)
+        many = many[np.argsort(first[many])]
+        cuts = np.searchsorted(first[many], np.append(starts, lengths.sum()))
+        names, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
+        rows = [(bucket, c, _packed((first[own] - starts[i]).astype(np.uint32)), _packed(n[own])) for i, c in enumerate(names) if len(own := many[cuts[i] : cuts[i + 1]])]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "places", "n"])
+
+    def name(own: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return _rows(out_of, [])
+        chunk = Chunk.read(own.to_pylist()[0])
+        keys, token, _ = chunk.types()
+        places, lengths = _all(asked.column("places"), np.uint32)
+        n, _ = _all(asked.column("n"), np.int64)
+        token = token[places + np.repeat(_cut(keys, bits)[asked.column("bucket").to_numpy()], lengths)]
+        order = np.argsort(chunk.before[token], kind="stable")  # equal neighbours take less room
+        u, w = chunk.words[chunk.before[token]], chunk.words[chunk.at[token]]
+        return pa.table([u[order], w[order], n[order]], names=["u", "w", "n"])
+
+    asked = counts.groupBy("bucket").applyInArrow(count, places_of)
+    return chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(name, out_of)
+
+
+def _words_of_chunks(chunks: DataFrame, several: DataFrame) -> DataFrame:
+    """What ``count_words`` gives: of the types of a word those that aren't among ``several`` have been seen once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk.read(row)
+                learned = chunk.training[chunk.owner]
+                n, c = (np.bincount(x[learned], minlength=len(chunk.words)) for x in (chunk.at, chunk.before))
+                for a in range(0, len(n), 50_000):
+                    own = a + np.flatnonzero((n + c)[a : a + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (chunk.words, n, c)], names=["id", "n", "c"])
+
+    zero, n = F.lit(0).cast("long"), F.col("n")
+    names = ("n", "c", "after", "once_after", "twice_after", "before", "once_before")
+    row = lambda rows, word, *values: rows.select(F.col(word).alias("id"), *[x.alias(c) for c, x in zip(names, values)])
+    tokens = row(chunks.mapInArrow(run, "id long, n long, c long"), "id", n, F.col("c"), n, n, zero, F.col("c"), F.col("c"))
+    after = row(several, "w", zero, zero, 1 - n, -n, (n == 2).cast("long"), zero, zero)
+    before = row(several, "u", zero, zero, zero, zero, zero, 1 - n, -n)
+    return tokens.unionByName(after).unionByName(before).groupBy("id").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def score(docs: DataFrame, learn: Column, *keep: str, text_col: str = "text") -> DataFrame:
     """The kept columns, n_tokens, n_known, train_tokens, base_score and score of each document."""
     spark = docs.sparkSession
+    small_batches(spark)
+    kept = [f"_own_{i}" for i in range(len(keep))]
     text = docs[text_col].cast("string").alias("text")
-    types = shared_table(count_types(docs.where(learn).select(text)), "types")
-    discard(spark)  # the counts' shuffle
-    words = shared_table(count_words(types), "words")
+    chosen = docs.select(*[docs[f"`{c}`"].alias(k) for c, k in zip(keep, kept)], F.coalesce(learn, F.lit(False)).alias("_learn"), text)
+    kinds = {k: t for k, t in chosen.dtypes if k in kept}
+    packs, most = ["words", "at", "sizes", "training"], max(1, HELD_TOKENS // 3)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, with its number; and a row for each chunk, which has the number of its first text."""
+        number = TaskContext.get().partitionId() << 40
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        fields: list[pa.Field] = []
+
+        def out() -> pa.RecordBatch:
+            flat, sizes, training = (np.concatenate(x) for x in zip(*held))
+            packed = Chunk.write(flat, sizes, training)
+            arrays = [*[pa.nulls(1, f.type) for f in fields], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([number - len(sizes)]), pa.array([len(flat)]), *[pa.array([packed[k]], pa.binary()) for k in packs]]
+            return pa.RecordBatch.from_arrays(arrays, names=[*kept, "rid", "n_tokens", "chunk", "held", *packs])
+
+        for batch in batches:
+            fields, m = [batch.schema.field(i) for i in range(len(kept))], batch.num_rows
+            flat, _, sizes = ids_of(batch.column("text").to_pylist())
+            held.append((flat, sizes, batch.column("_learn").to_numpy(zero_copy_only=False).astype(bool)))
+            arrays = [*batch.columns[: len(kept)], pa.array(number + np.arange(m)), pa.array(sizes), *[pa.nulls(m, pa.int64())] * 2, *[pa.nulls(m, pa.binary())] * len(packs)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "rid", "n_tokens", "chunk", "held", *packs])
+            number += m
+            if sum(len(x) for x, *_ in held) >= most:
+                yield out()
+                held = []
+        if sum(len(x) for _, x, _ in held):
+            yield out()
+
+    schema = ", ".join([*(f"{k} {t}" for k, t in kinds.items()), "rid long, n_tokens long, chunk long, held long", *(f"{k} binary" for k in packs)])
+    looked = shared_table(chosen.mapInArrow(cut, schema), "looked")
+    chunks = looked.where("chunk is not null").select("chunk", *packs)
+    held = looked.agg(F.sum("held")).first()[0] or 0
+    bits = min(16, max(1, (int(held) // BUCKET_TOKENS).bit_length()))
+    several = shared_table(_several(chunks, _counts(chunks, bits), bits), "several")
+    discard(spark)  # the counts' shuffles
+    words = shared_table(_words_of_chunks(chunks, several), "words")
+    discard(spark)
     sums = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     tokens, known = int(sums["n"] or 0), int(sums["v"])
     scale = float(tokens + known + 1)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(pair_of(batch.column(0).to_numpy(), batch.column(1).to_numpy())), *batch.columns[2:]], names=["pair", *batch.schema.names[2:]])
-
-    small_batches(spark)
-    once = shared_table(types.where("n = 1").select("u", "w").mapInArrow(pairs, "pair long"), "once")
-    several = shared_table(types.where("n > 1"), "several")
-    discard(spark, types)
     state, rows, parents, discount = gibbs(several, words)
-    ranks = range(SAMPLES)
+    discard(spark, several)
+    unknown, ranks = [x.unknown() for x in parents], range(SAMPLES)
     p_names, b_names = [f"p{i}" for i in ranks], [f"b{i}" for i in ranks]
-    value = F.log10(F.col("total") / SAMPLES).cast("float")
-    seen = shared_table(state.select("u", "w", "n", value.alias("value")).mapInArrow(pairs, "pair long, n long, value float"), "seen")
     single = [F.lit(p.of(1, 1)).alias(n) for p, n in zip(parents, p_names)] + [F.lit((STRENGTH + discount) / (STRENGTH + 1)).alias(n) for n in b_names]
     columns = ["id", "n", "c", *p_names, *b_names]
     placed = rows.select(*columns).unionByName(words.where("n = 1 and c < 2").select("id", "n", "c", *single))
-    placed = shared_table(placed, "placed")
-    discard(spark, state, several, words, rows)
-    in_head = (_at_most(placed, HEAD) & (F.col("n") > 1)) | (F.col("id") == START)
-    got = placed.where(in_head).toArrow()  # HEAD + 1 rows at most
-    order = np.argsort(got.column("id").to_numpy())
-    ids, n, c = (got.column(x).to_numpy()[order] for x in ("id", "n", "c"))
-    p, b = (np.stack([got.column(x).to_numpy()[order] for x in names], 1) if len(ids) else np.zeros((0, SAMPLES)) for names in (p_names, b_names))
-    # the last row is that of words seen once
-    p, b = np.append(p, [[x.of(1, 1) for x in parents]], 0), np.append(b, np.full((1, SAMPLES), (STRENGTH + discount) / (STRENGTH + 1)), 0)
-    base, inverse = np.log10((np.append(n, 1) + 1) / scale), 1 / (STRENGTH + np.append(c, 1.0))
-    cached = _at_most(seen, CACHE)
-    hits = seen.where(cached).select("pair", "value").toArrow()  # CACHE rows at most
-    by_pair = np.argsort(hits.column("pair").to_numpy())
-    asked_of, tail = seen.where(~cached).select("pair", "value"), placed.where(~in_head)
-    filters = _filter_of(asked_of), _filter_of(tail.where("n > 1").select(F.col("id").alias("pair")))
-    floats = [x.astype(np.float32) for x in (inverse, p, b)]
-    shared = spark.sparkContext.broadcast((ids, base, *floats, hits.column("pair").to_numpy()[by_pair], hits.column("value").to_numpy()[by_pair], *filters))
-    del got, hits, order, by_pair, filters, floats
-    unknown = [x.unknown() for x in parents]
-    kept = [f"_own_{i}" for i in range(len(keep))]
-    chosen = docs.select(*[docs[f"`{c}`"].alias(k) for c, k in zip(keep, kept)], F.coalesce(learn, F.lit(False)).alias("_learn"), text)
-    kinds = {k: t for k, t in chosen.dtypes if k in kept}
-    sums = {"rid": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-    asks = {"a_rid": pa.int64(), "a_pair": pa.int64(), "once": pa.float32(), "never": pa.float32()}
-    held = [*p_names, *b_names, "inverse"]
-    lacks = {x: pa.int64() for x in ("l_rid", "l_pair", "u", "w")} | {"ask": pa.int32()} | {x: pa.float32() for x in held}
-    spark_names = {pa.int64(): "long", pa.int32(): "int", pa.float32(): "float", pa.float64(): "double"}
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of sums for each text; and lists of the tokens that aren't settled: those whose words are found, with ``once`` and ``never``; those that lack u or w, with what is known instead.
-
-        ask: 0 if only the word is to be found, 1 if the type has been seen once, 2 if a training
-        text's type, 3 if another's is to be found.
-        """
-        ids, base, inverse, p, b, pairs, values, found, found_words = shared.value
-        number, single, start = TaskContext.get().partitionId() << 40, len(ids), int(_find(ids, np.array([START]))[0])
-
-        def out(batch: pa.RecordBatch | None, names: dict[str, pa.DataType], given: dict) -> pa.RecordBatch:
-            """Sums as rows, or one row of lists."""
-            n = 1 if batch is None else batch.num_rows
-            arrays = [batch.column(i) if batch is not None else pa.nulls(n, field.type) for i, field in enumerate(fields)]
-            arrays += [pa.array(given[k]).cast(t) if k in given else pa.nulls(n, t) for k, t in sums.items()]
-            for k, t in (asks | lacks).items():
-                own = given.get(k)
-                own = own if own is None or isinstance(own, pa.Array) else pa.array(own)
-                arrays.append(pa.nulls(n, pa.list_(t)) if own is None else pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own.cast(t)))
-            return pa.RecordBatch.from_arrays(arrays, names=[*kept, *sums, *asks, *lacks])
 
+    def word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fields = [batch.schema.field(i) for i in range(len(kept))]
-            w, u, sizes = ids_of(batch.column("text").to_pylist())
-            rid = number + np.arange(batch.num_rows)
-            number += batch.num_rows
-            owner = np.repeat(np.arange(batch.num_rows), sizes)
-            training = batch.column("_learn").to_numpy(zero_copy_only=False).astype(bool)[owner]
-            at = _find(ids, w)
-            rare = np.flatnonzero((at < 0) & training)
-            at[rare[~_maybe(found_words, w[rare])]] = single
-            before = np.concatenate([[start], at[:-1]])
-            before[np.cumsum(sizes) - sizes] = start
-            pair = pair_of(u, w)
-            place = _find(pairs, pair)
-            hit, heads = np.flatnonzero(place >= 0), np.flatnonzero(at >= 0)
-            settled = np.zeros(len(w))
-            settled[hit] = values[place[hit]]
-            open_ = np.flatnonzero((place < 0) & (at >= 0) & (before >= 0))
-            back = np.einsum("ij,ij->i", p[at[open_]].astype(np.float64), b[before[open_]]) / SAMPLES
-            one = np.log10(back + (1 - discount) * inverse[before[open_]])
-            maybe = ~training[open_]
-            learned = np.flatnonzero(~maybe)
-            maybe[learned] = _maybe(found, pair[open_[learned]])
-            settled[open_[~maybe]] = one[~maybe]
-            total = lambda x, of: np.bincount(owner[of], x, batch.num_rows)
-            yield out(batch, sums, {"rid": rid, "n_tokens": sizes, "n_known": total(None, heads).astype(np.int64), "base_score": total(base[at[heads]], heads), "score": np.bincount(owner, settled, batch.num_rows)})
-            ask, one, back, others = open_[maybe], one[maybe], back[maybe], ~training[open_[maybe]]
-            yield out(None, asks, {"a_rid": rid[owner[ask]], "a_pair": pair[ask], "once": one, "never": pa.array(np.log10(back), mask=~others)})
-            rest = np.flatnonzero((at < 0) | (before < 0) & (place < 0))
-            kind = np.where(place[rest] >= 0, 0, np.where(~training[rest], 3, np.where(_maybe(found, pair[rest]), 2, 1)))
-            no_w, no_u = at[rest] < 0, (before[rest] < 0) & (kind > 0)
-            given = {"l_rid": rid[owner[rest]], "l_pair": pa.array(pair[rest], mask=kind < 2), "u": pa.array(u[rest], mask=~no_u), "w": pa.array(w[rest], mask=~no_w), "ask": kind, "inverse": pa.array(inverse[before[rest]], mask=no_u)}
-            yield out(None, lacks, given | {n: pa.array(p[at[rest], j], mask=no_w) for j, n in enumerate(p_names)} | {n: pa.array(b[before[rest], j], mask=no_u) for j, n in enumerate(b_names)})
-
-    listed = lambda names: [f"{k} array<{spark_names[t]}>" for k, t in names.items()]
-    schema = ", ".join([*(f"{k} {t}" for k, t in kinds.items()), *(f"{k} {spark_names[t]}" for k, t in sums.items()), *listed(asks), *listed(lacks)])
-    looked = shared_table(chosen.mapInArrow(look_up, schema), "looked")
-    discard(spark)
-    each = lambda names: looked.where(F.col(next(iter(names))).isNotNull()).select(F.explode(F.arrays_zip(*names)).alias("z")).select("z.*")
-    # each token meets the rows of the words it lacks, and no others; what isn't asked for any more is null, so it takes no room
-    rest = each(lacks).select(F.col("l_rid").alias("rid"), F.col("l_pair").alias("pair"), "u", "w", "ask", *held)
-    none = F.lit(None).cast("long").alias("n")
-    of_w = tail.select(F.col("id").alias("_w"), F.col("n").alias("_n"), *[F.col(x).cast("float").alias(f"_{x}") for x in p_names])
-    of_u = tail.select(F.col("id").alias("_u"), (1 / (STRENGTH + F.col("c"))).cast("float").alias("_inverse"), *[F.col(x).cast("float").alias(f"_{x}") for x in b_names])
-    with_w = lambda x: x.join(of_w.hint("shuffle_hash"), F.col("w") == F.col("_w"), "left").select(*[c for c in rest.columns if c not in p_names], F.coalesce("_n", F.lit(0)).alias("n"), *[F.coalesce(f"_{c}", F.lit(unknown[i]).cast("float")).alias(c) for i, c in enumerate(p_names)])
-    with_u = lambda x: x.join(of_u.hint("shuffle_hash"), F.col("u") == F.col("_u"), "left").select(*[c for c in x.columns if c not in (*b_names, "inverse")], F.coalesce("_inverse", F.lit(0.0).cast("float")).alias("inverse"), *[F.coalesce(f"_{c}", F.lit(1.0).cast("float")).alias(c) for c in b_names])
-    only_w, only_u, both = (rest.where(x) for x in ("u is null", "w is null", "u is not null and w is not null"))
-    rest = with_w(only_w).unionByName(with_u(only_u.select("*", none))).unionByName(with_u(with_w(both)))
-    back = sum(F.col(x).cast("double") * F.col(y).cast("double") for x, y in zip(p_names, b_names)) / SAMPLES
-    one = F.when(F.col("ask") > 0, F.log10(back + (1 - discount) * F.col("inverse").cast("double")))
-    rest = rest.select("rid", "pair", "ask", "n", one.cast("float").alias("once"), F.when(F.col("ask") == 3, F.log10(back)).cast("float").alias("never"))
-    rest = shared_table(rest, "rest")
-    discard(spark)
-    zero, nothing = F.lit(0).cast("long").alias("n_known"), F.lit(0.0)
-    counts = rest.where("n is not null").select("rid", (F.col("n") > 0).cast("long").alias("n_known"), F.log10((F.col("n") + 1) / F.lit(scale)).alias("base_score"), nothing.alias("score"))
-    sure = rest.where("ask = 1").select("rid", zero, nothing.alias("base_score"), F.col("once").cast("double").alias("score"))
-    asked = each(asks).select(F.col("a_rid").alias("rid"), F.col("a_pair").alias("pair"), "once", "never")
-    asked = asked.unionByName(rest.where("ask > 1").select("rid", "pair", "once", "never"))
-    # of the types seen once, those that other texts ask for
-    wanted = _filter_of(asked.where("never is not null").select("pair"))
-    if wanted is not None:
-        sent = spark.sparkContext.broadcast(wanted)
-
-        def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(_maybe(sent.value, batch.column(0).to_numpy())))
-
-        once = once.mapInArrow(picked, "pair long")
-    answers = asked_of.unionByName(once.select("pair", F.lit(None).cast("float").alias("value"))).withColumnRenamed("pair", "_pair")
-    met = asked.join(answers.hint("shuffle_hash"), F.col("pair") == F.col("_pair"), "left")
-    value = F.coalesce(F.col("value").cast("double"), F.when(F.col("_pair").isNull(), F.col("never").cast("double")), F.col("once").cast("double"))
-    met = met.select("rid", zero, nothing.alias("base_score"), value.alias("score"))
-    more = counts.unionByName(sure).unionByName(met).groupBy("rid").agg(*[F.sum(x).alias(f"_{x}") for x in ("n_known", "base_score", "score")])
-    whole = looked.where(F.col("n_tokens").isNotNull()).join(more.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"), "left")
-    added = [(F.col(x) + F.coalesce(f"_{x}", F.lit(0))).alias(x) for x in ("n_known", "base_score", "score")]
-    results = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+            for row in batch.to_pylist():
+                keys = np.sort(_unpacked(row["words"], np.int64).view(np.uint64))
+                yield _by_bucket(row["chunk"], _cut(keys, bits), keys=keys)
+
+    def word_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(batch.column(0).to_numpy(), bits)), *batch.columns], names=["bucket", *batch.schema.names])
+
+    def type_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = pair_of(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(pair, bits)), pa.array(_long(_short(pair, bits))), batch.column(2)], names=["bucket", "key", "value"])
+
+    def answered(asked: pa.Table, answers: list[np.ndarray], starts: np.ndarray, lengths: np.ndarray, kind: int) -> pa.Table:
+        """The answers to each row's keys: arrays of numbers, one after another."""
+        data = [b"".join(len(x).to_bytes(8, "little") + x for x in (_packed(a[s : s + n]) for a in answers)) for s, n in zip(starts, lengths)]
+        return pa.table([asked.column("chunk"), pa.array(np.full(asked.num_rows, kind)), asked.column("bucket"), pa.array(data, pa.binary())], names=["chunk", "kind", "bucket", "data"])
+
+    answer = "chunk long, kind long, bucket long, data binary"
+
+    def answer_words(asked: pa.Table, found: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return _rows(answer, [])
+        keys, lengths = _all(asked.column("keys"), np.int64)
+        ids = found.column("id").to_numpy()
+        order = np.argsort(ids)
+        at = _find(ids[order], keys)
+        lost = at < 0
+        take = lambda c, x, t: np.where(lost, x, np.append(found.column(c).to_numpy()[order], 0)[at]).astype(t)
+        values = [take("n", 0, np.int64), take("c", 0, np.int64), *[take(c, unknown[i], np.float32) for i, c in enumerate(p_names)], *[take(c, 1.0, np.float32) for c in b_names]]
+        return answered(asked, values, np.cumsum(lengths) - lengths, lengths, 0)
+
+    def answer_types(asked: pa.Table, found: pa.Table) -> pa.Table:
+        """A type's value if it has been seen twice or more, else ONCE or NEVER."""
+        if not asked.num_rows:
+            return _rows(answer, [])
+        keys, n, _, of, lengths, starts = _counted(asked)
+        value = np.where(n == 1, ONCE, NEVER).astype(np.float32)
+        at = _find(keys, found.column("key").to_numpy())
+        value[at[at >= 0]] = found.column("value").to_numpy()[at >= 0]
+        return answered(asked, [value[of]], starts, lengths, 1)
+
+    result = "rid long, n_known double, base_score double, score double"
+
+    def work_out(own: pa.Table, answers: pa.Table) -> pa.Table:
+        """The sums of each text of a chunk."""
+        row = own.to_pylist()[0]
+        chunk = Chunk.read(row)
+        got: dict[int, list[list[np.ndarray]]] = {0: [], 1: []}
+        for x in sorted(answers.to_pylist(), key=lambda x: (x["kind"], x["bucket"])):
+            parts, data, at = [], memoryview(x["data"]), 0
+            while at < len(data):
+                size = int.from_bytes(data[at : at + 8], "little")
+                parts.append(bytes(data[at + 8 : at + 8 + size]))
+                at += 8 + size
+            kinds = [np.int64] * 2 + [np.float32] * 2 * SAMPLES if x["kind"] == 0 else [np.float32]
+            got[x["kind"]].append([_unpacked(d, t) for d, t in zip(parts, kinds)])
+        by_word = np.argsort(chunk.words.view(np.uint64))
+        n, c, *shares = (np.concatenate(x)[np.argsort(by_word)] for x in zip(*got[0]))
+        p, b = np.stack(shares[:SAMPLES], 1).astype(np.float64), np.stack(shares[SAMPLES:], 1).astype(np.float64)
+        (value,) = (np.concatenate(x).astype(np.float64) for x in zip(*got[1]))
+        _, token, of = chunk.types()
+        lone = np.flatnonzero(value > 0)
+        u, w = chunk.before[token[lone]], chunk.at[token[lone]]
+        value[lone] = np.log10(np.einsum("ij,ij->i", p[w], b[u]) / SAMPLES + (value[lone] == ONCE) * (1 - discount) / (STRENGTH + c[u]))
+        base = np.log10((n + 1) / scale)
+        total = lambda x: np.bincount(chunk.owner, x, len(chunk.sizes))
+        known = (n > 0).astype(np.float64)
+        return pa.table([row["chunk"] + np.arange(len(chunk.sizes)), total(known[chunk.at]), total(base[chunk.at]), total(value[of])], names=["rid", "n_known", "base_score", "score"])
+
+    asked = chunks.mapInArrow(word_keys, "bucket long, chunk long, keys binary")
+    bucketed = placed.mapInArrow(word_buckets, "bucket long, " + ", ".join(f"{c} {t}" for c, t in placed.dtypes))
+    of_words = shared_table(asked.groupBy("bucket").cogroup(bucketed.groupBy("bucket")).applyInArrow(answer_words, answer), "of_words")
+    discard(spark, words, rows)
+    value = F.log10(F.col("total") / SAMPLES).cast("float")
+    seen = state.select("u", "w", value.alias("value")).mapInArrow(type_buckets, "bucket long, key long, value float")
+    of_types = shared_table(_counts(chunks, bits).groupBy("bucket").cogroup(seen.groupBy("bucket")).applyInArrow(answer_types, answer), "of_types")
+    discard(spark, state)
+    answers = of_words.unionByName(of_types)
+    worked = shared_table(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(work_out, result), "worked")
+    discard(spark, of_words, of_types)
+    whole = looked.where("rid is not null").select(*kept, F.col("rid").alias("_rid"), "n_tokens").join(worked, F.col("_rid") == F.col("rid"))
+    results = {"n_tokens": F.col("n_tokens"), "n_known": F.col("n_known").cast("long"), "train_tokens": F.lit(tokens).cast("long"), "base_score": F.col("base_score"), "score": F.col("score")}
     own = [F.col(k).alias(c) for k, c in zip(kept, keep) if c not in results]
-    return whole.select(*own, "n_tokens", added[0], F.lit(tokens).cast("long").alias("train_tokens"), *added[1:])
+    return whole.select(*own, *[x.alias(c) for c, x in results.items()])
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -561,6 +561,27 @@ def test_every_context_has_a_restaurant(spark):
     assert got[2000] > got[2001] + 1 and got[2000] > got[2002]
 
 
+def test_language_model_writes_few_bytes_a_token(spark, monkeypatch):
+    """Where no word is frequent, what scoring writes beside the sampler's state stays below 40 bytes a token."""
+    for name in ("HEAD", "CACHE", "FILTERED"):
+        monkeypatch.setattr(language_model, name, 0)
+    written, write = Counter(), language_model.shared_table
+
+    def measured(rows, name):
+        out = write(rows, name)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out._shared_path)
+        written[name] += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+        return out
+
+    monkeypatch.setattr(language_model, "shared_table", measured)
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(40_000)}" for _ in range(100))) for i in range(2000)], "doc_id long, text string").repartition(2)
+    rows = language_model.score(docs, F.col("doc_id") % 7 != 2, "doc_id").collect()
+    tokens = sum(r["n_tokens"] for r in rows)
+    assert tokens == 2000 * 101
+    assert sum(n for name, n in written.items() if name not in ("seated", "swept")) < 40 * tokens, written
+
+
 def test_a_batch_scores_as_each_text_alone():
     net = toxicity.Net()
     rng = np.random.default_rng(2)
