@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["urls", "quality", "toxicity", "licenses", "mixing", "neardup", "topk", "language_model", "bpe", "rules"]
+MODULES = ["urls", "quality", "toxicity", "licenses", "mixing", "neardup", "topk", "language_model", "bpe", "rules", "runs", "secret_scan", "negatives"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
