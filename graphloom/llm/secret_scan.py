@@ -429,7 +429,8 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(docs, train(docs), "doc_id")
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     place = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["kind"].alias("kind"), s["end"].alias("end"))
-    numbers = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in LENGTHS]
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    numbers = [of(kind) for kind in LENGTHS]
     every = F.array_sort(F.transform(F.concat("base", "added"), place))
     return found.select("doc_id", *numbers, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
