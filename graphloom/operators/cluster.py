@@ -3,93 +3,25 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.bounded import CAPACITY, bounded_clusters
 from graphloom.operators.dedupe import first_match, rewrite
 from graphloom.operators.retrieve import EPSILON, K1, B
 from graphloom.schema import KGFrames
 from graphloom.storage import shared_table
 
-CAPACITY, ITERATIONS, SEED = 128, 20, 17
-#: Names of a graph that one task clusters at most; and what a model is shown of a cluster.
-LOCAL, CANDIDATES = 20_000, 16
+#: What a model is shown of a cluster.
+CANDIDATES = 16
 
 
-def _nearest(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return ((centers**2).sum(1)[None] - 2 * v @ centers.T).argmin(1)
-
-
-def capacity_clusters(vectors: DataFrame, capacity: int = CAPACITY, seed: int = SEED) -> DataFrame:
-    """(name, cluster) from vectors (name, embedding), of at most ``capacity`` names each.
-
-    Up to ``capacity`` names: one cluster. Otherwise k-means makes n // capacity centres; in each round
-    every name still free asks the nearest centre that has room, which takes names in order while it
-    has. What no centre has room for is one cluster more. Names are compared with centres in blocks,
-    and only those still free; the centres are k-means' own, held by the driver as there.
-    """
-    n = vectors.count()
-    if n <= capacity:
-        return vectors.select("name", F.lit(0).cast("long").alias("cluster"))
-    spark, k = vectors.sparkSession, n // capacity
-    points = shared_table(vectors.select("name", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features")), "points")
-    centers = np.array(KMeans(k=k, maxIter=ITERATIONS, seed=seed).fit(points).clusterCenters())
-    taken, free = None, shared_table(points.select("name", vector_to_array("features").alias("v")), "free")
-    room = np.full(k, capacity)
-    while (room > 0).any():
-        open_ = np.flatnonzero(room > 0)
-        shared = spark.sparkContext.broadcast((open_, centers[open_]))
-
-        def ask(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, own = shared.value
-            for batch in batches:
-                v = np.array(batch.column("v").to_pylist(), np.float64).reshape(batch.num_rows, own.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("v"), pa.array(ids[_nearest(v, own)])], names=["name", "v", "center"])
-
-        asks = free.mapInArrow(ask, "name string, v array<double>, center long")
-        rooms = spark.createDataFrame([(int(i), int(room[i])) for i in open_], "_c long, room long")
-        placed = asks.withColumn("_n", F.row_number().over(Window.partitionBy("center").orderBy("name"))).join(rooms, F.col("center") == F.col("_c"))
-        placed = shared_table(placed.select("name", "v", "center", (F.col("_n") <= F.col("room")).alias("in")), "asks")
-        got = placed.where("in").select("name", F.col("center").alias("cluster"))
-        taken = got if taken is None else taken.unionByName(got)
-        for r in got.groupBy("cluster").agg(F.count("*").alias("n")).collect():  # a row for each centre
-            room[r["cluster"]] -= r["n"]
-        free = placed.where("not in").select("name", "v")
-        if free.isEmpty():
-            break
-    return taken.unionByName(free.select("name", F.lit(k).cast("long").alias("cluster")))
-
-
-def local_clusters(names: list[str], v: np.ndarray, capacity: int = CAPACITY, seed: int = SEED) -> list[int]:
-    """Clusters of one graph's names, by the same rules in one task."""
-    n = len(names)
-    if n <= capacity:
-        return [0] * n
-    k = n // capacity
-    centers = v[np.random.default_rng(seed).choice(n, k, replace=False)]
-    for _ in range(ITERATIONS):
-        own = _nearest(v, centers)
-        sums = np.zeros_like(centers)
-        np.add.at(sums, own, v)
-        counts = np.bincount(own, minlength=k)[:, None]
-        centers = np.where(counts > 0, sums / np.maximum(counts, 1), centers)
-    out, room = np.full(n, k), np.full(k, capacity)
-    free = np.array(sorted(range(n), key=names.__getitem__))
-    while len(free) and (room > 0).any():
-        open_ = np.flatnonzero(room > 0)
-        for center, own in pd.Series(free).groupby(open_[_nearest(v[free], centers[open_])]):
-            own = own.to_numpy()[: room[center]]
-            out[own] = center
-            room[center] -= len(own)
-        free = free[out[free] == k]
-    return out.tolist()
+def capacity_clusters(vectors: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(name, cluster) from vectors (name, embedding) of one graph."""
+    return bounded_clusters(vectors.select(F.lit("graph").alias("graph_id"), "name", "embedding"), capacity).select("name", "cluster")
 
 
 def nearest_candidates(item: str, rest: list[str], vectors: dict[str, np.ndarray], k: int = CANDIDATES) -> list[str]:
@@ -154,27 +86,11 @@ def lm_clusters(clustered: DataFrame, backend) -> tuple[DataFrame, DataFrame]:
 
 
 def graph_clusters(names: DataFrame, embed, capacity: int = CAPACITY) -> DataFrame:
-    """(graph_id, name, cluster, embedding) of names (graph_id, name): each graph's clusters of bounded size.
-
-    Graphs of LOCAL names at most are a task each; only larger ones, each many tasks, come one after another.
-    """
+    """(graph_id, name, cluster, embedding) of names (graph_id, name): each graph's clusters of bounded size, all graphs at once."""
     names = names.select("graph_id", "name").distinct()
     vectors = embed(names.select(F.col("name").alias("node")).distinct()).select(F.col("node").alias("name"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = shared_table(names.join(vectors, "name").select("graph_id", "name", "embedding"), "named")
-    sizes = rows.groupBy(F.col("graph_id").alias("_g")).agg(F.count("*").alias("_n"))
-    rows = rows.join(sizes, F.col("graph_id") == F.col("_g"))
-
-    def local(frame: pd.DataFrame) -> pd.DataFrame:
-        own = local_clusters(frame["name"].tolist(), np.array(frame["embedding"].tolist(), float), capacity)
-        return pd.DataFrame({"graph_id": frame["graph_id"], "name": frame["name"], "cluster": own, "embedding": frame["embedding"]})
-
-    small = rows.where(F.col("_n") <= capacity).select("graph_id", "name", F.lit(0).cast("long").alias("cluster"), "embedding")
-    middle = rows.where((F.col("_n") > capacity) & (F.col("_n") <= LOCAL)).select("graph_id", "name", "embedding")
-    out = small.unionByName(middle.groupBy("graph_id").applyInPandas(local, "graph_id string, name string, cluster long, embedding array<double>"))
-    for r in sizes.where(F.col("_n") > LOCAL).toLocalIterator():
-        own = rows.where(F.col("graph_id") == r["_g"]).select("graph_id", "name", "embedding")
-        out = out.unionByName(own.join(capacity_clusters(own, capacity), "name").select("graph_id", "name", "cluster", "embedding"))
-    return out
+    return rows.join(bounded_clusters(rows, capacity), ["graph_id", "name"]).select("graph_id", "name", "cluster", "embedding")
 
 
 def lm_deduplicate(graph: KGFrames, embed, backend) -> KGFrames:

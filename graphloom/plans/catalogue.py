@@ -416,6 +416,28 @@ def capacity_cluster_sizes(spark, d):
     return sizes.groupBy("size").agg(F.count("*").alias("clusters"))
 
 
+#: k-means from the first names by key and names taken rank by rank, for tables of one level of the tree.
+_CLUSTERS = """WITH RECURSIVE n AS (SELECT vec_id::VARCHAR AS name, md5(vec_id::VARCHAR) || vec_id::VARCHAR AS key, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY md5(vec_id::VARCHAR) || vec_id::VARCHAR) AS i FROM embeddings),
+k AS (SELECT greatest(1, count(*) // 16)::INT AS k FROM n),
+km AS (SELECT 0 AS t, (SELECT list(v ORDER BY i) FROM n, k WHERE i <= k) AS cs
+  UNION ALL SELECT t + 1, (SELECT list(coalesce(mean, old) ORDER BY j)
+    FROM (SELECT unnest(range(1, len(km.cs) + 1)) AS j, unnest(km.cs) AS old) o
+    LEFT JOIN (SELECT j, list(x ORDER BY dim) AS mean FROM (SELECT j, dim, avg(x) AS x FROM (
+      SELECT list_position(d, list_min(d)) AS j, unnest(range(1, len(v) + 1)) AS dim, unnest(v) AS x FROM (SELECT v, list_transform(km.cs, lambda c: round(list_distance(v, c), 9)) AS d FROM n)) GROUP BY j, dim) GROUP BY j) m USING (j))
+  FROM km WHERE t < 20),
+pref AS (SELECT name, key, list(j ORDER BY d, j) AS ord FROM (SELECT name, key, unnest(range(1, len(cs) + 1)) AS j, unnest(list_transform(cs, lambda c: round(list_distance(v, c), 9))) AS d FROM n, km WHERE t = 20) GROUP BY name, key),
+r AS (SELECT 0 AS t, name, key, ord, NULL::BIGINT AS own FROM pref
+  UNION ALL SELECT t + 1, name, key, ord, CASE WHEN own IS NOT NULL THEN own WHEN row_number() OVER (PARTITION BY coalesce(own, ord[t + 1]) ORDER BY own IS NULL, key) <= 16 THEN ord[t + 1] END FROM r, k WHERE t < k)
+SELECT name, coalesce(own - 1, k)::BIGINT AS cluster FROM r, k WHERE t = k"""
+
+
+@_query(_CLUSTERS)
+def capacity_clusters(spark, d):
+    """The cluster of each vector, of 16 at most."""
+    vectors = fx.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("name"), "embedding")
+    return cluster.capacity_clusters(vectors, 16)
+
+
 # --- retrieval --------------------------------------------------------------------------------
 
 
