@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import parse
 from graphloom.functions import text as tx
-from graphloom.operators import analytics, backends, chunks, cluster, dedupe, evaluate, extract, graph, retrieve
+from graphloom.operators import analytics, backends, chunks, cluster, dedupe, evaluate, extract, graph, lexical, retrieve
 from graphloom.plans import fixtures as fx
 from graphloom.plans import lifecycles
 from graphloom.schema import KGFrames
@@ -463,16 +463,17 @@ df AS (SELECT term, count(*) AS df FROM fr GROUP BY term), w0 AS (SELECT term, l
 bm AS (SELECT query_id, fr.name, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(docs.w) / avgdl))) AS score FROM (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(w) AS term FROM qs) GROUP BY ALL) JOIN w1 USING (term) JOIN fr USING (term) JOIN docs USING (name), st GROUP BY ALL)"""
 
 
-def _bm25(spark, d):
+def _index(spark, d):
+    """The index of the parts' texts, and the texts that are asked."""
     part = fx.table(spark, d, "part")
     corpus = part.select(F.col("p_partkey").cast("string").alias("name"), F.concat_ws(" ", "p_type", "p_name").alias("text"))
     asked = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type", "p_name").alias("text"))
-    return retrieve.bm25_scores(asked, corpus)
+    return lexical.build(corpus), asked
 
 
 @_query(f"WITH {_BM25} SELECT query_id, name, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, name)::INT AS rank FROM bm QUALIFY rank <= 16")
 def bm25_topk(spark, d):
-    return retrieve.top_k(_bm25(spark, d).withColumn("score", F.round("score", 6)), 16).select("query_id", "name", "score", "rank")
+    return lexical.bm25_top_k(*_index(spark, d), 16)[0].select("query_id", "name", "score", "rank")
 
 
 @_query(f"""WITH {_BM25}, e AS (SELECT vec_id::VARCHAR AS name, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
@@ -481,9 +482,8 @@ SELECT query_id, name, score, row_number() OVER (PARTITION BY query_id ORDER BY
 def hybrid_topk(spark, d):
     e = fx.table(spark, d, "embeddings").withColumn("graph_id", F.lit("parts"))
     asked = e.where("vec_id % 50 = 0").select("graph_id", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    dense = retrieve.cosine_scores(asked, e.select("graph_id", F.col("vec_id").cast("string").alias("name"), "embedding"))
-    scored = retrieve.hybrid_scores(_bm25(spark, d), dense).withColumn("score", F.round("score", 6))
-    return retrieve.top_k(scored, 16).select("query_id", "name", "score", "rank")
+    nodes = e.select("graph_id", F.col("vec_id").cast("string").alias("name"), "embedding")
+    return lexical.hybrid_top_k(*_index(spark, d), asked, nodes)[0].select("query_id", "name", "score", "rank")
 
 
 _DI = "di AS (SELECT s, o, max(p) AS r FROM act GROUP BY s, o), sym AS (SELECT s AS a, o AS b FROM di UNION SELECT o, s FROM di)"
