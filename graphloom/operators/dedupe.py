@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import dot, norm, words
+from graphloom.operators.components import components
 from graphloom.schema import KGFrames
 from graphloom.storage import shared_table
 
@@ -66,32 +67,95 @@ def collapse(names: DataFrame) -> DataFrame:
     return forms.join(chosen, ["graph_id", "norm"]).select("graph_id", "name", "norm", "chosen")
 
 
-def independent_set(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, keeper): what going through the nodes in order keeps, if a kept node drops its later neighbours.
+def independent_set(nodes: DataFrame, links: DataFrame, cliques: DataFrame | None = None) -> DataFrame:
+    """(node, keeper): what going through the nodes in order keeps, if a kept node drops its later neighbours; those are given to their least kept one.
 
-    In rounds: a node all of whose smaller neighbours are decided against is kept; neighbours of
-    kept nodes are dropped, to their least kept neighbour. ``links`` (a, b) may stand in either order.
+    ``links`` (a, b) may stand in either order; all nodes of a clique (clique, node) are neighbours,
+    without a row for each pair. Components of TASK_LINKS rows at most are gone through in order, many
+    in a task, so a long chain takes no rounds. Larger ones shrink in rounds: a node is kept if
+    it is the least undecided one of all its links and cliques, and drops the others there.
     """
     pairs = shared_table(links.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low <> high").distinct(), "similar")
-    linked = pairs.select(F.col("low").alias("node")).unionByName(pairs.select(F.col("high").alias("node"))).distinct()
-    kept = None
-    open_pairs, undecided = pairs, shared_table(linked, "undecided")
-    while True:
-        fresh = undecided.join(open_pairs.select(F.col("high").alias("node")).distinct(), "node", "left_anti")
-        fresh = shared_table(fresh, "kept")
-        kept = fresh if kept is None else kept.unionByName(fresh)
-        both = pairs.unionByName(pairs.select(F.col("high").alias("low"), F.col("low").alias("high")))
-        gone = both.join(fresh.withColumnRenamed("node", "low"), "low", "left_semi").select(F.col("high").alias("node")).distinct()
-        undecided = shared_table(undecided.join(fresh, "node", "left_anti").join(gone, "node", "left_anti"), "undecided")
-        if undecided.isEmpty():
-            break
-        left = undecided.select("node")
-        open_pairs = pairs.join(left.withColumnRenamed("node", "low"), "low", "left_semi").join(left.withColumnRenamed("node", "high"), "high", "left_semi")
     both = pairs.unionByName(pairs.select(F.col("high").alias("low"), F.col("low").alias("high")))
-    dropped = both.join(kept.withColumnRenamed("node", "low"), "low", "left_semi").groupBy(F.col("high").alias("node")).agg(F.min("low").alias("keeper"))
-    dropped = dropped.join(kept, "node", "left_anti")
-    alone = nodes.select("node").distinct().join(dropped, "node", "left_anti").select("node", F.col("node").alias("keeper"))
-    return alone.unionByName(dropped)
+    member = nodes.select(F.lit(None).cast("string").alias("clique"), "node").where("false") if cliques is None else cliques.select("clique", "node").distinct()
+    member = shared_table(member, "cliques")
+
+    def neighbours(kept: DataFrame) -> DataFrame:
+        """(node, keeper): neighbours of kept nodes, and each of those that a clique with one has; a clique keeps one at most."""
+        of = member.join(kept, "node", "left_semi").groupBy("clique").agg(F.min("node").alias("keeper"))
+        near = both.join(kept.withColumnRenamed("node", "low"), "low", "left_semi").select(F.col("high").alias("node"), F.col("low").alias("keeper"))
+        return near.unionByName(member.join(of, "clique").where(F.col("node") != F.col("keeper")).select("node", "keeper"))
+
+    linked = both.select(F.col("low").alias("node")).unionByName(member.select("node")).distinct()
+    kept, undecided = None, shared_table(linked, "undecided")
+    while not undecided.isEmpty():
+        open_pairs, open_members = shared_table(_among(pairs, undecided), "open-pairs"), shared_table(member.join(undecided, "node", "left_semi"), "open-cliques")
+        least = open_members.groupBy("clique").agg(F.min("node").alias("least"))
+        stars = open_members.join(least, "clique").select(F.col("least").alias("a"), F.col("node").alias("b"))
+        placed = components(open_pairs.select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(stars))
+        rows = open_pairs.join(placed, open_pairs["low"] == placed["node"]).select("root", F.col("low").alias("a"), F.col("high").alias("b"), F.lit(None).cast(dict(member.dtypes)["clique"]).alias("clique"))
+        rows = rows.unionByName(open_members.join(placed, "node").select("root", F.col("node").alias("a"), F.col("node").alias("b"), "clique"))
+        rows = shared_table(rows, "by-component")
+        sizes = shared_table(rows.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+        small = sizes.where(F.col("n") <= TASK_LINKS)
+        total = small.agg(F.sum("n")).first()[0] or 0
+        dealt = rows.join(small.select("root"), "root").withColumn("task", F.pmod(F.xxhash64("root"), F.lit(max(1, -(-total // TASK_LINKS)))))
+        done = dealt.select("task", "a", "b", "clique").groupBy("task").applyInArrow(_in_order, f"node {dict(pairs.dtypes)['low']}")
+        large = placed.join(small, "root", "left_anti").select("node")
+        alone = undecided.join(placed.select("node"), "node", "left_anti")  # nothing undecided is left beside them
+        fresh = [done, alone]
+        left = shared_table(large, "undecided")
+        for _ in range(ROUNDS if not left.isEmpty() else 0):
+            lows = member.join(left, "node", "left_semi").groupBy("clique").agg(F.min("node").alias("least"))
+            behind = member.join(left, "node", "left_semi").join(lows, "clique").where(F.col("node") != F.col("least")).select("node")
+            behind = behind.unionByName(_among(pairs, left).select(F.col("high").alias("node")))
+            first = shared_table(left.join(behind.distinct(), "node", "left_anti"), "kept")
+            fresh.append(first)
+            left = shared_table(left.join(first, "node", "left_anti").join(neighbours(first).select("node").distinct(), "node", "left_anti"), "undecided")
+        new = fresh[0]
+        for more in fresh[1:]:
+            new = new.unionByName(more)
+        new = shared_table(new, "kept")
+        kept = new if kept is None else kept.unionByName(new)
+        undecided = left
+    every = nodes.select("node").distinct()
+    if kept is None:
+        return every.select("node", F.col("node").alias("keeper"))
+    dropped = neighbours(kept).groupBy("node").agg(F.min("keeper").alias("keeper")).join(kept, "node", "left_anti")
+    return every.join(dropped, "node", "left_anti").select("node", F.col("node").alias("keeper")).unionByName(dropped)
+
+
+#: Links and memberships that a task goes through in order, about; rounds between two looks at the components that are left.
+TASK_LINKS, ROUNDS = 20_000, 4
+
+
+def _among(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    return pairs.join(nodes.withColumnRenamed("node", "low"), "low", "left_semi").join(nodes.withColumnRenamed("node", "high"), "high", "left_semi").select("low", "high")
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    """The nodes that are kept, of whole components: rows (a, b) are links, rows with a clique memberships of a."""
+    key = lambda x: tuple((v is not None, v) for v in x.values()) if isinstance(x, dict) else x
+    a, b, clique = (table.column(c).to_pylist() for c in ("a", "b", "clique"))
+    values, near, cliques, members = {}, {}, {}, {}
+    for x, y, c in zip(a, b, clique):
+        i, j = key(x), key(y)
+        values[i], values[j] = x, y
+        if c is None:
+            near.setdefault(i, []).append(j)
+            near.setdefault(j, []).append(i)
+        else:
+            cliques.setdefault(i, []).append(key(c))
+            members.setdefault(key(c), []).append(i)
+    kept, gone = [], set()
+    for i in sorted(values):
+        if i in gone:
+            continue
+        kept.append(values[i])
+        gone.update(near.get(i, ()))
+        for c in cliques.get(i, ()):
+            gone.update(members.pop(c, ()))
+    return pa.table({"node": pa.array(kept, table.schema.field("a").type)})
 
 
 def _bands(threshold: float, rows: int) -> tuple[int, int]:
@@ -104,15 +168,20 @@ def _bands(threshold: float, rows: int) -> tuple[int, int]:
 
 
 MISSED, MOST_BANDS = 1e-9, 192
+#: Names in a bucket beyond which they are held against its least name first.
+CROWD = 32
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """Pairs (a, b) of vectors (node, embedding) of cosine similarity at least ``threshold``.
+def similar_links(vectors: DataFrame, threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) and cliques (clique, node) of vectors (node, embedding): two nodes of a cosine similarity of at least ``threshold`` are a pair or share a clique.
 
     Candidates share a band of random hyperplanes' signs: at the threshold itself a pair is missed
-    with a chance of MISSED, above it with less. Candidates are compared in full, a pair once.
-    Vectors that are equal to a bit meet as one: their pairs are those of their least node, and each
-    is paired with that.
+    with a chance of MISSED, above it with less. In a bucket of more than CROWD names each is first compared
+    with the least one. Those within half of the threshold's angle of the same name are all alike:
+    they are its clique, a row each, and no pairs among them are made. Candidates of different
+    cliques, or of none, are compared in full, a pair once. So a group of m nearly equal vectors takes
+    rows in proportion to m; vectors that are like one another, but spread wider than that, meet pair by pair.
+    Vectors that are equal to a bit meet as one: the others of them are paired with their least node.
     """
     distinct = vectors.groupBy("embedding").agg(F.min("node").alias("node"))
     size = norm(F.col("embedding"))
@@ -130,15 +199,34 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
                 if len(row) not in planes:
                     planes[len(row)] = np.random.default_rng(len(row)).normal(size=(len(row), bands * bits))
                 parts.append((np.array(row) @ planes[len(row)] > 0).reshape(bands, bits) @ powers)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tolist() for x in parts], pa.list_(pa.int64()))], names=["node", "u", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tolist() for x in parts], pa.list_(pa.int64()))], names=["node", "bands"])
 
-    signed = shared_table(unit.mapInArrow(sign, f"node {kind}, u array<double>, bands array<long>"), "signed")
+    signed = shared_table(unit.mapInArrow(sign, f"node {kind}, bands array<long>"), "signed")
     rows = signed.select("node", F.posexplode("bands").alias("band", "bucket"))
-    pairs = rows.alias("x").join(rows.alias("y"), ["band", "bucket"]).where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     left, right = (unit.select(F.col("node").alias(n), F.col("u").alias(f"_u{n}")) for n in "ab")
-    good = pairs.join(left, "a").join(right, "b").where(dot(F.col("_ua"), F.col("_ub")) >= threshold).select("a", "b")
+    cosine = dot(F.col("_ua"), F.col("_ub"))
+    # buckets with many names: who is near their least one
+    crowds = shared_table(rows.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("a")).where(F.col("n") > CROWD), "crowds")
+    asked = rows.join(crowds, ["band", "bucket"]).select("a", F.col("node").alias("b")).distinct()
+    half = float(np.cos(np.arccos(min(max(threshold, -1.0), 1.0)) / 2)) + 1e-9
+    homes = asked.join(left, "a").join(right, "b").where(cosine >= half).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("clique"))
+    homes = shared_table(homes, "homes")
+    housed = shared_table(rows.join(homes, "node", "left").select("node", "band", "bucket", F.coalesce("clique", "node").alias("home")), "housed")
+    # names meet those of the other cliques of their bucket
+    known = housed.select("band", "bucket", "home").distinct()
+    several = shared_table(known.join(known.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1"), ["band", "bucket"], "left_semi"), "several")
+    x = housed.join(several.withColumnRenamed("home", "_home"), ["band", "bucket"]).where("home <> _home").select("band", "bucket", F.col("node").alias("a"), F.col("_home").alias("home"))
+    pairs = x.join(housed.withColumnRenamed("node", "b"), ["band", "bucket", "home"]).where("a < b").select("a", "b").distinct()
+    good = pairs.join(left, "a").join(right, "b").where(cosine >= threshold).select("a", "b")
     copies = vectors.join(distinct.select("embedding", F.col("node").alias("a")), "embedding").where("node <> a").select("a", F.col("node").alias("b"), "embedding")
-    return good.unionByName(copies.where(norm(F.col("embedding")) > 0).select("a", "b"))
+    return good.unionByName(copies.where(norm(F.col("embedding")) > 0).select("a", "b")), homes.select("clique", "node")
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """Pairs (a, b) of vectors (node, embedding) of cosine similarity at least ``threshold``, those of a clique written out; for tables without large groups."""
+    pairs, cliques = similar_links(vectors, threshold)
+    inside = cliques.alias("x").join(cliques.alias("y"), "clique").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return pairs.unionByName(inside).distinct()
 
 
 def semantic(names: DataFrame, embed: Callable[[DataFrame], DataFrame], threshold: float = 0.95) -> DataFrame:
@@ -153,10 +241,11 @@ def semantic(names: DataFrame, embed: Callable[[DataFrame], DataFrame], threshol
     keyed = lambda c: F.struct("graph_id", F.col(c).alias("n"))
     local = forms.join(of, "norm", "left").select("graph_id", "norm", F.coalesce("same", "norm").alias("same"))
     least = local.groupBy("graph_id", "same").agg(F.min("norm").alias("low"))
-    links = similar_pairs(vectors.join(first.select(F.col("first").alias("node")), "node", "left_semi"), threshold)
+    links, cliques = similar_links(vectors.join(first.select(F.col("first").alias("node")), "node", "left_semi"), threshold)
     ends = [least.select("graph_id", F.col("same").alias(c), F.col("low").alias(f"_{c}")) for c in "ab"]
     near = links.join(ends[0], "a").join(ends[1], ["b", "graph_id"]).select("graph_id", "_a", "_b")
-    kept = independent_set(least.select(keyed("low").alias("node")), near.select(keyed("_a").alias("a"), keyed("_b").alias("b")))
+    alike = cliques.join(ends[0], F.col("node") == F.col("a")).select(keyed("clique").alias("clique"), keyed("_a").alias("node"))
+    kept = independent_set(least.select(keyed("low").alias("node")), near.select(keyed("_a").alias("a"), keyed("_b").alias("b")), alike)
     kept = kept.select(F.col("node.graph_id").alias("graph_id"), F.col("node.n").alias("low"), F.col("keeper.n").alias("keeper"))
     placed = local.join(least, ["graph_id", "same"]).join(kept, ["graph_id", "low"]).select("graph_id", "norm", "keeper")
     chosen = spelled.select("graph_id", F.col("norm").alias("keeper"), F.col("chosen").alias("_c")).distinct()
