@@ -1,30 +1,84 @@
-"""Connected components by alternating stars over a table of links."""
+"""Connected components: union-find within partitions, then alternating stars over what is left."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.storage import shared_table
 
+#: Links that a task merges before it writes what they make and starts anew.
+LOCAL = 1 << 20
+
+
+def _key(x):
+    """A value that Python orders as Spark does: structs by their fields, nulls first."""
+    return tuple((v is not None, v if v is not None else 0) for v in x.values()) if isinstance(x, dict) else x
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of each node to the least of the nodes that the task's links tie it to."""
+    above: dict = {}
+    values: dict = {}
+    met, kind = 0, None
+
+    def top(x):
+        while (up := above[x]) != x:
+            above[x] = x = above[up]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        ends = [(x, top(x)) for x in above]
+        ends = [(values[x], values[r]) for x, r in ends if x != r]
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], kind) for i in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        kind = batch.schema.field("u").type
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = _key(u), _key(v)
+            if a not in above:
+                above[a], values[a] = a, u
+            if b not in above:
+                above[b], values[b] = b, v
+            a, b = top(a), top(b)
+            if a < b:
+                above[b] = a
+            elif b < a:
+                above[a] = b
+        met += batch.num_rows
+        if met >= LOCAL:
+            yield stars()
+            above.clear()
+            values.clear()
+            met = 0
+    if above:
+        yield stars()
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b); the root is the component's least node.
 
-    Each round ties every node's larger neighbours to its least neighbour, then every node and its
+    Tasks merge the links they hold before the first shuffle and after each: what comes out is a link
+    for each node, not for each link. Each round ties every node's larger neighbours to its least neighbour, then every node and its
     smaller neighbours to the least one (Kiveris et al. 2014). It ends when all links point to
     roots. Every round is written to the shared folder, so plans don't grow with the rounds.
     """
-    pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    kind = f"u {dict(pairs.dtypes)['u']}, v {dict(pairs.dtypes)['v']}"
+    merged = lambda rows: shared_table(rows.distinct().mapInArrow(_merged, kind), "links")
+    pairs = merged(pairs.mapInArrow(_merged, kind))
     while True:
+        several = pairs.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        linked_roots = pairs.join(pairs.select(F.col("u").alias("_u")), F.col("v") == F.col("_u"), "left_semi").select("u")
+        if several.unionByName(linked_roots).isEmpty():
+            break
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("_u")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "_u")
         small = large.join(low, F.col("u") == F.col("_u")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        pairs = shared_table(small.where("u <> v").distinct(), "links")
-        several = pairs.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
-        linked_roots = pairs.join(pairs.select(F.col("u").alias("_u")), F.col("v") == F.col("_u"), "left_semi")
-        if several.isEmpty() and linked_roots.isEmpty():
-            break
+        pairs = merged(small.where("u <> v"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
