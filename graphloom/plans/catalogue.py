@@ -14,6 +14,7 @@ from graphloom.plans import fixtures as fx
 from graphloom.plans import lifecycles
 from graphloom.schema import KGFrames
 from graphloom.sources import json_records, property_graph, sinks
+from graphloom.sources.json_arrays import write_array
 from graphloom.storage import shared_path
 from graphloom.streaming import incremental
 
@@ -556,9 +557,9 @@ def difficulty_breakdown(spark, d):
     return evaluate.difficulty_breakdown(fx.facts(spark, d))
 
 
-@_query(f"WITH {fx.FACTS}, i AS (SELECT DISTINCT (doc_id % 60)::VARCHAR AS item_id FROM documents) SELECT item_id, coalesce(bool_and(score IS NOT NULL) FILTER (WHERE fact IS NOT NULL), false) AS done FROM i LEFT JOIN facts USING (item_id) GROUP BY item_id")
+@_query(f"WITH {fx.FACTS}, i AS (SELECT DISTINCT (doc_id // 16)::VARCHAR AS item_id FROM documents) SELECT item_id, coalesce(bool_and(score IS NOT NULL) FILTER (WHERE fact IS NOT NULL), false) AS done FROM i LEFT JOIN facts USING (item_id) GROUP BY item_id")
 def items_fully_scored(spark, d):
-    items = fx.table(spark, d, "documents").select((F.col("doc_id") % 60).cast("string").alias("item_id"))
+    items = fx.table(spark, d, "documents").select((F.floor(F.col("doc_id") / 16)).cast("string").alias("item_id"))
     return evaluate.fully_scored(items, fx.facts(spark, d))
 
 
@@ -647,45 +648,53 @@ def convert_records(spark, d):
     return done.select(F.get_json_object("value", "$.s_suppkey").cast("long").alias("s_suppkey"), "extracted_kg")
 
 
-def _items(spark, d):
-    """An item for each nation: the graph of its suppliers, true facts under high and false ones under low."""
+def _groups(spark, d):
+    """Suppliers and their nations, in groups of a nation's suppliers of a hundred numbers."""
     rows = fx.table(spark, d, "supplier").join(fx.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return rows.withColumn("group", F.concat("n_name", F.lit("/"), F.floor(F.col("s_suppkey") / 100).cast("string")))
+
+
+_GROUPS = "g AS (SELECT n_name || '/' || (s_suppkey // 100) AS grp, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+
+
+def _items(spark, d):
+    """An item for each group: the graph of its suppliers, true facts under high and false ones under low."""
     none = [F.lit(None).cast(t).alias(c) for c, t in (("difficulty", "string"), ("kg_entailment_score", "int"), ("evaluation_status", "string"), ("error", "string"))]
     facts = lambda place: F.collect_list(F.struct(F.concat("s_name", F.lit(" located in "), place).alias("fact"), *none))
     level = lambda name, list_: F.struct(F.lit(name).alias("key"), list_.alias("value"))
     kg = F.struct(F.array_append(F.collect_set("s_name"), F.first("n_name")).alias("entities"), F.array(F.lit("located in")).alias("edges"), F.collect_set(F.array("s_name", F.lit("located in"), "n_name")).alias("relations"))
     levels = F.map_from_entries(F.array(level("high", facts(F.col("n_name"))), level("low", facts(F.lit("nowhere")))))
-    items = rows.groupBy(F.col("n_name").alias("id")).agg(kg.alias("extracted_kg"), levels.alias("relational_facts"))
-    return items
+    return _groups(spark, d).groupBy(F.col("group").alias("id")).agg(kg.alias("extracted_kg"), levels.alias("relational_facts"))
 
 
-@_query("""SELECT n_name AS item_id, 'high' AS quality_level, s_name || ' located in ' || n_name AS fact, 1 AS score, 'scored' AS status FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION ALL SELECT n_name, 'low', s_name || ' located in nowhere', 0, 'scored' FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+@_query(f"""WITH {_GROUPS} SELECT grp AS item_id, 'high' AS quality_level, s_name || ' located in ' || n_name AS fact, 1 AS score, 'scored' AS status FROM g
+UNION ALL SELECT grp, 'low', s_name || ' located in nowhere', 0, 'scored' FROM g""")
 def evaluate_items(spark, d):
-    """Each nation's graph against true and false facts of its suppliers: retrieved for, and judged by rule."""
+    """Each group's graph against true and false facts of its suppliers: retrieved for, and judged by rule."""
     items = _items(spark, d)
     done = lifecycles.evaluate_items(items, cluster.hashing_embedder(), backends.RuleBackend())
     return done.select("item_id", "quality_level", "fact", "score", "status")
 
 
-@_query("SELECT DISTINCT n_name AS graph_id, upper(s_name) AS s, 'LOCATED IN' AS p, n_name AS o FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@_query(f"WITH {_GROUPS} SELECT DISTINCT grp AS graph_id, upper(s_name) AS s, 'LOCATED IN' AS p, n_name AS o FROM g")
 def lm_deduplicate(spark, d):
-    """Graphs of nations whose suppliers and predicate stand in two spellings, merged by the rule backend within bounded clusters."""
-    rows = fx.table(spark, d, "supplier").join(fx.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    """Graphs of groups whose suppliers and predicate stand in two spellings, merged by the rule backend within bounded clusters."""
     spelled = F.explode(F.array(F.struct(F.col("s_name").alias("s"), F.lit("located in").alias("p")), F.struct(F.upper("s_name").alias("s"), F.lit("LOCATED IN").alias("p"))))
-    triples = rows.select(F.col("n_name").alias("graph_id"), F.col("n_name").alias("o"), spelled.alias("x")).select("graph_id", "x.s", "x.p", "o")
+    triples = _groups(spark, d).select(F.col("group").alias("graph_id"), F.col("n_name").alias("o"), spelled.alias("x")).select("graph_id", "x.s", "x.p", "o")
     return cluster.lm_deduplicate(graph.build(triples), cluster.hashing_embedder(), backends.RuleBackend()).triples
 
 
 # --- files, stores and streams ----------------------------------------------------------------
 
 
-@_query(f"WITH {fx.PLACE} SELECT 'kg' AS graph_id, s, p, o FROM place")
+@_query(f"WITH {_GROUPS} SELECT grp AS graph_id, s_name AS s, 'located in' AS p, n_name AS o FROM g UNION SELECT grp, n_name, 'holds', s_name FROM g")
 def graph_json_round_trip(spark, d):
-    """A graph written as a JSON document and read again."""
-    path = shared_path(spark, "graph")
-    sinks.write_json(graph.build(fx.place(spark, d)), path)
-    return json_records.graph_file(spark, path, "kg").triples
+    """The graphs of groups written as JSON documents by many tasks, and read again."""
+    path = shared_path(spark, "graphs")
+    pair = F.explode(F.array(F.struct(F.col("s_name").alias("s"), F.lit("located in").alias("p"), F.col("n_name").alias("o")), F.struct(F.col("n_name").alias("s"), F.lit("holds").alias("p"), F.col("s_name").alias("o"))))
+    triples = _groups(spark, d).select(F.col("group").alias("graph_id"), pair.alias("x")).select("graph_id", "x.*")
+    sinks.write_graphs(graph.build(triples), path)
+    return json_records.graph_array(spark, path).triples
 
 
 @_query(f"WITH {fx.PLACE} SELECT name FROM (SELECT s AS name FROM place UNION SELECT o FROM place) WHERE name >= 'K'")
@@ -710,11 +719,11 @@ def stream_union(spark, d):
 
 @_query("""SELECT s_suppkey, '["' || s_name || '","located in","' || n_name || '"]' AS triple FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def convert_file(spark, d):
-    """A file of records converted and written; the triple of each written graph."""
+    """Arrays of records, in the files of many tasks, converted and written; the triple of each written graph."""
     rows = fx.table(spark, d, "supplier").join(fx.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     record = F.struct("s_suppkey", F.array(F.array("s_name", F.lit("located in"), "n_name")).alias("triple"))
     source, target = shared_path(spark, "records"), shared_path(spark, "converted")
-    rows.agg(F.to_json(F.collect_list(record)).alias("value")).write.text(source)
+    write_array(rows.select(F.to_json(record).alias("value")), source)
     lifecycles.convert_file(spark, source, target)
     return spark.read.text(target).select(F.get_json_object("value", "$.s_suppkey").cast("long").alias("s_suppkey"), F.get_json_object("value", "$.extracted_kg.relations[0]").alias("triple"))
 
@@ -731,9 +740,9 @@ def extract_resumed(spark, d):
 
 @_query("SELECT 2 * count(*) AS total_facts, 2 * count(*) AS scored_facts, count(*) AS correct_facts, 0::BIGINT AS service_error_facts, 0::BIGINT AS error_facts, 0.5::DOUBLE AS accuracy FROM supplier")
 def evaluate_dataset(spark, d):
-    """Totals of a file of items, evaluated and saved in slices; the second run brings back the scores of the first."""
+    """Totals of arrays of items, evaluated and saved in slices; the second run brings back the scores of the first."""
     source, output = shared_path(spark, "dataset"), shared_path(spark, "results")
-    _items(spark, d).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(source)
+    write_array(_items(spark, d).select(F.to_json(F.struct("*")).alias("value")), source)
     for _ in range(2):
         totals = lifecycles.evaluate_dataset(spark, source, output, cluster.hashing_embedder(), backends.RuleBackend(), save_interval=100)
     return totals

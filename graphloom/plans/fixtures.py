@@ -50,7 +50,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(F.col("quality") == 1, F.when(F.col("toxic") == 0, "high").otherwise("medium")).otherwise(F.when(F.col("toxic") == 0, "low").otherwise("unknown"))
     status = F.when(i % 7 == 0, "service_error").when(i % 11 == 0, "error").otherwise("scored")
     return d.select(
-        (i % 50).cast("string").alias("item_id"), level.alias("quality_level"), i.cast("int").alias("fact_pos"), "fact",
+        F.floor(i / 20).cast("string").alias("item_id"), level.alias("quality_level"), i.cast("int").alias("fact_pos"), "fact",
         F.get(F.array(*map(F.lit, ("easy", "medium", "hard", "unknown"))), (i % 4).cast("int")).alias("difficulty"),
         F.when(status == "scored", F.col("quality")).alias("score"), status.alias("status"),
     )
@@ -74,7 +74,7 @@ kg AS (SELECT * FROM place UNION SELECT c_name, 'based in', n_name FROM customer
   UNION SELECT 'Part#' || p_partkey, 'has brand', p_brand FROM part UNION SELECT 'Part#' || p_partkey, 'has type', p_type FROM part
   UNION SELECT s_name, 'supplies', 'Part#' || l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey)"""
 ACTIVITY = """act AS (SELECT DISTINCT 'User#' || user_id AS s, event_type AS p, 'Item#' || json_extract_string(props, '$.k') AS o FROM events)"""
-FACTS = """facts AS (SELECT (doc_id % 50)::VARCHAR AS item_id, CASE WHEN quality = 1 THEN CASE WHEN toxic = 0 THEN 'high' ELSE 'medium' END ELSE CASE WHEN toxic = 0 THEN 'low' ELSE 'unknown' END END AS quality_level,
+FACTS = """facts AS (SELECT (doc_id // 20)::VARCHAR AS item_id, CASE WHEN quality = 1 THEN CASE WHEN toxic = 0 THEN 'high' ELSE 'medium' END ELSE CASE WHEN toxic = 0 THEN 'low' ELSE 'unknown' END END AS quality_level,
   doc_id::INT AS fact_pos, text AS fact, ['easy', 'medium', 'hard', 'unknown'][(doc_id % 4)::INT + 1] AS difficulty,
   CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN NULL ELSE quality END AS score,
   CASE WHEN doc_id % 7 = 0 THEN 'service_error' WHEN doc_id % 11 = 0 THEN 'error' ELSE 'scored' END AS status FROM documents JOIN labels USING (doc_id))"""

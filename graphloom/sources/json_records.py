@@ -6,26 +6,19 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from graphloom.operators.graph import unnest
 from graphloom.schema import GRAPH, ITEM, KGFrames
+from graphloom.sources.json_arrays import array_elements
+from graphloom.storage import shared_table
 
-
-def json_array(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The objects of a file that holds a JSON array; anything else at the top is an error."""
-    first = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).where("c <> '['").limit(1)
-    if not first.isEmpty():
-        raise ValueError("the top level must be a list")
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+__all__ = ["array_elements"]
 
 
-def array_elements(spark: SparkSession, path: str) -> DataFrame:
-    """(value, pos): the elements of files that each hold a JSON array, as JSON, with their place; anything else at the top is an error."""
-    whole = spark.read.text(path, wholetext=True)
-    if not whole.where(~F.coalesce(F.ltrim("value").startswith("["), F.lit(False))).limit(1).isEmpty():
-        raise ValueError("the top level must be a list")
-    parts = F.transform(F.variant_get(F.parse_json("value"), "$", "array<variant>"), lambda v: F.to_json(v))
-    return whole.select(F.posexplode(parts).alias("pos", "value")).select("value", F.col("pos").cast("long").alias("pos"))
+def json_array(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The objects of files that each hold a JSON array; anything else at the top is an error."""
+    return array_elements(spark, path).select(F.from_json("value", schema).alias("_v")).select("_v.*")
 
 
 def items(spark: SparkSession, path: str) -> DataFrame:
@@ -37,6 +30,12 @@ def graph_file(spark: SparkSession, path: str, graph_id: str = "graph", repaired
     return unnest(spark.read.schema(GRAPH).option("multiLine", True).json(path).withColumn("graph_id", F.lit(graph_id)), repaired)
 
 
+def graph_array(spark: SparkSession, path: str, repaired: bool = True) -> KGFrames:
+    """The graphs of files that ``sinks.write_graphs`` wrote, under their own ids."""
+    rows = json_array(spark, path, StructType([StructField("graph_id", StringType()), *GRAPH.fields]))
+    return unnest(shared_table(rows, "graphs"), repaired)
+
+
 def texts(spark: SparkSession, path: str | None) -> DataFrame:
     """(doc_id, text): a row for each file; without a path, one of the standard input."""
     if path is None:

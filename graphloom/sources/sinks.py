@@ -13,6 +13,7 @@ from graphloom.functions.text import relationship_type
 from graphloom.operators import analytics
 from graphloom.operators.graph import endpoints
 from graphloom.schema import KGFrames
+from graphloom.sources.json_arrays import write_array
 
 
 def graph_documents(graph: KGFrames) -> DataFrame:
@@ -35,6 +36,13 @@ def graph_documents(graph: KGFrames) -> DataFrame:
     return whole.select("graph_id", F.to_json(F.struct(*filled, *[c for c in whole.columns if c.endswith("_clusters")])).alias("json"))
 
 
+def write_graphs(graph: KGFrames, path: str) -> None:
+    """Writes all graphs with their ids, as JSON arrays that ``json_records.graph_array`` reads; a graph is one element."""
+    named = F.to_json(F.struct("graph_id"), {"ignoreNullFields": "false"})
+    head = F.concat(F.substring(named, 1, F.length(named) - 1), F.lit(","))
+    write_array(graph_documents(graph).select(F.concat(head, F.substring("json", 2, 2**31 - 1)).alias("value")), path)
+
+
 def write_json(graph: KGFrames, path: str) -> None:
     graph_documents(graph).select("json").write.mode("overwrite").text(path)
 
