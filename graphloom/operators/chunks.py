@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import SENTENCE, strip, words
+from graphloom.operators.sentences import Splitter, split
 
 ROLES = ("user", "assistant")
 
@@ -32,9 +33,11 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), strip), lambda s: s != "")
 
 
-def chunk(text: Column, size: int = 500) -> Column:
+def chunk(text: Column, size: int = 500, parts: Column | None = None) -> Column:
     """Chunks of about ``size`` characters: sentences packed one after another, too long ones by word.
 
+    The sentences are ``parts``, or those of the rule.
+
     A word longer than the size is a chunk of its own, and an empty chunk goes before one that
     opens a long sentence. The rest of a long sentence doesn't share its chunk. Size 0: one chunk.
     """
@@ -55,10 +58,13 @@ def chunk(text: Column, size: int = 500) -> Column:
         fresh = state(flushed(acc), F.concat(s, F.lit(" ")))
         return F.when(~full(acc["buf"], s), state(acc["out"], F.concat(acc["buf"], s, F.lit(" ")))).when(F.length(s) > size, long).otherwise(fresh)
 
-    return F.aggregate(sentences(text), start, by_sentence, flushed)
+    return F.aggregate(sentences(text) if parts is None else parts, start, by_sentence, flushed)
 
 
-def chunks(docs: DataFrame, size: int = 500, drop_empty: bool = False) -> DataFrame:
-    """(doc_id, chunk_id, text) of documents (doc_id, text)."""
-    out = docs.select("doc_id", F.posexplode(chunk(F.col("text"), size)).alias("chunk_id", "text"))
+def chunks(docs: DataFrame, size: int = 500, drop_empty: bool = False, splitter: Splitter | None = None) -> DataFrame:
+    """(doc_id, chunk_id, text) of documents (doc_id, text); sentences are those of a learned splitter, if one is given."""
+    parts = None
+    if splitter is not None:
+        docs, parts = split(docs.withColumn("_whole", F.col("text")), splitter, "doc_id", "_whole").withColumnRenamed("_whole", "text"), F.col("sentences")
+    out = docs.select("doc_id", F.posexplode(chunk(F.col("text"), size, parts)).alias("chunk_id", "text"))
     return out.where("text <> ''") if drop_empty else out

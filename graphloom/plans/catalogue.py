@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import parse
 from graphloom.functions import text as tx
-from graphloom.operators import analytics, backends, chunks, cluster, dedupe, evaluate, extract, graph, lexical, retrieve
+from graphloom.operators import analytics, backends, chunks, cluster, dedupe, evaluate, extract, graph, lexical, retrieve, sentences
 from graphloom.plans import fixtures as fx
 from graphloom.plans import lifecycles
 from graphloom.schema import KGFrames
@@ -282,6 +282,29 @@ def sentence_split(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", F.posexplode(chunks.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
+_STRIPPED = "regexp_replace(raw, '^[' || o || ']+|[' || c || ']+$', '', 'g')"
+_BRACKETS = "(SELECT '\"''(\\[{«„“‘' AS o, '\"'')\\]}»”’,;:' AS c)"
+
+
+@_query(f"""WITH r AS (SELECT unnest(regexp_extract_all(text, '\\S+')) AS raw FROM documents), b AS (SELECT {_STRIPPED} AS bare FROM r, {_BRACKETS}),
+t AS (SELECT bare, lower(regexp_replace(bare, '[.!?]+$', '')) AS w0 FROM b), u AS (SELECT CASE WHEN regexp_full_match(w0, '[0-9][0-9.,-]*') THEN '##' ELSE w0 END AS w, bare LIKE '%.' AND bare NOT LIKE '%..' AS dot FROM t WHERE w0 <> ''),
+c AS (SELECT w, count(*) AS n, count(*) FILTER (WHERE dot) AS n_dot FROM u GROUP BY w), s AS (SELECT sum(n_dot) / sum(n) AS p FROM c),
+f AS (SELECT w, n, n_dot, p, length(replace(w, '.', '')) AS l FROM c, s WHERE n_dot > 0 AND regexp_matches(w, '\\pL'))
+SELECT w, n, n_dot, round(2 * (n_dot * (ln(0.99) - ln(p)) + (n - n_dot) * (ln(0.01) - ln(1 - p))) * exp(-l) * (length(w) - l + 1) * pow(l, n_dot - n), 6) + 0.0 AS score FROM f""")
+def abbreviation_scores(spark, d):
+    """How closely periods stick to words: what the trained splitter takes for abbreviations."""
+    counts = sentences.word_counts(sentences.token_pairs(fx.table(spark, d, "documents")))
+    return sentences.abbreviation_scores(counts).withColumn("score", F.round("score", 6) + F.lit(0.0))  # no negative zero
+
+
+@_query()
+def sentence_split_trained(spark, d):
+    """Sentences of all documents by a splitter that has learned from all of them."""
+    docs = fx.table(spark, d, "documents")
+    found = sentences.split(docs, sentences.learn(docs), "doc_id")
+    return found.select("doc_id", F.posexplode("sentences").alias("pos", "sentence"))
+
+
 def _chunks_sql(size: int) -> str:
     """Greedy packing as a fold: each sentence, and each word of a long one, is a state that holds it in its buffer."""
     state = lambda out, buf: f"{{'out': {out}, 'buf': {buf}}}"
