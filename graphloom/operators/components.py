@@ -58,18 +58,21 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, merge: bool = True) -> DataFrame:
     """(node, root) of every node of the links (a, b); the root is the component's least node.
 
     Tasks merge the links they hold before the first shuffle and after each: what comes out is a link
     for each node, not for each link. Each round ties every node's larger neighbours to its least neighbour, then every node and its
     smaller neighbours to the least one (Kiveris et al. 2014). It ends when all links point to
     roots. Every round is written to the shared folder, so plans don't grow with the rounds.
+
+    Without ``merge`` there are stars only, all in the JVM: for links that Python workers make, whose
+    tasks would hold a second worker each.
     """
     pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     kind = f"u {dict(pairs.dtypes)['u']}, v {dict(pairs.dtypes)['v']}"
-    merged = lambda rows: shared_table(rows.distinct().mapInArrow(_merged, kind), "links")
-    pairs = merged(pairs.mapInArrow(_merged, kind))
+    merged = lambda rows: shared_table(rows.distinct().mapInArrow(_merged, kind) if merge else rows.distinct(), "links")
+    pairs = merged(pairs.mapInArrow(_merged, kind) if merge else pairs)
     while True:
         several = pairs.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
         linked_roots = pairs.join(pairs.select(F.col("u").alias("_u")), F.col("v") == F.col("_u"), "left_semi").select("u")
