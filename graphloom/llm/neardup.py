@@ -217,10 +217,10 @@ def classes(docs: DataFrame, text_col: str = "text", least: float = SIMILARITY)
     members = shared_table(rows.join(buckets.withColumnRenamed("band", "_band"), F.col("band") == F.col("_band")).select("band", "digest", "pivot", "n"), "members")
     done = shared_table(members.where("digest <> pivot").select(F.col("pivot").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
     links = shared_table(verify(done, docs, text_col, least), "links")
-    found = components(links)
+    found = components(links, merge=False)
     more = shared_table(_rest(members, found, signed, docs, text_col, least), "links")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = components(links.unionByName(more), merge=False)
     found = shared_table(found, "roots")
     roots = nodes.join(found, F.col("digest") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("root", "digest").alias("root"), F.col("root").isNotNull().alias("linked"))
     named = roots.where("linked or copies > 1")
