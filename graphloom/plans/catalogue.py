@@ -737,7 +737,7 @@ def stream_union(spark, d):
     for number, part in enumerate((act.where("p < 'd'"), act)):
         part.write.parquet(f"{source}/{number}")
         incremental.union_stream(spark, f"{source}/{number}", target, shared_path(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(target).select("graph_id", "s", "p", "o")
+    return incremental.union_table(spark, target)
 
 
 @_query("""SELECT s_suppkey, '["' || s_name || '","located in","' || n_name || '"]' AS triple FROM supplier JOIN nation ON s_nationkey = n_nationkey""")

@@ -6,7 +6,7 @@ import html
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import relationship_type
@@ -14,6 +14,8 @@ from graphloom.operators import analytics
 from graphloom.operators.graph import endpoints
 from graphloom.schema import KGFrames
 from graphloom.sources.json_arrays import write_array
+from graphloom.sources.property_graph import KEYS
+from graphloom.sources.snapshots import Snapshots
 
 
 def graph_documents(graph: KGFrames) -> DataFrame:
@@ -70,30 +72,24 @@ def property_stats(nodes: DataFrame, relationships: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class PropertyGraphSink:
-    """Node and edge tables under a path; writing the same graph again changes nothing."""
+    """Node and edge tables under a path; writing the same graph again changes nothing that a reader sees.
+
+    Both tables change at once: an upload is a new version (``snapshots``), and one that is killed
+    leaves the store as it was. Only hash buckets that the graph's rows fall in are rewritten.
+    """
 
     path: str
     clear: bool = False
+    buckets: int = 64
 
     def upload(self, graph: KGFrames) -> tuple[int, int]:
+        """Numbers of nodes and relationships that the store then holds."""
         nodes, edges = property_nodes(graph), property_relationships(graph)
-        spark = nodes.sparkSession
-        if not self.clear:
-            nodes, edges = _merged(spark, f"{self.path}/nodes", nodes, ["name"]), _merged(spark, f"{self.path}/relationships", edges, ["s", "rel_type", "o"])
-        from graphloom.storage import shared_table
-
-        nodes, edges = shared_table(nodes, "nodes"), shared_table(edges, "edges")  # the targets may be inputs
-        nodes.write.mode("overwrite").parquet(f"{self.path}/nodes")
-        edges.write.mode("overwrite").parquet(f"{self.path}/relationships")
-        return nodes.count(), edges.count()
-
-
-def _merged(spark, path: str, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return fresh
-    old = spark.read.parquet(path)
-    return old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+        held = self.store(nodes.sparkSession).merge({"nodes": nodes, "relationships": edges}, self.clear)
+        return held["nodes"], held["relationships"]
+
+    def store(self, spark: SparkSession) -> Snapshots:
+        return Snapshots(spark, self.path, KEYS, self.buckets)
 
 
 def connection(uri: str, user: str, password: str, database: str | None = None) -> dict[str, str]:
