@@ -17,7 +17,7 @@ from graphloom.operators.dedupe import deduplicate
 from graphloom.operators.graph import build
 from graphloom.schema import KGFrames
 from graphloom.sources.sinks import write_json
-from graphloom.storage import shared_table
+from graphloom.storage import exists, shared_table
 
 ENTITY_PROMPT = PromptBackend.ENTITIES
 RELATION_PROMPT = PromptBackend.RELATIONS
@@ -27,7 +27,9 @@ RELATION_PROMPT = PromptBackend.RELATIONS
 class ExtractConfig:
     """Options of batch extraction; bounds are checked when it is made.
 
-    One record at a time is a batch_size of 1 and a backend of one worker.
+    One record at a time is a batch_size of 1 and a backend of one worker. ``answers`` is the path of a
+    table of answers that runs share, by the digest of model, instructions and prompt; ``model`` must
+    name all that makes a backend answer otherwise.
     """
 
     text_key: str | None = None
@@ -41,6 +43,8 @@ class ExtractConfig:
     max_rerun_rounds: int = -1
     save_interval: int = 20
     save_entity: bool = False
+    answers: str | None = None
+    model: str = ""
 
     def __post_init__(self):
         bounds = {
@@ -81,6 +85,31 @@ def _answers(rows: DataFrame, backend, system: str, config: ExtractConfig) -> Da
     return rows.select("id", "prompt").mapInPandas(run, f"id {kind}, response string, failed boolean")
 
 
+def _all_answers(rows: DataFrame, backend, system: str, config: ExtractConfig, name: str) -> DataFrame:
+    """``_answers``, written. With a table of answers only prompts that it lacks are asked, each once, and what was answered goes there.
+
+    Of the table only the parts that the prompts' digests fall in are read, 256 at most.
+    """
+    if config.answers is None:
+        return shared_table(_answers(rows, backend, system, config), name)
+    spark, parts = rows.sparkSession, F.substring("key", 1, 2)
+    key = F.sha2(F.to_json(F.array(F.lit(config.model), F.lit(system), F.col("prompt"))), 256)
+    keyed = shared_table(rows.select("id", "prompt", key.alias("key")), "prompts")
+    ask = keyed.groupBy("key").agg(F.min("prompt").alias("prompt"))
+    kept = None
+    if exists(spark, config.answers):
+        met = [r["part"] for r in keyed.select(parts.alias("part")).distinct().collect()]  # 256 at most
+        table = spark.read.schema("key string, response string, part string").parquet(config.answers)
+        kept = table.where(F.col("part").isin(met)).join(ask.select("key"), "key", "left_semi").groupBy("key").agg(F.min("response").alias("response"))
+        kept = shared_table(kept, "kept")
+        ask = ask.join(kept, "key", "left_anti")
+    got = shared_table(_answers(ask.withColumnRenamed("key", "id"), backend, system, config), name).withColumnRenamed("id", "key")
+    got = got.where("not failed").select("key", "response")
+    got.withColumn("part", parts).repartition("part").write.mode("append").partitionBy("part").parquet(config.answers)
+    found = got if kept is None else kept.unionByName(got)
+    return shared_table(keyed.join(found, "key", "left").select("id", F.coalesce("response", F.lit("")).alias("response"), F.col("response").isNull().alias("failed")), name)
+
+
 def extract(records: DataFrame, backend, config: ExtractConfig = ExtractConfig()) -> tuple[DataFrame, DataFrame]:
     """((id, text, entities, triples), failures) of records (id, text, and existing triples and pos if they have them).
 
@@ -95,11 +124,11 @@ def extract(records: DataFrame, backend, config: ExtractConfig = ExtractConfig()
     had = F.coalesce("existing", F.array().cast(lists)) if "existing" in records.columns else F.array().cast(lists)
     rows = rows.select("id", "text", had.alias("_had"))
     full = rows.where(strip(F.col("text")) != "")
-    first = shared_table(_answers(full.select("id", F.col("text").alias("prompt")), backend, ENTITY_PROMPT, config), "entity-answers")
+    first = _all_answers(full.select("id", F.col("text").alias("prompt")), backend, ENTITY_PROMPT, config, "entity-answers")
     named = full.join(first.select("id", parse.entities(F.col("response")).alias("entities")), "id")
     known = F.when(F.size("_had") > 0, F.concat(F.lit("Known: "), F.to_json("_had"), F.lit("\n"))).otherwise(F.lit(""))
     prompts = named.select("id", F.concat(F.lit("Entities: "), F.to_json("entities"), F.lit("\n"), known, F.lit("Text: "), "text").alias("prompt"))
-    second = shared_table(_answers(prompts, backend, RELATION_PROMPT, config), "relation-answers")
+    second = _all_answers(prompts, backend, RELATION_PROMPT, config, "relation-answers")
     fresh = F.array_except(parse.relations(F.col("response")), F.col("_had"))
     done = named.join(second, "id").select("id", "entities", fresh.alias("triples"))
     out = rows.join(done, "id", "left").select("id", "text", F.coalesce("entities", none).alias("entities"), F.coalesce("triples", F.array().cast(lists)).alias("triples"))

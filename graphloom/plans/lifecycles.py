@@ -13,7 +13,7 @@ from graphloom.operators import evaluate, extract, graph, retrieve
 from graphloom.operators.graph import digraph, endpoints
 from graphloom.schema import KGFrames
 from graphloom.sources import json_records
-from graphloom.storage import shared_table
+from graphloom.storage import exists, shared_table
 
 
 def graph_of(relations: Column) -> Column:
@@ -34,44 +34,58 @@ def convert_records(records: DataFrame, key: str = "triple", overwrite: bool = F
     return rows.select("value", (built if overwrite else F.coalesce(had, built)).alias("extracted_kg"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-#: Slices that a run saves one after another, at most.
-MOST_SLICES = 64
-
-
 def _slices(rows: DataFrame, key: str, size: int) -> Iterator[DataFrame]:
-    """The rows in slices of about ``size`` keys, MOST_SLICES at most; keys of a slice are spread over all tasks."""
-    n = max(1, min(MOST_SLICES, -(-rows.select(key).distinct().count() // size)))
+    """The rows in slices of about ``size`` keys, all rows of a key in one.
+
+    They are written once, sorted by slice, so that a slice reads the row groups that hold it. Each
+    is a job or more of the driver's: large tables want a large ``size``.
+    """
+    n = max(1, -(-rows.select(key).distinct().count() // size))
+    dealt = rows.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(n)))
+    dealt = shared_table(dealt.repartitionByRange("_slice").sortWithinPartitions("_slice"), "slices")
+    tasks = min(rows.sparkSession.sparkContext.defaultParallelism, 1 + size // 32)
     for i in range(n):
-        yield rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)
+        yield dealt.where(F.col("_slice") == i).drop("_slice").repartition(tasks, key)
 
 
-def extract_to(records: DataFrame, path: str, backend, config: extract.ExtractConfig = extract.ExtractConfig(), overwrite: bool = False) -> int:
+def extract_to(records: DataFrame, path: str, backend, config: extract.ExtractConfig = extract.ExtractConfig(), overwrite: bool = False, failures: str | None = None) -> int:
     """Extracts records (id, text) into a table, leaving out those an earlier run has written.
 
-    Records are saved in slices of save_interval at least, so what is done stays done. Returns the
-    number of records that failed; they aren't written, so the next run asks again.
+    Records are saved in slices of about save_interval, so what is done stays done; with
+    ``config.answers`` a stage that a killed run has saved isn't asked again either. Returns the number
+    of records that failed; they aren't written, so the next run asks again. With ``failures``, a path,
+    each failure (id, stage, at) is added to a table there, which ``open_failures`` reads.
     """
     spark = records.sparkSession
     place = "pos" if "pos" in records.columns else "id"
     rows = records if config.max_samples is None else records.orderBy(place).limit(config.max_samples)
-    if not overwrite and _exists(spark, path):
+    if not overwrite and exists(spark, path):
         rows = extract.pending(rows, spark.read.parquet(path))
-    rows, failed, mode = shared_table(rows, "pending"), 0, "overwrite" if overwrite else "append"
-    for part in _slices(rows, "id", config.save_interval):
-        done, failures = extract.extract(part, backend, replace(config, max_samples=None))
-        failures = shared_table(failures.select("id").distinct(), "failures")
-        good = done.join(failures, "id", "left_anti").withColumnRenamed("triples", config.output_key)
+    failed, mode = 0, "overwrite" if overwrite else "append"
+    for part in _slices(shared_table(rows, "pending"), "id", config.save_interval):
+        done, lost = extract.extract(part, backend, replace(config, max_samples=None))
+        lost = shared_table(lost, "failures")
+        good = done.join(lost.select("id").distinct(), "id", "left_anti").withColumnRenamed("triples", config.output_key)
         good = good.withColumnRenamed("entities", config.entity_key) if config.save_entity else good.drop("entities")
         good.write.mode(mode).parquet(path)
-        failed, mode = failed + failures.count(), "append"
+        n = lost.select("id").distinct().count()
+        if n and failures:
+            lost.withColumn("at", F.current_timestamp()).write.mode("append").parquet(failures)
+        failed, mode = failed + n, "append"
     return failed
 
 
+def open_failures(spark: SparkSession, failures: str, path: str) -> DataFrame | None:
+    """(id, stage, at, times): the stage and time of the last failure, and the number of failures, of each
+    record that no run has written to ``path`` since; None where nothing ever failed."""
+    if not exists(spark, failures):
+        return None
+    lost = spark.read.parquet(failures)
+    if exists(spark, path):
+        lost = lost.join(spark.read.parquet(path).select("id"), "id", "left_anti")
+    return lost.groupBy("id").agg(F.max_by("stage", F.struct("at", "stage")).alias("stage"), F.max("at").alias("at"), F.count("*").alias("times"))
+
+
 @dataclass(frozen=True)
 class EvalConfig:
     retrieval_k: int = 8
@@ -121,7 +135,7 @@ def evaluate_dataset(spark: SparkSession, dataset: str, output: str, embed, back
     """
     items = shared_table(json_records.items(spark, dataset), "items")
     previous, run = None, 0
-    if _exists(spark, output):
+    if exists(spark, output):
         previous = spark.read.parquet(output)
         run = previous.agg(F.max("run").alias("r")).first()["r"] + 1
         previous = shared_table(previous, "previous")  # the target grows while it is read

@@ -45,6 +45,11 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """A broadcast hint where a count shows at most ``max_rows`` rows; else left to the planner."""
     from pyspark.sql import functions as F
