@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import with_color
@@ -125,10 +125,16 @@ def relation_records(graph: KGFrames) -> DataFrame:
     return edge_view(graph).select("graph_id", "source", "predicate", "target", F.col("id").alias("edge_id"), "color")
 
 
+def _without_case(name: str) -> Column:
+    """The distinct names of a group, sorted without case, those alike by code point; nulls are left out."""
+    keyed = F.when(F.col(name).isNotNull(), F.struct(F.lower(name).alias("l"), F.col(name).alias("m")))
+    return F.transform(F.array_sort(F.collect_set(keyed)), lambda x: x["m"])
+
+
 def neighbors(triples: DataFrame) -> DataFrame:
-    """(graph_id, name, neighbors): distinct, of both directions, sorted."""
+    """(graph_id, name, neighbors): distinct, of both directions, sorted without case."""
     both = triples.select("graph_id", F.explode(F.array(F.struct(F.col("s").alias("name"), F.col("o").alias("n")), F.struct(F.col("o").alias("name"), F.col("s").alias("n")))).alias("e")).select("graph_id", "e.*")
-    return both.groupBy("graph_id", "name").agg(F.sort_array(F.collect_set("n")).alias("neighbors"))
+    return both.groupBy("graph_id", "name").agg(_without_case("n").alias("neighbors"))
 
 
 def node_view(graph: KGFrames) -> DataFrame:
@@ -144,7 +150,7 @@ def node_view(graph: KGFrames) -> DataFrame:
     ids = lambda which: F.transform(F.sort_array(F.collect_list(F.when(which, F.col("n")))), lambda n: F.concat(F.lit("e"), n))
     nodes = ends.unionByName(listed).groupBy("graph_id", "name").agg(
         F.count("n").alias("degree"), F.count_if(~F.col("out")).alias("in_degree"), F.count_if("out").alias("out_degree"),
-        F.sort_array(F.collect_set("x")).alias("neighbors"), ids(~F.col("out")).alias("incoming"), ids(F.col("out")).alias("outgoing"),
+        _without_case("x").alias("neighbors"), ids(~F.col("out")).alias("incoming"), ids(F.col("out")).alias("outgoing"),
     )
     if graph.entity_clusters is not None:
         of = with_color(cluster_of(graph.entity_clusters), F.concat(F.lit("entity::"), "rep"))

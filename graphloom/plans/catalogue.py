@@ -204,7 +204,7 @@ def _clusters(spark, d):
 
 
 @_query(f"""WITH {fx.ACTIVITY}, {_EDGES}, {DEG.format('act')}, {_CLUSTERS},
-nb AS (SELECT name, array_to_string(list_sort(list(DISTINCT x)), '|') AS neighbors FROM (SELECT s AS name, o AS x FROM act UNION ALL SELECT o, s FROM act) GROUP BY name),
+nb AS (SELECT name, string_agg(x, '|' ORDER BY lower(x), x) AS neighbors FROM (SELECT s AS name, o AS x FROM act UNION SELECT o, s FROM act) GROUP BY name),
 inc AS (SELECT o AS name, string_agg('e' || n, '|' ORDER BY n) AS incoming FROM edges GROUP BY o), outg AS (SELECT s AS name, string_agg('e' || n, '|' ORDER BY n) AS outgoing FROM edges GROUP BY s),
 k AS (SELECT rep, {_color_sql("'entity::' || rep")} AS color FROM (SELECT DISTINCT rep FROM cl))
 SELECT 'activity' AS graph_id, name, rep AS cluster, coalesce(color, '#64748b') AS color, degree, in_degree, out_degree, false AS is_representative, (18 + 2 * least(degree, 8))::BIGINT AS radius,
@@ -251,7 +251,7 @@ def graph_stats_full(spark, d):
     return analytics.full_statistics(KGFrames(g.entities, g.predicates, g.triples, _clusters(spark, d).withColumn("graph_id", F.lit("all"))))
 
 
-@_query(f"""WITH {fx.ACTIVITY} SELECT 'activity' AS graph_id, name, array_to_string(list_sort(list(DISTINCT x)), '|') AS neighbors FROM (SELECT s AS name, o AS x FROM act UNION ALL SELECT o, s FROM act) GROUP BY name""")
+@_query(f"""WITH {fx.ACTIVITY} SELECT 'activity' AS graph_id, name, string_agg(x, '|' ORDER BY lower(x), x) AS neighbors FROM (SELECT s AS name, o AS x FROM act UNION SELECT o, s FROM act) GROUP BY name""")
 def neighbors_list(spark, d):
     return analytics.neighbors(fx.activity(spark, d)).withColumn("neighbors", F.array_join("neighbors", "|"))
 
