@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -20,6 +21,8 @@ PIECE = re.compile(r"[^\W\d_]+|\d+|[^\w \t-\r]+|_+")
 CACHE = 400_000
 #: Rows of a block that learns by itself, and bytes of their codes, about; weights in a slice.
 BLOCK_ROWS, BLOCK_BYTES, SLICE = 6000, 1 << 24, 1 << 12
+#: Blocks from which on a task learns several, and how many then; sums that are added at a time, and bytes of them in a task.
+TASKS, SEVERAL, FAN, SUM_BYTES = 256, 16, 64, 1 << 23
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, divisor: int, value: int, max_rows: int, max_chars: int, *more: str) -> DataFrame:
@@ -95,44 +98,66 @@ def learned(rows: DataFrame, blocks: int, weights: np.ndarray, rounds: int, lear
     ``learn(weights, squares, y, codes, round, block)`` changes both in place. What the blocks changed
     a weight by is averaged, a block counting by the squares it added there: what one block alone
     has met counts whole. Blocks and their rows have a fixed order, so reruns agree.
+
+    A task learns its blocks one after another, holds one of them at a time and sends one sum for all.
+    Sums are added FAN at a time, slice by slice, level on level, so no task adds up more than FAN of them.
     """
     spark, squares, kind = rows.sparkSession, np.zeros_like(weights), weights.dtype
-    schema = "slice long, block long, change binary, added binary"
-    bounds = range(0, len(weights), SLICE)
-
-    def cut(block: int, change: np.ndarray, added: np.ndarray) -> pa.Table:
-        sent = [[x[a : a + SLICE].tobytes() for a in bounds] for x in (change, added)]
-        return pa.table({"slice": pa.array(range(len(bounds)), pa.int64()), "block": pa.array([block] * len(bounds), pa.int64()), "change": pa.array(sent[0], pa.binary()), "added": pa.array(sent[1], pa.binary())})
+    schema, names = "slice long, part long, change binary, added binary, share binary", ["slice", "part", "change", "added", "share"]
+    size, bounds = SLICE, range(0, len(weights), SLICE)
+    tasks = min(blocks, max(TASKS, -(-blocks // SEVERAL)))
 
-    def merge(table: pa.Table) -> pa.Table:
+    def sums(parts: Iterable[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+        """Of parts (mean change, squares added, mean of a block's squares weighed by themselves) the same of all together."""
         whole = total = square = 0.0
-        table = table.sort_by("block")
-        for change, added in zip(table.column("change"), table.column("added")):
-            change, added = (np.frombuffer(x.as_py(), kind).astype(np.float64) for x in (change, added))
-            whole, total, square = whole + added * change, total + added, square + added * added
+        for change, added, share in parts:
+            added = added.astype(np.float64)
+            whole, total, square = whole + added * change, total + added, square + added * share
         least = np.maximum(total, 1e-300)
-        out = [pa.array([(x / least).astype(kind).tobytes()], pa.binary()) for x in (whole, square)]
-        return pa.table({"slice": table.column("slice").slice(0, 1), "block": pa.array([0], pa.int64()), "change": out[0], "added": out[1]})
+        return [np.asarray(x).astype(kind) for x in (whole / least, total, square / least)]
+
+    def merge(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        parts = (tuple(np.frombuffer(x.as_py(), kind) for x in row) for row in zip(*(table.column(c) for c in names[2:])))
+        own = [pa.array([x.tobytes()], pa.binary()) for x in sums(parts)]
+        return pa.table([table.column("slice").slice(0, 1), table.column("group").slice(0, 1), *own], names=names)
 
     small_batches(spark)
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((weights, squares))  # of the model's fixed size
 
-        def run(table: pa.Table) -> pa.Table:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             old, held = shared.value
-            new, more, block = old.copy(), held.copy(), table.column("block")[0].as_py()
-            table = table.sort_by("place")
-            learn(new, more, table.column("y").to_pylist(), table.column("code").to_pylist(), turn, block)
-            return cut(block, new - old, more - held)
-
-        dealt = rows.select("block", "place", "y", "code").repartition(blocks, "block")
-        got = dealt.groupBy("block").applyInArrow(run, schema).groupBy("slice").applyInArrow(merge, schema).collect()  # the model's size
-        by_slice = sorted((r["slice"], r["change"], r["added"]) for r in got)
+            first: list[int] = []
+
+            def changes() -> Iterator[tuple[np.ndarray, ...]]:
+                in_order = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+                for block, found in groupby(in_order, key=lambda r: r[0]):
+                    first.append(block)
+                    new, more = old.copy(), held.copy()
+                    y, codes = map(list, zip(*((r[2], r[3]) for r in found)))
+                    learn(new, more, y, codes, turn, block)
+                    yield new - old, more - held, more - held
+
+            got = sums(changes())
+            if first:
+                sent = [pa.array([x[a : a + size].tobytes() for a in bounds], pa.binary()) for x in got]
+                places = [pa.array(x, pa.int64()) for x in (range(len(bounds)), [first[0]] * len(bounds))]
+                yield pa.RecordBatch.from_arrays([*places, *sent], names=names)
+
+        dealt = rows.select("block", "place", "y", "code").repartition(tasks, "block").sortWithinPartitions("block", "place")
+        level, span = dealt.mapInArrow(run, schema), blocks
+        while span > 1:
+            held = min(tasks, span) * 3 * weights.nbytes
+            grouped = level.withColumn("group", F.floor(F.col("part") / FAN)).repartition(max(1, -(-held // SUM_BYTES)), "slice", "group")
+            level, span = grouped.groupBy("slice", "group").applyInArrow(merge, schema), -(-span // FAN)
+        by_slice = sorted((r["slice"], r["change"], r["added"], r["share"]) for r in level.collect())  # the model's size
         if by_slice:
-            change, added = (np.concatenate([np.frombuffer(r[k], kind) for r in by_slice]) for k in (1, 2))
-            weights, squares = weights + change, squares + added
+            change, added, share = (np.concatenate([np.frombuffer(r[k], kind) for r in by_slice]) for k in (1, 2, 3))
+            weights, squares = weights + change, squares + added.astype(np.float64) * share
+        weights, squares = weights.astype(kind), squares.astype(kind)
         shared.unpersist()
-        del got, by_slice, dealt
+        del by_slice, dealt, level
         discard(spark)  # the round's shuffles
     return weights
 

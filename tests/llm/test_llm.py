@@ -276,6 +276,61 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     assert len(toxicity.decoded(bytes(long["code"]))) == 20_007
 
 
+def test_blocks_are_averaged_in_levels(spark, monkeypatch):
+    """Blocks that share tasks, added up two at a time, give what a plain average of all blocks gives."""
+    size, blocks, rounds = 11, 9, 2
+    for name, value in {"SLICE": 4, "FAN": 2, "TASKS": 2, "SEVERAL": 4, "SUM_BYTES": 64}.items():
+        monkeypatch.setattr(features, name, value)
+
+    def learn(weights, squares, y, codes, turn, block):
+        for label, code in zip(y, codes):
+            at = code[0] % size
+            squares[at] += 1 + label
+            weights[at] += (1 + turn) * 0.1 * code[1] - 0.5 * weights[at]
+
+    rng = random.Random(6)
+    data = [(b, f"{i:03}", rng.randrange(2), bytes([rng.randrange(11), rng.randrange(20)])) for i, b in enumerate([rng.randrange(blocks - 1) for _ in range(60)])]  # the last block is empty
+    start = np.linspace(0, 1, size).astype(np.float32)
+    rows = spark.createDataFrame(rng.sample(data, 60), "block long, place string, y int, code binary").repartition(5)
+    got = features.learned(rows, blocks, start, rounds, learn)
+    weights, squares = start.astype(np.float64), np.zeros(size)
+    for turn in range(rounds):
+        whole = total = square = np.zeros(size)
+        for b in range(blocks):
+            new, more = weights.copy(), squares.copy()
+            own = [r for r in data if r[0] == b]
+            learn(new, more, [r[2] for r in own], [r[3] for r in own], turn, b)
+            added = more - squares
+            whole, total, square = whole + added * (new - weights), total + added, square + added**2
+        weights, squares = weights + whole / np.maximum(total, 1e-300), squares + square
+    assert got.dtype == np.float32 and got == pytest.approx(weights, rel=1e-4)
+    assert (features.learned(rows.where("false"), 1, start, rounds, learn) == start).all()
+
+
+def test_gradients_by_finite_differences():
+    """A step's gradients are those of the weighted logistic loss."""
+    text = toxicity.numbers("alpha beta gamma delta alpha epsilon zeta")
+    for y in (0, 1):
+        base = toxicity.Net(3).weights().astype(np.float64)
+        weight = toxicity.POSITIVE if y else 1.0
+
+        def loss(weights):
+            p = toxicity.Net().take(weights.copy()).scores([text])[0]
+            return -weight * math.log(p if y else 1 - p)
+
+        new = base.copy()
+        net = toxicity.Net().take(new)
+        state = {"rows": [], "into": [], "table": np.zeros_like(net.table)}
+        net.learn(np.array(text, np.int64), y, state)
+        squares = np.concatenate([state["table"].ravel(), *[state[f"f{k}"].ravel() for k in range(len(net.filters))], state["shift"].ravel(), state["out"].ravel()])
+        found = np.sqrt(squares) * np.sign(base[:-1] - new[:-1])
+        for i in np.argsort(-np.abs(found))[:: max(1, int((np.abs(found) > 0.02).sum()) // 60)][:60]:
+            up, down = base.copy(), base.copy()
+            up[i] += 1e-3
+            down[i] -= 1e-3
+            assert found[i] == pytest.approx((loss(up) - loss(down)) / 2e-3, rel=0.05, abs=5e-3)
+
+
 def test_segments_give_the_same_scores(monkeypatch):
     net = toxicity.Net()
     texts = [toxicity.numbers(" ".join("abcdefgh"[(i * j) % 8] * 3 for i in range(j))) for j in (0, 1, 5, 40, 90)]
