@@ -112,26 +112,58 @@ def hybrid_scores(bm25: DataFrame, dense: DataFrame) -> DataFrame:
     return joined.select("query_id", "name", (0.5 * F.coalesce("_b", F.lit(0.0)) + 0.5 * F.col("_c")).alias("score"))
 
 
+#: Edges of a block of a node's neighbourhood; queries of a set that a reached node holds, about.
+EDGE_BLOCK, QUERY_SET = 512, 1024
+BLOCK = ["graph_id", "name", "part", "block"]
+
+
+def neighbourhoods(triples: DataFrame) -> DataFrame:
+    """(graph_id, name, part, block, edges), written: the edges (to, rel, out) of each node in blocks of at most EDGE_BLOCK.
+
+    Edges are those of the simple graph, each at both ends; ``out`` tells which end the node is. They
+    are dealt in ranges of node and neighbour, so a hub is many ranges, and a block lies in one of them.
+    """
+    edges = digraph(triples)
+    side = lambda at, to, out: edges.select("graph_id", F.col(at).alias("name"), F.struct(F.col(to).alias("to"), "rel", F.lit(out).alias("out")).alias("edge"))
+    both = side("src", "dst", True).unionByName(side("dst", "src", False))
+    dealt = both.repartitionByRange("graph_id", "name", "edge.to").select("*", F.spark_partition_id().alias("part"))
+    place = F.row_number().over(Window.partitionBy("graph_id", "name", "part").orderBy("edge")) - 1
+    blocks = dealt.withColumn("block", F.floor(place / EDGE_BLOCK)).groupBy(*BLOCK).agg(F.collect_list("edge").alias("edges"))
+    return shared_table(blocks, "neighbourhoods")
+
+
+def _met(reached: DataFrame, blocks: DataFrame, sets: int) -> DataFrame:
+    """(graph_id, name, queries, edges): blocks of edges with the sets of queries that have reached their node.
+
+    Nodes ask for the names of their blocks first; edges meet queries by block, so a hub is no single key.
+    """
+    several = F.pmod(F.xxhash64("query_id"), F.lit(sets))
+    held = reached.groupBy("graph_id", "name", several.alias("_set")).agg(F.collect_list("query_id").alias("queries"))
+    return held.join(blocks.select(*BLOCK), ["graph_id", "name"]).join(blocks, BLOCK).select("graph_id", "name", "queries", "edges")
+
+
 def context(seeds: DataFrame, triples: DataFrame, depth: int = 2) -> DataFrame:
     """(graph_id, query_id, sentence): sentences of edges that touch a node within depth - 1 hops of a seed.
 
-    ``seeds`` (graph_id, query_id, name). Edges are those of the simple graph. The frontier holds a
-    node once for each query; only nodes found in the hop before are expanded.
+    ``seeds`` (graph_id, query_id, name). Edges are those of the simple graph, in the blocks of
+    ``neighbourhoods``, which are written once for all hops. A node of the frontier holds the set of
+    its queries; only nodes found in the hop before are expanded. A depth of 0 gives no sentence.
     """
-    edges = digraph(triples)
-    both = edges.select("graph_id", F.col("src").alias("at"), F.col("dst").alias("to")).unionByName(edges.select("graph_id", F.col("dst").alias("at"), F.col("src").alias("to")))
     empty = seeds.select("graph_id", "query_id", F.lit("").alias("sentence")).where("false")
     if depth <= 0:
         return empty
     key = ["graph_id", "query_id", "name"]
-    reached = frontier = seeds.select(*key).distinct()
+    reached = frontier = shared_table(seeds.select(*key).distinct(), "frontier")
+    sets = max(1, -(-frontier.select("query_id").distinct().count() // QUERY_SET))
+    blocks = neighbourhoods(triples)
     for _ in range(depth - 1):
-        step = frontier.join(both.withColumnRenamed("at", "name"), ["graph_id", "name"]).select("graph_id", "query_id", F.col("to").alias("name")).distinct()
+        step = _met(frontier, blocks, sets).select("graph_id", "queries", F.explode("edges.to").alias("name"))
+        step = step.select("graph_id", F.explode("queries").alias("query_id"), "name").distinct()
         frontier = shared_table(step.join(reached, key, "left_anti"), "frontier")  # plans don't grow with the hops
         reached = reached.unionByName(frontier)
-    text = sentence(F.col("src"), F.col("rel"), F.col("dst")).alias("sentence")
-    ends = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("name"), text)
-    return reached.join(ends, ["graph_id", "name"]).select("graph_id", "query_id", "sentence").distinct()
+    touched = _met(reached, blocks, sets).select("graph_id", "name", "queries", F.explode("edges").alias("e"))
+    text = F.when(F.col("e.out"), sentence(F.col("name"), F.col("e.rel"), F.col("e.to"))).otherwise(sentence(F.col("e.to"), F.col("e.rel"), F.col("name")))
+    return touched.select("graph_id", F.explode("queries").alias("query_id"), text.alias("sentence")).distinct()
 
 
 def retrieve(queries: DataFrame, nodes: DataFrame, triples: DataFrame, k: int = 8, depth: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -126,3 +126,28 @@ def test_retrieval_functions_of_all_pairs(spark):
     got = retrieve.bm25_scores(spark.createDataFrame([(1, "all w1")], "query_id long, text string"), spark.createDataFrame(corpus, "name string, text string"))
     want = plain_bm25(corpus, "all w1")
     assert {r["name"]: r["score"] for r in got.collect()} == pytest.approx(dict(want))
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_contexts_by_blocks_of_hubs(spark, monkeypatch, depth):
+    """A hub of many blocks, loops, parallel edges and several sets of queries against a plain walk; absent and repeated seeds too."""
+    monkeypatch.setattr(retrieve, "EDGE_BLOCK", 4)
+    monkeypatch.setattr(retrieve, "QUERY_SET", 2)
+    rng = random.Random(depth)
+    rows = [("g", "hub", "r", f"n{i}") for i in range(60)] + [("g", f"n{rng.randrange(90)}", rng.choice("pq"), f"n{rng.randrange(90)}") for _ in range(80)]
+    rows += [("h", "hub", "r", "n1"), ("g", "hub", "r", "hub"), ("g", "n1", "a", "n2"), ("g", "n1", "z", "n2")]
+    seeds = [("g", q, f"n{7 * q}") for q in range(9)] + [("g", 3, "n1"), ("g", 3, "n1"), ("h", 1, "hub"), ("g", 50, "none")]
+    edges = {}
+    for g, a, r, b in rows:
+        edges[g, a, b] = max(r, edges.get((g, a, b), r))
+    want = set()
+    for g, q in {x[:2] for x in seeds}:
+        at = {n for h, p, n in seeds if (h, p) == (g, q)}
+        for _ in range(depth - 1):
+            at |= {b for h, a, b in edges if h == g and a in at} | {a for h, a, b in edges if h == g and b in at}
+        want |= {(g, q, f"{a} {r} {b}.") for (h, a, b), r in edges.items() if h == g and (a in at or b in at)}
+    kg = spark.createDataFrame(rows, "graph_id string, s string, p string, o string")
+    got = [tuple(r) for r in retrieve.context(spark.createDataFrame(seeds, "graph_id string, query_id int, name string"), kg, depth).collect()]
+    assert sorted(got) == sorted(want)
+    held = retrieve.neighbourhoods(kg)
+    assert held.where("name = 'hub' and graph_id = 'g'").count() >= 60 // 4 and held.agg(F.max(F.size("edges"))).first()[0] <= 4
