@@ -643,6 +643,29 @@ def generate_graphs(spark, d):
     return extract.generate(fx.table(spark, d, "documents").select("doc_id", "text"), backends.RuleBackend()).triples
 
 
+@_query(f"""WITH c AS ({_chunks_sql(300)}), n AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{{2,}}') AS n FROM c), p AS (SELECT doc_id, n, unnest(range(1, len(n))) AS i FROM n)
+SELECT DISTINCT doc_id::VARCHAR AS graph_id, n[i] AS s, 'precedes' AS p, n[i + 1] AS o FROM p""")
+def generate_chunked(spark, d):
+    """Graphs of documents whose chunks are asked one by one and merged: no triple crosses the border of two chunks."""
+    return extract.generate(fx.table(spark, d, "documents").select("doc_id", "text"), backends.RuleBackend(), chunk_size=300).triples
+
+
+@_query(f"{_NEXT} SELECT DISTINCT doc_id::VARCHAR AS graph_id, n[i] AS s, 'precedes' AS p, n[i + 1] AS o FROM p")
+def generate_fallback(spark, d):
+    """Graphs by a backend whose typed relations fail for every other text: lines are parsed instead, and those of unknown ends dropped."""
+    return extract.generate(fx.table(spark, d, "documents").select("doc_id", "text"), fx.LinesBackend()).triples
+
+
+@_query(f"""{_NEXT}, t AS (SELECT DISTINCT doc_id, n[i] || ' precedes ' || n[i + 1] AS fact FROM p WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) % 7 <> 0))
+SELECT doc_id AS id, 'triple' AS kind, fact FROM t UNION ALL SELECT doc_id, 'failure', stage FROM documents, (VALUES ('entities'), ('relations')) v(stage) WHERE length(text) % 7 = 0""")
+def extract_rerun(spark, d):
+    """Batch extraction by a backend that leaves every third text out at first, and every seventh always: triples, and failures by stage."""
+    docs = fx.table(spark, d, "documents").where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    found, failures = extract.extract(docs, fx.GapsBackend(), extract.ExtractConfig(rerun_rounds=2, rerun_backoff=0.0))
+    triples = found.select("id", F.lit("triple").alias("kind"), F.explode("triples").alias("t")).select("id", "kind", F.array_join("t", " ").alias("fact"))
+    return triples.unionByName(failures.select("id", F.lit("failure").alias("kind"), F.col("stage").alias("fact")))
+
+
 @_query("""WITH m AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role || ': ' || text) AS text FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id)
 SELECT DISTINCT conv_id::VARCHAR AS graph_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}')) AS name FROM m""")
 def generate_from_messages(spark, d):
@@ -707,6 +730,47 @@ def lm_deduplicate(spark, d):
     return cluster.lm_deduplicate(graph.build(triples), cluster.hashing_embedder(), backends.RuleBackend()).triples
 
 
+def _spelled(spark, d, second):
+    """The graphs of groups whose suppliers stand in two spellings each."""
+    names = F.explode(F.array("s_name", second))
+    return graph.build(_groups(spark, d).select(F.col("group").alias("graph_id"), names.alias("s"), F.lit("located in").alias("p"), F.col("n_name").alias("o")))
+
+
+@_query(f"WITH {_GROUPS} SELECT grp AS graph_id, s_name AS s, 'located in' AS p, n_name AS o FROM g")
+def deduplicate_semhash(spark, d):
+    """Spellings that share a normal form become one; names that differ by a digit stay apart."""
+    kg = _spelled(spark, d, F.translate("s_name", "Suplier", "Ｓｕｐｌｉｅｒ"))
+    return dedupe.deduplicate(kg, "semhash", cluster.hashing_embedder(), threshold=0.9999).triples
+
+
+@_query(f"WITH {_GROUPS} SELECT grp AS graph_id, upper(s_name) AS s, 'located in' AS p, n_name AS o FROM g")
+def deduplicate_lm_based(spark, d):
+    """Spellings that the backend calls the same, within bounded clusters."""
+    return dedupe.cluster(_spelled(spark, d, F.upper("s_name")), method="lm_based", embed=cluster.hashing_embedder(), backend=backends.RuleBackend()).triples
+
+
+@_query(f"WITH {_GROUPS} SELECT grp AS graph_id, upper(s_name) AS s, 'located in' AS p, n_name AS o FROM g")
+def deduplicate_full(spark, d):
+    """Spellings in full-width capitals: a shared normal form first, then what the backend calls the same."""
+    kg = _spelled(spark, d, F.upper("s_name"))
+    wide = kg.triples.withColumn("s", F.translate("s", "SUPLIER", "ＳＵＰＬＩＥＲ"))
+    kg = graph.build(kg.triples.unionByName(wide))
+    return dedupe.deduplicate(kg, "full", cluster.hashing_embedder(), backends.RuleBackend(), 0.9999).triples
+
+
+@_query(f"""WITH {_GROUPS}, f AS (SELECT grp, n_name, 'high' AS quality_level, s_name || ' located in ' || n_name AS fact, 1 AS right_ FROM g UNION ALL SELECT grp, n_name, 'low', s_name || ' located in nowhere', 0 FROM g),
+j AS (SELECT grp, n_name, quality_level, fact, CASE WHEN length(fact) % 3 > 0 THEN right_ END AS score FROM f),
+n AS (SELECT grp, count(*) AS total, count(score) AS scored, coalesce(sum(score), 0)::BIGINT AS correct, count(*) - count(score) AS errors FROM j GROUP BY grp)
+SELECT grp AS id, n_name AS title, total, scored, correct, errors, quality_level, fact, score, CASE WHEN score IS NULL THEN 'error' ELSE 'scored' END AS status, CASE WHEN score IS NULL THEN 'ValueError: no answer' END AS error FROM j JOIN n USING (grp)""")
+def item_result_payload(spark, d):
+    """The results of items judged by a backend that fails for a third of the facts' lengths: each item's statistics with each of its facts."""
+    done = lifecycles.evaluate_items(_items(spark, d), cluster.hashing_embedder(), fx.GapsBackend())
+    titles = _groups(spark, d).groupBy(F.col("group").alias("item_id")).agg(F.first("n_name").alias("title"))
+    rows = evaluate.item_results(done, titles).select("id", "title", "evaluation_stats", F.explode("fact_results").alias("r"))
+    stats = [F.col(f"evaluation_stats.{c}").alias(n) for c, n in (("total_facts", "total"), ("scored_facts", "scored"), ("correct_facts", "correct"), ("error_facts", "errors"))]
+    return rows.select("id", "title", *stats, "r.quality_level", "r.fact", F.col("r.kg_entailment_score").alias("score"), F.col("r.evaluation_status").alias("status"), "r.error")
+
+
 # --- files, stores and streams ----------------------------------------------------------------
 
 

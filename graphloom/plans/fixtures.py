@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators import backends
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -80,3 +82,35 @@ FACTS = """facts AS (SELECT (doc_id // 20)::VARCHAR AS item_id, CASE WHEN qualit
   CASE WHEN doc_id % 7 = 0 THEN 'service_error' WHEN doc_id % 11 = 0 THEN 'error' ELSE 'scored' END AS status FROM documents JOIN labels USING (doc_id))"""
 VECTORS = """names AS (SELECT s AS name FROM act UNION SELECT o FROM act),
 vec AS (SELECT name, embedding FROM (SELECT name, (row_number() OVER (ORDER BY name) - 1) % (SELECT count(*) FROM embeddings) AS place FROM names) JOIN (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings) USING (place))"""
+
+
+class LinesBackend(backends.RuleBackend):
+    """Typed relations fail for texts of an odd number of characters; lines hold one of unknown ends more."""
+
+    def relations(self, text, entities):
+        if len(text) % 2:
+            raise ValueError("no relations")
+        return super().relations(text, entities)
+
+    def relation_lines(self, text, entities):
+        return [" | ".join(t) for t in super().relations(text, entities)] + ["none of these | precedes | nor this"]
+
+
+class GapsBackend(backends.RuleBackend):
+    """Texts of 7, 14, ... characters never get an answer, of 3, 6, ... none the first time; facts of 3, 6, ... are an error."""
+
+    def __init__(self):
+        self.asked = set()
+
+    def generate(self, system, prompts):
+        return [None if self._missing(p) else answer for p, answer in zip(prompts, super().generate(system, prompts))]
+
+    def _missing(self, prompt):
+        size, first = len(prompt.rpartition("\nText: ")[2]), prompt not in self.asked
+        self.asked.add(prompt)
+        return size % 7 == 0 or size % 3 == 0 and first
+
+    def judge(self, fact, context):
+        if len(fact) % 3 == 0:
+            raise ValueError("no answer")
+        return super().judge(fact, context)
