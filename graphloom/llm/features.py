@@ -99,7 +99,8 @@ def learned(rows: DataFrame, blocks: int, weights: np.ndarray, rounds: int, lear
     a weight by is averaged, a block counting by the squares it added there: what one block alone
     has met counts whole. Blocks and their rows have a fixed order, so reruns agree.
 
-    A task learns its blocks one after another, holds one of them at a time and sends one sum for all.
+    Blocks are dealt to tasks by their number, evenly. A task learns its blocks one after another, holds one
+    of them at a time and sends one sum for all.
     Sums are added FAN at a time, slice by slice, level on level, so no task adds up more than FAN of them.
     """
     spark, squares, kind = rows.sparkSession, np.zeros_like(weights), weights.dtype
@@ -145,7 +146,7 @@ def learned(rows: DataFrame, blocks: int, weights: np.ndarray, rounds: int, lear
                 places = [pa.array(x, pa.int64()) for x in (range(len(bounds)), [first[0]] * len(bounds))]
                 yield pa.RecordBatch.from_arrays([*places, *sent], names=names)
 
-        dealt = rows.select("block", "place", "y", "code").repartition(tasks, "block").sortWithinPartitions("block", "place")
+        dealt = rows.select("block", "place", "y", "code").repartitionById(tasks, F.pmod("block", F.lit(tasks)).cast("int")).sortWithinPartitions("block", "place")
         level, span = dealt.mapInArrow(run, schema), blocks
         while span > 1:
             held = min(tasks, span) * 3 * weights.nbytes
