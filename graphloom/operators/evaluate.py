@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 LEVELS = ("high", "medium", "low", "unknown")
 DIFFICULTIES = ("easy", "medium", "hard")
@@ -82,6 +83,18 @@ def evaluate(facts: DataFrame, contexts: DataFrame, backend) -> DataFrame:
     return done.unionByName(fresh)
 
 
+def judge(facts: DataFrame, backend) -> DataFrame:
+    """Facts (with score, status and context) with score, status and error, judged where they have a context.
+
+    No shuffle follows the model: a task that writes what comes out keeps what it has asked.
+    """
+    from graphloom.operators.backends import judge_batches
+
+    kept = [f for f in facts.schema.fields if f.name not in ("score", "status", "error", "context")]
+    schema = StructType(kept).add("score", "integer").add("status", "string").add("error", "string")
+    return facts.mapInArrow(judge_batches(backend), schema)
+
+
 RESULT_FIELDS = ("fact", "difficulty", "relational_type", "confidence", "triples")
 
 

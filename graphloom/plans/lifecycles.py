@@ -13,7 +13,7 @@ from graphloom.operators import evaluate, extract, graph, retrieve
 from graphloom.operators.graph import digraph, endpoints
 from graphloom.schema import KGFrames
 from graphloom.sources import json_records
-from graphloom.storage import exists, shared_table
+from graphloom.storage import append_by_task, exists, has_rows_files, shared_table
 
 
 def graph_of(relations: Column) -> Column:
@@ -48,6 +48,11 @@ def _slices(rows: DataFrame, key: str, size: int) -> Iterator[DataFrame]:
         yield dealt.where(F.col("_slice") == i).drop("_slice").repartition(tasks, key)
 
 
+def _by_slices(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """The rows dealt to a task for each slice of about ``size`` keys, all rows of a key in one; no job for each."""
+    return rows.repartition(max(1, -(-rows.select(key).distinct().count() // size)), key)
+
+
 def extract_to(records: DataFrame, path: str, backend, config: extract.ExtractConfig = extract.ExtractConfig(), overwrite: bool = False, failures: str | None = None) -> int:
     """Extracts records (id, text) into a table, leaving out those an earlier run has written.
 
@@ -98,12 +103,8 @@ class EvalConfig:
             raise ValueError("k and depth must not be negative")
 
 
-def evaluate_items(items: DataFrame, embed, backend, config: EvalConfig = EvalConfig(), previous: DataFrame | None = None) -> DataFrame:
-    """Facts of items (id, extracted_kg, relational_facts) with score, status and error.
-
-    Items without a graph keep their facts as they are. Scores of an earlier run come back by item,
-    level and place; only facts without a score are retrieved for and judged.
-    """
+def _with_contexts(items: DataFrame, embed, config: EvalConfig, previous: DataFrame | None) -> DataFrame:
+    """Facts of items with retrieval_stats and context; the context is null where a fact isn't to be judged."""
     rows = evaluate.flatten_facts(items).withColumnsRenamed({"kg_entailment_score": "score", "evaluation_status": "status"}).drop("error")
     if previous is not None:
         rows = evaluate.restore(rows, previous)
@@ -121,30 +122,38 @@ def evaluate_items(items: DataFrame, embed, backend, config: EvalConfig = EvalCo
     texts = retrieve.context_text(found).select(F.col("query_id").alias("_q"), "context")
     keys = ["item_id", "quality_level", "fact_pos"]
     contexts = open_.select(*keys, query.alias("_k")).join(texts, F.col("_k") == F.col("_q"), "left").select(*keys, F.coalesce("context", F.lit("")).alias("context"))
-    judged = evaluate.evaluate(rows.join(open_.select(*keys), keys, "left_semi"), contexts, backend)
     sizes = retrieve.retrieval_stats(best, found, config.retrieval_k, config.retrieval_depth)
     sizes = open_.select(*keys, query.alias("_k")).join(sizes, F.col("_k") == F.col("query_id")).select(*keys, F.struct(*sizes.columns[2:]).alias("retrieval_stats"))
-    rest = rows.join(open_.select(*keys), keys, "left_anti").withColumn("error", F.lit(None).cast("string"))
-    return rest.unionByName(judged).join(sizes, keys, "left")
+    return rows.join(contexts, keys, "left").join(sizes, keys, "left")
+
+
+def evaluate_items(items: DataFrame, embed, backend, config: EvalConfig = EvalConfig(), previous: DataFrame | None = None) -> DataFrame:
+    """Facts of items (id, extracted_kg, relational_facts) with score, status and error.
+
+    Items without a graph keep their facts as they are. Scores of an earlier run come back by item,
+    level and place; only facts without a score are retrieved for and judged.
+    """
+    return evaluate.judge(_with_contexts(items, embed, config, previous), backend)
 
 
 def evaluate_dataset(spark: SparkSession, dataset: str, output: str, embed, backend, config: EvalConfig = EvalConfig(), save_interval: int = 20) -> DataFrame:
-    """Evaluates a file of items and appends their facts to the output table, slice by slice, under the next run number; returns the totals of all facts.
+    """Evaluates a file of items and appends their facts to the output table under the next run number; returns the totals of all facts.
 
+    Contexts are found for all items at once. The model is asked in slices of about save_interval
+    items, a task each: what a task has judged is in the table when it ends, and the run after a killed one brings it back.
     ``result_payload`` makes the interchange document of the output.
     """
     items = shared_table(json_records.items(spark, dataset), "items")
     previous, run = None, 0
-    if exists(spark, output):
+    if has_rows_files(spark, output):
         previous = spark.read.parquet(output)
-        run = previous.agg(F.max("run").alias("r")).first()["r"] + 1
+        run = previous.agg(F.max("run").alias("r")).first()["r"]
+        run = 0 if run is None else run + 1
         previous = shared_table(previous, "previous")  # the target grows while it is read
-    done = None
-    for part in _slices(items, "id", save_interval):
-        facts = shared_table(evaluate_items(part, embed, backend, config, previous), "evaluated")
-        facts.withColumn("run", F.lit(run)).write.mode("append").parquet(output)
-        done = facts if done is None else done.unionByName(facts)
-    return evaluate.overall_stats(done if done is not None else evaluate_items(items, embed, backend, config, previous))
+    facts = shared_table(_with_contexts(items, embed, config, previous), "prepared")
+    done = evaluate.judge(_by_slices(facts, "item_id", save_interval), backend).withColumn("run", F.lit(run))
+    append_by_task(done, output)
+    return evaluate.overall_stats(spark.read.schema(done.schema).parquet(output).where(F.col("run") == run))
 
 
 def result_payload(spark: SparkSession, dataset: str, output: str, config: EvalConfig = EvalConfig()) -> DataFrame:

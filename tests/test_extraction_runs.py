@@ -81,3 +81,30 @@ def test_slices_hold_every_row_once(spark):
     assert len(parts) == 8 and sorted(r["v"] for p in parts for r in p) == list(range(701))
     ids = [{r["id"] for r in p} for p in parts]
     assert sum(len(i) for i in ids) == 351
+
+
+def jobs_of(spark, work):
+    import uuid
+
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_evaluation_jobs_dont_grow_with_the_slices(spark, tmp_path):
+    import json
+
+    from graphloom.operators import cluster
+
+    kg = {"entities": ["Ann"], "edges": ["met"], "relations": [["Ann", "met", "Bob"]]}
+    made = {}
+    for n in (1, 6):
+        data = [{"id": str(i), "extracted_kg": kg, "relational_facts": {"high": [{"fact": "ann met bob"}, {"fact": "zed"}]}} for i in range(n)]
+        (tmp_path / f"{n}.json").write_text(json.dumps(data))
+        run = lambda n=n: made.update({n: lifecycles.evaluate_dataset(spark, str(tmp_path / f"{n}.json"), str(tmp_path / f"o{n}"), cluster.hashing_embedder(), backends.RuleBackend(), save_interval=1).first()})
+        made[f"jobs{n}"] = jobs_of(spark, run)
+    assert made["jobs6"] <= made["jobs1"] + 4 and (made[6]["total_facts"], made[6]["correct_facts"]) == (12, 6)
