@@ -6,8 +6,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.functions import parse
 from graphloom.functions.text import strip
@@ -121,13 +123,11 @@ def extract(records: DataFrame, backend, config: ExtractConfig = ExtractConfig()
     place = "pos" if "pos" in records.columns else "id"
     rows = records if config.max_samples is None else records.orderBy(place).limit(config.max_samples)
     lists, none = "array<array<string>>", F.array().cast("array<string>")
-    had = F.coalesce("existing", F.array().cast(lists)) if "existing" in records.columns else F.array().cast(lists)
-    rows = rows.select("id", "text", had.alias("_had"))
+    rows = rows.select("id", "text", _had(records).alias("_had"))
     full = rows.where(strip(F.col("text")) != "")
     first = _all_answers(full.select("id", F.col("text").alias("prompt")), backend, ENTITY_PROMPT, config, "entity-answers")
     named = full.join(first.select("id", parse.entities(F.col("response")).alias("entities")), "id")
-    known = F.when(F.size("_had") > 0, F.concat(F.lit("Known: "), F.to_json("_had"), F.lit("\n"))).otherwise(F.lit(""))
-    prompts = named.select("id", F.concat(F.lit("Entities: "), F.to_json("entities"), F.lit("\n"), known, F.lit("Text: "), "text").alias("prompt"))
+    prompts = named.select("id", _relation_prompt().alias("prompt"))
     second = _all_answers(prompts, backend, RELATION_PROMPT, config, "relation-answers")
     fresh = F.array_except(parse.relations(F.col("response")), F.col("_had"))
     done = named.join(second, "id").select("id", "entities", fresh.alias("triples"))
@@ -136,6 +136,56 @@ def extract(records: DataFrame, backend, config: ExtractConfig = ExtractConfig()
     return out, failures
 
 
+def _asked_in_task(rows: DataFrame, backend, system: str, config: ExtractConfig) -> DataFrame:
+    """The rows with response and failed, asked where they have a prompt; the prompt goes. No shuffle, no other rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, config.batch_size):
+                part = batch.slice(i, config.batch_size)
+                prompts = part.column("prompt").to_pylist()
+                at = [k for k, p in enumerate(prompts) if p is not None]
+                got, failed = generate_pending(backend, system, [prompts[k] for k in at], config.rounds, config.rerun_backoff)
+                answers, lost = dict(zip(at, got)), {at[k] for k in failed}
+                kept = [c for c in part.schema.names if c != "prompt"]
+                new = [pa.array([answers.get(k) for k in range(len(prompts))], pa.string()), pa.array([k in lost for k in range(len(prompts))])]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *new], names=[*kept, "response", "failed"])
+
+    schema = StructType([f for f in rows.schema.fields if f.name != "prompt"]).add("response", "string").add("failed", "boolean")
+    return rows.mapInArrow(run, schema)
+
+
+def _relation_prompt() -> Column:
+    known = F.when(F.size("_had") > 0, F.concat(F.lit("Known: "), F.to_json("_had"), F.lit("\n"))).otherwise(F.lit(""))
+    return F.concat(F.lit("Entities: "), F.to_json("entities"), F.lit("\n"), known, F.lit("Text: "), "text")
+
+
+def _had(records: DataFrame) -> Column:
+    lists = F.array().cast("array<array<string>>")
+    return F.coalesce("existing", lists) if "existing" in records.columns else lists
+
+
+def extract_in_tasks(records: DataFrame, backend, config: ExtractConfig = ExtractConfig()) -> DataFrame:
+    """(id, text, entities, triples, stages) of records as ``extract`` takes them; stages that failed.
+
+    A task asks both stages for the records it holds, and nothing is shuffled: what it writes isn't asked again.
+    """
+    rows = records.select("id", "text", _had(records).alias("_had"))
+    full = F.when(strip(F.col("text")) != "", F.col("text"))
+    first = _asked_in_task(rows.withColumn("prompt", full), backend, ENTITY_PROMPT, config)
+    named = first.select("id", "text", "_had", F.when(full.isNotNull(), parse.entities(F.col("response"))).alias("entities"), F.col("failed").alias("_failed"))
+    second = _asked_in_task(named.withColumn("prompt", F.when(full.isNotNull(), _relation_prompt())), backend, RELATION_PROMPT, config)
+    fresh = F.array_except(parse.relations(F.col("response")), F.col("_had"))
+    triples = F.coalesce(F.when(full.isNotNull(), fresh), F.array().cast("array<array<string>>"))
+    stages = F.array_compact(F.array(F.when(F.col("_failed"), "entities"), F.when(F.col("failed"), "relations")))
+    return second.select("id", "text", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), triples.alias("triples"), stages.alias("stages"))
+
+
+def saved_schema(records: DataFrame) -> str:
+    """The columns of ``extract_in_tasks``."""
+    return f"id {dict(records.dtypes)['id']}, text string, entities array<string>, triples array<array<string>>, stages array<string>"
+
+
 def pending(records: DataFrame, done: DataFrame) -> DataFrame:
     """Records an earlier run hasn't written yet."""
     return records.join(done.select("id"), "id", "left_anti")

@@ -13,7 +13,7 @@ from graphloom.operators import evaluate, extract, graph, retrieve
 from graphloom.operators.graph import digraph, endpoints
 from graphloom.schema import KGFrames
 from graphloom.sources import json_records
-from graphloom.storage import append_by_task, exists, has_rows_files, shared_table
+from graphloom.storage import append_by_task, exists, has_rows_files, remove, shared_table
 
 
 def graph_of(relations: Column) -> Column:
@@ -56,27 +56,65 @@ def _by_slices(rows: DataFrame, key: str, size: int) -> DataFrame:
 def extract_to(records: DataFrame, path: str, backend, config: extract.ExtractConfig = extract.ExtractConfig(), overwrite: bool = False, failures: str | None = None) -> int:
     """Extracts records (id, text) into a table, leaving out those an earlier run has written.
 
-    Records are saved in slices of about save_interval, so what is done stays done; with
-    ``config.answers`` a stage that a killed run has saved isn't asked again either. Returns the number
-    of records that failed; they aren't written, so the next run asks again. With ``failures``, a path,
-    each failure (id, stage, at) is added to a table there, which ``open_failures`` reads.
+    Records are asked in slices of about save_interval, a task each: what a task has asked is kept in a
+    folder beside the table when it ends, and goes to the table at the end of the run, or at the start of the run
+    after a killed one. With ``config.answers`` slices are saved one after another, and a stage that a
+    killed run has saved isn't asked again either. Returns the number of records that failed; they aren't written,
+    so the next run asks again. With ``failures``, a path, each failure (id, stage, at) is added to a table
+    there, which ``open_failures`` reads.
     """
     spark = records.sparkSession
     place = "pos" if "pos" in records.columns else "id"
+    saving = path.rstrip("/") + "-saving"
+    if overwrite:
+        remove(spark, saving)
+    _keep_saved(records, saving, path, config, failures)  # a killed run's
     rows = records if config.max_samples is None else records.orderBy(place).limit(config.max_samples)
-    if not overwrite and exists(spark, path):
+    if not overwrite and has_rows_files(spark, path):
         rows = extract.pending(rows, spark.read.parquet(path))
+    rows = shared_table(rows, "pending")
+    if config.answers is None:
+        if overwrite:
+            remove(spark, path)
+        append_by_task(extract.extract_in_tasks(_by_slices(rows, "id", config.save_interval), backend, config), saving)
+        return _keep_saved(records, saving, path, config, failures)
     failed, mode = 0, "overwrite" if overwrite else "append"
-    for part in _slices(shared_table(rows, "pending"), "id", config.save_interval):
+    for part in _slices(rows, "id", config.save_interval):
         done, lost = extract.extract(part, backend, replace(config, max_samples=None))
         lost = shared_table(lost, "failures")
-        good = done.join(lost.select("id").distinct(), "id", "left_anti").withColumnRenamed("triples", config.output_key)
-        good = good.withColumnRenamed("entities", config.entity_key) if config.save_entity else good.drop("entities")
-        good.write.mode(mode).parquet(path)
-        n = lost.select("id").distinct().count()
-        if n and failures:
-            lost.withColumn("at", F.current_timestamp()).write.mode("append").parquet(failures)
-        failed, mode = failed + n, "append"
+        good = done.join(lost.select("id").distinct(), "id", "left_anti")
+        _written(good, config).write.mode(mode).parquet(path)
+        failed, mode = failed + _add_failures(lost, failures), "append"
+    return failed
+
+
+def _written(good: DataFrame, config: extract.ExtractConfig) -> DataFrame:
+    """Extracted records under the names of their table."""
+    good = good.withColumnRenamed("triples", config.output_key)
+    return good.withColumnRenamed("entities", config.entity_key) if config.save_entity else good.drop("entities")
+
+
+def _add_failures(lost: DataFrame, failures: str | None) -> int:
+    n = lost.select("id").distinct().count()
+    if n and failures:
+        lost.withColumn("at", F.current_timestamp()).write.mode("append").parquet(failures)
+    return n
+
+
+def _keep_saved(records: DataFrame, saving: str, path: str, config: extract.ExtractConfig, failures: str | None) -> int:
+    """Moves what tasks have saved to the table and the table of failures; returns the number of records that failed.
+
+    A run that is killed here does so again: records that the table has already aren't added twice.
+    """
+    spark, failed = records.sparkSession, 0
+    if has_rows_files(spark, saving):
+        saved = spark.read.schema(extract.saved_schema(records)).parquet(saving)
+        good = _written(saved.where(F.size("stages") == 0).drop("stages"), config)
+        if has_rows_files(spark, path):
+            good = good.join(spark.read.parquet(path).select("id").distinct(), "id", "left_anti")
+        good.write.mode("append").parquet(path)
+        failed = _add_failures(saved.select("id", F.explode("stages").alias("stage")), failures)
+    remove(spark, saving)
     return failed
 
 

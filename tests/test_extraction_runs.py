@@ -95,6 +95,34 @@ def jobs_of(spark, work):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_jobs_dont_grow_with_the_slices(spark, tmp_path):
+    config = extract.ExtractConfig(save_interval=2)
+    few, many = (
+        jobs_of(spark, lambda: lifecycles.extract_to(records(spark, *["Ann met Bob."] * n), str(tmp_path / f"{n}"), backends.RuleBackend(), config)) for n in (4, 40)
+    )
+    assert many <= few + 4 and spark.read.parquet(str(tmp_path / "40")).count() == 40
+
+
+def test_what_tasks_have_asked_outlives_a_kill(spark, tmp_path, log):
+    """A run dies at one text, its second stage included; the run after it doesn't ask what ended before."""
+
+    class Dies(Logged):
+        def generate(self, system, prompts):
+            if self.dies and any("Die" in p for p in prompts):
+                import time
+
+                time.sleep(5)
+                raise SystemExit
+            return backends.RuleBackend.generate(self, system, prompts) if self.dies else super().generate(system, prompts)
+
+    rows, out = records(spark, *[f"Ann met {n}." for n in ("Bob", "Cid", "Dan", "Eve", "Die", "Fay")]), str(tmp_path / "out")
+    config = extract.ExtractConfig(rerun_rounds=0, save_interval=1)
+    with pytest.raises(Exception):
+        lifecycles.extract_to(rows, out, Dies(log, dies=True), config)
+    assert lifecycles.extract_to(rows, out, Dies(log), config) == 0
+    assert len(asked(log)) < 12 and sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(6))
+
+
 def test_evaluation_jobs_dont_grow_with_the_slices(spark, tmp_path):
     import json
 
