@@ -164,3 +164,12 @@ def test_copies_are_indexed_once(spark):
     rng = random.Random(2)
     vectors = [(n, [rng.gauss(0, 1) for _ in range(4)]) for n, _ in corpus[::3]]
     hybrid(spark, corpus, asked, vectors, [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(40)], 5)
+
+
+def test_contexts_hold_queries_as_bits(spark):
+    """A hundred queries that reach one hub: sentences are shuffled once for all of them, not a row for each."""
+    kg = spark.createDataFrame([("g", f"n{i}", "r", "hub") for i in range(100)], "graph_id string, s string, p string, o string")
+    found = retrieve.context(spark.createDataFrame([("g", i, f"n{i}") for i in range(100)], "graph_id string, query_id int, name string"), kg, 2)
+    assert found.count() == found.distinct().count() == 100 * 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "query_id" not in "".join(line for line in plan.splitlines() if "Aggregate" in line and "sentence" in line)
