@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import answer_text, strip, strip_dashes
+from graphloom.functions.text import answer_text, once, strip, strip_dashes
 
 SEPARATORS = (" | ", "\t", " -> ")
 
 
 def relation_line(line: Column) -> Column:
     """struct<s, p, o> of a line of three parts, by the first separator that gives three; else null."""
-    text = strip_dashes(line)
-    out = F.lit(None).cast("struct<s:string,p:string,o:string>")
-    for separator in reversed(SEPARATORS):
-        parts = F.transform(F.split(text, r"\Q" + separator + r"\E"), strip)
-        good = (F.size(parts) == 3) & F.forall(parts, lambda x: x != "")
-        out = F.when(good, F.struct(*[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate("spo")])).otherwise(out)
-    return out
+    triple = lambda parts: F.struct(*[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate("spo")])
+    filled = lambda parts: once(F.transform(parts, strip), lambda x: F.when(F.forall(x, lambda y: y != ""), triple(x)))
+    three = lambda parts: F.when(F.size(parts) == 3, filled(parts))
+    split = lambda text, separator: once(F.split(text, r"\Q" + separator + r"\E"), three)
+    return once(strip_dashes(line), lambda text: F.coalesce(*[split(text, x) for x in SEPARATORS]))
 
 
 def entities(response: Column) -> Column:

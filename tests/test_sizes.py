@@ -12,6 +12,11 @@ from graphloom.operators.backends import RuleBackend
 from graphloom.plans import fixtures
 
 
+def test_a_line_is_stripped_once(spark):
+    line = spark.range(1).select(parse.relation_line(F.lit("a | b | c")).alias("t"))
+    assert str(line._jdf.queryExecution().logical()).count("regexp_replace") <= 8
+
+
 def test_copies_of_a_text_give_their_best_names_only(spark):
     rng = np.random.default_rng(3)
     names = [f"n{i:03d}" for i in range(60)]
