@@ -12,6 +12,28 @@ from graphloom.operators.backends import RuleBackend
 from graphloom.plans import fixtures
 
 
+def test_merging_links_holds_numbers_only():
+    rng = np.random.default_rng(0)
+    batches = [pa.RecordBatch.from_arrays([pa.array(rng.integers(0, 1 << 40, 10_000)) for _ in "uv"], names=["u", "v"]) for _ in range(20)]
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in components._merged(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 150_000 and peak < 40e6
+
+
+def test_stars_are_those_of_union_find():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        u, v = rng.integers(0, 40, 45), rng.integers(0, 40, 45)
+        root = {x: x for x in [*u.tolist(), *v.tolist()]}
+        for _ in root:
+            for a, b in zip(u.tolist(), v.tolist()):
+                root[a] = root[b] = min(root[a], root[b])
+        a, b = components._stars(u, v)
+        assert dict(zip(a.tolist(), b.tolist())) == {x: r for x, r in root.items() if x != r}
+
+
 def test_a_line_is_stripped_once(spark):
     line = spark.range(1).select(parse.relation_line(F.lit("a | b | c")).alias("t"))
     assert str(line._jdf.queryExecution().logical()).count("regexp_replace") <= 8
