@@ -34,6 +34,19 @@ def test_stars_are_those_of_union_find():
         assert dict(zip(a.tolist(), b.tolist())) == {x: r for x, r in root.items() if x != r}
 
 
+def test_centres_go_to_blocks_of_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [("g", f"n{i}", [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "graph_id string, name string, v array<double>")
+    held = vectors.select("graph_id", F.lit(0).cast("long").alias("first"), F.lit(70).cast("long").alias("m"), "name", F.md5("name").alias("key"), "v")
+    got = bounded._ranked(held)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
+    by_key = sorted(held.collect(), key=lambda r: r["key"])
+    v = np.array([r["v"] for r in by_key])
+    order = np.argsort(bounded.distances(v, bounded.lloyd(v, bounded.FAN)), 1, kind="stable").tolist()
+    assert {r["name"]: list(r["order"]) for r in got.collect()} == {r["name"]: o for r, o in zip(by_key, order)}
+
+
 def test_a_line_is_stripped_once(spark):
     line = spark.range(1).select(parse.relation_line(F.lit("a | b | c")).alias("t"))
     assert str(line._jdf.queryExecution().logical()).count("regexp_replace") <= 8
