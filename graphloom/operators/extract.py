@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from graphloom.functions import parse
-from graphloom.functions.text import strip
+from graphloom.functions.text import once, strip
 from graphloom.operators.backends import PromptBackend, generate_pending
 from graphloom.operators.chunks import chunks, flatten
 from graphloom.operators.dedupe import deduplicate
 from graphloom.operators.graph import build
 from graphloom.schema import KGFrames
 from graphloom.sources.sinks import write_json
-from graphloom.storage import exists, shared_table
+from graphloom.storage import bound_batches, exists, shared_table
 
 ENTITY_PROMPT = PromptBackend.ENTITIES
 RELATION_PROMPT = PromptBackend.RELATIONS
@@ -66,11 +66,12 @@ class ExtractConfig:
 
 def records_of(values: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFrame:
     """(id, pos, text, existing, value) of JSON records (id, value): the text under text_key, or the first of raw_chunk and text that isn't blank; the triples it has already."""
-    field = lambda k: F.try_variant_get(F.try_parse_json("value"), f"$['{k}']", "variant")
-    string = lambda k: F.when(F.schema_of_variant(field(k)) == "STRING", F.try_variant_get(F.try_parse_json("value"), f"$['{k}']", "string"))
+    parsed = values.withColumn("_v", F.try_parse_json("value"))  # once for all fields
+    field = lambda k: F.try_variant_get("_v", f"$['{k}']", "variant")
+    string = lambda k: once(field(k), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
     text = F.coalesce(string(config.text_key), F.lit("")) if config.text_key else parse.record_text(string("raw_chunk"), string("text"))
     pos = F.col("pos") if "pos" in values.columns else F.col("id")
-    return values.select("id", pos.alias("pos"), text.alias("text"), parse.existing_triples(F.col("value")).alias("existing"), "value")
+    return parsed.select("id", pos.alias("pos"), text.alias("text"), parse.existing_triples(F.col("value")).alias("existing"), "value")
 
 
 def _answers(rows: DataFrame, backend, system: str, config: ExtractConfig) -> DataFrame:
@@ -83,6 +84,7 @@ def _answers(rows: DataFrame, backend, system: str, config: ExtractConfig) -> Da
                 got, failed = generate_pending(backend, system, list(part["prompt"]), config.rounds, config.rerun_backoff)
                 yield pd.DataFrame({"id": part["id"], "response": got, "failed": [k in set(failed) for k in range(len(got))]})
 
+    bound_batches(rows.sparkSession)
     kind = dict(rows.dtypes)["id"]
     return rows.select("id", "prompt").mapInPandas(run, f"id {kind}, response string, failed boolean")
 
@@ -151,6 +153,7 @@ def _asked_in_task(rows: DataFrame, backend, system: str, config: ExtractConfig)
                 new = [pa.array([answers.get(k) for k in range(len(prompts))], pa.string()), pa.array([k in lost for k in range(len(prompts))])]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *new], names=[*kept, "response", "failed"])
 
+    bound_batches(rows.sparkSession)
     schema = StructType([f for f in rows.schema.fields if f.name != "prompt"]).add("response", "string").add("failed", "boolean")
     return rows.mapInArrow(run, schema)
 
@@ -222,6 +225,7 @@ def generate(docs: DataFrame, backend, chunk_size: int | None = None, cluster: b
                 rows.append((graph, list(names), [list(t) for t in found], lines))
             yield pd.DataFrame(rows, columns=["graph_id", "names", "triples", "lines"])
 
+    bound_batches(docs.sparkSession)
     got = parts.select(F.col("doc_id").cast("string").alias("graph_id"), "text").mapInPandas(run, "graph_id string, names array<string>, triples array<array<string>>, lines array<string>")
     got = shared_table(got, "generated")
     entities = got.select("graph_id", F.explode("names").alias("name")).distinct()

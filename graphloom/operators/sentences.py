@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import words
-from graphloom.storage import shared_table
+from graphloom.functions.text import once, words
+from graphloom.storage import bound_batches, shared_table
 
 OPENERS, CLOSERS = "\"'(\\[{«„“‘", "\"')\\]}»”’,;:"
 #: Least scores, as published: of abbreviations, of sentence starters and of collocations.
@@ -82,16 +82,34 @@ def _type(bare: str) -> str:
 def _tokens(text: Column) -> Column:
     """An array of (w, dot, mark, up, low) of a text's tokens: type, whether it ends in one period, in ! or ?, and its first letter's case."""
 
-    def parsed(raw: Column) -> Column:
-        bare = F.regexp_replace(raw, f"^[{OPENERS}]+|[{CLOSERS}]+$", "")
-        word = F.lower(F.regexp_replace(bare, r"[.!?]+$", ""))
+    def parsed(bare: Column) -> Column:
         first = F.substring(bare, 1, 1)
         return F.struct(
-            F.when(word.rlike(r"^[0-9][0-9.,-]*$"), NUMBER).otherwise(word).alias("w"), (bare.endswith(".") & ~bare.endswith("..")).alias("dot"),
+            _typed(bare).alias("w"), _dotted(bare).alias("dot"),
             bare.rlike(r"[!?]$").alias("mark"), first.rlike(r"^\p{Lu}").alias("up"), first.rlike(r"^\p{Ll}").alias("low"),
         )
 
-    return F.transform(words(F.coalesce(text, F.lit(""))), parsed)
+    return F.transform(words(F.coalesce(text, F.lit(""))), lambda raw: once(_bare(raw), parsed))
+
+
+def _bare(raw: Column) -> Column:
+    return F.regexp_replace(raw, f"^[{OPENERS}]+|[{CLOSERS}]+$", "")
+
+
+def _typed(bare: Column) -> Column:
+    word = F.lower(F.regexp_replace(bare, r"[.!?]+$", ""))
+    return once(word, lambda w: F.when(w.rlike(r"^[0-9][0-9.,-]*$"), NUMBER).otherwise(w))
+
+
+def _dotted(bare: Column) -> Column:
+    return bare.endswith(".") & ~bare.endswith("..")
+
+
+def type_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(w, n, n_dot): ``word_counts`` without cases. Tokens are counted as they stand first, and only different ones are parsed."""
+    tokens = docs.select(F.explode(words(docs[text_col].cast("string"))).alias("raw")).groupBy("raw").agg(F.count("*").alias("k"))
+    typed = tokens.withColumn("bare", _bare(F.col("raw"))).select(_typed(F.col("bare")).alias("w"), _dotted(F.col("bare")).alias("dot"), "k").where("w <> ''")
+    return typed.groupBy("w").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("dot"), F.col("k")).otherwise(F.lit(0))).alias("n_dot"))
 
 
 def token_pairs(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -157,6 +175,7 @@ def learn(docs: DataFrame, text_col: str = "text", most: int = MOST) -> Splitter
 
 def split(docs: DataFrame, splitter: Splitter, *keep: str, text_col: str = "text") -> DataFrame:
     """The kept columns and the sentences of each text, in order."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(splitter)  # 5 * MOST entries at most
     chosen = docs.select(*keep, docs[text_col].cast("string").alias("_text"))
     schema = ", ".join([f"`{c}` {t}" for c, t in chosen.dtypes if c != "_text"] + ["sentences array<string>"])

@@ -34,6 +34,15 @@ def test_stars_are_those_of_union_find():
         assert dict(zip(a.tolist(), b.tolist())) == {x: r for x, r in root.items() if x != r}
 
 
+def test_extraction_bounds_batches_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "Ann Bob")], "doc_id long, text string")
+    for ask in (lambda: extract.generate(docs, RuleBackend()), lambda: sentences.split(docs, sentences.Splitter(), "doc_id"), lambda: extract._answers(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("prompt")), RuleBackend(), "", extract.ExtractConfig())):
+        spark.conf.unset(key)
+        ask()
+        assert int(spark.conf.get(key)) == 1 << 19
+
+
 def test_centres_go_to_blocks_of_rows(spark):
     rng = np.random.default_rng(2)
     rows = [("g", f"n{i}", [float(x) for x in rng.normal(size=4)]) for i in range(300)]
