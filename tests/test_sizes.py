@@ -43,6 +43,14 @@ def test_extraction_bounds_batches_by_bytes(spark):
         assert int(spark.conf.get(key)) == 1 << 19
 
 
+def test_a_backend_with_gaps_keeps_no_prompts():
+    backend = fixtures.GapsBackend()
+    prompts = [f"{i:05d}" + "x" * 1000 for i in range(12_000)]
+    for p in prompts:
+        backend._missing(p)
+    assert len(backend.asked) <= 10_000 and max(map(len, backend.asked)) == 16
+
+
 def test_centres_go_to_blocks_of_rows(spark):
     rng = np.random.default_rng(2)
     rows = [("g", f"n{i}", [float(x) for x in rng.normal(size=4)]) for i in range(300)]
