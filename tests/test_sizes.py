@@ -64,6 +64,12 @@ def test_centres_go_to_blocks_of_rows(spark):
     assert {r["name"]: list(r["order"]) for r in got.collect()} == {r["name"]: o for r, o in zip(by_key, order)}
 
 
+def test_counts_of_different_tokens_are_those_of_all(spark):
+    docs = spark.createDataFrame([(1, 'Dr. Ann said: "No." e.g. 3.5 or 7, ... dr. no! Dr'), (2, "No no. NO dr. ..."), (3, None)], "doc_id long, text string")
+    want = sentences.word_counts(sentences.token_pairs(docs)).select("w", "n", "n_dot").collect()
+    assert sorted(sentences.type_counts(docs).collect()) == sorted(want) and want
+
+
 def test_a_line_is_stripped_once(spark):
     line = spark.range(1).select(parse.relation_line(F.lit("a | b | c")).alias("t"))
     assert str(line._jdf.queryExecution().logical()).count("regexp_replace") <= 8
