@@ -34,6 +34,14 @@ def test_stars_are_those_of_union_find():
         assert dict(zip(a.tolist(), b.tolist())) == {x: r for x, r in root.items() if x != r}
 
 
+def test_graphs_bound_what_a_task_reads(spark):
+    key, parts = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    for name in (key, parts):
+        spark.conf.unset(name)
+    graph.build(spark.createDataFrame([("g", "a", "p", "b")], "graph_id string, s string, p string, o string"))
+    assert int(spark.conf.get(key)) == 8 << 20 and int(spark.conf.get(parts)) == 200
+
+
 def test_extraction_bounds_batches_by_bytes(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     docs = spark.createDataFrame([(1, "Ann Bob")], "doc_id long, text string")
