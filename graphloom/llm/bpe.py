@@ -29,8 +29,8 @@ from graphloom.llm.common import read, small_batches
 
 #: Unicode White_Space, fixed by the standard.
 WHITE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Entries that a worker keeps in a cache before it starts anew.
-CACHE = 500_000
+#: Entries that a task keeps in a cache before it starts anew.
+CACHE = 300_000
 
 
 def _class_of(kind: str, points: int) -> str:
@@ -108,6 +108,11 @@ class BytePairCodec:
         self.pieces = _Pieces(self)
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
+    def forget(self) -> None:
+        """Empties the caches; the tables of the file stay."""
+        for cache in (self.words, self.pieces, self.fits):
+            cache.clear()
+
     @staticmethod
     def _prefix(text: bytes, order: dict[bytes, int]) -> int:
         for end in range(len(text) - 1, 0, -1):
@@ -229,11 +234,14 @@ class _Words(dict):
         super().__init__()
         self.codec = codec
 
-    def __missing__(self, word: str) -> bytes:
+    def made(self, word: str) -> bytes:
         public = self.codec.public
+        return array("i", [public[t] for t in self.codec.encode_word(word)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        ids = self[word] = array("i", [public[t] for t in self.codec.encode_word(word)]).tobytes()
+        ids = self[word] = self.made(word)
         return ids
 
 
@@ -250,7 +258,7 @@ class _Pieces(dict):
             return b""
         words = self.codec.words
         if piece.isalpha():
-            ids = words[" " + piece]
+            ids = words.made(" " + piece)  # kept once, as a piece
         else:
             ids = b"".join(map(words.__getitem__, self.codec.split(" " + piece)))
             if "\n" in piece:  # borders of lines hardly come again
@@ -319,16 +327,23 @@ def _mapped(docs: DataFrame, path: str | None, id_col: str, text_col: str, colum
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     schema = f"doc_id {dict(chosen.dtypes)['doc_id']}, {columns}"
 
+    names = ["doc_id", *(c.strip().split(" ")[0] for c in columns.split(", "))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(path)
-        for batch in batches:
-            made = make(codec, batch.column(1).to_pylist())
-            names = [c.strip().split(" ")[0] for c in columns.split(", ")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", *names])
+        return _made(batches, codec_of(path), make, names)
 
     return chosen.mapInArrow(run, schema)
 
 
+def _made(batches: Iterator[pa.RecordBatch], codec: BytePairCodec, make, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task. Its caches go when it ends: a worker lives on, beside what other stages keep."""
+    try:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *make(codec, batch.column(1).to_pylist())], names=names)
+    finally:
+        codec.forget()
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole document."""
     return digest_documents(read(spark, sf_dir, "documents"))

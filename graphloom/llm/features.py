@@ -164,13 +164,22 @@ def learned(rows: DataFrame, blocks: int, weights: np.ndarray, rounds: int, lear
 
 
 class Words(dict):
-    """Numbers of pieces; made by ``make`` when first asked for."""
+    """Numbers of pieces; made by ``make`` when first asked for.
+
+    A worker serves many stages: it keeps the table of one of them, and the first new piece of another empties it.
+    """
+
+    filling: Words | None = None
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
     def __missing__(self, piece: str) -> int:
+        if Words.filling is not self:
+            if Words.filling is not None:
+                Words.filling.clear()
+            Words.filling = self
         if len(self) >= CACHE:
             self.clear()
         number = self[piece] = self.make(piece)

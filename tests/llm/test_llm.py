@@ -196,6 +196,27 @@ def test_bpe_is_the_library(spark, tokenizer):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False)))
 
 
+def test_a_task_of_bpe_leaves_no_caches():
+    """A worker that other stages use afterwards keeps the tokenizer's tables only; a word is cached once."""
+    import pyarrow as pa
+
+    codec = bpe.codec_of(bpe.default_path())
+    codec.forget()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["first " + " ".join(f"{'abcdefghij'[i % 10] * (1 + i // 10)}" for i in range(200))])], names=["doc_id", "text"])
+    rows = bpe._made(iter([batch]), codec, bpe._digests, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    assert next(rows).num_rows == 1
+    assert len(codec.pieces) == 200 and len(codec.words) == 1
+    assert not list(rows)
+    assert not codec.pieces and not codec.words and not codec.fits
+
+
+def test_a_worker_keeps_the_words_of_one_operator():
+    one, other = features.Words(len), features.Words(len)
+    assert one["ab"] == 2 and one["abc"] == 3
+    assert other["abcd"] == 4 and not one and len(other) == 1
+    assert one["ab"] == 2 and not other
+
+
 def test_bpe_of_odd_strings(tokenizer):
     rng, codec = random.Random(7), bpe.codec_of(bpe.default_path())
     letters = list(" \n\t\r\x0b\x1c\x85\xa0'sdtrevmlab1²½Ⅷ一éñ😀_-.!") + ["<|endoftext|>", "  ", "'ll", "the ", " aaaa"]
