@@ -17,14 +17,18 @@ seated anew. A type seen once has one table always, so only its presence is kept
 first and BURN_IN more sweeps, predictive probabilities are averaged over SAMPLES sweeps. Discounts come from the
 counts of types seen once and twice, of the parent from words with one and two tables.
 
-Everything is kept as rows: types (u, w, n) by 64-bit hashes of words, words by their hash, pairs by
-a 64-bit hash of both. Sweeps meet words' values by joins, which are broadcast only where a count
-shows few rows. A pair that no other type shares is sure up to hash collisions: of 10**12 pairs some
-ten thousand.
+The state is kept packed: a bucket, by the first bits of a hash of both words, holds the types seen twice or
+more as arrays, and a bucket of words, by the first bits of theirs, what the parent knows. No type is a row. In a sweep
+buckets tell words how many tables they have seated, and words tell each bucket that has asked once, in
+the order it has asked in, their customers and tables, from which it works out the probabilities: whole numbers, a few bits
+each. What is moved in a sweep is the state and these, in proportion to the types. A restaurant's types
+lie in all buckets, so none is large for a frequent word. Words are known by 64-bit hashes. Draws depend on
+the type, the sweep and the step alone, not on what is seated beside it.
 
 Texts are cut into words once. They are kept in chunks of some millions of tokens: each word of a chunk
-once, and for each token its word's place. Chunks ask for words and types, each once, in buckets by
-hash; a bucket counts what all chunks ask for, and answers in the order of the keys, without them. No
+once, and for each token its word's place. Chunks ask for words and types, each once and once only, in buckets by
+hash; a bucket counts what all chunks ask for, notes which type each has asked for, and has one chunk name those that it keeps;
+the answers come in the order of the keys, without them. No
 word or type is treated apart for being frequent, so what is written grows in proportion to the
 tokens. A bucket knows a type by 48 bits of its hash below the bucket's own: of 10**8 types in 2**8 buckets,
 two are taken for one with a chance of some percent.
@@ -38,9 +42,10 @@ training texts every token is unknown, with probability 1.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
-from itertools import chain
+from itertools import chain, count, islice
 from random import Random
 
 import numpy as np
@@ -49,24 +54,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import broadcast_if_small, held_out, read, shared_table, small_batches
+from graphloom.llm.common import held_out, read, shared_table, small_batches
 from graphloom.llm.features import Words
 from graphloom.storage import discard
 
 #: Bounds of look-up tables that scoring no longer has; only tests still set them.
-HEAD, CACHE, FILTERED = 1 << 18, 1 << 22, 1 << 24
+HEAD, CACHE, FILTERED, FEW_WORDS = 1 << 18, 1 << 22, 1 << 24, 500_000
 STRENGTH = 10.0
 BURN_IN, SAMPLES = 1, 2
 #: Tokens that a task holds before it hands on its counts, a chunk has a third of them; rows that a task seats in one go.
 HELD_TOKENS, SEATED = 6_000_000, 200_000
 #: Customers up to which types are seated side by side, as rows of a matrix; longer ones are seated one by one.
 WIDE = 64
-#: Rows of words' values that are broadcast at most, each of 24 bytes.
-FEW_WORDS = 500_000
 #: Tokens of a bucket of types, about, before repeats within chunks are put together.
 BUCKET_TOKENS = 1 << 20
-#: Answers that aren't log probabilities: a type seen once, and one not seen in training.
-ONCE, NEVER = 1.0, 2.0
 END, START = b"", 0
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -124,6 +125,8 @@ class Seating:
         self.tables = (sizes > 0).sum(1)
         self.rows = np.arange(len(sizes))
         self.turn = 0
+        #: Columns from here on are empty: a new table takes the first empty place.
+        self.width = int((sizes > 0).any(0).nonzero()[0].max(initial=-1)) + 1
 
     def _draw(self, rows: slice | np.ndarray) -> np.ndarray:
         self.turn += 1
@@ -132,7 +135,7 @@ class Seating:
     def leave(self, rows: slice | np.ndarray, at: np.ndarray | None = None) -> None:
         """A customer of each of these rows goes: one of the given tables, else one drawn at random."""
         if at is None:
-            upto = self.sizes[rows].cumsum(1)
+            upto = self.sizes[rows, : max(1, self.width)].cumsum(1)
             at = (upto <= (self._draw(rows) * upto[:, -1])[:, None]).sum(1)
         place = self.rows[rows], at
         self.sizes[place] -= 1
@@ -140,7 +143,7 @@ class Seating:
 
     def enter(self, rows: slice | np.ndarray) -> None:
         """A customer comes to each of these rows."""
-        own = self.sizes[rows]
+        own = self.sizes[rows, : self.width + 1]
         upto = np.maximum(own - self.discount * (own > 0), 0).cumsum(1)
         new = self.opening[rows] + self.slope[rows] * self.tables[rows]
         x = self._draw(rows) * (upto[:, -1] + new)
@@ -148,6 +151,7 @@ class Seating:
         at = np.minimum((upto <= x[:, None]).sum(1), own.shape[1] - 1)
         if opens.any():
             at[opens] = (own[opens] > 0).argmin(1)
+            self.width = max(self.width, int(at.max()) + 1)
         self.sizes[self.rows[rows], at] += 1
         self.tables[rows] += opens
 
@@ -183,19 +187,23 @@ def _reseat_long(sizes: np.ndarray, n: int, opening: float, slope: float, discou
         if not sizes[at]:
             empty.append(at)
             tables -= 1
-    for i in chain(range(len(seats), n), range(n)):
-        if i == len(seats):
-            seats.append(0)
+    arrived = len(seats)
+    seats.extend([0] * (n - arrived))
+    for i in chain(range(arrived, n), range(n)):
+        if arrived < n:
+            others, arrived = arrived, arrived + 1
+            weight = others + opening + slope * tables
         else:
             if i == 0:  # all are here: they go in an order that tables have no part in
                 seats = array("i", order.permutation(np.frombuffer(seats, np.int32)).tobytes())
+                others = n - 1
+                weight = others + opening + slope * tables
             at = seats[i]
-            sizes[at] -= 1
-            if not sizes[at]:
+            size = sizes[at] = sizes[at] - 1
+            if not size:
                 empty.append(at)
                 tables -= 1
-        others = len(seats) - 1
-        weight = others + opening + slope * tables
+                weight = others + opening + slope * tables
         while True:
             x = draw() * weight
             k = int(x)
@@ -206,9 +214,11 @@ def _reseat_long(sizes: np.ndarray, n: int, opening: float, slope: float, discou
                     at = len(sizes)
                     sizes.append(0)
                 tables += 1
+                weight = others + opening + slope * tables
                 break
             at = seats[k if k < i else k + 1]
-            if (x - k) * sizes[at] < sizes[at] - discount:  # a table weighs its customers less the discount
+            size = sizes[at]
+            if (x - k) * size < size - discount:  # a table weighs its customers less the discount
                 break
         sizes[at] += 1
         seats[i] = at
@@ -267,12 +277,14 @@ def reseat(flat: np.ndarray, lengths: np.ndarray, n: np.ndarray, opening: np.nda
         for k in range(int(np.abs(more[rows]).max(initial=0))):
             for step, live in ((seats.enter, np.flatnonzero(more[rows] > k)), (seats.leave, np.flatnonzero(-more[rows] > k))):
                 if len(live):
+                    seats.turn = (1 << 23) + k  # draws don't depend on what else is seated here
                     step(live)
         # each customer in turn, in an order that tables have no part in: whoever hasn't been seated anew is still where they were
         first = np.cumsum(n[rows]) - n[rows]
         where, owner = np.repeat(np.tile(np.arange(sizes.shape[1]), len(rows)), sizes.ravel()), np.repeat(np.arange(len(rows)), n[rows])
         turns = (np.arange(len(owner)) - first[owner]).astype(np.uint64) * _STEP[0]
-        where = where[np.argsort(owner + _uniform(seed[rows][owner] + turns, sweep, 1 << 22), kind="stable")]
+        where = where[np.argsort(owner + _uniform(seed[rows][owner] + turns, sweep, 1 << 22))]
+        seats.turn = 0
         for k, live in enumerate(np.searchsorted(-n[rows], -np.arange(int(n[rows].max()))).tolist()):
             seats.leave(slice(0, live), where[first[:live] + k])
             seats.enter(slice(0, live))
@@ -285,26 +297,6 @@ def reseat(flat: np.ndarray, lengths: np.ndarray, n: np.ndarray, opening: np.nda
     return np.concatenate(parts)[np.argsort(np.concatenate(places), kind="stable")], out_tables
 
 
-def _whole(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Batches put together to about so many rows."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
-
-
-def _lists(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat, pa.int64()))
-
-
-def _sizes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def count_types(texts: DataFrame) -> DataFrame:
     """(u, w, n) of all types: n times w stands after u."""
 
@@ -368,264 +360,389 @@ class Parent:
         return (own - self.discount * tables + self.fresh() * self.base()) / (STRENGTH + self.customers)
 
 
-def _values(rows: DataFrame) -> DataFrame:
-    """Values of words as a join's build side: broadcast if a count shows few, else hashed by partition, which spares the sorts."""
-    small = broadcast_if_small(rows, FEW_WORDS)
-    return small if small is not rows else rows.hint("shuffle_hash")
-
-
-def _seat_types(state: DataFrame, values: DataFrame, discount: float, sweep: int, sample: bool, last: bool) -> DataFrame:
-    """The types (u, w, n, sizes, total) after a sweep; before it, their predictive probability joins the total if it is a sample's."""
-
-    columns = state.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole(batches, SEATED):
-            u, w, n, total, p, tables, c = (batch.column(x).to_numpy() for x in ("u", "w", "n", "total", "p", "tables", "c"))
-            flat, lengths = _sizes(batch.column("sizes"))
-            if sample:
-                total = total + ((n - discount * lengths) + (STRENGTH + discount * tables) * p) / (STRENGTH + c)
-            if not last:
-                others = tables - np.where(lengths > 0, lengths, 1)
-                seed = w.view(np.uint64) + u.view(np.uint64) * _STEP[3]
-                flat, lengths = reseat(flat, lengths, n, (STRENGTH + discount * others) * p, discount * p, discount, seed, sweep)
-            for a in range(0, len(n), 50_000):
-                at = slice(a, a + 50_000)
-                start = int(lengths[:a].sum())
-                own = flat[start : start + int(lengths[at].sum())]
-                yield pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(w[at]), pa.array(n[at]), _lists(own, lengths[at]), pa.array(total[at])], names=columns)
-
-    places = values.where("before > once_before").select(F.col("id").alias("u"), "tables", "c")
-    words = values.where("after > once_after").select(F.col("id").alias("w"), "p")
-    met = state.join(_values(words), "w").join(_values(places), "u")
-    small_batches(state.sparkSession)
-    return met.select(*state.columns, "p", "tables", "c").mapInArrow(run, "u long, w long, n long, sizes array<long>, total double")
-
-
-def _seat_words(words: DataFrame, state: DataFrame, old: Parent, sweep: int) -> DataFrame:
-    """The words after the parent's sweep: customers (own), sizes, and tables in each restaurant."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole(batches, SEATED):
-            own, ids = batch.column("own").to_numpy(), batch.column("id").to_numpy()
-            flat, lengths = _sizes(batch.column("sizes"))
-            ones = np.ones(len(own))
-            opening = ones * (STRENGTH + old.discount * old.tables) * old.base() - old.discount * old.base() * lengths
-            flat, lengths = reseat(flat, lengths, own, opening, ones * old.discount * old.base(), old.discount, ids.view(np.uint64), sweep)
-            columns = [_lists(flat, lengths) if c == "sizes" else batch.column(c) for c in batch.schema.names]
-            whole = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-            for a in range(0, whole.num_rows, 50_000):
-                yield whole.slice(a, 50_000)
-
-    size = F.size("sizes").cast("long")
-    after = state.groupBy(F.col("w").alias("_w")).agg(F.sum(size).alias("_after"))
-    before = state.groupBy(F.col("u").alias("_u")).agg(F.sum(size).alias("_before"))
-    met = words.join(after, F.col("id") == F.col("_w"), "left").join(before, F.col("id") == F.col("_u"), "left")
-    own, tables = (F.col(f"once_{x}") + F.coalesce(f"_{x}", F.lit(0)) for x in ("after", "before"))
-    met = met.select(*[c for c in words.columns if c not in ("own", "tables")], own.alias("own"), tables.alias("tables"))
-    kinds = dict(words.dtypes)
-    return met.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in met.columns))
-
-
-def gibbs(types: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame, list[Parent], float]:
-    """Types seen twice or more (u, w, n, total: averaged probability), words with p0, p1, ... and b0, b1, ... of each sample, the parent in each sample, and the children's discount.
-
-    p: the parent's probability of the word; b: the share of the parent in the word's restaurant.
-    Words seen once have one customer, table and restaurant of one always, and aren't among them.
-    """
-    spark, has = types.sparkSession, F.col("n") > 0
-    sums = words.agg(F.count_if(has).alias("known"), F.sum("after").alias("kinds"), F.sum("once_after").alias("n1"), F.sum("twice_after").alias("n2"), F.count_if(F.col("after") == 1).alias("k1"), F.count_if(F.col("after") == 2).alias("k2")).first()
-    known, single = int(sums["known"]), F.col("n") + F.col("c") <= 2
-    discount = _discount(sums["n1"] or 0, sums["n2"] or 0)
-    parent = Parent(float(sums["kinds"] or 0), float(known), _discount(sums["k1"], sums["k2"]), known)
-    alone = words.where(single & (F.col("n") == 1)).count()  # one customer, one table
-    no_tables = F.array().cast("array<bigint>").alias("sizes")
-    rows = words.where(~(single & (F.col("n") == 1))).select(*[c for c in words.columns if c != "twice_after"], F.col("after").alias("own"), F.col("before").alias("tables"), no_tables)
-    p = F.when(F.col("own") > 0, parent.of(F.col("own"), F.lit(1))).otherwise(F.lit(0.0))
-    values = rows.withColumn("p", p)
-    state = types.where("n > 1").select("u", "w", "n", no_tables, F.lit(0.0).alias("total"))
-    parents: list[Parent] = []
-    for sweep in range(BURN_IN + SAMPLES + 1):
-        sample, last = sweep > BURN_IN, sweep == BURN_IN + SAMPLES
-        seated = shared_table(_seat_types(state, values, discount, sweep, sample, last), "seated")
-        discard(spark, *([state] if sweep else []))
-        state = seated
-        if last:
-            break
-        swept = shared_table(_seat_words(rows, state, parent, sweep), "swept")
-        discard(spark, *([rows] if sweep else []))
-        rows = swept
-        got = rows.agg(F.sum("own").alias("own"), F.sum(F.size("sizes")).alias("tables")).first()
-        parent = Parent(float((got["own"] or 0) + alone), float((got["tables"] or 0) + alone), parent.discount, known)
-        p = F.when(F.col("own") > 0, parent.of(F.col("own"), F.size("sizes"))).otherwise(F.lit(0.0))
-        values = rows.withColumn("p", p)
-        if sweep >= BURN_IN:
-            k = len(parents)
-            parents.append(parent)
-            share = (STRENGTH + discount * F.col("tables")) / (STRENGTH + F.col("c"))
-            rows = rows.select("*", p.alias(f"p{k}"), share.alias(f"b{k}"))
-            rows._shared_path = swept._shared_path
-    return state, rows, parents, discount
-
-
-def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Places in a sorted table, -1 where it doesn't have them."""
-    if not len(table):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return np.where(table[at] == x, at, -1)
+#: A message: its receiver, what it is, its sender, and numbers.
+MESSAGE = "to long, kind long, src long, data binary"
+#: Kinds of messages: a chunk; its types' counts; of them each one's status and slot; the types that it has to name; their names; the counts of slots;
+#: a chunk's words; a bucket's state; what it tells words; the words' state; which words are asked for by buckets, and by chunks; what words
+#: answer to both; values of a chunk's types; sums for the driver.
+CHUNK, COUNT, STATUS, PLACES, NAMES, SLOTS, TOKENS, STATE, UP, WORDS, ASKS, CALLS, DOWN, OF_WORDS, OF_TYPES, SUMS = range(16)
+_KINDS = [np.dtype(x) for x in ("u1", "u2", "u4", "u8", "i8", "f4", "f8")]
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays byte by byte of their numbers' places, so that what is alike stands together, and compressed. Whole numbers from 0 on take as few bytes as they need."""
+    head, planes = [len(arrays)], []
+    for x in arrays:
+        if x.dtype == bool:
+            x = x.view(np.uint8)
+        elif x.dtype.kind in "iu" and (not len(x) or x.min() >= 0):
+            x = x.astype(np.min_scalar_type(int(x.max(initial=0))), copy=False)
+        head += [_KINDS.index(x.dtype), len(x)]
+        planes.append(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+    return np.array(head, np.int64).tobytes() + pa.Codec("zstd", 1).compress(b"".join(planes), asbytes=True)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    """The arrays, whole numbers as int64 (from 2**63 on: uint64)."""
+    many = int.from_bytes(data[:8], "little")
+    head = np.frombuffer(data, np.int64, 2 * many, 8).reshape(-1, 2).tolist()
+    size, out, start = sum(_KINDS[k].itemsize * n for k, n in head), [], 0
+    planes = pa.Codec("zstd").decompress(memoryview(data)[8 + 16 * many :], size, asbytes=True)
+    for k, n in head:
+        kind = _KINDS[k]
+        x = np.ascontiguousarray(np.frombuffer(planes, np.uint8, n * kind.itemsize, start).reshape(kind.itemsize, n).T).view(kind).reshape(n)
+        out.append(x.astype(np.int64) if kind.kind == "u" and kind.itemsize < 8 else x)
+        start += n * kind.itemsize
+    return out
+
+
+def _distinct(keys: np.ndarray, shift: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, an entry of each, and of each entry its key's place. Keys have ``shift`` empty first bits."""
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    # numbers sort faster than places do: of each key the first bits, and below them its place
+    order = (np.sort((keys.astype(np.uint64) << np.uint64(shift)) & ~low | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    own = keys[order]
+    if (own[1:] < own[:-1]).any():  # the bits left out matter
+        order = np.argsort(keys)
+        own = keys[order]
+    new = np.ones(len(own), bool)
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return own[new], order[new], of
+
+
+def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate([*parts, np.zeros(0, kind)]).astype(kind, copy=False)
+
+
+def _ids(x: np.ndarray) -> np.ndarray:
+    return x.view(np.uint64) if x.dtype == np.int64 else x.astype(np.uint64)
+
+
+Message = tuple[int, int, int, bytes]
+
+
+def _sent(messages: list[Message]) -> pa.Table:
+    to, kind, src, data = zip(*messages) if messages else ((), (), (), ())
+    return pa.table([pa.array(to, pa.int64()), pa.array(kind, pa.int64()), pa.array(src, pa.int64()), pa.array(data, pa.binary())], names=["to", "kind", "src", "data"])
+
+
+def _step(spark: SparkSession, parts: int, run: Callable[[int, dict[int, dict[int, list[np.ndarray]]]], Iterator[Message]], *tables: tuple[DataFrame, int], schema: str = MESSAGE) -> DataFrame:
+    """What each receiver sends after it got its messages of all tables, by kind and by sender in order."""
+
+    def receive(table: pa.Table) -> pa.Table:
+        got: dict[int, dict[int, list[np.ndarray]]] = {}
+        rows = zip(*(table.column(c).to_pylist() for c in ("kind", "src", "data")))
+        for kind, src, data in sorted(rows, key=lambda x: x[:2]):
+            got.setdefault(kind, {})[src] = _unpack(data)
+        out = run(table.column("to")[0].as_py(), got)
+        return _sent([*out]) if schema == MESSAGE else pa.table([*out], names=[c.split()[0] for c in schema.split(", ")])
+
+    rows = None
+    for table, kind in tables:
+        own = table.where(F.col("kind") == kind)
+        rows = own if rows is None else rows.unionByName(own)
+    small_batches(spark)
+    return rows.repartition(parts, "to").groupBy("to").applyInArrow(receive, schema)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Numbers byte by byte of their places, so that what is alike stands together, and compressed."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-    return len(x).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+def _cut(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where the buckets of sorted hashes, by their first bits, begin and end."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
-    planes = pa.Codec("zstd").decompress(memoryview(data)[8:], n * size, asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).reshape(n)
+def _dealt(kind: int, src: int, keys: np.ndarray, bits: int, *columns: np.ndarray) -> Iterator[Message]:
+    """To each bucket of the sorted keys its part of the columns."""
+    cuts = _cut(keys, bits).tolist()
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a < b:
+            yield i, kind, src, _pack(*(x[a:b] for x in columns))
 
 
-def _all(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all rows, one row after another, and how many each has."""
-    parts = [_unpacked(x, kind) for x in column.to_pylist()]
-    return np.concatenate([*parts, np.zeros(0, kind)]), np.array([len(x) for x in parts], np.int64)
+def _sums(table: DataFrame, many: int) -> list[int]:
+    """The totals of what the receivers have summed up, a few numbers each."""
+    rows = [_unpack(r["data"])[0] for r in table.where(F.col("kind") == SUMS).select("data").collect()]
+    return np.sum([np.zeros(many, np.int64), *rows], 0).tolist()
 
 
 class Chunk:
     """Tokens of some running texts: their words, each once and START first, and of each token its word's place among them."""
 
     def __init__(self, words: np.ndarray, at: np.ndarray, sizes: np.ndarray, training: np.ndarray):
-        self.words, self.at, self.sizes, self.training = words, at, sizes, training
+        self.words, self.at, self.sizes, self.training = words, at, sizes, training.astype(bool)
         self.before = np.concatenate([[0], at[:-1]]) if len(at) else at
         self.before[np.cumsum(sizes) - sizes] = 0
-        self.owner = np.repeat(np.arange(len(sizes)), sizes)
 
     @staticmethod
-    def write(flat: np.ndarray, sizes: np.ndarray, training: np.ndarray) -> dict[str, bytes]:
-        words, at, n = np.unique(flat, return_inverse=True, return_counts=True)
-        order = np.argsort(-n, kind="stable")  # small numbers for frequent words
-        rank = np.empty(len(words), np.uint32)
-        rank[order] = np.arange(1, len(words) + 1, dtype=np.uint32)
-        return {"words": _packed(np.concatenate([[START], words[order]])), "at": _packed(rank[at]), "sizes": _packed(sizes), "training": _packed(training.astype(np.uint8))}
+    def write(words: np.ndarray, at: np.ndarray, sizes: np.ndarray, training: np.ndarray) -> bytes:
+        order = np.argsort(-np.bincount(at, minlength=len(words))[1:], kind="stable") + 1  # small numbers for frequent words
+        rank = np.zeros(len(words), np.uint32)
+        rank[order] = np.arange(1, len(words), dtype=np.uint32)
+        return _pack(np.concatenate([words[:1], words[order]]).view(np.uint64), rank[at], sizes, training)
 
     @classmethod
-    def read(cls, row: dict[str, bytes]) -> Chunk:
-        return cls(_unpacked(row["words"], np.int64), _unpacked(row["at"], np.uint32).astype(np.int64), _unpacked(row["sizes"], np.int64), _unpacked(row["training"], np.uint8).astype(bool))
+    def read(cls, arrays: list[np.ndarray]) -> Chunk:
+        words, at, sizes, training = arrays
+        return cls(_ids(words).view(np.int64), at, sizes, training)
 
     def types(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The types by their pairs' hashes, in order: hash, a token of each, and of each token its type."""
-        return np.unique(pair_of(self.words[self.before], self.words[self.at]).view(np.uint64), return_index=True, return_inverse=True)
-
-
-def _cut(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where the buckets of sorted hashes, by their first bits, begin and end."""
-    return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        return _distinct(pair_of(self.words[self.before], self.words[self.at]).view(np.uint64))
 
-
-def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _short(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Of hashes the 48 bits that follow the bucket's."""
-    below = (keys.view(np.uint64) << np.uint64(bits)) >> np.uint64(16)
-    return below.view(np.uint8).reshape(-1, 8)[:, :6].copy().view("V6").ravel()
-
-
-def _long(keys: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(keys), 8), np.uint8)
-    out[:, :6] = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 6)
-    return out.view(np.int64).ravel()
-
-
-def _by_bucket(chunk: int, cuts: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket that isn't empty, with its part of the columns."""
-    live = np.flatnonzero(np.diff(cuts))
-    arrays = [pa.array(live), pa.array(np.full(len(live), chunk))]
-    arrays += [pa.array([_packed(x[cuts[i] : cuts[i + 1]]) for i in live], pa.binary()) for x in columns.values()]
-    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "chunk", *columns])
-
-
-def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The types of a bucket over all chunks: key, training tokens, an entry of each; of each entry its type; entries of each row, and where they begin."""
-    keys, lengths = _all(table.column("keys"), "V6")
-    n, _ = _all(table.column("n"), np.uint32)
-    found, first, at = np.unique(_long(keys), return_index=True, return_inverse=True)
-    return found, np.bincount(at, n, len(found)).astype(np.int64), first, at, lengths, np.cumsum(lengths) - lengths
-
-
-def _rows(schema: str, batches: Iterator[pa.RecordBatch]) -> pa.Table:
-    """Batches as a table, with the schema of an empty one if there are none."""
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
-    return pa.Table.from_batches(batches, pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]))
+    def by_id(self) -> np.ndarray:
+        """The words' places in the order of their hashes."""
+        return np.argsort(self.words.view(np.uint64))
 
 
 def _counts(chunks: DataFrame, bits: int) -> DataFrame:
-    """(bucket, chunk, keys, n): of each chunk's types, by buckets of their hashes, the training tokens."""
+    """Of each chunk's types, by buckets of their hashes, the 48 bits that follow the bucket's, and the training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                chunk = Chunk.read(row)
+                chunk = Chunk.read(_unpack(row["data"]))
                 keys, _, of = chunk.types()
-                n = np.bincount(of, chunk.training[chunk.owner], len(keys)).astype(np.uint32)
-                yield _by_bucket(row["chunk"], _cut(keys, bits), keys=_short(keys, bits), n=n)
-
-    return chunks.mapInArrow(run, "bucket long, chunk long, keys binary, n binary")
+                n = np.bincount(of, np.repeat(chunk.training, chunk.sizes), len(keys)).astype(np.int64)
+                short = (keys << np.uint64(bits)) >> np.uint64(16)
+                yield from _sent([*_dealt(COUNT, row["src"], keys, bits, short, n)]).to_batches()
+
+    return chunks.mapInArrow(run, MESSAGE)
+
+
+def _count(bucket: int, got: dict[int, dict[int, list[np.ndarray]]]) -> Iterator[Message]:
+    """A bucket counts its types over all chunks. Those seen twice or more get slots; the chunk that has one first names it."""
+    chunks = got[COUNT]
+    ends = np.cumsum([len(n) for _, n in chunks.values()])
+    found, first, at = _distinct(_joined([k for k, _ in chunks.values()], np.int64), 16)
+    total = np.bincount(at, _joined([n for _, n in chunks.values()], np.int64), len(found)).astype(np.int64)
+    many = np.flatnonzero(total > 1)
+    many = many[np.argsort(first[many])]
+    slot = np.zeros(len(found), np.int64)
+    slot[many] = np.arange(len(many))
+    status, slots = np.minimum(total, 2)[at], slot[at]
+    yield bucket, SLOTS, bucket, _pack(total[many])
+    for chunk, a, b in zip(chunks, [0, *ends.tolist()], ends.tolist()):
+        own = status[a:b]
+        yield bucket, STATUS, chunk, _pack(own, slots[a:b][own == 2])
+        lo, hi = np.searchsorted(first[many], [a, b])
+        if lo < hi:
+            yield chunk, PLACES, bucket, _pack(first[many[lo:hi]] - a)
+
+
+def _name(bits: int, word_bits: int) -> Callable:
+    def run(number: int, got: dict[int, dict[int, list[np.ndarray]]]) -> Iterator[Message]:
+        """A chunk names the types that it is asked for, and tells each word's tokens, and those that follow it."""
+        chunk = Chunk.read(got[CHUNK][number])
+        if PLACES in got:
+            keys, token, _ = chunk.types()
+            starts = _cut(keys, bits)
+            for bucket, (places,) in got[PLACES].items():
+                t = token[starts[bucket] + places]
+                yield bucket, NAMES, number, _pack(chunk.words[chunk.before[t]].view(np.uint64), chunk.words[chunk.at[t]].view(np.uint64))
+        learned, by_id = np.repeat(chunk.training, chunk.sizes), chunk.by_id()
+        n, c = (np.bincount(x[learned], minlength=len(chunk.words))[by_id] for x in (chunk.at, chunk.before))
+        ids = chunk.words.view(np.uint64)[by_id]
+        yield from _dealt(TOKENS, number, ids, word_bits, ids, n, c)
+
+    return run
+
+
+def _begin(word_bits: int) -> Callable:
+    def run(bucket: int, got: dict[int, dict[int, list[np.ndarray]]]) -> Iterator[Message]:
+        """A bucket's state: the words of its types in order, each type's two words and count, no tables yet. Words get to know their types in it."""
+        (n,), names = got[SLOTS][bucket], got.get(NAMES, {}).values()
+        ids, _, at = _distinct(_joined([_ids(x[i]) for i in (0, 1) for x in names], np.uint64))
+        u, w, none = at[: len(n)], at[len(n) :], np.zeros(0, np.int64)
+        yield bucket, STATE, bucket, _pack(ids, u, w, n, np.zeros(len(n), np.int64), none, np.zeros(len(n)))
+        told = [np.bincount(x, weight, len(ids)).astype(np.int64) for x, weight in ((w, None), (w, n), (w, n == 2), (u, None), (u, n))]
+        yield from _dealt(UP, bucket, ids, word_bits, ids, *told)
+
+    return run
+
+
+def _meet(number: int, got: dict[int, dict[int, list[np.ndarray]]]) -> Iterator[Message]:
+    """The words' state: hash, tokens, tokens that follow, types seen once that end in it and start with it, customers, tables in its restaurant, customers at its own tables."""
+    calls, asked = got[TOKENS], got.get(UP, {})
+    ids, _, at = _distinct(_joined([_ids(x[0]) for x in calls.values()], np.uint64))
+    n, c = (np.bincount(at, _joined([x[i] for x in calls.values()], np.int64), len(ids)).astype(np.int64) for i in (1, 2))
+    places = [np.searchsorted(ids, _ids(x[0])) for x in asked.values()]
+    after, after_n, twice, before, before_n = (np.zeros(len(ids), np.int64) for _ in range(5))
+    for own, (_, *told) in zip(places, asked.values()):
+        for total, x in zip((after, after_n, twice, before, before_n), told):
+            total[own] += x
+    once_after, once_before = n - after_n, c - before_n
+    after, before = after + once_after, before + once_before
+    lengths = np.minimum(after, 1)
+    sums = [(n > 0).sum(), n.sum(), after.sum(), once_after.sum(), twice.sum(), (after == 1).sum(), (after == 2).sum()]
+    yield 0, SUMS, number, _pack(np.array(sums, np.int64))
+    yield number, WORDS, number, _pack(ids, n, c, once_after, once_before, after, before, np.zeros(len(ids), np.int64), np.zeros(0, np.int64))
+    yield number, ASKS, number, _pack(np.array([*asked], np.int64), np.array([len(x) for x in places], np.int64), _joined(places, np.int64))
+    yield number, CALLS, number, _pack(np.array([*calls], np.int64), np.array([len(x[0]) for x in calls.values()], np.int64), at)
+    for bucket, own in zip(asked, places):
+        yield bucket, DOWN, number, _pack(after[own], lengths[own], before[own], c[own])
+
+
+def _seat_types(discount: float, parent: Parent, sweep: int, sample: bool, last: bool, word_bits: int) -> Callable:
+    def run(bucket: int, got: dict[int, dict[int, list[np.ndarray]]]) -> Iterator[Message]:
+        """A bucket's types after a sweep; before it, their predictive probability joins the total if it is a sample's."""
+        ids, u, w, n, lengths, flat, total = got[STATE][bucket]
+        own, word_tables, tables, c = (_joined([x[i] for x in got.get(DOWN, {}).values()], np.int64) for i in range(4))
+        p, tables, c = parent.of(own, word_tables)[w], tables[u], c[u]
+        if sample:
+            total = total + ((n - discount * lengths) + (STRENGTH + discount * tables) * p) / (STRENGTH + c)
+        if last and STATUS in got:
+            value = np.log10(total / SAMPLES).astype(np.float32)
+            for chunk, (status, slots) in got[STATUS].items():
+                yield chunk, OF_TYPES, bucket, _pack(status, value[slots])
+            return
+        if not last:
+            others, hashes = tables - np.where(lengths > 0, lengths, 1), _ids(ids)
+            seed, starts = hashes[w] + hashes[u] * _STEP[3], np.cumsum(lengths) - lengths
+            parts = []
+            for a in range(0, len(n), SEATED):
+                at = slice(a, a + SEATED)
+                held = flat[starts[a] : starts[a] + int(lengths[at].sum())]
+                parts.append(reseat(held, lengths[at], n[at], (STRENGTH + discount * others[at]) * p[at], discount * p[at], discount, seed[at], sweep))
+            flat, lengths = (_joined([x[i] for x in parts], np.int64) for i in (0, 1))
+            told = [np.bincount(x, lengths, len(ids)).astype(np.int64) for x in (w, u)]
+            yield from _dealt(UP, bucket, _ids(ids), word_bits, *told)
+        yield bucket, STATE, bucket, _pack(ids, u, w, n, lengths, flat, total)
+
+    return run
+
+
+def _seat_words(old: Parent, sweep: int, keep: bool, last: bool) -> Callable:
+    def run(number: int, got: dict[int, dict[int, list[np.ndarray]]]) -> Iterator[Message]:
+        """The words after the parent's sweep; a sample's customers, tables, and tables in the word's restaurant are kept."""
+        ids, n, c, once_after, once_before, _, _, lengths, flat, *samples = got[WORDS][number]
+        asks, many, at = got[ASKS][number]
+        own, tables, places = once_after.copy(), once_before.copy(), np.split(at, np.cumsum(many)[:-1])
+        for bucket, place in zip(asks.tolist(), places):
+            by_w, by_u = got[UP][bucket]
+            own[place] += by_w
+            tables[place] += by_u
+        several, seated = own > 1, own.copy()  # one customer has one table
+        ones, parts, held = np.ones(int(several.sum())), [], flat[np.repeat(several, lengths)]
+        hashes, before, starts = _ids(ids)[several], lengths[several], np.cumsum(lengths[several]) - lengths[several]
+        opening = ones * (STRENGTH + old.discount * old.tables) * old.base() - old.discount * old.base() * before
+        for a in range(0, len(ones), SEATED):
+            rows = slice(a, a + SEATED)
+            mine = held[starts[a] : starts[a] + int(before[rows].sum())]
+            parts.append(reseat(mine, before[rows], own[several][rows], opening[rows], ones[rows] * old.discount * old.base(), old.discount, hashes[rows], sweep))
+        after = _joined([x[1] for x in parts], np.int64)
+        seated[several] = after
+        flat = np.ones(int(seated.sum()), np.int64)
+        flat[np.repeat(several, seated)] = _joined([x[0] for x in parts], np.int64)
+        yield 0, SUMS, number, _pack(np.array([own.sum(), seated.sum()], np.int64))
+        if keep:
+            samples += [own, seated, tables]
+        yield number, WORDS, number, _pack(ids, n, c, once_after, once_before, own, tables, seated, flat, *samples)
+        for bucket, place in zip(asks.tolist(), places):
+            yield bucket, DOWN, number, _pack(own[place], seated[place], tables[place], c[place])
+        if last and CALLS in got:
+            chunks, many, at = got[CALLS][number]
+            for chunk, place in zip(chunks.tolist(), np.split(at, np.cumsum(many)[:-1])):
+                yield chunk, OF_WORDS, number, _pack(n[place], c[place], *(x[place] for x in samples))
+
+    return run
+
+
+class Sampled:
+    """What the sampler leaves: its last messages to types and words, totals of tokens and known words, the parent in each sample, the children's discount."""
+
+    def __init__(self, types: DataFrame, words: DataFrame, tokens: int, known: int, parents: list[Parent], discount: float):
+        self.types, self.words, self.tokens, self.known, self.parents, self.discount = types, words, tokens, known, parents, discount
+
+
+def _sample(spark: SparkSession, begun: DataFrame, tokens: DataFrame, bits: int, asked: DataFrame | None = None) -> Sampled:
+    """``begun``: the buckets' states and what they tell the words; ``tokens``: what chunks tell them; ``asked``: what chunks want to know of types."""
+    word_bits = _word_bits(bits)
+    met = shared_table(_step(spark, 1 << word_bits, _meet, (tokens, TOKENS), (begun, UP)), "met")
+    discard(spark, tokens)
+    known, n, kinds, n1, n2, k1, k2 = _sums(met, 7)
+    discount, parent, parents = _discount(n1, n2), Parent(float(kinds), float(known), _discount(k1, k2), known), []
+    state, words = begun, met
+    for sweep in range(BURN_IN + SAMPLES + 1):
+        last, final = sweep == BURN_IN + SAMPLES, sweep == BURN_IN + SAMPLES - 1
+        more = [(asked, STATUS)] if last and asked is not None else []
+        seated = shared_table(_step(spark, 1 << bits, _seat_types(discount, parent, sweep, sweep > BURN_IN, last, word_bits), (state, STATE), (words, DOWN), *more), "answers" if more else "seated")
+        discard(spark, state)
+        state = seated
+        if last:
+            break
+        more = [(met, CALLS)] if final else []
+        swept = shared_table(_step(spark, 1 << word_bits, _seat_words(parent, sweep, sweep >= BURN_IN, final), (words, WORDS), (met, ASKS), (state, UP), *more), "swept")
+        discard(spark, *([words] if words is not met else []))
+        words = swept
+        own, tables = _sums(words, 2)
+        parent = Parent(float(own), float(tables), parent.discount, known)
+        if sweep >= BURN_IN:
+            parents.append(parent)
+    discard(spark, met)
+    return Sampled(state, words, n, known, parents, discount)
 
 
-def _several(chunks: DataFrame, counts: DataFrame, bits: int) -> DataFrame:
-    """(u, w, n) of the types seen twice or more: a chunk that has a type says which it is."""
-    places_of, out_of = "bucket long, chunk long, places binary, n binary", "u long, w long, n long"
+def _bits(tokens: int) -> int:
+    """The first bits of a hash that make a bucket, by tokens."""
+    return max(1, (tokens // BUCKET_TOKENS).bit_length())
 
-    def count(table: pa.Table) -> pa.Table:
-        _, n, first, _, lengths, starts = _counted(table)
-        many = np.flatnonzero(n > 1)
-        many = many[np.argsort(first[many])]
-        cuts = np.searchsorted(first[many], np.append(starts, lengths.sum()))
-        names, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
-        rows = [(bucket, c, _packed((first[own] - starts[i]).astype(np.uint32)), _packed(n[own])) for i, c in enumerate(names) if len(own := many[cuts[i] : cuts[i + 1]])]
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "places", "n"])
 
-    def name(own: pa.Table, asked: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return _rows(out_of, [])
-        chunk = Chunk.read(own.to_pylist()[0])
-        keys, token, _ = chunk.types()
-        places, lengths = _all(asked.column("places"), np.uint32)
-        n, _ = _all(asked.column("n"), np.int64)
-        token = token[places + np.repeat(_cut(keys, bits)[asked.column("bucket").to_numpy()], lengths)]
-        order = np.argsort(chunk.before[token], kind="stable")  # equal neighbours take less room
-        u, w = chunk.words[chunk.before[token]], chunk.words[chunk.at[token]]
-        return pa.table([u[order], w[order], n[order]], names=["u", "w", "n"])
+def _word_bits(bits: int) -> int:
+    """Those of words, which are fewer than types."""
+    return max(1, bits - 3)
 
-    asked = counts.groupBy("bucket").applyInArrow(count, places_of)
-    return chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(name, out_of)
 
+def gibbs(types: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame, list[Parent], float]:
+    """Types seen twice or more (u, w, n, total: averaged probability), words with p0, p1, ... and b0, b1, ... of each sample, the parent in each sample, and the children's discount.
 
-def _words_of_chunks(chunks: DataFrame, several: DataFrame) -> DataFrame:
-    """What ``count_words`` gives: of the types of a word those that aren't among ``several`` have been seen once."""
+    p: the parent's probability of the word; b: the share of the parent in the word's restaurant.
+    """
+    spark = types.sparkSession
+    bits = _bits(types.count())
+    word_bits = _word_bits(bits)
+    begin = _begin(word_bits)
+
+    def of_types(table: pa.Table) -> pa.Table:
+        u, w, n = (table.column(x).to_numpy() for x in ("u", "w", "n"))
+        bucket = table.column("to")[0].as_py()
+        return _sent([*begin(bucket, {SLOTS: {bucket: [n]}, NAMES: {0: [u.view(np.uint64), w.view(np.uint64)]}})])
+
+    def of_words(table: pa.Table) -> pa.Table:
+        ids, n, c = (table.column(x).to_numpy() for x in ("id", "n", "c"))
+        return _sent([(table.column("to")[0].as_py(), TOKENS, 0, _pack(ids.view(np.uint64), n, c))])
+
+    several = types.where("n > 1").withColumn("to", F.pmod(F.xxhash64("u", "w"), F.lit(1 << bits)))
+    begun = shared_table(several.groupBy("to").applyInArrow(of_types, MESSAGE), "seated")
+    tokens = shared_table(words.withColumn("to", F.shiftrightunsigned("id", 64 - word_bits)).groupBy("to").applyInArrow(of_words, MESSAGE), "tokens")
+    got = _sample(spark, begun, tokens, bits)
+    ranks, parents, discount = range(SAMPLES), got.parents, got.discount
+    values = [f"{x}{k}" for x in "pb" for k in ranks]
+
+    def type_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                ids, u, w, n, _, _, total = _unpack(data)
+                ids = _ids(ids).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[u], ids[w], n, total)], names=["u", "w", "n", "total"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk.read(row)
-                learned = chunk.training[chunk.owner]
-                n, c = (np.bincount(x[learned], minlength=len(chunk.words)) for x in (chunk.at, chunk.before))
-                for a in range(0, len(n), 50_000):
-                    own = a + np.flatnonzero((n + c)[a : a + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (chunk.words, n, c)], names=["id", "n", "c"])
-
-    zero, n = F.lit(0).cast("long"), F.col("n")
-    names = ("n", "c", "after", "once_after", "twice_after", "before", "once_before")
-    row = lambda rows, word, *values: rows.select(F.col(word).alias("id"), *[x.alias(c) for c, x in zip(names, values)])
-    tokens = row(chunks.mapInArrow(run, "id long, n long, c long"), "id", n, F.col("c"), n, n, zero, F.col("c"), F.col("c"))
-    after = row(several, "w", zero, zero, 1 - n, -n, (n == 2).cast("long"), zero, zero)
-    before = row(several, "u", zero, zero, zero, zero, zero, 1 - n, -n)
-    return tokens.unionByName(after).unionByName(before).groupBy("id").agg(*[F.sum(c).alias(c) for c in names])
+            for data in batch.column(0).to_pylist():
+                ids, n, c, _, _, own, _, _, _, *samples = _unpack(data)
+                p, b = _shares(parents, discount, c, samples)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_ids(ids).view(np.int64), n, c, own, *p, *b)], names=["id", "n", "c", "own", *values])
+
+    state = got.types.where(F.col("kind") == STATE).select("data").mapInArrow(type_rows, "u long, w long, n long, total double")
+    rows = got.words.where(F.col("kind") == WORDS).select("data").mapInArrow(word_rows, "id long, n long, c long, own long, " + ", ".join(f"{x} double" for x in values))
+    return state, rows, parents, discount
+
+
+def _shares(parents: list[Parent], discount: float, c: np.ndarray, samples: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each sample the parent's probability of words, and its share in their restaurants."""
+    p = [np.where(own > 0, x.of(own, tables), x.unknown()) for x, own, tables in zip(parents, samples[::3], samples[1::3])]
+    return p, [(STRENGTH + discount * tables) / (STRENGTH + c) for tables in samples[2::3]]
 
 
 def score(docs: DataFrame, learn: Column, *keep: str, text_col: str = "text") -> DataFrame:
@@ -636,138 +753,72 @@ def score(docs: DataFrame, learn: Column, *keep: str, text_col: str = "text") ->
     text = docs[text_col].cast("string").alias("text")
     chosen = docs.select(*[docs[f"`{c}`"].alias(k) for c, k in zip(keep, kept)], F.coalesce(learn, F.lit(False)).alias("_learn"), text)
     kinds = {k: t for k, t in chosen.dtypes if k in kept}
-    packs, most = ["words", "at", "sizes", "training"], max(1, HELD_TOKENS // 3)
+    most = max(1, HELD_TOKENS // 3)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text, with its number; and a row for each chunk, which has the number of its first text."""
         number = TaskContext.get().partitionId() << 40
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        numbers = lambda: defaultdict(count(1).__next__, {None: 0})  # noqa: E731  words in the order of arrival, after the start
+        at, sizes, training, places = array("I"), [], [], numbers()
         fields: list[pa.Field] = []
 
         def out() -> pa.RecordBatch:
-            flat, sizes, training = (np.concatenate(x) for x in zip(*held))
-            packed = Chunk.write(flat, sizes, training)
-            arrays = [*[pa.nulls(1, f.type) for f in fields], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([number - len(sizes)]), pa.array([len(flat)]), *[pa.array([packed[k]], pa.binary()) for k in packs]]
-            return pa.RecordBatch.from_arrays(arrays, names=[*kept, "rid", "n_tokens", "chunk", "held", *packs])
+            words = np.fromiter(chain([START], map(word_id, islice(places, 1, None))), np.int64, len(places))
+            packed = Chunk.write(words, np.frombuffer(at, np.uint32), np.array(sizes, np.int64), np.array(training, bool))
+            arrays = [*[pa.nulls(1, f.type) for f in fields], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([number - len(sizes)]), pa.array([len(at)]), pa.array([packed], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=[*kept, "rid", "n_tokens", "chunk", "held", "data"])
 
         for batch in batches:
             fields, m = [batch.schema.field(i) for i in range(len(kept))], batch.num_rows
-            flat, _, sizes = ids_of(batch.column("text").to_pylist())
-            held.append((flat, sizes, batch.column("_learn").to_numpy(zero_copy_only=False).astype(bool)))
-            arrays = [*batch.columns[: len(kept)], pa.array(number + np.arange(m)), pa.array(sizes), *[pa.nulls(m, pa.int64())] * 2, *[pa.nulls(m, pa.binary())] * len(packs)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "rid", "n_tokens", "chunk", "held", *packs])
+            for text in batch.column("text").to_pylist():
+                before = len(at)
+                at.extend(map(places.__getitem__, words_of(text)))
+                sizes.append(len(at) - before)
+            training += batch.column("_learn").to_pylist()
+            arrays = [*batch.columns[: len(kept)], pa.array(number + np.arange(m)), pa.array(sizes[len(sizes) - m :], pa.int64()), *[pa.nulls(m, pa.int64())] * 2, pa.nulls(m, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "rid", "n_tokens", "chunk", "held", "data"])
             number += m
-            if sum(len(x) for x, *_ in held) >= most:
+            if len(at) >= most:
                 yield out()
-                held = []
-        if sum(len(x) for _, x, _ in held):
+                at, sizes, training, places = array("I"), [], [], numbers()
+        if len(at):
             yield out()
 
-    schema = ", ".join([*(f"{k} {t}" for k, t in kinds.items()), "rid long, n_tokens long, chunk long, held long", *(f"{k} binary" for k in packs)])
+    schema = ", ".join([*(f"{k} {t}" for k, t in kinds.items()), "rid long, n_tokens long, chunk long, held long, data binary"])
     looked = shared_table(chosen.mapInArrow(cut, schema), "looked")
-    chunks = looked.where("chunk is not null").select("chunk", *packs)
-    held = looked.agg(F.sum("held")).first()[0] or 0
-    bits = min(16, max(1, (int(held) // BUCKET_TOKENS).bit_length()))
-    several = shared_table(_several(chunks, _counts(chunks, bits), bits), "several")
+    chunks = looked.where("chunk is not null").select(F.col("chunk").alias("to"), F.lit(CHUNK).cast("long").alias("kind"), F.col("chunk").alias("src"), "data")
+    counted_rows = looked.agg(F.sum("held").alias("held"), F.count("chunk").alias("chunks")).first()
+    bits, parts = _bits(int(counted_rows["held"] or 0)), max(1, 2 * counted_rows["chunks"])
+    counted = shared_table(_step(spark, 1 << bits, _count, (_counts(chunks, bits), COUNT)), "counted")
     discard(spark)  # the counts' shuffles
-    words = shared_table(_words_of_chunks(chunks, several), "words")
+    named = shared_table(_step(spark, parts, _name(bits, _word_bits(bits)), (chunks, CHUNK), (counted, PLACES)), "named")
     discard(spark)
-    sums = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    tokens, known = int(sums["n"] or 0), int(sums["v"])
-    scale = float(tokens + known + 1)
-    state, rows, parents, discount = gibbs(several, words)
-    discard(spark, several)
-    unknown, ranks = [x.unknown() for x in parents], range(SAMPLES)
-    p_names, b_names = [f"p{i}" for i in ranks], [f"b{i}" for i in ranks]
-    single = [F.lit(p.of(1, 1)).alias(n) for p, n in zip(parents, p_names)] + [F.lit((STRENGTH + discount) / (STRENGTH + 1)).alias(n) for n in b_names]
-    columns = ["id", "n", "c", *p_names, *b_names]
-    placed = rows.select(*columns).unionByName(words.where("n = 1 and c < 2").select("id", "n", "c", *single))
-
-    def word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys = np.sort(_unpacked(row["words"], np.int64).view(np.uint64))
-                yield _by_bucket(row["chunk"], _cut(keys, bits), keys=keys)
+    begun = shared_table(_step(spark, 1 << bits, _begin(_word_bits(bits)), (counted, SLOTS), (named, NAMES)), "seated")
+    got = _sample(spark, begun, named, bits, counted)
+    discard(spark, counted)
+    parents, discount, scale = got.parents, got.discount, float(got.tokens + got.known + 1)
 
-    def word_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket(batch.column(0).to_numpy(), bits)), *batch.columns], names=["bucket", *batch.schema.names])
-
-    def type_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pair = pair_of(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket(pair, bits)), pa.array(_long(_short(pair, bits))), batch.column(2)], names=["bucket", "key", "value"])
-
-    def answered(asked: pa.Table, answers: list[np.ndarray], starts: np.ndarray, lengths: np.ndarray, kind: int) -> pa.Table:
-        """The answers to each row's keys: arrays of numbers, one after another."""
-        data = [b"".join(len(x).to_bytes(8, "little") + x for x in (_packed(a[s : s + n]) for a in answers)) for s, n in zip(starts, lengths)]
-        return pa.table([asked.column("chunk"), pa.array(np.full(asked.num_rows, kind)), asked.column("bucket"), pa.array(data, pa.binary())], names=["chunk", "kind", "bucket", "data"])
-
-    answer = "chunk long, kind long, bucket long, data binary"
-
-    def answer_words(asked: pa.Table, found: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return _rows(answer, [])
-        keys, lengths = _all(asked.column("keys"), np.int64)
-        ids = found.column("id").to_numpy()
-        order = np.argsort(ids)
-        at = _find(ids[order], keys)
-        lost = at < 0
-        take = lambda c, x, t: np.where(lost, x, np.append(found.column(c).to_numpy()[order], 0)[at]).astype(t)
-        values = [take("n", 0, np.int64), take("c", 0, np.int64), *[take(c, unknown[i], np.float32) for i, c in enumerate(p_names)], *[take(c, 1.0, np.float32) for c in b_names]]
-        return answered(asked, values, np.cumsum(lengths) - lengths, lengths, 0)
-
-    def answer_types(asked: pa.Table, found: pa.Table) -> pa.Table:
-        """A type's value if it has been seen twice or more, else ONCE or NEVER."""
-        if not asked.num_rows:
-            return _rows(answer, [])
-        keys, n, _, of, lengths, starts = _counted(asked)
-        value = np.where(n == 1, ONCE, NEVER).astype(np.float32)
-        at = _find(keys, found.column("key").to_numpy())
-        value[at[at >= 0]] = found.column("value").to_numpy()[at >= 0]
-        return answered(asked, [value[of]], starts, lengths, 1)
-
-    result = "rid long, n_known double, base_score double, score double"
-
-    def work_out(own: pa.Table, answers: pa.Table) -> pa.Table:
+    def work_out(number: int, asked: dict[int, dict[int, list[np.ndarray]]]) -> tuple[np.ndarray, ...]:
         """The sums of each text of a chunk."""
-        row = own.to_pylist()[0]
-        chunk = Chunk.read(row)
-        got: dict[int, list[list[np.ndarray]]] = {0: [], 1: []}
-        for x in sorted(answers.to_pylist(), key=lambda x: (x["kind"], x["bucket"])):
-            parts, data, at = [], memoryview(x["data"]), 0
-            while at < len(data):
-                size = int.from_bytes(data[at : at + 8], "little")
-                parts.append(bytes(data[at + 8 : at + 8 + size]))
-                at += 8 + size
-            kinds = [np.int64] * 2 + [np.float32] * 2 * SAMPLES if x["kind"] == 0 else [np.float32]
-            got[x["kind"]].append([_unpacked(d, t) for d, t in zip(parts, kinds)])
-        by_word = np.argsort(chunk.words.view(np.uint64))
-        n, c, *shares = (np.concatenate(x)[np.argsort(by_word)] for x in zip(*got[0]))
-        p, b = np.stack(shares[:SAMPLES], 1).astype(np.float64), np.stack(shares[SAMPLES:], 1).astype(np.float64)
-        (value,) = (np.concatenate(x).astype(np.float64) for x in zip(*got[1]))
+        chunk = Chunk.read(asked[CHUNK][number])
+        back = np.argsort(chunk.by_id())
+        n, c, *samples = (np.concatenate(x)[back] for x in zip(*asked[OF_WORDS].values()))
+        p, b = (np.stack(x, 1) for x in _shares(parents, discount, c, samples))
+        status, values = (np.concatenate(x) for x in zip(*asked[OF_TYPES].values()))
+        value = np.zeros(len(status))
+        value[status == 2] = values
         _, token, of = chunk.types()
-        lone = np.flatnonzero(value > 0)
+        lone = np.flatnonzero(status < 2)
         u, w = chunk.before[token[lone]], chunk.at[token[lone]]
-        value[lone] = np.log10(np.einsum("ij,ij->i", p[w], b[u]) / SAMPLES + (value[lone] == ONCE) * (1 - discount) / (STRENGTH + c[u]))
-        base = np.log10((n + 1) / scale)
-        total = lambda x: np.bincount(chunk.owner, x, len(chunk.sizes))
-        known = (n > 0).astype(np.float64)
-        return pa.table([row["chunk"] + np.arange(len(chunk.sizes)), total(known[chunk.at]), total(base[chunk.at]), total(value[of])], names=["rid", "n_known", "base_score", "score"])
-
-    asked = chunks.mapInArrow(word_keys, "bucket long, chunk long, keys binary")
-    bucketed = placed.mapInArrow(word_buckets, "bucket long, " + ", ".join(f"{c} {t}" for c, t in placed.dtypes))
-    of_words = shared_table(asked.groupBy("bucket").cogroup(bucketed.groupBy("bucket")).applyInArrow(answer_words, answer), "of_words")
-    discard(spark, words, rows)
-    value = F.log10(F.col("total") / SAMPLES).cast("float")
-    seen = state.select("u", "w", value.alias("value")).mapInArrow(type_buckets, "bucket long, key long, value float")
-    of_types = shared_table(_counts(chunks, bits).groupBy("bucket").cogroup(seen.groupBy("bucket")).applyInArrow(answer_types, answer), "of_types")
-    discard(spark, state)
-    answers = of_words.unionByName(of_types)
-    worked = shared_table(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(work_out, result), "worked")
-    discard(spark, of_words, of_types)
+        value[lone] = np.log10(np.einsum("ij,ij->i", p[w], b[u]) / SAMPLES + status[lone] * (1 - discount) / (STRENGTH + c[u]))
+        owner, base, known = np.repeat(np.arange(len(chunk.sizes)), chunk.sizes), np.log10((n + 1) / scale), (n > 0).astype(np.float64)
+        total = lambda x: np.bincount(owner, x, len(chunk.sizes))
+        return number + np.arange(len(chunk.sizes)), total(known[chunk.at]), total(base[chunk.at]), total(value[of])
+
+    worked = shared_table(_step(spark, parts, work_out, (chunks, CHUNK), (got.words, OF_WORDS), (got.types, OF_TYPES), schema="rid long, n_known double, base_score double, score double"), "worked")
+    discard(spark, got.words, got.types)
     whole = looked.where("rid is not null").select(*kept, F.col("rid").alias("_rid"), "n_tokens").join(worked, F.col("_rid") == F.col("rid"))
-    results = {"n_tokens": F.col("n_tokens"), "n_known": F.col("n_known").cast("long"), "train_tokens": F.lit(tokens).cast("long"), "base_score": F.col("base_score"), "score": F.col("score")}
+    results = {"n_tokens": F.col("n_tokens"), "n_known": F.col("n_known").cast("long"), "train_tokens": F.lit(got.tokens).cast("long"), "base_score": F.col("base_score"), "score": F.col("score")}
     own = [F.col(k).alias(c) for k, c in zip(kept, keep) if c not in results]
     return whole.select(*own, *[x.alias(c) for c, x in results.items()])
 

@@ -661,6 +661,39 @@ def test_language_model_writes_few_bytes_a_token(spark, monkeypatch):
     assert sum(n for name, n in written.items() if name not in ("seated", "swept")) < 40 * tokens, written
 
 
+def test_sampler_keeps_no_row_for_a_type(spark, monkeypatch):
+    """What a sweep writes are messages of buckets, not rows of types."""
+    rows, write = Counter(), language_model.shared_table
+
+    def counted(table, name):
+        out = write(table, name)
+        rows[name] += out.count()
+        return out
+
+    monkeypatch.setattr(language_model, "shared_table", counted)
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(100)}" for _ in range(100)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert language_model.score(docs, F.lit(True), "doc_id").count() == 300
+    types = Counter(x for t in texts for x in zip(t.split(), t.split()[1:]))
+    assert sum(n > 1 for n in types.values()) > 5000
+    assert sum(n for name, n in rows.items() if name not in ("looked", "worked")) < 500, rows
+
+
+def test_seating_does_not_depend_on_the_batch():
+    """A type's tables are the same whatever else is seated beside it, also where customers have come or gone."""
+    rng = np.random.default_rng(3)
+    n = rng.integers(1, 120, 300)
+    seeds, opening, slope = rng.integers(0, 2**63, 300).astype(np.uint64), np.full(300, 0.7), np.full(300, 0.2)
+    flat, lengths = language_model.reseat(np.zeros(0, np.int64), np.zeros(300, np.int64), n, opening, slope, 0.4, seeds, 0)
+    later, ends = np.maximum(1, n + rng.integers(-5, 6, 300)), np.cumsum(lengths)
+    whole = np.split(*(lambda f, x: (f, np.cumsum(x)[:-1]))(*language_model.reseat(flat, lengths, later, opening, slope, 0.4, seeds, 1)))
+    for i in range(300):
+        one = slice(i, i + 1)
+        alone, _ = language_model.reseat(flat[ends[i] - lengths[i] : ends[i]], lengths[one], later[one], opening[one], slope[one], 0.4, seeds[one], 1)
+        assert alone.tolist() == whole[i].tolist()
+
+
 def test_a_batch_scores_as_each_text_alone():
     net = toxicity.Net()
     rng = np.random.default_rng(2)
