@@ -11,14 +11,14 @@ dots) unless a capitalised starter or a word that marks a begin follows; an init
 makes a collocation with what follows, or before a lower-case word; and an initial before a capitalised word that is never in lower case, as names
 are. Lines don't end sentences.
 
-The model holds MOST entries of each kind at most, those of the highest score or count, and is broadcast.
-Null and empty texts have no sentences.
+The model is whole. Up to LOCAL entries of each kind it is broadcast; a larger one stays tables, and what its periods are is decided by
+joins, once for each two words around one. Null and empty texts have no sentences.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -26,13 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import once, words
-from graphloom.storage import bound_batches, shared_table
+from graphloom.storage import bound_batches, broadcast_if_small, shared_table
 
 OPENERS, CLOSERS = "\"'(\\[{«„“‘", "\"')\\]}»”’,;:"
 #: Least scores, as published: of abbreviations, of sentence starters and of collocations.
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 NUMBER = "##"
-MOST = 100_000
+#: Entries of a kind up to which a model is broadcast.
+LOCAL = 100_000
 _STRIP = re.compile(f"^[{OPENERS}]+|[{CLOSERS}]+$")
 _TOKEN = re.compile(r"\S+")
 
@@ -47,31 +48,67 @@ class Splitter:
 
     def ends(self, token: str, after: str) -> bool:
         """Whether a sentence ends between two tokens."""
-        bare, next_ = _STRIP.sub("", token), _STRIP.sub("", after)
-        if bare.endswith(("!", "?")):
-            return True
-        if not bare.endswith("."):
-            return False
-        word, follows = _type(bare), _type(next_)
-        capital = next_[:1].isupper()
-        if bare.endswith("..") or word in self.abbreviations:
+        met = _met(token, after)
+        if isinstance(met, bool):
+            return met
+        word, follows, dots, capital, low = met
+        if dots or word in self.abbreviations:
             return capital and (follows in self.starters or follows in self.begins)
         initial = len(word) == 1 and word.isalpha()
         if initial or word == NUMBER:
-            if (word, follows) in self.collocations or next_[:1].islower():
+            if (word, follows) in self.collocations or low:
                 return False
             if initial and capital and follows in self.names:
                 return False
         return True
 
     def sentences(self, text: str | None) -> list[str]:
-        out, start, tokens = [], None, [*_TOKEN.finditer(text or "")]
-        for i, m in enumerate(tokens):
-            start = m.start() if start is None else start
-            if i + 1 == len(tokens) or self.ends(m[0], tokens[i + 1][0]):
-                out.append(text[start : m.end()])
-                start = None
-        return out
+        return _cut(text, lambda i, token, after: self.ends(token, after))
+
+
+@dataclass
+class TableSplitter:
+    """The same model as tables (w), and (p, w) of collocations, for any number of entries."""
+
+    abbreviations: DataFrame
+    starters: DataFrame
+    collocations: DataFrame
+    begins: DataFrame
+    names: DataFrame
+
+    def decided(self, met: DataFrame) -> DataFrame:
+        """Rows (word, follows, dots, capital, low) with ``ends``, by the rules of ``Splitter``."""
+        on = lambda table, at, flag: table.select(F.col("w").alias(at), F.lit(True).alias(flag)).distinct()
+        out = met.join(on(self.abbreviations, "word", "_short"), "word", "left")
+        out = out.join(on(self.starters.unionByName(self.begins), "follows", "_opens"), "follows", "left").join(on(self.names, "follows", "_named"), "follows", "left")
+        tied = self.collocations.select(F.col("p").alias("word"), F.col("w").alias("follows"), F.lit(True).alias("_tied"))
+        out = out.join(tied, ["word", "follows"], "left")
+        has = lambda c: F.coalesce(c, F.lit(False))
+        doubtful = F.col("initial") | (F.col("word") == NUMBER)
+        ends = F.when(F.col("dots") | has("_short"), F.col("capital") & has("_opens"))
+        ends = ends.when(doubtful & (has("_tied") | F.col("low")), False).when(F.col("initial") & F.col("capital") & has("_named"), False).otherwise(True)
+        return out.select(*met.columns, ends.alias("ends"))
+
+
+def _met(token: str, after: str) -> bool | tuple[str, str, bool, bool, bool]:
+    """Whether a sentence ends between two tokens, or, after a period, what tells: both types, dots, and the case of what follows."""
+    bare, next_ = _STRIP.sub("", token), _STRIP.sub("", after)
+    if bare.endswith(("!", "?")):
+        return True
+    if not bare.endswith("."):
+        return False
+    return _type(bare), _type(next_), bare.endswith(".."), next_[:1].isupper(), next_[:1].islower()
+
+
+def _cut(text: str | None, ends: Callable[[int, str, str], bool]) -> list[str]:
+    """The sentences of a text; ``ends`` gets a token's place, the token and the one after it."""
+    out, start, tokens = [], None, [*_TOKEN.finditer(text or "")]
+    for i, m in enumerate(tokens):
+        start = m.start() if start is None else start
+        if i + 1 == len(tokens) or ends(i, m[0], tokens[i + 1][0]):
+            out.append(text[start : m.end()])
+            start = None
+    return out
 
 
 def _type(bare: str) -> str:
@@ -146,14 +183,15 @@ def ratio(both: Column, first: Column, second: Column, every: Column) -> Column:
     return 2 * sum((cell(o, e / every) for o, e in cells), F.lit(0.0))
 
 
-def learn(docs: DataFrame, text_col: str = "text", most: int = MOST) -> Splitter:
-    """The splitter that all texts teach."""
+def learn(docs: DataFrame, text_col: str = "text", most: int | None = None, local: int = LOCAL) -> Splitter | TableSplitter:
+    """The splitter that all texts teach: tables if a kind has more than ``local`` entries. Only a ``most`` that is given leaves entries out, all but those of the highest score or count."""
+    first = lambda rows, *order: rows if most is None else rows.orderBy(*order).limit(most)
     pairs = token_pairs(docs, text_col)
     counts = shared_table(word_counts(pairs), "words")
-    found = shared_table(abbreviation_scores(counts).where(F.col("score") >= ABBREVIATION).orderBy(F.desc("score"), "w").limit(most).select("w", "score"), "abbreviations")
+    found = shared_table(first(abbreviation_scores(counts).where(F.col("score") >= ABBREVIATION), F.desc("score"), "w").select("w"), "abbreviations")
     b = F.col("before")
     across = pairs.where(b["dot"] | b["mark"]).groupBy(b["w"].alias("p"), b["dot"].alias("dot"), "w").agg(F.count("*").alias("n"))
-    across = across.join(F.broadcast(found.select(F.col("w").alias("p"), F.lit(True).alias("short"))), "p", "left")  # most rows
+    across = across.join(broadcast_if_small(found.select(F.col("w").alias("p"), F.lit(True).alias("short")), LOCAL), "p", "left")
     across = shared_table(across, "across")
     short, alone = F.coalesce("short", F.lit(False)), F.col("p").rlike(r"^\p{L}$") | (F.col("p") == NUMBER)
     every = F.broadcast(counts.agg(F.sum("n").cast("double").alias("all_n")))  # one row
@@ -161,28 +199,67 @@ def learn(docs: DataFrame, text_col: str = "text", most: int = MOST) -> Splitter
     after = across.where(~F.col("dot") | ~short).groupBy("w").agg(F.sum("n").cast("double").alias("n"))
     ends = F.broadcast(after.agg(F.sum("n").alias("all_ends")))  # one row
     tied = after.join(own, "w").join(every).join(ends).where(F.col("w").rlike(r"^\p{L}") & (F.col("n") / F.col("all_ends") > F.col("n_w") / F.col("all_n")))
-    starters = tied.withColumn("g", ratio(F.col("n"), F.col("all_ends"), F.col("n_w"), F.col("all_n"))).where(F.col("g") >= STARTER).orderBy(F.desc("g"), "w").limit(most).select("w")
+    starters = first(tied.withColumn("g", ratio(F.col("n"), F.col("all_ends"), F.col("n_w"), F.col("all_n"))).where(F.col("g") >= STARTER), F.desc("g"), "w").select("w")
     tied = across.where(F.col("dot") & (short | alone)).select("p", "w", F.col("n").cast("double").alias("n")).join(own, "w").join(own.select(F.col("w").alias("p"), F.col("n_w").alias("n_p")), "p").join(every)
     tied = tied.where(F.col("n") / F.col("n_p") > F.col("n_w") / F.col("all_n")).withColumn("g", ratio(F.col("n"), F.col("n_p"), F.col("n_w"), F.col("all_n")))
-    collocations = tied.where(F.col("g") >= COLLOCATION).orderBy(F.desc("g"), "p", "w").limit(most).select("p", "w")
+    collocations = first(tied.where(F.col("g") >= COLLOCATION), F.desc("g"), "p", "w").select("p", "w")
     # of words that follow doubtful periods: which mark a begin, and which are names
     doubtful = across.where(F.col("dot") & (short | alone)).groupBy("w").agg(F.sum("n").alias("met")).join(counts, "w")
-    pick = lambda c: [r["w"] for r in doubtful.where(c).orderBy(F.desc("met"), "w").limit(most).select("w").collect()]
-    of = lambda rows: [tuple(r) if len(r) > 1 else r[0] for r in rows.collect()]  # noqa: E731  # most rows
+    pick = lambda c: first(doubtful.where(c), F.desc("met"), "w").select("w")
     begins, names = pick((F.col("n_low") > 0) & (F.col("n_up") == 0)), pick(F.col("n_low") == 0)
-    return Splitter(*(frozenset(x) for x in (of(found.select("w")), of(starters), of(collocations), begins, names)))
+    tables = found, *(shared_table(t, n) for t, n in ((starters, "starters"), (collocations, "collocations"), (begins, "begins"), (names, "names")))
+    if any(t.count() > local for t in tables):
+        return TableSplitter(*tables)
+    of = lambda rows: [tuple(r) if len(r) > 1 else r[0] for r in rows.collect()]  # noqa: E731  # local rows
+    return Splitter(*(frozenset(of(t)) for t in tables))
 
 
-def split(docs: DataFrame, splitter: Splitter, *keep: str, text_col: str = "text") -> DataFrame:
+def split(docs: DataFrame, splitter: Splitter | TableSplitter, *keep: str, text_col: str = "text") -> DataFrame:
     """The kept columns and the sentences of each text, in order."""
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(splitter)  # 5 * MOST entries at most
     chosen = docs.select(*keep, docs[text_col].cast("string").alias("_text"))
     schema = ", ".join([f"`{c}` {t}" for c, t in chosen.dtypes if c != "_text"] + ["sentences array<string>"])
+    if isinstance(splitter, TableSplitter):
+        chosen, cut = _with_stops(chosen, splitter), lambda text, stops: _cut(text, _but_for(stops))
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(splitter)  # 5 * LOCAL entries at most
+        cut = lambda text: shared.value.sentences(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.sentences(t) for t in batch.column(len(keep)).to_pylist()]
+            found = [cut(*row) for row in zip(*(c.to_pylist() for c in batch.columns[len(keep) :]))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.list_(pa.string()))], names=[*keep, "sentences"])
 
     return chosen.mapInArrow(run, schema)
+
+
+def _but_for(stops: list[int] | None) -> Callable[[int, str, str], bool]:
+    """Ends as ``_cut`` asks for them: after each mark and period but for those at ``stops``."""
+    none = set(stops or ())
+    return lambda i, token, after: i not in none and _met(token, after) is not False
+
+
+def _with_stops(chosen: DataFrame, splitter: TableSplitter) -> DataFrame:
+    """The rows with the places of tokens whose period ends no sentence.
+
+    What stands around periods is decided once for each two types and cases; places come back by the text's digest.
+    """
+    met = ["word", "follows", "dots", "capital", "low", "initial"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens, rows = _TOKEN.findall(text), []
+                for i, (token, after) in enumerate(zip(tokens, tokens[1:])):
+                    if not isinstance(found := _met(token, after), bool):
+                        rows.append((key, i, *found, len(found[0]) == 1 and found[0].isalpha()))
+                if rows:
+                    yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, r)) for r in rows], kinds)
+
+    kinds = pa.schema([("_key", pa.string()), ("at", pa.int32()), ("word", pa.string()), ("follows", pa.string()), *((c, pa.bool_()) for c in met[2:])])
+    key = F.sha2("_text", 256)
+    asked = chosen.where("_text is not null").select(key.alias("_key"), "_text").mapInArrow(ask, "_key string, at int, word string, follows string, dots boolean, capital boolean, low boolean, initial boolean")
+    asked = shared_table(asked, "periods")
+    stops = asked.join(splitter.decided(asked.select(*met).distinct()).where("not ends").drop("ends"), met, "left_semi")
+    stops = stops.groupBy("_key").agg(F.collect_set("at").alias("_stops"))
+    return chosen.withColumn("_key", key).join(stops, "_key", "left").select(*chosen.columns, "_stops")

@@ -106,3 +106,19 @@ def test_splitting_and_chunks(spark):
 def test_a_model_is_bounded(spark):
     model = sentences.learn(frame(spark, corpus(4)), most=1)
     assert all(len(x) <= 1 for x in (model.abbreviations, model.starters, model.collocations, model.begins, model.names))
+
+
+def test_a_large_model_is_whole(spark):
+    """Nothing is left out unless asked for: a model beyond what is broadcast stays tables, and splits as the whole one does."""
+    texts = [*corpus(5), corpus(6)[0], None, "", " \n ", "...", "One.", "Dr. J. Keller left. Dr. J. Keller left. 3. May it. 3. may"]
+    docs = frame(spark, [*texts, texts[0]])
+    whole, tables = sentences.learn(docs), sentences.learn(docs, local=0)
+    assert whole == plain_learn([*texts, texts[0]]) and isinstance(tables, sentences.TableSplitter)
+    of = lambda splitter: [r["sentences"] for r in sentences.split(docs, splitter, "doc_id").orderBy("doc_id").collect()]
+    assert of(tables) == of(whole) == [whole.sentences(t) for t in [*texts, texts[0]]]
+
+
+def test_no_bound_leaves_entries_out():
+    import inspect
+
+    assert inspect.signature(sentences.learn).parameters["most"].default is None
