@@ -13,7 +13,7 @@ from graphloom.operators import evaluate, extract, graph, retrieve
 from graphloom.operators.graph import digraph, endpoints
 from graphloom.schema import KGFrames
 from graphloom.sources import json_records
-from graphloom.storage import append_by_task, exists, has_rows_files, remove, shared_table
+from graphloom.storage import append_by_task, bound_tasks, exists, has_rows_files, remove, shared_table
 
 
 def graph_of(relations: Column) -> Column:
@@ -155,14 +155,25 @@ def _with_contexts(items: DataFrame, embed, config: EvalConfig, previous: DataFr
     asked = open_.select(F.col("item_id").alias("graph_id"), query.alias("query_id"), "fact")
     facts = shared_table(embed(asked.select(F.col("fact").alias("node")).distinct()), "vectors")
     asked = asked.join(facts, F.col("fact") == F.col("node")).select("graph_id", "query_id", F.col("embedding").alias("q"))
-    best, found = retrieve.retrieve(asked, nodes, kg.triples, config.retrieval_k, config.retrieval_depth)
-    found = shared_table(found, "contexts")
-    texts = retrieve.context_text(found).select(F.col("query_id").alias("_q"), "context")
+    best = shared_table(retrieve.relevant_nodes(asked, nodes, config.retrieval_k), "best")
+    of, texts = retrieve.distinct_contexts(best, kg.triples, config.retrieval_depth)
+    sizes = retrieve.stats_of(best, of, config.retrieval_k, config.retrieval_depth)
+    sizes = sizes.select("query_id", F.struct(*sizes.columns[2:]).alias("retrieval_stats"))
     keys = ["item_id", "quality_level", "fact_pos"]
-    contexts = open_.select(*keys, query.alias("_k")).join(texts, F.col("_k") == F.col("_q"), "left").select(*keys, F.coalesce("context", F.lit("")).alias("context"))
-    sizes = retrieve.retrieval_stats(best, found, config.retrieval_k, config.retrieval_depth)
-    sizes = open_.select(*keys, query.alias("_k")).join(sizes, F.col("_k") == F.col("query_id")).select(*keys, F.struct(*sizes.columns[2:]).alias("retrieval_stats"))
-    return rows.join(contexts, keys, "left").join(sizes, keys, "left")
+    placed = open_.select(*keys, query.alias("query_id")).join(of.select("query_id", F.col("ctx").alias("_ctx")), "query_id", "left").join(sizes, "query_id", "left").drop("query_id")
+    placed = shared_table(placed, "placed")
+    # texts come last, and go to blocks of the facts that share them: they are in no other shuffle
+    bound_tasks(items.sparkSession)
+    parts = placed.groupBy("item_id", "_ctx").agg(F.ceil(F.count("*") / SHARED).cast("long").alias("_parts"))
+    placed = placed.join(parts, ["item_id", "_ctx"], "left").withColumn("_part", F.pmod(F.xxhash64(*keys), F.coalesce("_parts", F.lit(1)))).drop("_parts").withColumn("_open", F.lit(True))
+    sent = texts.select(F.col("graph_id").alias("item_id"), F.col("ctx").alias("_ctx"), "context").join(parts, ["item_id", "_ctx"])
+    sent = sent.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    met = rows.join(placed, keys, "left").join(sent, ["item_id", "_ctx", "_part"], "left")
+    return met.select(*rows.columns, F.when(F.col("_open"), F.coalesce("context", F.lit(""))).alias("context"), "retrieval_stats")
+
+
+#: Facts that a copy of their shared context goes to, about.
+SHARED = 256
 
 
 def evaluate_items(items: DataFrame, embed, backend, config: EvalConfig = EvalConfig(), previous: DataFrame | None = None) -> DataFrame:
